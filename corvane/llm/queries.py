@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe_chunks, line_dedup, quality, shards, token_counts, token_files, warc
+from corvane.llm import bpe_chunks, line_dedup, minhash, quality, shards, token_counts, token_files, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_docs(spark, sf_dir))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.report(_docs(spark, sf_dir))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_docs(spark, sf_dir))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_shards": op4_shards,
     "op5_token_counts": op5_token_counts,
     "op6_token_files": op6_token_files,
+    "op7_minhash": op7_minhash,
     "op8_line_dedup": op8_line_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
