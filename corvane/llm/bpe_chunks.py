@@ -126,7 +126,7 @@ def with_ids(docs: DataFrame, path: str | None = None, decode: bool = False, dig
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = vocab.load(content.value)
-        coder = vocab.once(("chunks", hash(content.value)), lambda: Chunks(tok))
+        coder = vocab.once("chunks", hash(content.value), lambda: Chunks(tok))
         for whole in batches:
             for k in range(0, whole.num_rows, GROUP):
                 b = whole.slice(k, GROUP)

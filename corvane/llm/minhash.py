@@ -76,7 +76,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _word_hashes() -> vocab.Remembered:
     import xxhash
 
-    return vocab.once("word hashes", lambda: vocab.Remembered(xxhash.xxh3_64_intdigest, most=400_000))
+    return vocab.once("word hashes", 0, lambda: vocab.Remembered(xxhash.xxh3_64_intdigest, most=400_000))
 
 
 def shingles(text: str | None, rule: Rule, hashes: vocab.Remembered) -> np.ndarray:

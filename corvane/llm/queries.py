@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe_chunks, line_dedup, minhash, quality, shards, token_counts, token_files, warc
+from corvane.llm import bpe_chunks, crf, decontaminate, line_dedup, minhash, quality, shards, token_counts, token_files, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op3_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.predict(_docs(spark, sf_dir))
+
+
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.place(_docs(spark, sf_dir))
 
@@ -41,6 +45,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_docs(spark, sf_dir))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(_docs(spark, sf_dir))
 
@@ -48,11 +56,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_chunks": op1_bpe_chunks,
     "op2_warc": op2_warc,
+    "op3_crf_language": op3_crf_language,
     "op4_shards": op4_shards,
     "op5_token_counts": op5_token_counts,
     "op6_token_files": op6_token_files,
     "op7_minhash": op7_minhash,
     "op8_line_dedup": op8_line_dedup,
+    "op9_decontaminate": op9_decontaminate,
     "op10_quality_rules": op10_quality_rules,
 }
 

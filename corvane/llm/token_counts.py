@@ -61,7 +61,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024) ->
     table = spark.sparkContext.broadcast(frequent_lengths(vocab.load(content.value)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = vocab.once(("counts", hash(content.value)), lambda: counter(content.value, table.value))
+        count = vocab.once("counts", hash(content.value), lambda: counter(content.value, table.value))
         for b in batches:
             size, n = [], []
             for x in b.column("text"):

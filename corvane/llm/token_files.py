@@ -46,7 +46,7 @@ def write(docs: DataFrame, to: str, path: str | None = None, end_id: int = 0) ->
         from pyspark import TaskContext
 
         part, segment, start = TaskContext.get().partitionId(), 0, 0
-        coder = vocab.once(("ids", hash(content.value)), lambda: vocab.ByteLevel(vocab.load(content.value), vocab.packed))
+        coder = vocab.once("ids", hash(content.value), lambda: vocab.ByteLevel(vocab.load(content.value), vocab.packed))
         end = vocab.packed([end_id])
         names, ids, lengths, held = [], [], [], 0
 

@@ -23,7 +23,7 @@ WORDS = re.compile(f"[^{WHITE}]+")
 ODD = re.compile("[\x1c-\x1f]")
 #: How byte-level vocabularies split a text (fixed value).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_LOADED: dict[int, object] = {}
+_KEPT: dict[str, tuple] = {}
 
 
 def default_path(name: str) -> str:
@@ -41,19 +41,21 @@ def ship(spark: SparkSession, path: str):
 def load(content: bytes):
     """The tokenizer, once for each worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    key = hash(content)
-    if key not in _LOADED:
+
+    def make():
         from tokenizers import Tokenizer
 
-        _LOADED[key] = Tokenizer.from_str(content.decode())
-    return _LOADED[key]
+        return Tokenizer.from_str(content.decode())
+
+    return once("tokenizer", hash(content), make)
 
 
-def once(key, make):
-    """make() once for each worker and key."""
-    if key not in _LOADED:
-        _LOADED[key] = make()
-    return _LOADED[key]
+def once(kind: str, key, make):
+    """make() once for each worker and key; a new key of the same kind takes the old one's place."""
+    got = _KEPT.get(kind)
+    if got is None or got[0] != key:
+        got = _KEPT[kind] = (key, make())
+    return got[1]
 
 
 class Remembered(dict):
