@@ -1,11 +1,329 @@
-"""Every registered query with the SQL it is checked against."""
+"""Every registered query with the SQL it is checked against.
+
+Queries run over the record tables that sources.adapters derives from the driver's
+tables; each SQL text begins with the same derivation.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.functions import constants as C
+from corvane.functions import text as T
+from corvane.operators import audit, diffcheck, graph, lexical, listing, trace, vectors
+from corvane.plans import check
+from corvane.sources.adapters import BASE, MODEL, Corpus
 
 FLAGSHIP = "check_full"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+EXCERPT = "CASE WHEN strlen(line) > 140 THEN rtrim(left(line, list_max(list_filter(range(0, 141), lambda i: strlen(left(line, i::INT)) <= 140))::INT)) || '…' ELSE line END"
+FIRST_LINE = "split_part(trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), chr(10), 1)"
+DRAFT_ID, DRAFT_FIELDS = 7, 40
+TOKEN_SQL = f"regexp_extract_all(translate(lower({{}}), '{T.MARKED}', '{T.PLAIN}'), '[\\p{{{{L}}}}\\p{{{{N}}}}]+')"
+
+
+def query(name: str, sql: str | None = None, base: bool = True):
+    """Register a function of a Corpus under name."""
+
+    def put(f: Callable[[Corpus], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: f(Corpus(spark, sf_dir))
+        if sql:
+            ORACLES[name] = (BASE + (", " + sql.strip()[5:] if sql.strip().startswith("WITH ") else sql)) if base else sql
+        return f
+
+    return put
+
+
+def _refs(c: Corpus) -> DataFrame:
+    return trace.scan(c.sites)
+
+
+def _classes(c: Corpus) -> DataFrame:
+    return trace.classified(_refs(c), c.statements, c.rejections)
+
+
+# ---- identifiers -------------------------------------------------------------------------------------------
+
+
+def tables(c: Corpus) -> check.Tables:
+    see = c.rejections.select(F.lit("rejection").alias("source_kind"), "full_id", "see_instead")
+    return check.Tables(c.records.join(see, ["source_kind", "full_id"], "left"), c.facets, c.edges, c.embeddings)
+
+
+def touch_names(c: Corpus) -> list[str]:
+    """Identifiers of two statements, spelt as a caller might."""
+    rows = c.table("part").filter(F.col("p_partkey").isin(DRAFT_ID, 11)).orderBy("p_partkey").select("p_name", "p_size").collect()
+    names = [f"{r.p_name.replace(' ', '_')}_{r.p_size}" for r in rows]
+    return [f":{names[0]}", f"{names[1]},", "x"]
+
+
+NAMES = f"names AS (SELECT lower(replace(p_name, ' ', '_')) || '_' || p_size AS facet FROM part WHERE p_partkey IN ({DRAFT_ID}, 11))"
+LIVE = "live AS (SELECT * FROM records WHERE status IN ('active', 'proposed') OR source_kind = 'rejection')"
+
+
+@query("touches", f"WITH {NAMES}, {LIVE} SELECT source_kind, full_id, count(*)::BIGINT AS hits, {EXCERPT} AS excerpt FROM (SELECT f.*, {FIRST_LINE.format('body')} AS line FROM facets f JOIN names USING (facet) JOIN live USING (source_kind, full_id)) GROUP BY ALL")
+def touches(c: Corpus) -> DataFrame:
+    t = tables(c)
+    found = check.touched(t, touch_names(c))
+    return found.join(c.records.select("source_kind", "full_id", T.excerpt(F.col("body")).alias("excerpt")), ["source_kind", "full_id"])
+
+
+PAGE_FACETS = BASE.split("raw_facets AS (")[1].split("sites AS (")[0].replace("source_kind, full_id", "page_id").replace("body", "html").replace("FROM records", "FROM pages")
+
+
+@query("facet_extract", f"WITH raw_facets AS ({PAGE_FACETS.rstrip().rstrip(',')} SELECT page_id, facet FROM facets", base=False)
+def facet_extract(c: Corpus) -> DataFrame:
+    return c.table("pages").select("page_id", F.explode(T.facets(F.col("html"))).alias("facet"))
+
+
+@query("facet_records", "SELECT facet, source_kind, full_id, namespace, status FROM facets JOIN records USING (source_kind, full_id)")
+def facet_records(c: Corpus) -> DataFrame:
+    return c.facets.join(c.records.select("source_kind", "full_id", "namespace", "status"), ["source_kind", "full_id"]).select("facet", "source_kind", "full_id", "namespace", "status")
+
+
+# ---- lists, lookups, relations -----------------------------------------------------------------------------
+
+ITEM = "full_id, namespace, kind, modality, status, abstract"
+COLS = ITEM.split(", ")
+
+
+@query("list_filter", f"SELECT {ITEM} FROM statements WHERE (namespace = 'doc' OR namespace LIKE 'doc/%') AND kind = 'rule' AND status = 'active'")
+def list_filter(c: Corpus) -> DataFrame:
+    return listing.in_order(listing.listed(c.statements, "doc", "rule", "active")).select(*COLS)
+
+
+@query("list_tag", f"SELECT {ITEM} FROM statements WHERE list_contains(tags, 'src3')")
+def list_tag(c: Corpus) -> DataFrame:
+    return listing.in_order(listing.listed(c.statements, tag="src3")).select(*COLS)
+
+
+STATUS = "st AS (SELECT r.*, CASE WHEN e.source_hash IS NULL THEN 'missing' WHEN e.source_hash = sha256(r.body) THEN 'fresh' ELSE 'stale' END AS embedding_status FROM records r LEFT JOIN embeddings_ e USING (source_kind, full_id))"
+
+
+@query("list_needs_embedding", f"WITH {STATUS} SELECT source_kind, full_id, embedding_status FROM st WHERE embedding_status <> 'fresh' AND (source_kind = 'rejection' OR status IN ('active', 'proposed'))")
+def list_needs_embedding(c: Corpus) -> DataFrame:
+    return listing.needs_embedding(c.records, c.embeddings, MODEL).select("source_kind", "full_id", "embedding_status")
+
+
+@query("list_abstract", f"SELECT {ITEM} FROM statements WHERE abstract")
+def list_abstract(c: Corpus) -> DataFrame:
+    return c.statements.filter("abstract").select(*COLS)
+
+
+CODE = "code AS (SELECT DISTINCT full_id FROM refs WHERE kind = 'code')"
+REFINE = f"{CODE}, cover AS (SELECT to_id AS full_id, count(*)::BIGINT AS refiners, bool_and(code.full_id IS NOT NULL) AS covered FROM (SELECT DISTINCT from_id, to_id FROM edges WHERE type = 'refines') e JOIN statements s ON s.full_id = from_id AND s.status = 'active' LEFT JOIN code ON code.full_id = from_id GROUP BY 1)"
+
+
+@query("list_unreferenced", f"WITH {REFINE} SELECT full_id FROM statements s WHERE status IN ('active', 'proposed') AND full_id NOT IN (SELECT full_id FROM code) AND NOT abstract AND full_id NOT IN (SELECT full_id FROM cover WHERE covered) AND EXISTS (SELECT 1 FROM code)")
+def list_unreferenced(c: Corpus) -> DataFrame:
+    return listing.unreferenced(c.statements, c.edges, _refs(c)).select("full_id")
+
+
+@query("list_unreferenced_direct", f"WITH {CODE} SELECT full_id FROM statements s WHERE status IN ('active', 'proposed') AND full_id NOT IN (SELECT full_id FROM code) AND EXISTS (SELECT 1 FROM code)")
+def list_unreferenced_direct(c: Corpus) -> DataFrame:
+    return listing.unreferenced(c.statements, c.edges, _refs(c), direct=True).select("full_id")
+
+
+@query("get_statement", f"""WITH {STATUS}, one AS (SELECT full_id FROM ids WHERE doc_id = {DRAFT_ID}),
+  counts AS (SELECT full_id, (count(*) FILTER (kind = 'code'))::BIGINT AS c, (count(*) FILTER (kind = 'doc'))::BIGINT AS d FROM (SELECT DISTINCT * FROM refs) GROUP BY 1)
+  SELECT s.full_id, s.kind, s.modality, s.status, s.abstract, st.embedding_status, coalesce(c, 0) AS code_refs, coalesce(d, 0) AS doc_mentions,
+         (SELECT coalesce(array_to_string(list_sort(list(DISTINCT type || ' ' || from_id)), ','), '') FROM edges WHERE to_id = s.full_id) AS inbound
+  FROM statements s JOIN one USING (full_id) JOIN st ON st.full_id = s.full_id AND st.source_kind = 'statement' LEFT JOIN counts ON counts.full_id = s.full_id""")
+def get_statement(c: Corpus) -> DataFrame:
+    full_id = c.ids.filter(F.col("doc_id") == DRAFT_ID).first().full_id
+    out = listing.get(full_id, c.statements, c.rejections, c.embeddings, MODEL, _refs(c), c.edges)
+    return out.select("full_id", "kind", "modality", "status", "abstract", "embedding_status", "code_refs", "doc_mentions", F.array_join("inbound", ",").alias("inbound"))
+
+
+CHALLENGED = "challenged AS (SELECT DISTINCT to_id AS full_id FROM edges JOIN statements s ON s.full_id = from_id WHERE type IN ('conflicts_with', 'supersedes') AND s.status = 'proposed')"
+
+
+@query("challenged", f"WITH {CHALLENGED} SELECT * FROM challenged")
+def challenged(c: Corpus) -> DataFrame:
+    return listing.challenged(c.statements, c.edges)
+
+
+@query("dangling_pointers", "SELECT full_id, see_instead FROM rejections WHERE see_instead IS NOT NULL AND see_instead <> '' AND see_instead NOT IN (SELECT full_id FROM statements)")
+def dangling_pointers(c: Corpus) -> DataFrame:
+    return listing.dangling_pointers(c.statements, c.rejections)
+
+
+@query("inbound_edges", "SELECT from_id, to_id, type, unconfirmed FROM edges WHERE to_id IN (SELECT full_id FROM statements WHERE status = 'deprecated')")
+def inbound_edges(c: Corpus) -> DataFrame:
+    return listing.inbound(c.edges, c.statements.filter("status = 'deprecated'"))
+
+
+@query("referrers", "SELECT to_id AS full_id, count(*)::BIGINT AS referrers FROM edges GROUP BY 1")
+def referrers(c: Corpus) -> DataFrame:
+    return c.edges.groupBy(F.col("to_id").alias("full_id")).agg(F.count(F.lit(1)).alias("referrers"))
+
+
+@query("rejected_alternatives", "SELECT see_instead AS full_id, array_to_string(list_sort(list(full_id)), ',') AS alternatives FROM rejections WHERE see_instead IN (SELECT full_id FROM statements) GROUP BY 1")
+def rejected_alternatives(c: Corpus) -> DataFrame:
+    return listing.rejected_alternatives(c.rejections, c.statements).select("full_id", F.array_join("alternatives", ",").alias("alternatives"))
+
+
+@query("unconfirmed_edges", "SELECT from_id, to_id, type FROM edges WHERE unconfirmed AND from_id LIKE 'doc/en/%'")
+def unconfirmed_edges(c: Corpus) -> DataFrame:
+    return listing.unconfirmed(c.edges, c.statements, "doc/en")
+
+
+@query("embedding_models", "SELECT model, len(vector)::INT AS dims, count(*)::BIGINT AS n FROM embeddings_ GROUP BY ALL")
+def embedding_models(c: Corpus) -> DataFrame:
+    return listing.models(c.embeddings)
+
+
+@query("embedding_status", f"WITH {STATUS} SELECT source_kind, full_id, embedding_status FROM st")
+def embedding_status(c: Corpus) -> DataFrame:
+    return listing.statuses(c.records, c.embeddings, MODEL).select("source_kind", "full_id", "embedding_status")
+
+
+@query("coverage", f"WITH {STATUS} SELECT count(*)::BIGINT AS total, count(*) FILTER (embedding_status = 'fresh')::BIGINT AS fresh, count(*) FILTER (embedding_status = 'stale')::BIGINT AS stale, count(*) FILTER (embedding_status = 'missing')::BIGINT AS missing FROM st WHERE source_kind = 'rejection' OR status IN ('active', 'proposed')".replace("count(*) FILTER (embedding_status = 'fresh')::BIGINT", "(count(*) FILTER (embedding_status = 'fresh'))::BIGINT").replace("count(*) FILTER (embedding_status = 'stale')::BIGINT", "(count(*) FILTER (embedding_status = 'stale'))::BIGINT").replace("count(*) FILTER (embedding_status = 'missing')::BIGINT", "(count(*) FILTER (embedding_status = 'missing'))::BIGINT"))
+def coverage(c: Corpus) -> DataFrame:
+    return listing.coverage(c.records, c.embeddings, MODEL)
+
+
+BRIEF = f"""WITH {CHALLENGED},
+  rules AS (SELECT full_id, body, CASE WHEN modality = 'must_not' THEN 0 ELSE 1 END AS o FROM statements WHERE status IN ('active', 'proposed') AND modality IN ('must', 'must_not') AND namespace = 'doc/en'),
+  shown AS (SELECT 'rules' AS section, row_number() OVER (ORDER BY o, full_id) AS pos, full_id, body, greatest(count(*) OVER () - 10, 0) AS omitted FROM rules QUALIFY pos <= 10),
+  up AS (SELECT DISTINCT to_id AS full_id FROM edges WHERE type IN ('refines', 'depends_on') AND from_id IN (SELECT full_id FROM shown) AND to_id NOT IN (SELECT full_id FROM shown)),
+  parents AS (SELECT 'parents' AS section, row_number() OVER (ORDER BY up.full_id) AS pos, up.full_id, body, greatest(count(*) OVER () - 10, 0) AS omitted FROM up LEFT JOIN statements s ON s.full_id = up.full_id QUALIFY pos <= 10),
+  every AS (SELECT * FROM shown UNION ALL SELECT * FROM parents),
+  lines AS (SELECT *, {FIRST_LINE.format('body')} AS line FROM every)
+  SELECT section, pos::INT AS pos, full_id, {EXCERPT} AS excerpt, full_id IN (SELECT full_id FROM challenged) AS challenged, omitted::BIGINT AS omitted FROM lines"""
+
+
+@query("brief", BRIEF)
+def brief(c: Corpus) -> DataFrame:
+    return listing.brief(c.statements, c.rejections, c.edges, "doc/en")
+
+
+# ---- retrieval ---------------------------------------------------------------------------------------------
+
+TOK = f"tok AS (SELECT source_kind, full_id, {TOKEN_SQL.format(chr(123) + chr(125))} AS w FROM records)".replace("{}", "namespace || ' ' || body || ' ' || array_to_string(tags, ' ')").replace("{{", "{").replace("}}", "}")
+DRAFT = f"""draft AS (SELECT array_to_string(list_slice(string_split_regex(body, '\\s+'), 1, {DRAFT_FIELDS}), ' ') AS d, body FROM statements WHERE doc_id = {DRAFT_ID}),
+  field AS (SELECT unnest(string_split_regex(d, '\\s+')) AS f FROM draft),
+  term AS (SELECT t FROM (SELECT unnest({TOKEN_SQL.format('f').replace('{{', '{').replace('}}', '}')}) AS t FROM field))"""
+SCORED = f"""{TOK}, {DRAFT},
+  sizes AS (SELECT source_kind, count(*) AS n, avg(len(w)) AS avgdl FROM tok GROUP BY 1),
+  spread AS (SELECT source_kind, full_id, len(w) AS dl, unnest(w) AS t FROM tok),
+  asked AS (SELECT DISTINCT t FROM term),
+  df AS (SELECT source_kind, t, count(DISTINCT full_id) AS df FROM spread SEMI JOIN asked USING (t) GROUP BY 1, 2),
+  grid AS (SELECT z.source_kind, z.n, z.avgdl, q.t, coalesce(df.df, 0) AS df FROM sizes z CROSS JOIN term q LEFT JOIN df ON df.source_kind = z.source_kind AND df.t = q.t),
+  kept AS (SELECT * FROM grid WHERE n < 20 OR df * 2 <= n UNION ALL SELECT * FROM grid g WHERE n >= 20 AND NOT EXISTS (SELECT 1 FROM grid h WHERE h.source_kind = g.source_kind AND h.df * 2 <= h.n)),
+  weight AS (SELECT source_kind, t, avgdl, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6)) AS idf FROM kept GROUP BY ALL),
+  tf AS (SELECT source_kind, full_id, dl, t, count(*) AS tf FROM spread SEMI JOIN asked USING (t) GROUP BY ALL),
+  scored AS (SELECT source_kind, full_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN weight USING (source_kind, t) GROUP BY 1, 2)"""
+
+
+def draft_of(c: Corpus) -> str:
+    """The first words of one statement: what a caller would paste."""
+    return c.statements.filter(F.col("doc_id") == DRAFT_ID).select(F.array_join(F.slice(F.split("body", r"\s+"), 1, DRAFT_FIELDS), " ").alias("d")).first().d
+
+
+@query("doc_freq", f"WITH {TOK} SELECT source_kind, term, count(*)::BIGINT AS df FROM (SELECT source_kind, unnest(list_distinct(w)) AS term FROM tok) GROUP BY 1, 2")
+def doc_freq(c: Corpus) -> DataFrame:
+    return lexical.document_frequency(lexical.tokenised(c.records))
+
+
+@query("df_filter", f"WITH {SCORED} SELECT DISTINCT source_kind, t AS term FROM kept")
+def df_filter(c: Corpus) -> DataFrame:
+    tok, phrases = lexical.tokenised(c.records), lexical.draft_phrases(c.spark, draft_of(c))
+    kept = {(kind, w) for kind, n in lexical.corpus_counts(tok, phrases).items() for i in lexical.kept_fields(phrases, n) for w in phrases[i]}
+    return c.spark.createDataFrame(sorted(kept), "source_kind string, term string")
+
+
+@query("bm25_plain", f"WITH {SCORED} SELECT source_kind, full_id, round(score, 6) AS score FROM scored")
+def bm25_plain(c: Corpus) -> DataFrame:
+    tok, phrases = lexical.tokenised(c.records), lexical.draft_phrases(c.spark, draft_of(c))
+    return lexical.bm25(tok, phrases, lexical.corpus_counts(tok, phrases)).withColumn("score", F.round("score", 6))
+
+
+@query("bm25_stemmed")
+def bm25_stemmed(c: Corpus) -> DataFrame:
+    tok, phrases = lexical.tokenised(c.records, True), lexical.draft_phrases(c.spark, draft_of(c), True)
+    return lexical.bm25(tok, phrases, lexical.corpus_counts(tok, phrases)).withColumn("score", F.round("score", 6))
+
+
+def vector_of(c: Corpus) -> list[float]:
+    return list(c.table("embeddings").filter(F.col("vec_id") == DRAFT_ID).first().embedding)
+
+
+SIM = f"sims AS (SELECT source_kind, full_id, list_cosine_similarity(vector::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {DRAFT_ID})) AS similarity FROM embeddings_)"
+
+
+@query("semantic_topk", f"WITH {SIM}, {LIVE} SELECT source_kind, full_id, round(similarity, 6) AS similarity FROM sims SEMI JOIN live USING (source_kind, full_id) WHERE similarity >= 0.5")
+def semantic_topk(c: Corpus) -> DataFrame:
+    live = check.live(c.records, None).select("source_kind", "full_id")
+    found = vectors.semantic(c.embeddings, vector_of(c), MODEL)
+    return found.join(live, ["source_kind", "full_id"], "left_semi").withColumn("similarity", F.round("similarity", 6))
+
+
+FUSED = f"""{SCORED}, {SIM}, {LIVE}, {NAMES},
+  lists AS (
+    SELECT source_kind, full_id, 'lexical' AS kind, NULL AS similarity, row_number() OVER (PARTITION BY source_kind ORDER BY round(score, 9) DESC, full_id) AS pos, TRUE AS capped FROM scored SEMI JOIN live USING (source_kind, full_id)
+    UNION ALL SELECT source_kind, full_id, 'semantic', similarity, row_number() OVER (ORDER BY round(similarity, 9) DESC, full_id, source_kind), FALSE FROM sims SEMI JOIN live USING (source_kind, full_id) WHERE similarity >= 0.5
+    UNION ALL SELECT source_kind, full_id, 'lexical', NULL, row_number() OVER (ORDER BY hits DESC, full_id, source_kind), FALSE FROM (SELECT source_kind, full_id, count(*) AS hits FROM facets JOIN names USING (facet) SEMI JOIN live USING (source_kind, full_id) GROUP BY 1, 2)),
+  fused AS (SELECT source_kind, full_id, sum(1.0::DOUBLE / (60 + pos)) AS score, CASE WHEN count(DISTINCT kind) > 1 THEN 'both' ELSE min(kind) END AS match_kind, max(similarity) AS similarity FROM lists WHERE NOT capped OR pos <= 100 GROUP BY 1, 2),
+  page AS (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, full_id, source_kind) AS pos FROM fused QUALIFY pos <= 10)"""
+
+
+@query("rrf_fusion", f"WITH {FUSED} SELECT source_kind, full_id, round(score, 9) AS score, match_kind, round(similarity, 6) AS similarity FROM page")
+def rrf_fusion(c: Corpus) -> DataFrame:
+    out = check.hits(tables(c), draft_of(c), touches=touch_names(c), vector=vector_of(c), model=MODEL, stemmed=False)
+    return out.select("source_kind", "full_id", F.round("score", 9).alias("score"), "match_kind", F.round("similarity", 6).alias("similarity"))
+
+
+EXPANDED = f"""{FUSED}, seeds AS (SELECT source_kind AS sk, full_id AS seed, pos - 1 AS n FROM page WHERE pos <= 3),
+  hops AS (
+    SELECT 'statement' AS source_kind, to_id AS full_id, from_id AS via_from, to_id AS via_to, type AS via_type, n FROM edges JOIN seeds ON sk = 'statement' AND from_id = seed
+    UNION ALL SELECT 'statement', from_id, from_id, to_id, type, n FROM edges JOIN seeds ON sk = 'statement' AND to_id = seed AND from_id <> seed
+    UNION ALL SELECT 'statement', see_instead, full_id, see_instead, 'see_instead', n FROM rejections JOIN seeds ON sk = 'rejection' AND full_id = seed WHERE see_instead IS NOT NULL
+    UNION ALL SELECT 'rejection', full_id, full_id, see_instead, 'see_instead', n FROM rejections JOIN seeds ON sk = 'statement' AND see_instead = seed),
+  placed AS (SELECT *, coalesce(MAP {{'conflicts_with': 0, 'supersedes': 1, 'duplicates': 2, 'see_instead': 3, 'refines': 4, 'depends_on': 5}}[via_type], 0) AS p FROM hops SEMI JOIN live USING (source_kind, full_id) ANTI JOIN page USING (source_kind, full_id)),
+  once AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY source_kind, full_id ORDER BY p, n, full_id, source_kind, via_from, via_to, via_type) = 1),
+  near AS (SELECT *, row_number() OVER (ORDER BY p, n, full_id, source_kind, via_from, via_to, via_type) AS pos FROM once QUALIFY pos <= 5)"""
+
+
+@query("graph_expand", f"WITH {EXPANDED} SELECT source_kind, full_id, via_from, via_to, via_type, pos::INT AS pos FROM near")
+def graph_expand(c: Corpus) -> DataFrame:
+    t = tables(c)
+    from pyspark.sql import Window
+
+    page = check.hits(t, draft_of(c), touches=touch_names(c), vector=vector_of(c), model=MODEL, stemmed=False)
+    page = page.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(F.round("score", 12)), "full_id", "source_kind")))
+    return graph.expand(page, t.edges, t.records).select("source_kind", "full_id", "via_from", "via_to", "via_type", "pos")
+
+
+STOP = ", ".join(f"'{w}'" for w in C.COVERAGE_STOPWORDS)
+DRAFT_FACETS = "(SELECT facet FROM facets JOIN statements USING (full_id) WHERE source_kind = 'statement' AND doc_id = -1)"
+CHECKED = f"""{EXPANDED}, {CHALLENGED},
+  page2 AS (SELECT source_kind, full_id, score, match_kind, similarity, pos, NULL AS via_type FROM page UNION ALL SELECT source_kind, full_id, 0.0, 'graph', NULL, pos + 1000000, via_type FROM near),
+  dterm AS (SELECT DISTINCT t FROM term WHERE strlen(t) >= 3 AND t NOT IN ({STOP})),
+  draft_facet AS (SELECT facet FROM names),
+  ev AS (
+    SELECT p.*, r.body, r.status, {FIRST_LINE.format('r.body')} AS line,
+           coalesce((SELECT string_agg(f.facet, ',' ORDER BY f.facet) FROM facets f JOIN draft_facet USING (facet) WHERE f.source_kind = p.source_kind AND f.full_id = p.full_id), '') AS shared_facets,
+           (SELECT count(*) FROM facets f JOIN draft_facet USING (facet) WHERE f.source_kind = p.source_kind AND f.full_id = p.full_id) AS shared,
+           round((SELECT count(*) FROM dterm WHERE list_contains({TOKEN_SQL.format('r.body').replace('{{', '{').replace('}}', '}')}, dterm.t)) / greatest((SELECT count(*) FROM dterm), 1)::DOUBLE, 6) AS coverage,
+           (SELECT count(*) FROM dterm) AS terms, p.source_kind = 'statement' AND p.full_id IN (SELECT full_id FROM challenged) AS challenged
+    FROM page2 p JOIN records r USING (source_kind, full_id)),
+  cov AS (SELECT *, CASE WHEN terms < 4 THEN 0 ELSE coverage END AS c, coalesce(similarity, -1) AS s FROM ev)"""
+
+
+@query("check_full", f"""WITH {CHECKED} SELECT source_kind, full_id, pos::INT AS pos, round(score, 9) AS score, match_kind, round(similarity, 6) AS similarity, via_type, shared_facets, coverage, challenged,
+  CASE WHEN s >= 0.9 OR (s >= 0.82 AND shared > 0) OR (similarity IS NULL AND shared >= 2 AND c >= 0.34) OR (similarity IS NULL AND c >= 0.7) THEN 'duplicate' WHEN s >= 0.72 OR shared > 0 OR c >= 0.34 THEN 'related' ELSE 'weak' END AS verdict, {EXCERPT} AS excerpt FROM cov""")
+def check_full(c: Corpus) -> DataFrame:
+    out = check.check(tables(c), draft_of(c), touches=touch_names(c), vector=vector_of(c), model=MODEL, stemmed=False)
+    return out.select("source_kind", "full_id", "pos", "score", "match_kind", "similarity", "via_type", F.array_join("shared_facets", ",").alias("shared_facets"), "coverage", "challenged", "verdict", "excerpt")
+
+
+@query("check_stemmed")
+def check_stemmed(c: Corpus) -> DataFrame:
+    out = check.check(tables(c), draft_of(c), touches=touch_names(c), vector=vector_of(c), model=MODEL)
+    return out.select("source_kind", "full_id", "pos", "score", "match_kind", "similarity", "verdict")
