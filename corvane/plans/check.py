@@ -101,14 +101,20 @@ def with_evidence(page: DataFrame, t: Tables, draft: str, touches: list[str] | N
     return rows.withColumn("verdict", verdict).withColumn("excerpt", T.excerpt(F.col("body"))).drop("_c", "_words", "body")
 
 
+def settled(page: DataFrame, limit: int) -> DataFrame:
+    """A page of at most `limit` rows as literals, so that the steps after the cut do not retrieve it again; unlimited ones stay lazy."""
+    return page.sparkSession.createDataFrame(page.collect(), page.schema) if limit else page
+
+
 def check(t: Tables, draft: str, namespace: str | None = None, tags: list[str] | None = None, touches: list[str] | None = None, vector: list[float] | None = None, model: str | None = None, limit: int = C.CHECK_LIMIT, stemmed: bool = True, expand: bool = True) -> DataFrame:
     """Direct hits in order with evidence, then graph neighbours (score 0); tags switch expansion off."""
-    page = hits(t, draft, namespace, tags, touches, vector, model, limit, stemmed)
+    page = settled(hits(t, draft, namespace, tags, touches, vector, model, limit, stemmed), limit)
     page = page.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(F.round("score", 12)), "full_id", "source_kind")))
     cols = ["source_kind", "full_id", "score", "match_kind", "similarity", "pos"]
     all_ = page.select(*cols, F.lit(None).cast("string").alias("via_type"))
     if expand and not tags:
         near = graph.expand(page, t.edges, t.records, namespace, limit)
+        near = settled(near, C.GRAPH_NEIGHBOURS)
         all_ = all_.unionByName(near.select("source_kind", "full_id", F.lit(0.0).alias("score"), F.lit("graph").alias("match_kind"), F.lit(None).cast("double").alias("similarity"), (F.col("pos") + 1_000_000).alias("pos"), "via_type"))
     out = with_evidence(all_, t, draft, touches, stemmed)
     return out.withColumn("score", F.round("score", 9)).withColumn("similarity", F.round("similarity", 6)).orderBy("pos")

@@ -327,3 +327,285 @@ def check_full(c: Corpus) -> DataFrame:
 def check_stemmed(c: Corpus) -> DataFrame:
     out = check.check(tables(c), draft_of(c), touches=touch_names(c), vector=vector_of(c), model=MODEL)
     return out.select("source_kind", "full_id", "pos", "score", "match_kind", "similarity", "verdict")
+
+
+# ---- audit -------------------------------------------------------------------------------------------------
+
+SCOPE = "doc/de"
+AUDIT = f"""swept AS (SELECT * FROM statements WHERE status IN ('active', 'proposed') AND namespace = '{SCOPE}'),
+  vec AS (SELECT full_id, vector::DOUBLE[] AS v FROM embeddings_ SEMI JOIN swept USING (full_id)),
+  sim AS (SELECT a.full_id AS a, b.full_id AS b, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM vec a JOIN vec b ON a.full_id <> b.full_id),
+  near AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM sim QUALIFY rank <= 5),
+  dens AS (SELECT a AS full_id, avg(s) AS d FROM near GROUP BY 1),
+  ownf AS (SELECT facet, full_id FROM facets SEMI JOIN swept USING (full_id) WHERE source_kind = 'statement'),
+  heldf AS (SELECT facet FROM ownf GROUP BY 1 HAVING count(*) BETWEEN 2 AND 8),
+  fp AS (SELECT x.full_id AS a, y.full_id AS b, list_sort(list(DISTINCT facet)) AS sf FROM ownf x JOIN ownf y USING (facet) SEMI JOIN heldf USING (facet) WHERE x.full_id < y.full_id GROUP BY 1, 2),
+  sp AS (SELECT x.full_id AS a, y.full_id AS b FROM swept x JOIN swept y USING (source_file) WHERE x.full_id < y.full_id),
+  kp AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM near WHERE rank <= 2),
+  win AS (SELECT a, b FROM fp UNION SELECT a, b FROM sp UNION SELECT a, b FROM kp),
+  judged AS (SELECT least(from_id, to_id) AS a, greatest(from_id, to_id) AS b FROM edges UNION SELECT a, b FROM verdicts),
+  unjudged AS (SELECT * FROM win ANTI JOIN judged USING (a, b)),
+  queue AS (
+    SELECT u.a, u.b, sim.s AS similarity, coalesce(array_to_string(fp.sf, ','), '') AS shared_facets, sp.a IS NOT NULL AS same_source,
+           round(CASE WHEN sim.s IS NULL THEN 0 ELSE 2 * sim.s - coalesce(da.d, 0) - coalesce(db.d, 0) END + 10 * coalesce(len(fp.sf), 0) + CASE WHEN sp.a IS NOT NULL THEN 5 ELSE 0 END, 8) AS score,
+           coalesce((ma.modality LIKE '%_not') <> (mb.modality LIKE '%_not'), FALSE) AS modality_conflict, sha256(ma.body) AS ha, sha256(mb.body) AS hb
+    FROM unjudged u LEFT JOIN sim USING (a, b) LEFT JOIN fp USING (a, b) LEFT JOIN sp USING (a, b) LEFT JOIN dens da ON da.full_id = u.a LEFT JOIN dens db ON db.full_id = u.b
+    JOIN statements ma ON ma.full_id = u.a JOIN statements mb ON mb.full_id = u.b)"""
+PAIR = "a, b, round(score, 6) AS score, round(similarity, 6) AS similarity, shared_facets, same_source, modality_conflict"
+
+
+def _swept(c: Corpus, namespace: str | None = SCOPE) -> DataFrame:
+    return audit.scope(c.statements, namespace)
+
+
+def _vectors(c: Corpus) -> DataFrame:
+    return audit.swept_vectors(c.embeddings, _swept(c).select("full_id"), MODEL)
+
+
+@query("knn_pairs", f"WITH {AUDIT} SELECT a, b, rank::INT AS rank, round(s, 6) AS sim FROM near WHERE rank <= 2")
+def knn_pairs(c: Corpus) -> DataFrame:
+    return vectors.nearest(_vectors(c), 2).select("a", "b", "rank", F.round("sim", 6).alias("sim"))
+
+
+@query("csls_density", f"WITH {AUDIT} SELECT full_id, round(d, 6) AS density FROM dens")
+def csls_density(c: Corpus) -> DataFrame:
+    return audit.density(vectors.nearest(_vectors(c), C.DENSITY_K)).select("full_id", F.round("density", 6).alias("density"))
+
+
+@query("facet_pairs", "WITH ownf AS (SELECT facet, full_id FROM facets JOIN statements USING (full_id) WHERE source_kind = 'statement' AND status IN ('active', 'proposed')), heldf AS (SELECT facet FROM ownf GROUP BY 1 HAVING count(*) BETWEEN 2 AND 8) SELECT x.full_id AS a, y.full_id AS b, array_to_string(list_sort(list(DISTINCT facet)), ',') AS shared_facets FROM ownf x JOIN ownf y USING (facet) SEMI JOIN heldf USING (facet) WHERE x.full_id < y.full_id GROUP BY 1, 2")
+def facet_pairs(c: Corpus) -> DataFrame:
+    return audit.facet_pairs(c.facets, _swept(c, None).select("full_id")).select("a", "b", F.array_join("shared_facets", ",").alias("shared_facets"))
+
+
+@query("source_pairs", f"WITH {AUDIT} SELECT a, b FROM sp")
+def source_pairs(c: Corpus) -> DataFrame:
+    return audit.source_pairs(_swept(c))
+
+
+def _audit(c: Corpus):
+    return audit.audit(c.statements, c.facets, c.embeddings, c.edges, c.verdicts, MODEL, SCOPE)
+
+
+@query("audit_pairs", f"WITH {AUDIT} SELECT {PAIR} FROM queue")
+def audit_pairs(c: Corpus) -> DataFrame:
+    q = audit.page(_audit(c)[0], 0)
+    return q.select("a", "b", F.round("score", 6).alias("score"), F.round("similarity", 6).alias("similarity"), F.array_join("shared_facets", ",").alias("shared_facets"), "same_source", "modality_conflict")
+
+
+@query("audit_page", f"WITH {AUDIT} SELECT {PAIR} FROM queue ORDER BY queue.score DESC, modality_conflict DESC, a, b LIMIT 50")
+def audit_page(c: Corpus) -> DataFrame:
+    q = audit.page(_audit(c)[0])
+    return q.select("a", "b", F.round("score", 6).alias("score"), F.round("similarity", 6).alias("similarity"), F.array_join("shared_facets", ",").alias("shared_facets"), "same_source", "modality_conflict")
+
+
+@query("audit_progress", f"WITH {AUDIT} SELECT (SELECT count(*) FROM unjudged)::BIGINT AS remaining, (SELECT count(*) FROM swept WHERE full_id NOT IN (SELECT a FROM unjudged UNION SELECT b FROM unjudged))::BIGINT AS swept, (SELECT count(*) FROM swept)::BIGINT AS statements, 2 AS depth")
+def audit_progress(c: Corpus) -> DataFrame:
+    return _audit(c)[1]
+
+
+@query("audit_ordered", f"WITH {AUDIT}, s AS (SELECT *, CASE WHEN substr(md5(ha || hb), 1, 1) < 'c' THEN round(('0x' || substr(md5(ha || hb), 1, 4))::INT / 65535, 6) END AS contradiction FROM queue) SELECT a, b, round(score, 6) AS score, contradiction FROM s ORDER BY contradiction DESC NULLS LAST, s.score DESC, modality_conflict DESC, a, b LIMIT 50")
+def audit_ordered(c: Corpus) -> DataFrame:
+    """With a fixed scorer in the model's place, which leaves some pairs unscored."""
+    queue = _audit(c)[0]
+    h = c.statements.select("full_id", F.sha2("body", 256).alias("h"))
+    pairs = queue.select("a", "b").join(h.select(F.col("full_id").alias("a"), F.col("h").alias("a_hash")), "a").join(h.select(F.col("full_id").alias("b"), F.col("h").alias("b_hash")), "b")
+    digest = F.md5(F.concat("a_hash", "b_hash"))
+    scores = pairs.filter(F.substring(digest, 1, 1) < "c").select(F.lit("fixed").alias("identity"), "a_hash", "b_hash", F.round(F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") / 65535, 6).alias("score")).distinct()
+    return audit.ordered_by_scores(queue, scores, c.statements, "fixed").select("a", "b", F.round("score", 6).alias("score"), "contradiction")
+
+
+# ---- labels ------------------------------------------------------------------------------------------------
+
+CLASSES = "classes AS (SELECT r.*, CASE WHEN s.full_id IS NOT NULL THEN CASE WHEN s.abstract THEN 'abstract' WHEN s.status IN ('superseded', 'deprecated') THEN 'retired' ELSE s.status END WHEN j.full_id IS NOT NULL THEN 'rejected' ELSE 'dangling' END AS class FROM (SELECT DISTINCT * FROM refs) r LEFT JOIN statements s ON s.full_id = r.full_id LEFT JOIN (SELECT DISTINCT full_id FROM rejections) j ON j.full_id = r.full_id)"
+
+
+@query("label_scan", "SELECT DISTINCT full_id, file, line, kind FROM refs")
+def label_scan(c: Corpus) -> DataFrame:
+    return _refs(c)
+
+
+@query("classify_refs", f"WITH {CLASSES} SELECT full_id, file, line, kind, class FROM classes")
+def classify_refs(c: Corpus) -> DataFrame:
+    return _classes(c)
+
+
+@query("contradicting_refs", f"WITH {CLASSES} SELECT full_id, file, line, kind, class FROM classes WHERE class IN ('retired', 'rejected', 'abstract') AND kind <> 'doc'")
+def contradicting_refs(c: Corpus) -> DataFrame:
+    return trace.contradicting(_classes(c))
+
+
+@query("near_miss", f"""WITH {CLASSES}, known AS (SELECT full_id, 0 AS o, namespace, id FROM statements UNION ALL SELECT full_id, 1, namespace, full_id FROM rejections),
+  best AS (SELECT d.full_id, k.full_id AS nearest, levenshtein(d.full_id, k.full_id)::INT AS distance FROM (SELECT DISTINCT full_id FROM classes WHERE class = 'dangling') d JOIN known k ON abs(length(d.full_id) - length(k.full_id)) <= 2 AND levenshtein(d.full_id, k.full_id) <= 2
+           QUALIFY row_number() OVER (PARTITION BY d.full_id ORDER BY levenshtein(d.full_id, k.full_id), o, namespace, id) = 1)
+  SELECT c.full_id, file, line, nearest, distance FROM classes c JOIN best USING (full_id) WHERE class = 'dangling'""")
+def near_miss(c: Corpus) -> DataFrame:
+    return trace.near_misses(_classes(c), c.statements, c.rejections)
+
+
+@query("trace_counts", "SELECT full_id, (count(*) FILTER (kind = 'code'))::BIGINT AS code_refs, (count(*) FILTER (kind = 'doc'))::BIGINT AS doc_mentions FROM (SELECT DISTINCT * FROM refs) GROUP BY 1")
+def trace_counts(c: Corpus) -> DataFrame:
+    return trace.reference_counts(_refs(c))
+
+
+@query("trace_one", f"WITH {CLASSES} SELECT full_id, file, line, kind, class FROM classes JOIN ids USING (full_id) WHERE doc_id = {DRAFT_ID}")
+def trace_one(c: Corpus) -> DataFrame:
+    full_id = c.ids.filter(F.col("doc_id") == DRAFT_ID).first().full_id
+    return trace.trace(full_id, _refs(c), c.statements, c.rejections).select("full_id", "file", "line", "kind", "class")
+
+
+@query("refiner_coverage", f"WITH {REFINE} SELECT full_id, refiners, covered FROM cover")
+def refiner_coverage(c: Corpus) -> DataFrame:
+    return trace.refiner_coverage(c.statements, c.edges, _refs(c))
+
+
+SEARCH_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in C.SEARCH_STOPWORDS)
+
+
+@query("vocab_search", f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS t FROM statements WHERE doc_id = {DRAFT_ID}),
+  t AS (SELECT t FROM w WHERE length(t) >= 3 AND t NOT IN ({SEARCH_STOP}) ORDER BY length(t) DESC, t LIMIT 12),
+  f AS (SELECT DISTINCT 'files/' || doc_id % 60 || '.txt' AS file, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents)
+  SELECT file, count(*)::INT AS score, array_to_string(list_sort(list(t)), ',') AS matched FROM f SEMI JOIN t USING (t) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
+def vocab_search(c: Corpus) -> DataFrame:
+    lines = c.table("documents").select(F.concat(F.lit("files/"), (F.col("doc_id") % 60).cast("string"), F.lit(".txt")).alias("file"), "text")
+    terms = c.statements.filter(F.col("doc_id") == DRAFT_ID).select(T.search_terms(F.col("body")).alias("t")).first().t
+    out = trace.vocabulary_search(lines, F.array(*[F.lit(t) for t in terms]))
+    return out.select("file", "score", F.array_join("matched", ",").alias("matched"))
+
+
+# ---- patches -----------------------------------------------------------------------------------------------
+
+SPOTS = "spots AS (SELECT DISTINCT full_id, 'src' || line % 20 AS file, (line % 45 + 1)::INT AS line, kind, class FROM classes)"
+
+
+def _spots(c: Corpus) -> DataFrame:
+    """Labels dealt over the files that hunks change."""
+    return _classes(c).select("full_id", F.concat(F.lit("src"), (F.col("line") % 20).cast("string")).alias("file"), (F.col("line") % 45 + 1).alias("line"), "kind", "class").distinct()
+
+
+def _patch(c: Corpus) -> DataFrame:
+    file = F.col("file")
+    s, n = F.col("start").cast("string"), (F.col("end") - F.col("start") + 1).cast("string")
+    lines = F.array(F.concat(F.lit("diff --git a/"), file, F.lit(" b/"), file), F.concat(F.lit("--- a/"), file), F.concat(F.lit("+++ b/"), file), F.concat(F.lit("@@ -1 +"), s, F.lit(","), n, F.lit(" @@ f()")), F.concat(F.lit("-was "), s), F.concat(F.lit("+is "), s), F.lit("+++ x"), F.lit(" same"))
+    return c.hunks.select(F.concat_ws(":", file, s, n).alias("patch"), F.posexplode(lines).alias("pos", "line"))
+
+
+@query("diff_hunks", 'SELECT file, start, "end" FROM hunks')
+def diff_hunks(c: Corpus) -> DataFrame:
+    lines = _patch(c).filter("line <> '+++ x'")
+    return diffcheck.parse_patch(lines)[0].select("file", "start", "end")
+
+
+@query("diff_changes", "SELECT file, 'is ' || start AS added, 'was ' || start AS removed FROM hunks")
+def diff_changes(c: Corpus) -> DataFrame:
+    lines = _patch(c).filter("line <> '+++ x'")
+    return diffcheck.parse_patch(lines)[1].select("file", "added", "removed")
+
+
+@query("diff_label_cover", f"""WITH {CLASSES}, {SPOTS}
+  SELECT DISTINCT CASE WHEN class IN ('retired', 'rejected', 'abstract') AND kind = 'code' THEN 'contradiction' ELSE 'label' END AS reason, full_id, s.file, s.line FROM spots s JOIN hunks h ON h.file = s.file AND s.line BETWEEN h.start AND h."end" WHERE class <> 'dangling'""")
+def diff_label_cover(c: Corpus) -> DataFrame:
+    return diffcheck.label_cover(_spots(c), c.hunks).select("reason", "full_id", "file", "line").distinct()
+
+
+@query("diff_provenance_cover", """SELECT DISTINCT 'provenance' AS reason, full_id, source_file AS file, line_start AS line FROM statements s JOIN hunks h ON h.file = s.source_file AND h.start <= s.line_end AND s.line_start <= h."end" """)
+def diff_provenance_cover(c: Corpus) -> DataFrame:
+    return diffcheck.provenance_cover(c.statements, c.hunks).select("reason", "full_id", "file", "line")
+
+
+def _added(c: Corpus) -> DataFrame:
+    p = c.table("part").filter("p_partkey % 9 = 0")
+    name = F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))), F.lit("_"), F.col("p_size").cast("string"))
+    return p.select(F.concat(F.lit("src"), (F.col("p_partkey") % 20).cast("string")).alias("file"), F.concat(F.lit("call "), name, F.lit("(x) now")).alias("added"))
+
+
+@query("diff_identifier_cover", "SELECT DISTINCT CASE WHEN source_kind = 'rejection' THEN 'rejection' ELSE 'identifier' END AS reason, full_id, 'src' || p_partkey % 20 AS file, facet FROM facets JOIN part ON facet = lower(replace(p_name, ' ', '_')) || '_' || p_size WHERE p_partkey % 9 = 0")
+def diff_identifier_cover(c: Corpus) -> DataFrame:
+    return diffcheck.identifier_cover(_added(c), c.facets).select("reason", "full_id", "file", "facet")
+
+
+@query("diff_dropped", """WITH gone AS (SELECT DISTINCT full_id, file FROM refs WHERE kind = 'code' AND line % 10 < 3), now AS (SELECT DISTINCT full_id FROM refs WHERE kind = 'code' AND line % 10 >= 3)
+  SELECT g.full_id, array_to_string(list_sort(list(DISTINCT g.file)), ',') AS files FROM gone g ANTI JOIN now ON now.full_id = g.full_id JOIN statements s ON s.full_id = g.full_id WHERE status IN ('active', 'proposed') AND NOT abstract GROUP BY 1""")
+def diff_dropped(c: Corpus) -> DataFrame:
+    gone = c.sites.filter("line % 10 < 3").groupBy("file").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("removed"))
+    now = trace.scan(c.sites.filter("line % 10 >= 3"))
+    return diffcheck.dropped(diffcheck.removed_labels(gone), now, c.statements).select("full_id", F.array_join("files", ",").alias("files"))
+
+
+@query("diff_check", f"""WITH {CLASSES}, {SPOTS},
+  every AS (
+    SELECT CASE WHEN class IN ('retired', 'rejected', 'abstract') AND kind = 'code' THEN 'contradiction' ELSE 'label' END AS reason, full_id, s.file, s.line, NULL AS facet FROM spots s JOIN hunks h ON h.file = s.file AND s.line BETWEEN h.start AND h."end" WHERE class <> 'dangling'
+    UNION ALL SELECT 'provenance', full_id, source_file, line_start, NULL FROM statements s JOIN hunks h ON h.file = s.source_file AND h.start <= s.line_end AND s.line_start <= h."end"
+    UNION ALL SELECT CASE WHEN source_kind = 'rejection' THEN 'rejection' ELSE 'identifier' END, full_id, 'src' || p_partkey % 20, NULL, facet FROM facets JOIN part ON facet = lower(replace(p_name, ' ', '_')) || '_' || p_size WHERE p_partkey % 9 = 0)
+  SELECT reason, full_id, file, facet, min(line)::INT AS line FROM every GROUP BY ALL""")
+def diff_check(c: Corpus) -> DataFrame:
+    parts = [diffcheck.label_cover(_spots(c), c.hunks), diffcheck.provenance_cover(c.statements, c.hunks), diffcheck.identifier_cover(_added(c), c.facets)]
+    return diffcheck.covered(parts).select("reason", "full_id", "file", "facet", "line")
+
+
+# ---- small rules and derivation ----------------------------------------------------------------------------
+
+from corvane.operators import records  # noqa: E402
+
+
+@query("range_hash", "SELECT doc_id, CASE WHEN doc_id % 5 + 1 <= len(string_split(text, chr(10))) THEN sha256(array_to_string(list_slice(string_split(text, chr(10)), 1, doc_id % 5 + 1), chr(10))) END AS hash FROM documents", base=False)
+def range_hash(c: Corpus) -> DataFrame:
+    return c.table("documents").select("doc_id", T.line_range_hash(F.col("text"), F.lit(1), (F.col("doc_id") % 5 + 1).cast("int")).alias("hash"))
+
+
+@query("excerpt", f"SELECT doc_id, {EXCERPT} AS excerpt FROM (SELECT doc_id, {FIRST_LINE.format('text')} AS line FROM documents)", base=False)
+def excerpt(c: Corpus) -> DataFrame:
+    return c.table("documents").select("doc_id", T.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query("growth", "SELECT doc_id, strlen(o) > 0 AND strlen(text) - strlen(o) >= 300 AND strlen(text) - strlen(o) >= 0.5 * strlen(o) AS grew FROM (SELECT doc_id, text, left(text, (40 + doc_id % 900)::INT) AS o FROM documents)", base=False)
+def growth(c: Corpus) -> DataFrame:
+    return c.table("documents").select("doc_id", T.grew(F.expr("left(text, int(40 + doc_id % 900))"), F.col("text")).alias("grew"))
+
+
+@query("modality_conflict", "SELECT a.full_id AS a, b.full_id AS b, coalesce((a.modality LIKE '%_not') <> (b.modality LIKE '%_not'), FALSE) AS conflict FROM edges JOIN statements a ON a.full_id = from_id JOIN statements b ON b.full_id = to_id")
+def modality_conflict(c: Corpus) -> DataFrame:
+    m = c.statements.select("full_id", "modality")
+    e = c.edges.join(m.select(F.col("full_id").alias("from_id"), F.col("modality").alias("ma")), "from_id").join(m.select(F.col("full_id").alias("to_id"), F.col("modality").alias("mb")), "to_id")
+    return e.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"), T.modality_conflict(F.col("ma"), F.col("mb")).alias("conflict"))
+
+
+@query("id_rewrite", f"SELECT file, line, CASE WHEN t.full_id = o.full_id THEN 'at new/place, not ' || t.full_id || '-x' ELSE 'at ' || t.full_id || ', not ' || t.full_id || '-x' END AS text FROM refs t CROSS JOIN (SELECT full_id FROM ids WHERE doc_id = {DRAFT_ID}) o")
+def id_rewrite(c: Corpus) -> DataFrame:
+    full_id = c.ids.filter(F.col("doc_id") == DRAFT_ID).first().full_id
+    t = _refs(c).withColumn("text", F.concat(F.lit("at "), "full_id", F.lit(", not "), "full_id", F.lit("-x")))
+    return t.select("file", "line", T.rewrite_id(F.col("text"), F.lit(full_id), F.lit("new/place")).alias("text"))
+
+
+@query("reindex_diff", """WITH o AS (SELECT o_orderkey AS k, 'f/' || o_orderkey AS file_path, o_orderkey % 97 AS mtime_ns FROM orders WHERE o_orderkey % 7 <> 0), w AS (SELECT 'f/' || o_orderkey AS file_path, o_orderkey % 97 + CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS mtime_ns FROM orders WHERE o_orderkey % 11 <> 0)
+  SELECT file_path, CASE WHEN o.mtime_ns IS NULL THEN 'added' WHEN w.mtime_ns IS NULL THEN 'removed' WHEN o.mtime_ns <> w.mtime_ns THEN 'updated' ELSE 'unchanged' END AS change FROM o FULL JOIN w USING (file_path)""", base=False)
+def reindex_diff(c: Corpus) -> DataFrame:
+    k = F.col("o_orderkey")
+    row = lambda m: [F.concat(F.lit("f/"), k.cast("string")).alias("file_path"), m.alias("mtime_ns"), F.lit(1).cast("long").alias("size")]
+    o = c.table("orders")
+    return records.manifest_diff(o.filter(k % 7 != 0).select(*row(k % 97)), o.filter(k % 11 != 0).select(*row(k % 97 + F.when(k % 13 == 0, 1).otherwise(0))))
+
+
+@query("edge_dedupe", """WITH e AS (SELECT 'u' || user_id % 20 AS from_id, 'e' || event_id % 7 AS to_id, event_type AS type, event_id AS pos, 'n' || event_id AS note, event_id % 2 = 0 AS unconfirmed, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'v' || event_id % 5 END AS via FROM events)
+  SELECT from_id, to_id, type, min(pos) AS pos, arg_max(note, pos) AS note, bool_and(unconfirmed) AS unconfirmed, arg_min(via, pos) FILTER (via <> '') AS via FROM e GROUP BY 1, 2, 3""", base=False)
+def edge_dedupe(c: Corpus) -> DataFrame:
+    i = F.col("event_id")
+    e = c.table("events").select(F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("from_id"), F.concat(F.lit("e"), (i % 7).cast("string")).alias("to_id"), F.col("event_type").alias("type"), i.alias("pos"), F.concat(F.lit("n"), i.cast("string")).alias("note"), (i % 2 == 0).alias("unconfirmed"), F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("v"), (i % 5).cast("string"))).alias("via"))
+    return records.merged_edges(e)
+
+
+@query("open_wording", """WITH s AS (SELECT full_id, doc_id, status, sha256(body) AS h FROM statements), scored AS (SELECT *, round(('0x' || substr(h, 1, 4))::INT / 65535, 6) AS score FROM s)
+  SELECT full_id, score FROM scored WHERE status IN ('active', 'proposed') AND score >= 0.9 AND doc_id % 6 <> 0""")
+def open_wording(c: Corpus) -> DataFrame:
+    """With a fixed scorer; every sixth statement is cleared, every tenth was cleared with another body."""
+    h = c.statements.select("full_id", "doc_id", F.sha2("body", 256).alias("body_hash"))
+    cleared = h.filter("doc_id % 6 = 0").select(F.col("full_id").alias("id"), "body_hash").unionByName(h.filter("doc_id % 10 = 1").select(F.col("full_id").alias("id"), F.sha2(F.lit("old"), 256).alias("body_hash")))
+    scores = h.select("body_hash", F.round(F.conv(F.substring("body_hash", 1, 4), 16, 10).cast("int") / 65535, 6).alias("score")).distinct()
+    return listing.open_wording(c.statements, cleared, scores)
+
+
+@query("batch_validate", """WITH e AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '{"op":"add","namespace":"a","id":"x' || event_id || '","kind":"rule","body":"b"}' WHEN 1 THEN '{"op":"link","from":"a/b","to":"c"}' WHEN 2 THEN '{"op":"link",' WHEN 3 THEN '# note' WHEN 4 THEN '{"op":"fly"}' ELSE '{"op":"update","id":"x"}' END AS t FROM events)
+  SELECT event_id AS line_no, CASE event_id % 6 WHEN 0 THEN 'add' WHEN 1 THEN 'link' WHEN 4 THEN 'fly' WHEN 5 THEN 'update' END AS op, CASE event_id % 6 WHEN 1 THEN 'missing type' WHEN 2 THEN 'malformed' WHEN 4 THEN 'unknown op' END AS problem FROM e WHERE t NOT LIKE '#%'""", base=False)
+def batch_validate(c: Corpus) -> DataFrame:
+    i = F.col("event_id")
+    text = F.when(i % 6 == 0, F.concat(F.lit('{"op":"add","namespace":"a","id":"x'), i.cast("string"), F.lit('","kind":"rule","body":"b"}'))).when(i % 6 == 1, '{"op":"link","from":"a/b","to":"c"}').when(i % 6 == 2, '{"op":"link",').when(i % 6 == 3, "# note").when(i % 6 == 4, '{"op":"fly"}').otherwise('{"op":"update","id":"x"}')
+    return records.batch(c.table("events").select(i.alias("line_no"), text.alias("text"))).withColumn("op", F.when(F.col("problem") == "malformed", F.lit(None)).otherwise(F.col("op")))
