@@ -19,8 +19,12 @@ def parse_patch(patch_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     new = F.regexp_extract("line", r"^\+\+\+ (?:b/)?(.+?)\t?$", 1)
     header = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
     number = lambda i: F.regexp_extract("line", header, i).try_cast("int")
-    rows = patch_lines.withColumn("_f", F.when(F.col("line").startswith("diff --git"), F.lit("")).when(F.col("line").startswith("+++ "), F.when(new == "/dev/null", F.lit("")).otherwise(new)))
-    rows = rows.withColumn("_old", F.when(F.col("line").startswith("--- "), F.regexp_extract("line", r"^--- (?:a/)?(.+?)\t?$", 1)))
+    order = Window.partitionBy("patch").orderBy("pos")
+    # a file's header is two lines; one alone is changed text that looks like it
+    is_new = F.col("line").startswith("+++ ") & F.coalesce(F.lag("line").over(order).startswith("--- "), F.lit(False))
+    is_old = F.col("line").startswith("--- ") & F.coalesce(F.lead("line").over(order).startswith("+++ "), F.lit(False))
+    rows = patch_lines.withColumn("_f", F.when(F.col("line").startswith("diff --git"), F.lit("")).when(is_new, F.when(new == "/dev/null", F.lit("")).otherwise(new)))
+    rows = rows.withColumn("_old", F.when(is_old, F.regexp_extract("line", r"^--- (?:a/)?(.+?)\t?$", 1)))
     rows = rows.withColumn("_h", F.when(F.col("_f").isNotNull(), F.lit(False)).when(F.col("line").rlike(header), F.lit(True)))
     rows = rows.withColumn("file", F.last("_f", True).over(run)).withColumn("_from", F.last("_old", True).over(run)).withColumn("_in", F.coalesce(F.last("_h", True).over(run), F.lit(False)))
     rows = rows.withColumn("file", F.when(F.col("file") == "", F.col("_from")).otherwise(F.col("file")))

@@ -129,8 +129,8 @@ def with_vectors(embeddings: DataFrame, rows: DataFrame, force: bool = False) ->
 # ---- batches -----------------------------------------------------------------------------------------------
 
 OPS = ["add", "update", "reject", "link", "unlink", "dismiss"]
-NEEDS = {"add": ["namespace", "id", "kind", "body"], "update": ["id"], "reject": ["namespace", "id", "body"], "link": ["from", "to", "type"], "unlink": ["from", "to"], "dismiss": ["from", "to"]}
-OP_SCHEMA = "op string, namespace string, id string, kind string, body string, `from` string, `to` string, type string, note string, confirmed boolean, status string, modality string, see_instead string, tags array<string>, _bad string"
+NEEDS = {"add": ["namespace", "id", "kind", "body"], "update": ["full_id"], "reject": ["namespace", "id", "body"], "link": ["from", "to", "type"], "unlink": ["from", "to"], "dismiss": ["from", "to"]}
+OP_SCHEMA = "op string, full_id string, namespace string, id string, kind string, body string, `from` string, `to` string, type string, note string, confirmed boolean, status string, modality string, see_instead string, tags array<string>, _bad string"
 
 
 def batch(lines: DataFrame) -> DataFrame:

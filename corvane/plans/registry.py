@@ -603,9 +603,9 @@ def open_wording(c: Corpus) -> DataFrame:
     return listing.open_wording(c.statements, cleared, scores)
 
 
-@query("batch_validate", """WITH e AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '{"op":"add","namespace":"a","id":"x' || event_id || '","kind":"rule","body":"b"}' WHEN 1 THEN '{"op":"link","from":"a/b","to":"c"}' WHEN 2 THEN '{"op":"link",' WHEN 3 THEN '# note' WHEN 4 THEN '{"op":"fly"}' ELSE '{"op":"update","id":"x"}' END AS t FROM events)
+@query("batch_validate", """WITH e AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '{"op":"add","namespace":"a","id":"x' || event_id || '","kind":"rule","body":"b"}' WHEN 1 THEN '{"op":"link","from":"a/b","to":"c"}' WHEN 2 THEN '{"op":"link",' WHEN 3 THEN '# note' WHEN 4 THEN '{"op":"fly"}' ELSE '{"op":"update","full_id":"x"}' END AS t FROM events)
   SELECT event_id AS line_no, CASE event_id % 6 WHEN 0 THEN 'add' WHEN 1 THEN 'link' WHEN 4 THEN 'fly' WHEN 5 THEN 'update' END AS op, CASE event_id % 6 WHEN 1 THEN 'missing type' WHEN 2 THEN 'malformed' WHEN 4 THEN 'unknown op' END AS problem FROM e WHERE t NOT LIKE '#%'""", base=False)
 def batch_validate(c: Corpus) -> DataFrame:
     i = F.col("event_id")
-    text = F.when(i % 6 == 0, F.concat(F.lit('{"op":"add","namespace":"a","id":"x'), i.cast("string"), F.lit('","kind":"rule","body":"b"}'))).when(i % 6 == 1, '{"op":"link","from":"a/b","to":"c"}').when(i % 6 == 2, '{"op":"link",').when(i % 6 == 3, "# note").when(i % 6 == 4, '{"op":"fly"}').otherwise('{"op":"update","id":"x"}')
+    text = F.when(i % 6 == 0, F.concat(F.lit('{"op":"add","namespace":"a","id":"x'), i.cast("string"), F.lit('","kind":"rule","body":"b"}'))).when(i % 6 == 1, '{"op":"link","from":"a/b","to":"c"}').when(i % 6 == 2, '{"op":"link",').when(i % 6 == 3, "# note").when(i % 6 == 4, '{"op":"fly"}').otherwise('{"op":"update","full_id":"x"}')
     return records.batch(c.table("events").select(i.alias("line_no"), text.alias("text"))).withColumn("op", F.when(F.col("problem") == "malformed", F.lit(None)).otherwise(F.col("op")))
