@@ -31,6 +31,23 @@ def files(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     return raw.select(path.alias("file_path"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("content"))
 
 
+def _hidden(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """file_path, content of files of a name that Spark's readers skip because it begins with an underscore: an older layout, one such file a namespace at most."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(sc._jsc.hadoopConfiguration())
+    base, rows, found = fs.makeQualified(top).toString().rstrip("/") + "/", [], fs.listFiles(top, True)
+    while found.hasNext():
+        path = found.next().getPath()
+        if path.getName() == name:
+            stream = fs.open(path)
+            try:
+                rows.append((path.toString().removeprefix(base), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            finally:
+                stream.close()
+    return spark.createDataFrame(rows, "file_path string, content string")
+
+
 def manifest(spark: SparkSession, root: str) -> DataFrame:
     """file_path, mtime_ns, size, without reading contents."""
     f = files(spark, root)
@@ -137,10 +154,10 @@ def statements(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
 def rejections(spark: SparkSession, root: str) -> DataFrame:
     """One file per rejection (<id>.rejected.md), or the older file of many (_rejected.md)."""
-    f = files(spark, root, "*rejected.md")
+    f = files(spark, root, "*.rejected.md").select("file_path", "content").unionByName(_hidden(spark, root, "_rejected.md"))
     path = F.col("file_path")
     own = F.regexp_extract(path, r"([^/]+)\.rejected\.md$", 1)
-    f = f.filter(path.endswith(".rejected.md") | path.endswith("_rejected.md")).select("file_path", own.alias("own"), F.regexp_extract(path, r"^(.*)/[^/]+$", 1).alias("namespace"), F.explode(F.when(own != "", F.array("content")).otherwise(F.split("content", ENTRY_SEPARATOR))).alias("entry"))
+    f = f.select("file_path", own.alias("own"), F.regexp_extract(path, r"^(.*)/[^/]+$", 1).alias("namespace"), F.explode(F.when(own != "", F.array("content")).otherwise(F.split("content", ENTRY_SEPARATOR))).alias("entry"))
     f = f.filter(F.btrim("entry", F.lit(" \n\t\r")) != "").withColumn("r", front_matter(F.btrim("entry", F.lit(" \n\t\r")))).select("file_path", "own", "namespace", F.col("r.front").alias("front"), F.col("r.body").alias("body"))
     p = _parsed(f)
     return p.select(F.concat_ws("/", "namespace", F.when(F.col("own") != "", F.col("own")).otherwise(F.col("m.id"))).alias("full_id"), "namespace", "body", F.col("m.see_instead").alias("see_instead"), F.col("m.rejected_at").alias("rejected_at"), "file_path")
