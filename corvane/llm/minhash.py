@@ -7,14 +7,16 @@ there are as many bands as leave a pair at the threshold unseen once in a millio
 
 Documents with equal sets are one class from the start, so copies make no pairs.
 A bucket's candidate edges form a star: every member is compared with its centre
-only, the member that meets most others over all bands. Edges are confirmed on
-full shingle sets. A star can miss a link between two members that are both unlike
-the centre, so buckets that still hold several components are gone through once
-more: members outside the centre's component are compared by signature, in blocks
-of at most BLOCK x BLOCK inside tasks, with the members of other components, and
-only pairs whose signatures agree enough are emitted and confirmed on full sets.
-Nothing is capped. Sets too small to have a partner (|s| / (|s| + 1) under the
-threshold) are compared for equality only.
+only, the member that meets most others over all bands. Edges whose band keys agree
+in ALIKE places are confirmed on full shingle sets, first each document's best one,
+then those that would still join two components. A star can miss a link between two
+members that are both unlike the centre, so what still holds several components is
+gone through once more, in blocks inside tasks: members outside the centre's
+component are compared by band keys with members of other components, and each block
+emits a spanning forest only; the clusters this makes are compared on full sets, in
+blocks of bounded size, and again only spanning links leave a task. So pair counts
+stay in proportion to the documents and nothing is capped. Sets too small to have a
+partner (|s| / (|s| + 1) under the threshold) are compared for equality only.
 
 Defined cases: null or wordless text has an empty set, links with nothing and is
 kept; repeated rows (same id, same text) are one node and come out once each; rows
@@ -37,7 +39,8 @@ from corvane.llm import vocab
 from corvane.llm.components import components
 from corvane.llm.scratch import cut
 
-ROWS, MISS, BLOCK = 5, 1e-6, 256
+ROWS, MISS, ALIKE = 5, 1e-6, 3
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -60,12 +63,6 @@ class Rule:
         """The smallest set that a different set can be like enough."""
         return math.ceil(self.percent / (100 - self.percent)) if self.percent < 100 else 1 << 30
 
-    @property
-    def agree(self) -> int:
-        """Bins that agree in all but one of a thousand pairs at the threshold."""
-        t = self.percent / 100
-        return int(self.bins * (t - 3.1 * math.sqrt(t * (1 - t) / self.bins)))
-
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -135,7 +132,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles, set_key, bands, sig of every row; bands and sig are null where no other set can be like enough."""
+    """doc_id, n_shingles, set_key, bands of every row; bands are null where no other set can be like enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -148,15 +145,14 @@ def sketch(docs: DataFrame, rule: Rule) -> DataFrame:
                 keys = [xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None for u in sets]
                 big = [i for i, u in enumerate(sets) if len(u) >= rule.least]
                 bands: list = [None] * len(sets)
-                sigs: list = [None] * len(sets)
                 if big:
                     s = signatures([sets[i] for i in big], rule.bins)
-                    for i, k, v in zip(big, band_keys(s), s.astype(np.uint32)):
-                        bands[i], sigs[i] = k, v.tobytes()
-                cols = [b.column("doc_id"), pa.array([len(u) for u in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "set_key", "bands", "sig"])
+                    for i, k in zip(big, band_keys(s)):
+                        bands[i] = k
+                cols = [b.column("doc_id"), pa.array([len(u) for u in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "set_key", "bands"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, sig binary")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
@@ -175,67 +171,138 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) whose full sets are like enough."""
-    s, t = sets.select(F.col("id").alias("a"), F.col("set").alias("_s")), sets.select(F.col("id").alias("b"), F.col("set").alias("_t"))
+    """The pairs (a, b) whose full sets are like enough. Both joins meet a side with one row per id, so a hot id can be split."""
+    centres = sets.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
+    s, t = centres.select(F.col("id").alias("a"), F.col("set").alias("_s")), sets.select(F.col("id").alias("b"), F.col("set").alias("_t"))
     both = pairs.select("a", "b").join(t, "b").join(s, "a").select("a", "b", F.size(F.array_intersect("_s", "_t")).cast("long").alias("_i"), (F.size("_s") + F.size("_t")).cast("long").alias("_n"))
-    return both.filter(100 * F.col("_i") >= rule.percent * (F.col("_n") - F.col("_i"))).select("a", "b").distinct()
+    return both.filter(100 * F.col("_i") >= rule.percent * (F.col("_n") - F.col("_i"))).select("a", "b")
 
 
-def _alike(rule: Rule):
-    """For one block: cross-component pairs of outsiders (left) and members (right) whose signatures agree enough."""
+def _forest(alike):
+    """For one block: edges (a, b) that span what alike(right rows) -> (left row -> right rows like it) joins across components."""
 
     def run(table: pa.Table) -> pa.Table:
         left = table.filter(pa.compute.equal(table.column("side"), 0))
         right = table.filter(pa.compute.equal(table.column("side"), 1))
-        out_a, out_b = [], []
+        a, b, root = [], [], {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
         if left.num_rows and right.num_rows:
-            grid = lambda t: np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint32).reshape(t.num_rows, rule.bins)
-            num = lambda t, c: t.column(c).to_numpy()
-            s, ids, comp, size = grid(right), num(right, "id"), num(right, "comp"), num(right, "n_shingles")
-            for x, i, c, n in zip(grid(left), num(left, "id"), num(left, "comp"), num(left, "n_shingles")):
-                fits = (comp != c) & (100 * np.minimum(size, n) >= rule.percent * np.maximum(size, n))
-                hit = np.flatnonzero(fits)
-                hit = hit[(s[hit] == x).sum(axis=1) >= rule.agree]
-                out_a.append(np.minimum(ids[hit], i))
-                out_b.append(np.maximum(ids[hit], i))
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.int64)
-        return pa.table({"a": pa.array(cat(out_a), pa.int64()), "b": pa.array(cat(out_b), pa.int64())})
+            ids, comp = right.column("id").to_numpy(), right.column("comp").to_numpy()
+            for c in np.unique(comp):  # members of a component are joined already
+                own = ids[comp == c].tolist()
+                for x in own[1:]:
+                    root[find(x)] = find(own[0])
+            like = alike(right)
+            for k, (i, c) in enumerate(zip(left.column("id").to_pylist(), left.column("comp").to_pylist())):
+                for y in ids[like(left, k) & (comp != c)].tolist():
+                    if find(i) != find(y):
+                        root[find(i)] = find(y)
+                        a.append(min(i, y))
+                        b.append(max(i, y))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
+def _by_bands(right: pa.Table):
+    grid = lambda t: np.array(t.column("value").to_pylist(), dtype=np.int64)
+    s, kept = grid(right), []
+
+    def like(left: pa.Table, k: int) -> np.ndarray:
+        if not kept:
+            kept.append(grid(left))
+        return (s == kept[0][k]).sum(axis=1) >= ALIKE
+
+    return like
+
+
+def _by_sets(rule: Rule):
+    def make(right: pa.Table):
+        column = right.column("value").combine_chunks()
+        values, ends = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy()).cumsum()
+        size = np.diff(ends, prepend=0)
+        known, numbers = np.unique(values, return_inverse=True)
+        mark = np.zeros(len(known), dtype=np.int64)
+        begin = ends - size
+
+        def like(left: pa.Table, k: int) -> np.ndarray:
+            x = left.column("value")[k].values.to_numpy()
+            at = np.searchsorted(known, x)
+            at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == x)]
+            mark[at] = 1
+            both = np.add.reduceat(mark[numbers], begin)  # no set is empty here
+            mark[at] = 0
+            return 100 * both >= rule.percent * (size + len(x) - both)
+
+        return like
+
+    return make
+
+
+def _blocks(rows: DataFrame, key: list[str], chunks: DataFrame, alike) -> DataFrame:
+    """Edges from rows (key, id, comp, value, outside) compared in blocks: outsiders of a key with all of it. chunks: key and the number of blocks a side."""
+    rows = rows.join(chunks, key).withColumn("_c", F.pmod(F.hash("id"), F.col("chunks")))
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    cols = [*key, "id", "comp", "value"]
+    left = rows.filter("outside").select(*cols, F.col("_c").alias("i"), every.alias("j"), F.lit(0).alias("side"))
+    right = rows.select(*cols, every.alias("i"), F.col("_c").alias("j"), F.lit(1).alias("side"))
+    return left.unionByName(right).groupBy(*key, "i", "j").applyInArrow(_forest(alike), "a bigint, b bigint").distinct()
+
+
+def _named(ids: DataFrame, comps: DataFrame) -> DataFrame:
+    """ids (with a column id) with comp: the component, or the id itself."""
+    return ids.join(comps, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+
+
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    named = _named(_named(pairs.withColumnRenamed("a", "id"), comps).withColumnsRenamed({"id": "a", "comp": "_x"}).withColumnRenamed("b", "id"), comps)
+    return named.filter("_x <> comp").select("a", F.col("id").alias("b"))
+
+
 def linked(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """(sketches of all rows, doc -> component of all documents that have a class mate or a link: id, root)."""
     sig = cut(sketch(docs, rule), "sketch")
-    classes = cut(sig.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("_last")), "classes")
-    reps = classes.select(F.col("rep").alias("_rep"))
-    heads = sig.filter("bands is not null").join(reps, sig["doc_id"] == reps["_rep"], "left_semi")
-    rows = heads.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key")).distinct()
-    sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = cut(rows.join(sizes, ["band", "key"]).select("band", "key", "id", "size"), "members")
+    classes = cut(sig.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("_last"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "classes")
+    heads = classes.filter("bands is not null").select("id", "bands", "n")
+    rows = heads.select("id", F.explode("bands").alias("key")).distinct()
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = cut(rows.join(sizes, "key").select("key", "id", "size"), "members")
     meets = members.groupBy("id").agg(F.sum("size").alias("meets"))
     members = members.drop("size").join(meets, "id")
     rank = F.struct(F.col("meets"), -F.col("id"))
-    centres = members.groupBy("band", "key").agg(F.max_by("id", rank).alias("centre"))
-    stars = cut(members.join(centres, ["band", "key"]).filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    ids = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct()
-    sets = cut(shingle_sets(docs, ids, rule).dropDuplicates(["id"]), "sets")
-    links = cut(confirmed(stars, sets, rule), "links")
-    first = components(links)
-    at = members.join(first, "id", "left").select("band", "key", "id", "meets", F.coalesce("root", "id").alias("comp"))
-    mixed = at.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.max_by("comp", rank).alias("main")).filter("_x <> _y and size > 2")
-    seen = sig.filter("sig is not null").select(F.col("doc_id").alias("id"), "n_shingles", "sig").join(reps, F.col("id") == F.col("_rep"), "left_semi").dropDuplicates(["id"])
-    chunks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rest = at.join(mixed.select("band", "key", "size", "main"), ["band", "key"]).withColumn("_c", F.pmod(F.hash("id"), chunks)).join(seen, "id")
-    every = F.explode(F.sequence(F.lit(0), chunks - 1))
-    cols = ["band", "key", "id", "comp", "n_shingles", "sig"]
-    left = rest.filter("comp <> main").select(*cols, F.col("_c").alias("i"), every.alias("j"), F.lit(0).alias("side"))
-    right = rest.select(*cols, every.alias("i"), F.col("_c").alias("j"), F.lit(1).alias("side"))
-    near = left.unionByName(right).groupBy("band", "key", "i", "j").applyInArrow(_alike(rule), "a bigint, b bigint").distinct()
-    known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut(confirmed(near.join(known, ["a", "b"], "left_anti"), sets, rule), "more")
+    centres = members.groupBy("key").agg(F.max_by("id", rank).alias("a"))
+    stars = members.join(centres, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+    involved = meets.select("id")
+    bands = heads.join(involved, "id", "left_semi").select("id", "bands")
+    pairs = stars.join(bands.select(F.col("id").alias("b"), F.col("bands").alias("_b")), "b").join(bands.select(F.col("id").alias("a"), F.col("bands").alias("_a")), "a")
+    same = F.size(F.filter(F.zip_with("_a", "_b", lambda x, y: x == y), lambda x: x))
+    stars = cut(pairs.select("a", "b", same.alias("same")).filter(F.col("same") >= ALIKE), "stars")
+    sets = cut(shingle_sets(docs, cut(involved, "involved"), rule).dropDuplicates(["id"]), "sets")
+    best = stars.groupBy("b").agg(F.max_by("a", F.struct(F.col("same"), -F.col("a"))).alias("a"))
+    links = cut(confirmed(best.select("a", "b"), sets, rule), "links")
+    comps = components(links)
+    second = cut(_apart(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), comps), "second")
+    links = links.unionByName(cut(confirmed(second, sets, rule), "links"))
+    comps = components(links)
+    # what still holds several components: buckets by band keys, then the clusters they make by full sets
+    at = cut(_named(members, comps), "at")
+    mixed = at.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.max_by("comp", rank).alias("main")).filter("_x <> _y and size > 2")
+    rest = at.join(mixed.select("key", "main"), "key").join(bands, "id").select("key", "id", "comp", F.col("bands").alias("value"), (F.col("comp") != F.col("main")).alias("outside"))
+    near = cut(_blocks(rest, ["key"], mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("chunks")), _by_bands), "near")
+    clusters = cut(_named(components(near).withColumnRenamed("root", "cluster"), comps), "clusters")
+    weighed = clusters.join(heads.select("id", "n"), "id").groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+    whole = weighed.groupBy("cluster").agg(F.max_by("comp", F.struct(F.col("size"), -F.col("comp"))).alias("main"), F.greatest(F.ceil(F.sum("size") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("chunks"))
+    rest = clusters.join(whole.select("cluster", "main"), "cluster").join(sets, "id").select("cluster", "id", "comp", F.col("set").alias("value"), (F.col("comp") != F.col("main")).alias("outside"))
+    more = cut(_blocks(rest, ["cluster"], whole.select("cluster", "chunks"), _by_sets(rule)), "more")
     roots = components(links.unionByName(more))
-    copies = classes.filter("rep < _last").select("set_key", "rep").join(sig.select("set_key", F.col("doc_id").alias("id")), "set_key").select("id", "rep").distinct()
+    copies = classes.filter("id < _last").select("set_key", F.col("id").alias("rep")).join(sig.select("set_key", F.col("doc_id").alias("id")), "set_key").select("id", "rep").distinct()
     named = copies.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
     return sig, cut(named.unionByName(roots.select("id", "root")).groupBy("id").agg(F.min("root").alias("root")), "roots")
 
