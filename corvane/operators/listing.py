@@ -116,3 +116,10 @@ def open_wording(statements: DataFrame, clearances: DataFrame, scores: DataFrame
 
 def models(embeddings: DataFrame) -> DataFrame:
     return embeddings.groupBy("model", "dims").agg(F.count(F.lit(1)).alias("n"))
+
+
+def staleness(statements: DataFrame, files: DataFrame) -> DataFrame:
+    """full_id, stale of statements with a stored hash of source lines, against files (file, text): a changed, missing or too short source is stale; without a hash nothing is said."""
+    own = statements.filter(F.col("source_hash").isNotNull() & F.col("source_file").isNotNull()).select("full_id", F.col("source_file").alias("file"), "line_start", "line_end", "source_hash")
+    now = T.line_range_hash(F.col("text"), F.col("line_start"), F.col("line_end"))
+    return own.join(files, "file", "left").select("full_id", F.coalesce(now != F.col("source_hash"), F.lit(True)).alias("stale"))

@@ -609,3 +609,14 @@ def batch_validate(c: Corpus) -> DataFrame:
     i = F.col("event_id")
     text = F.when(i % 6 == 0, F.concat(F.lit('{"op":"add","namespace":"a","id":"x'), i.cast("string"), F.lit('","kind":"rule","body":"b"}'))).when(i % 6 == 1, '{"op":"link","from":"a/b","to":"c"}').when(i % 6 == 2, '{"op":"link",').when(i % 6 == 3, "# note").when(i % 6 == 4, '{"op":"fly"}').otherwise('{"op":"update","full_id":"x"}')
     return records.batch(c.table("events").select(i.alias("line_no"), text.alias("text"))).withColumn("op", F.when(F.col("problem") == "malformed", F.lit(None)).otherwise(F.col("op")))
+
+
+@query("stale_sources", """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l, (doc_id % 3 + 1)::INT AS k FROM documents), s AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN 'x' ELSE sha256(array_to_string(list_slice(l, 1, k), chr(10))) END AS h FROM d)
+  SELECT 'f/' || doc_id AS full_id, CASE WHEN k > len(l) THEN TRUE ELSE h <> sha256(array_to_string(list_slice(l, 1, k), chr(10))) END AS stale FROM s""", base=False)
+def stale_sources(c: Corpus) -> DataFrame:
+    """Sources are documents; every fourth stored hash is of another text."""
+    k = (F.col("doc_id") % 3 + 1).cast("int")
+    name = F.concat(F.lit("f/"), F.col("doc_id").cast("string"))
+    lines = F.array_join(F.slice(F.split("text", "\n"), F.lit(1), k), "\n")
+    s = c.table("documents").select(name.alias("full_id"), name.alias("source_file"), F.lit(1).alias("line_start"), k.alias("line_end"), F.when(F.col("doc_id") % 4 == 0, "x").otherwise(F.sha2(lines, 256)).alias("source_hash"))
+    return listing.staleness(s, c.table("documents").select(name.alias("file"), "text"))
