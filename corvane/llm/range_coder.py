@@ -10,7 +10,7 @@ id classes (ids of like size; 4 significant bits), whose cumulative table is mad
 anew every REFRESH ids. Each prediction has a confidence (how often in a row it
 was right); the chance of a hit is mixed from two estimates, one by that
 confidence, one by both orders' confidences together, with a weight that moves to
-the better one. The coder's interval is dealt to the order-2 id, the order-1 id
+the better one (order 2), or taken from the latter (order 1). The coder's interval is dealt to the order-2 id, the order-1 id
 and the order-0 classes by these chances; an id told by its class then codes its
 low bits evenly. Carryless range coder, 64-bit state, 16-bit words.
 """
@@ -43,31 +43,31 @@ for _c in range(CLASSES):
 
 
 class _Lanes:
-    """The models and the coder states of n blocks."""
+    """The models and the coder states of n blocks. Chances are in 15 bits; an entry of t2 or t1 is an id and, in its two low bits, its confidence."""
 
     def __init__(self, n: int):
         self.n = n
         self.row = np.arange(n)
-        self.t2, self.t1 = (np.zeros((n * SLOTS), dtype=np.int32) for _ in range(2))
-        self.c2, self.c1 = (np.zeros((n * SLOTS), dtype=np.int8) for _ in range(2))
-        self.h2, self.h1 = (np.full(n * 4, 8192, dtype=np.int64) for _ in range(2))  # by own confidence
-        self.j2, self.j1 = (np.full(n * 16, 8192, dtype=np.int64) for _ in range(2))  # by both
-        self.w2, self.w1 = (np.full(n, 128, dtype=np.int64) for _ in range(2))  # weight of the first, of 256
+        self.t2, self.t1 = (np.zeros(n * SLOTS, dtype=np.int32) for _ in range(2))
+        self.h2 = np.full(n * 4, 4096, dtype=np.int32)  # order 2, by its own confidence
+        self.j2, self.j1 = (np.full(n * 16, 4096, dtype=np.int32) for _ in range(2))  # each order, by both confidences
+        self.w = np.full(n, 128, dtype=np.int32)  # weight of h2 against j2, of 256
         self.counts = np.ones((n, CLASSES), dtype=np.int32)
         self.a = self.b = np.zeros(n, dtype=np.int64)
         self.low = np.zeros(n, dtype=U)
         self.range = np.full(n, (1 << 64) - 1, dtype=U)
+        self.narrow(n)
         self.refresh()
 
     def narrow(self, n: int) -> None:
         """The lanes from n on have ended."""
-        if n < self.n:
-            self.n, self.row = n, self.row[:n]
-            for k in ("t2", "t1", "c2", "c1"):
-                setattr(self, k, getattr(self, k)[: n * SLOTS])
-            for k, m in (("h2", 4), ("h1", 4), ("j2", 16), ("j1", 16), ("w2", 1), ("w1", 1), ("a", 1), ("b", 1), ("low", 1), ("range", 1)):
-                setattr(self, k, getattr(self, k)[: n * m])
-            self.counts, self.cum = self.counts[:n], self.cum[:n]
+        self.n, self.row = n, self.row[:n]
+        for k, m in (("t2", SLOTS), ("t1", SLOTS), ("h2", 4), ("j2", 16), ("j1", 16), ("w", 1), ("a", 1), ("b", 1), ("low", 1), ("range", 1)):
+            setattr(self, k, getattr(self, k)[: n * m])
+        self.counts = self.counts[:n]
+        self.slot, self.four, self.sixteen = self.row * SLOTS, self.row * 4, self.row * 16
+        if hasattr(self, "cum"):
+            self.cum = self.cum[:n]
 
     def refresh(self) -> None:
         run = np.cumsum(self.counts, axis=1, dtype=np.int32)
@@ -76,50 +76,55 @@ class _Lanes:
 
     def predict(self) -> None:
         """p2, p1: predicted ids; m2, m1: their parts of 65536; rest: what is left."""
-        row = self.row
-        self.s2 = row * SLOTS + (((self.a * 40503 + self.b * 30011) >> 3) & (SLOTS - 1))
-        self.s1 = row * SLOTS + ((self.b * 40503 >> 4) & (SLOTS - 1))
-        self.p2, self.p1 = self.t2[self.s2], self.t1[self.s1]
-        k2, k1 = self.c2[self.s2].astype(np.int64), self.c1[self.s1].astype(np.int64)
-        self.i2, self.i1, self.ij = row * 4 + k2, row * 4 + k1, row * 16 + k2 * 4 + k1
-        self.e2, self.f2 = self.h2[self.i2], self.j2[self.ij]
-        self.e1, self.f1 = self.h1[self.i1], self.j1[self.ij]
-        m2 = (self.e2 * self.w2 + self.f2 * (256 - self.w2)) >> 8
-        m1 = (self.e1 * self.w1 + self.f1 * (256 - self.w1)) >> 8
-        self.m2 = np.maximum(m2 * 56000 >> 16, 32)  # never none: a hit must have room
-        self.m1 = np.where(self.p1 == self.p2, 0, np.maximum((56000 - self.m2) * m1 >> 16, 32))
+        last = self.b * 40503
+        self.s2 = self.slot + ((self.a * 30011 + last >> 3) & (SLOTS - 1))
+        self.s1 = self.slot + ((last >> 4) & (SLOTS - 1))
+        x2, x1 = self.t2.take(self.s2), self.t1.take(self.s1)
+        self.k2, self.k1 = x2 & 3, x1 & 3
+        self.p2, self.p1 = x2 >> 2, x1 >> 2
+        self.i2, self.ij = self.four + self.k2, self.sixteen + ((self.k2 << 2) + self.k1)
+        self.e2, self.f2, self.f1 = self.h2.take(self.i2), self.j2.take(self.ij), self.j1.take(self.ij)
+        mixed = self.f2 + ((self.e2 - self.f2) * self.w >> 8)
+        self.m2 = np.maximum(mixed * 56000 >> 15, 32)  # never none: a hit must have room
+        self.m1 = np.maximum((56000 - self.m2) * self.f1 >> 15, 32)
+        self.m1[self.p1 == self.p2] = 0
         self.rest = 65536 - self.m2 - self.m1
 
-    def update(self, ids: np.ndarray, told: np.ndarray, cls: np.ndarray) -> None:
+    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, told: np.ndarray, cls: np.ndarray) -> None:
         """told: lanes whose id was told by its class cls."""
-        hit2, hit1 = ids == self.p2, ids == self.p1
-        for hit, seen, e, f, h, i, j, w in ((hit2, None, self.e2, self.f2, self.h2, self.i2, self.j2, self.w2), (hit1, ~hit2, self.e1, self.f1, self.h1, self.i1, self.j1, self.w1)):
-            x = hit * np.int64(65535)
-            better = np.abs(x - e) < np.abs(x - f)
-            w += np.where(better, (256 - w) >> 4, -(w >> 4))
-            de, df = (x - e) >> 4, (x - f) >> 4
-            if seen is not None:  # order 1 learns from what order 2 misses
-                de, df = de * seen, df * seen
-            h[i] = e + de
-            j[self.ij] = f + df
-        for t, c, s, hit in ((self.t2, self.c2, self.s2, hit2), (self.t1, self.c1, self.s1, hit1)):
-            c[s] = np.where(hit, np.minimum(c[s] + 1, 3), 0)
-            t[s] = ids
+        x = hit2 * np.int32(32767)
+        self.w += np.where((self.e2 > self.f2) == hit2, 256 - self.w, -self.w) >> 4  # towards the better estimate
+        self.h2[self.i2] = self.e2 + ((x - self.e2) >> 4)
+        self.j2[self.ij] = self.f2 + ((x - self.f2) >> 4)
+        x = hit1 * np.int32(32767)
+        self.j1[self.ij] = self.f1 + ((x - self.f1) >> 4) * ~hit2  # order 1 learns from what order 2 misses
+        entry = ids.astype(np.int32) << 2
+        self.t2[self.s2] = entry | np.minimum(self.k2 + 1, 3) * hit2
+        self.t1[self.s1] = entry | np.minimum(self.k1 + 1, 3) * hit1
         self.counts[told, cls] += 24
         self.a, self.b = self.b, ids
 
-    def shrink(self) -> tuple[np.ndarray, np.ndarray]:
-        """Lanes whose top 16 bits are settled and those bits; moves them out."""
-        end = self.low + self.range
-        same = (self.low ^ end) < TOP
-        small = ~same & (self.range < BOT)
-        if small.any():
-            self.range[small] = (~self.low[small] + U(1)) & (BOT - U(1))
-        at = np.flatnonzero(same | small)
-        words = (self.low[at] >> U(48)).astype(np.uint16)
-        self.low[at] <<= U(16)
-        self.range[at] <<= U(16)
-        return at, words
+    def deal(self, r: np.ndarray, start: np.ndarray, size: np.ndarray, told: np.ndarray) -> np.ndarray:
+        """Narrow the intervals; what an even low bit of those told by a class has left is returned."""
+        self.low += r * start.astype(U)
+        self.range[:] = r * size.astype(U)
+        return self.range[told]
+
+    def settled(self):
+        """Lanes whose top 16 bits are settled and those bits, moved out, until none is left."""
+        low, size = self.low, self.range
+        at = np.flatnonzero(((low ^ (low + size)) < TOP) | (size < BOT))
+        while len(at):
+            l, r = low.take(at), size.take(at)
+            small = (l ^ (l + r)) >= TOP
+            if small.any():
+                r[small] = (~l[small] + U(1)) & (BOT - U(1))
+            words = l >> U(48)
+            l <<= U(16)
+            r <<= U(16)
+            low[at], size[at] = l, r
+            yield at, words
+            at = at[((l ^ (l + r)) < TOP) | (r < BOT)]
 
 
 def _blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,23 +138,11 @@ def _blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _encode(grid: np.ndarray, lens: np.ndarray) -> list[bytes]:
-    n = len(grid)
+    n, wide = len(grid), 2 * BLOCK + 8
     m = _Lanes(n)
-    out = np.zeros((n, 2 * BLOCK + 8), dtype=np.uint16)
-    used = np.zeros(n, dtype=np.int64)
+    out = np.zeros(n * wide, dtype=np.uint16)
+    used = np.arange(n) * wide
     saved = np.zeros(n, dtype=U)
-
-    def code(start: np.ndarray, size: np.ndarray, shift, rows=slice(None)) -> None:
-        r = m.range[rows] >> shift
-        m.low[rows] += r * start.astype(U)
-        m.range[rows] = r * size.astype(U)
-        while True:
-            at, words = m.shrink()
-            if not len(at):
-                return
-            out[at, used[at]] = words
-            used[at] += 1
-
     columns = np.ascontiguousarray(grid.T)
     for t in range(int(lens.max(initial=0))):
         k = n if t < lens[-1] else n - 1
@@ -162,22 +155,25 @@ def _encode(grid: np.ndarray, lens: np.ndarray) -> list[bytes]:
         m.predict()
         hit2, hit1 = ids == m.p2, ids == m.p1
         told = np.flatnonzero(~(hit2 | hit1))
+        own = ids.take(told)
+        cls = _CLASS.take(own)
         start, size = np.where(hit2, 0, m.m2), np.where(hit2, m.m2, m.m1)
-        cls = _CLASS[ids[told]]
-        lo, hi = m.cum[told, cls].astype(np.int64), m.cum[told, cls + 1].astype(np.int64)
-        rest = m.rest[told]
-        begin = lo * rest >> 12
-        start[told], size[told] = m.m2[told] + m.m1[told] + begin, (hi * rest >> 12) - begin
-        code(start, size, U(16))
-        if len(told):
-            bits = _BITS[cls]
-            code(ids[told] - _BASE[cls], np.ones(len(told), dtype=np.int64), bits.astype(U), told)
-        m.update(ids, told, cls)
+        rest = m.rest.take(told)
+        begin = m.cum[told, cls] * rest >> 12
+        start[told], size[told] = 65536 - rest + begin, (m.cum[told, cls + 1] * rest >> 12) - begin
+        left = m.deal(m.range >> U(16), start, size, told) >> _BITS.take(cls).astype(U)
+        m.low[told] += left * (own - _BASE.take(cls)).astype(U)
+        m.range[told] = left
+        for at, words in m.settled():
+            place = used.take(at)
+            out[place] = words
+            used[at] = place + 1
+        m.update(ids, hit2, hit1, told, cls)
     saved[: m.n] = m.low
     raw = []
     for i in range(n):
         tail = [(int(saved[i]) >> s) & 0xFFFF for s in (48, 32, 16, 0)]
-        words = np.concatenate([out[i, : used[i]], np.array(tail, dtype=np.uint16)]).astype("<u2").tobytes()
+        words = np.concatenate([out[i * wide : used[i]], np.array(tail, dtype=np.uint16)]).astype("<u2").tobytes()
         ids = grid[i, : lens[i]].astype("<u4").tobytes()
         raw.append(HEAD.pack(int(lens[i]), len(words) // 2, zlib.crc32(ids)) + words)
     return raw
@@ -198,18 +194,7 @@ def _decode(lens: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
     for _ in range(4):
         value = (value << U(16)) | flat[at_word]
         at_word += 1
-    out = np.zeros((BLOCK, n), dtype=np.int64)
-
-    def code(r: np.ndarray, start: np.ndarray, size: np.ndarray, rows=slice(None)) -> None:
-        m.low[rows] += r * start.astype(U)
-        m.range[rows] = r * size.astype(U)
-        while True:
-            at, _ = m.shrink()
-            if not len(at):
-                return
-            value[at] = (value[at] << U(16)) | flat[at_word[at]]
-            at_word[at] += 1
-
+    out, end = np.zeros((BLOCK, n), dtype=np.int64), len(flat) - 1
     for t in range(int(lens.max(initial=0))):
         k = n if t < lens[-1] else n - 1
         if k < m.n:
@@ -219,30 +204,32 @@ def _decode(lens: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
             m.refresh()
         m.predict()
         r = m.range >> U(16)
-        target = ((value - m.low) // r).astype(np.int64)
+        target = ((value - m.low) // r).astype(np.int32)
         hit2 = target < m.m2
-        hit1 = ~hit2 & (target < m.m2 + m.m1)
-        told = np.flatnonzero(~(hit2 | hit1))
+        by1 = ~hit2 & (target < 65536 - m.rest)
+        told = np.flatnonzero(target >= 65536 - m.rest)
         ids = np.where(hit2, m.p2, m.p1).astype(np.int64)
         start, size = np.where(hit2, 0, m.m2), np.where(hit2, m.m2, m.m1)
-        rest = m.rest[told]
-        inside = target[told] - m.m2[told] - m.m1[told]
+        rest = m.rest.take(told)
+        inside = target.take(told) - 65536 + rest
         # class c begins at cum[c] * rest >> 12 <= inside, so at cum[c] <= ((inside + 1 << 12) - 1) // rest
         most = (((inside + 1) << 12) - 1) // rest
-        coarse = (m.cum[:, 16:128:16][told] <= most[:, None]).sum(axis=1)
-        fine = m.cum[told[:, None], (coarse * 16)[:, None] + np.arange(1, 16)]
-        cls = coarse * 16 + (fine <= most[:, None]).sum(axis=1)
-        lo, hi = m.cum[told, cls].astype(np.int64), m.cum[told, cls + 1].astype(np.int64)
-        begin = lo * rest >> 12
-        start[told], size[told] = m.m2[told] + m.m1[told] + begin, (hi * rest >> 12) - begin
-        code(r, start, size)
-        if len(told):
-            r = m.range[told] >> _BITS[cls].astype(U)
-            low = ((value[told] - m.low[told]) // r).astype(np.int64)
-            code(r, low, np.ones(len(told), dtype=np.int64), told)
-            ids[told] = _BASE[cls] + low
+        flat_cum, base, cls = m.cum.ravel(), told * (CLASSES + 1), np.zeros(len(told), dtype=np.int64)
+        for step in (64, 32, 16, 8, 4, 2, 1):
+            cls += step * (flat_cum.take(base + cls + step) <= most)
+        begin = m.cum[told, cls] * rest >> 12
+        start[told], size[told] = 65536 - rest + begin, (m.cum[told, cls + 1] * rest >> 12) - begin
+        left = m.deal(r, start, size, told) >> _BITS.take(cls).astype(U)
+        low = (value.take(told) - m.low.take(told)) // left
+        m.low[told] += left * low
+        m.range[told] = left
+        ids[told] = (_BASE.take(cls) + low.astype(np.int64)) & 0x1FFFF
+        for at, _ in m.settled():
+            place = at_word.take(at)
+            value[at] = (value.take(at) << U(16)) | flat.take(np.minimum(place, end))  # damaged blocks may ask for more
+            at_word[at] = place + 1
         out[t, :k] = ids
-        m.update(ids, told, cls)
+        m.update(ids, hit2, by1 | (ids == m.p1), told, cls)
     return out.T
 
 
@@ -262,7 +249,8 @@ def decode(data: bytes) -> np.ndarray:
     parts = []
     for k in range(0, len(heads), LANES):
         some = heads[k : k + LANES]
-        grid = _decode(np.array([n for n, _ in some]), words[k : k + LANES]).astype("<u4")
+        with np.errstate(all="ignore"):  # damaged blocks lead anywhere before their checksum tells
+            grid = _decode(np.array([n for n, _ in some]), words[k : k + LANES]).astype("<u4")
         for (n, crc), row in zip(some, grid):
             if zlib.crc32(row[:n].tobytes()) != crc:
                 raise Damaged(f"block {len(parts)}")
