@@ -146,7 +146,7 @@ def learn(rows: list[tuple[str, str]], seed: int = 3) -> tuple[list[str], dict[s
 class Tagger:
     """Predicts with one model; emissions of words are remembered."""
 
-    def __init__(self, model, most: int = 400_000):
+    def __init__(self, model, most: int = 250_000):
         self.labels, self.lexicon, self.weights, move = model
         self.move = np.exp(move - move.max()).astype(np.float64)
         self.most, self.rows, self.number = most, [np.zeros((1, len(self.labels)))], {}
@@ -227,8 +227,11 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame) -> list[tuple[str, str]]:
     """The bounded sample: the TRAIN_DOCS labelled, not held-out documents whose doc_id hashes lowest."""
     usable = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") <= TRAIN_BYTES))
-    picked = usable.select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("_h"), "doc_id").orderBy("_h", "doc_id").limit(TRAIN_DOCS)
-    return [(r.text, r.lang) for r in picked.collect()]
+    usable = usable.select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("_h"), "doc_id")
+    # a share of the hash space that holds a little more than the sample, so that tasks send few texts to be ranked
+    share = min(1.0, 1.5 * TRAIN_DOCS / max(usable.count(), 1) + 1e-9)
+    low = usable.filter(F.shiftrightunsigned("_h", 11) < int(share * (1 << 53)))
+    return [(r.text, r.lang) for r in low.orderBy(F.shiftrightunsigned("_h", 11), "doc_id").limit(TRAIN_DOCS).collect()]
 
 
 def fitted(docs: DataFrame):
