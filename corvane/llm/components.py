@@ -29,12 +29,10 @@ def _small(e: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """id, root (least id of the component) for every id that edges (a, b) name; loops and repeats are allowed."""
     e = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct(), "edges")
-    before = None
-    while True:
-        mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == before or not mark[0]:
-            break
-        before = mark
+    while not e.isEmpty():
         e = cut(_small(_large(e)), "stars")
+        # the edges still join what they joined; once no end of one is the start of another, all are stars round their least ids
+        if e.join(e.select(F.col("a").alias("_a")), F.col("b") == F.col("_a"), "left_semi").isEmpty():
+            break
     roots = e.select(F.col("a").alias("id"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("id"), "root")).distinct()

@@ -73,7 +73,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _word_hashes() -> vocab.Remembered:
     import xxhash
 
-    return vocab.once("word hashes", 0, lambda: vocab.Remembered(xxhash.xxh3_64_intdigest, most=400_000))
+    return vocab.once("word hashes", 0, lambda: vocab.Remembered(xxhash.xxh3_64_intdigest, most=200_000))
 
 
 def shingles(text: str | None, rule: Rule, hashes: vocab.Remembered) -> np.ndarray:
@@ -184,27 +184,21 @@ def _forest(alike):
     def run(table: pa.Table) -> pa.Table:
         left = table.filter(pa.compute.equal(table.column("side"), 0))
         right = table.filter(pa.compute.equal(table.column("side"), 1))
-        a, b, root = [], [], {}
-
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
+        a, b = [], []
         if left.num_rows and right.num_rows:
-            ids, comp = right.column("id").to_numpy(), right.column("comp").to_numpy()
-            for c in np.unique(comp):  # members of a component are joined already
-                own = ids[comp == c].tolist()
-                for x in own[1:]:
-                    root[find(x)] = find(own[0])
+            ids, own = right.column("id").to_numpy(), left.column("id").to_numpy()
+            # members of a component bear one label from the start; a new edge makes two labels one
+            _, label = np.unique(np.concatenate([left.column("comp").to_numpy(), right.column("comp").to_numpy()]), return_inverse=True)
+            mine, theirs = label[: len(own)], label[len(own) :]
             like = alike(right)
-            for k, (i, c) in enumerate(zip(left.column("id").to_pylist(), left.column("comp").to_pylist())):
-                for y in ids[like(left, k) & (comp != c)].tolist():
-                    if find(i) != find(y):
-                        root[find(i)] = find(y)
-                        a.append(min(i, y))
-                        b.append(max(i, y))
+            for k in range(len(own)):
+                other = np.flatnonzero(theirs != mine[k])
+                other = other[like(left, k)[other]]
+                found, first = np.unique(theirs[other], return_index=True)
+                for old, y in zip(found, ids[other[first]].tolist()):
+                    a.append(min(int(own[k]), y))
+                    b.append(max(int(own[k]), y))
+                    label[label == old] = mine[k]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -289,8 +283,9 @@ def linked(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     links = cut(confirmed(best.select("a", "b"), sets, rule), "links")
     comps = components(links)
     second = cut(_apart(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), comps), "second")
-    links = links.unionByName(cut(confirmed(second, sets, rule), "links"))
-    comps = components(links)
+    if not second.isEmpty():
+        links = links.unionByName(cut(confirmed(second, sets, rule), "links"))
+        comps = components(links)
     # what still holds several components: buckets by band keys, then the clusters they make by full sets
     at = cut(_named(members, comps), "at")
     mixed = at.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.max_by("comp", rank).alias("main")).filter("_x <> _y and size > 2")
