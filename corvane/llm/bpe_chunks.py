@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from corvane.llm import vocab
 
 WINDOW, BITS, GROUP = 16, 8, 256
-CACHE_CHARS, LONGEST = 24_000_000, 8192
+CACHE_CHARS, LONGEST = 12_000_000, 8192
 
 
 def cuts(chars: np.ndarray) -> np.ndarray:

@@ -58,7 +58,7 @@ class Ids(dict):
     def __missing__(self, raw: str) -> int:
         word = _EDGE.sub("", raw)
         got = self.numbers.get(word, -1) if word else -2
-        if len(self) >= 400_000:
+        if len(self) >= 250_000:
             self.clear()
         self[raw] = got
         return got

@@ -46,7 +46,7 @@ def counter(content: bytes, table: tuple[bytes, bytes]):
 
     tok = vocab.load(content)
     tier_one = dict(zip(table[0].decode().split("\x00"), table[1])) if table[1] else {}
-    tier_two = vocab.Remembered(vocab.Pieces(tok, len), most=150_000, fixed=tier_one)
+    tier_two = vocab.Remembered(vocab.Pieces(tok, len), most=60_000, fixed=tier_one)
     split = regex.compile(vocab.BYTE_LEVEL).findall
     run = lambda w: tier_one.get(w) or sum(map(tier_two.__getitem__, split(w)))
     words = vocab.ByteLevel(tok, len, make=run)

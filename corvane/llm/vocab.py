@@ -12,6 +12,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
+import time
 
 import numpy as np
 from pyspark.sql import SparkSession
@@ -24,6 +26,7 @@ ODD = re.compile("[\x1c-\x1f]")
 #: How byte-level vocabularies split a text (fixed value).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _KEPT: dict[str, tuple] = {}
+FRESH = 20.0
 
 
 def default_path(name: str) -> str:
@@ -51,17 +54,26 @@ def load(content: bytes):
 
 
 def once(kind: str, key, make):
-    """make() once for each worker and key; a new key of the same kind takes the old one's place."""
+    """make() once for each worker and key.
+
+    A new key takes the old one's place, and a kind that was not asked for in the last FRESH
+    seconds is let go when another is made: workers outlive stages, and what one stage
+    remembers is not the next one's.
+    """
+    now = time.monotonic()
     got = _KEPT.get(kind)
     if got is None or got[0] != key:
-        got = _KEPT[kind] = (key, make())
+        for old in [k for k, x in _KEPT.items() if k == kind or now - x[2] > FRESH]:
+            del _KEPT[old]
+        got = (key, make(), now)
+    _KEPT[kind] = (got[0], got[1], now)
     return got[1]
 
 
 class Remembered(dict):
     """word -> make(word), in two generations of at most `most` words: a full young one becomes the old one, words used again move up."""
 
-    def __init__(self, make, most: int = 250_000, fixed: dict | None = None):
+    def __init__(self, make, most: int = 200_000, fixed: dict | None = None):
         super().__init__()
         self.make, self.most, self.old, self.fixed = make, most, {}, fixed or {}
 
@@ -99,9 +111,12 @@ class Pieces:
         starts = {t.content[:1] for t in tok.get_added_tokens_decoder().values()}
         self.library = re.compile(f"[ɐ-\U0010ffff{re.escape(''.join(starts))}]").search
         table = byte_characters()
-        self.piece = Remembered(lambda p: [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(table))], most=150_000)
+        self.piece = Remembered(lambda p: [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(table))], most=60_000)
 
     def __call__(self, word: str):
+        bare = word[1:] if word[0] == " " else word
+        if bare.isascii() and bare.isalpha():  # most words are one piece
+            return self.value(self.piece[word.lower() if self.lower else word])
         if self.library(word):
             return self.value(self.tok.encode(word, add_special_tokens=False).ids)
         found = self.find(word.lower() if self.lower else word)
@@ -123,7 +138,7 @@ class ByteLevel:
     def __init__(self, tok, value, make=None):
         make = make or Pieces(tok, value)
         self.spaced = Remembered(lambda w: make(" " + w))
-        self.plain = Remembered(make, most=100_000)
+        self.plain = Remembered(make, most=60_000)
         self.whole = lambda text: value(tok.encode(text, add_special_tokens=False).ids)
         self.marks = [t.content for t in tok.get_added_tokens_decoder().values()]
 
@@ -143,5 +158,9 @@ class ByteLevel:
         return out
 
 
+#: Packers of short lists, which most words are.
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
 def packed(ids: list[int]) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
+    return _PACK[len(ids)](*ids) if len(ids) < 32 else np.asarray(ids, dtype="<u4").tobytes()
