@@ -11,10 +11,9 @@ only, the member that meets most others over all bands. Edges whose band keys ag
 in ALIKE places are confirmed on full shingle sets, first each document's best one,
 then those that would still join two components. A star can miss a link between two
 members that are both unlike the centre, so what still holds several components is
-gone through once more, in blocks inside tasks: members outside the centre's
-component are compared by band keys with members of other components, and each block
-emits a spanning forest only; the clusters this makes are compared on full sets, in
-blocks of bounded size, and again only spanning links leave a task. So pair counts
+gone through once more, in blocks inside tasks: members outside a bucket's largest
+component are compared on full sets with members of all others. A task joins two
+components over a confirmed link only, and only links that span leave it, so rows
 stay in proportion to the documents and nothing is capped. Sets too small to have a
 partner (|s| / (|s| + 1) under the threshold) are compared for equality only.
 
@@ -178,8 +177,28 @@ def confirmed(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return both.filter(100 * F.col("_i") >= rule.percent * (F.col("_n") - F.col("_i"))).select("a", "b")
 
 
-def _forest(alike):
-    """For one block: edges (a, b) that span what alike(right rows) -> (left row -> right rows like it) joins across components."""
+def _like(table: pa.Table, rule: Rule):
+    """x -> which rows of table have a set like the set x."""
+    column = table.column("value").combine_chunks()
+    values, ends = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy()).cumsum()
+    size = np.diff(ends, prepend=0)
+    known, numbers = np.unique(values, return_inverse=True)
+    mark = np.zeros(len(known), dtype=np.int64)
+    begin = ends - size
+
+    def like(x: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(known, x)
+        at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == x)]
+        mark[at] = 1
+        both = np.add.reduceat(mark[numbers], begin)  # no set is empty here
+        mark[at] = 0
+        return 100 * both >= rule.percent * (size + len(x) - both)
+
+    return like
+
+
+def _forest(rule: Rule):
+    """For one block: links (a, b) of left rows to right rows, confirmed on their sets, that span what they join across components."""
 
     def run(table: pa.Table) -> pa.Table:
         left = table.filter(pa.compute.equal(table.column("side"), 0))
@@ -187,15 +206,16 @@ def _forest(alike):
         a, b = [], []
         if left.num_rows and right.num_rows:
             ids, own = right.column("id").to_numpy(), left.column("id").to_numpy()
-            # members of a component bear one label from the start; a new edge makes two labels one
+            # members of a component bear one label from the start; a link makes two labels one
             _, label = np.unique(np.concatenate([left.column("comp").to_numpy(), right.column("comp").to_numpy()]), return_inverse=True)
             mine, theirs = label[: len(own)], label[len(own) :]
-            like = alike(right)
+            like = _like(right, rule)
             for k in range(len(own)):
-                other = np.flatnonzero(theirs != mine[k])
-                other = other[like(left, k)[other]]
-                found, first = np.unique(theirs[other], return_index=True)
-                for old, y in zip(found, ids[other[first]].tolist()):
+                if (theirs == mine[k]).all():
+                    continue
+                found = np.flatnonzero(like(left.column("value")[k].values.to_numpy()) & (theirs != mine[k]))
+                others, first = np.unique(theirs[found], return_index=True)
+                for old, y in zip(others, ids[found[first]].tolist()):
                     a.append(min(int(own[k]), y))
                     b.append(max(int(own[k]), y))
                     label[label == old] = mine[k]
@@ -204,49 +224,14 @@ def _forest(alike):
     return run
 
 
-def _by_bands(right: pa.Table):
-    grid = lambda t: np.array(t.column("value").to_pylist(), dtype=np.int64)
-    s, kept = grid(right), []
-
-    def like(left: pa.Table, k: int) -> np.ndarray:
-        if not kept:
-            kept.append(grid(left))
-        return (s == kept[0][k]).sum(axis=1) >= ALIKE
-
-    return like
-
-
-def _by_sets(rule: Rule):
-    def make(right: pa.Table):
-        column = right.column("value").combine_chunks()
-        values, ends = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy()).cumsum()
-        size = np.diff(ends, prepend=0)
-        known, numbers = np.unique(values, return_inverse=True)
-        mark = np.zeros(len(known), dtype=np.int64)
-        begin = ends - size
-
-        def like(left: pa.Table, k: int) -> np.ndarray:
-            x = left.column("value")[k].values.to_numpy()
-            at = np.searchsorted(known, x)
-            at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == x)]
-            mark[at] = 1
-            both = np.add.reduceat(mark[numbers], begin)  # no set is empty here
-            mark[at] = 0
-            return 100 * both >= rule.percent * (size + len(x) - both)
-
-        return like
-
-    return make
-
-
-def _blocks(rows: DataFrame, key: list[str], chunks: DataFrame, alike) -> DataFrame:
-    """Edges from rows (key, id, comp, value, outside) compared in blocks: outsiders of a key with all of it. chunks: key and the number of blocks a side."""
-    rows = rows.join(chunks, key).withColumn("_c", F.pmod(F.hash("id"), F.col("chunks")))
-    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    cols = [*key, "id", "comp", "value"]
-    left = rows.filter("outside").select(*cols, F.col("_c").alias("i"), every.alias("j"), F.lit(0).alias("side"))
-    right = rows.select(*cols, every.alias("i"), F.col("_c").alias("j"), F.lit(1).alias("side"))
-    return left.unionByName(right).groupBy(*key, "i", "j").applyInArrow(_forest(alike), "a bigint, b bigint").distinct()
+def _blocks(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Links from rows (key, id, comp, value, outside, lefts, rights) compared in blocks: outsiders of a key, in lefts parts, with all of it, in rights parts."""
+    part = lambda n: F.pmod(F.hash("id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["key", "id", "comp", "value"]
+    left = rows.filter("outside").select(*cols, part("lefts").alias("i"), every("rights").alias("j"), F.lit(0).alias("side"))
+    right = rows.select(*cols, every("lefts").alias("i"), part("rights").alias("j"), F.lit(1).alias("side"))
+    return left.unionByName(right).groupBy("key", "i", "j").applyInArrow(_forest(rule), "a bigint, b bigint").distinct()
 
 
 def _named(ids: DataFrame, comps: DataFrame) -> DataFrame:
@@ -286,16 +271,15 @@ def linked(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     if not second.isEmpty():
         links = links.unionByName(cut(confirmed(second, sets, rule), "links"))
         comps = components(links)
-    # what still holds several components: buckets by band keys, then the clusters they make by full sets
-    at = cut(_named(members, comps), "at")
-    mixed = at.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.max_by("comp", rank).alias("main")).filter("_x <> _y and size > 2")
-    rest = at.join(mixed.select("key", "main"), "key").join(bands, "id").select("key", "id", "comp", F.col("bands").alias("value"), (F.col("comp") != F.col("main")).alias("outside"))
-    near = cut(_blocks(rest, ["key"], mixed.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("chunks")), _by_bands), "near")
-    clusters = cut(_named(components(near).withColumnRenamed("root", "cluster"), comps), "clusters")
-    weighed = clusters.join(heads.select("id", "n"), "id").groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
-    whole = weighed.groupBy("cluster").agg(F.max_by("comp", F.struct(F.col("size"), -F.col("comp"))).alias("main"), F.greatest(F.ceil(F.sum("size") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("chunks"))
-    rest = clusters.join(whole.select("cluster", "main"), "cluster").join(sets, "id").select("cluster", "id", "comp", F.col("set").alias("value"), (F.col("comp") != F.col("main")).alias("outside"))
-    more = cut(_blocks(rest, ["cluster"], whole.select("cluster", "chunks"), _by_sets(rule)), "more")
+    # what still holds several components: buckets by full sets, all outsiders of the largest component with all others
+    at = cut(_named(members.select("key", "id"), comps).join(heads.select("id", "n"), "id"), "at")
+    size, n = F.sum("size"), F.sum("n")
+    most = F.struct(F.col("size"), -F.col("comp"))
+    parts = lambda size, n: F.greatest(F.ceil(size / BLOCK), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    mixed = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"), n.alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("comps"), size.alias("size"), F.max_by("comp", most).alias("main"), parts(size - F.max("size"), n - F.max_by("n", most)).alias("lefts"), parts(size, n).alias("rights"))
+    mixed = mixed.filter("comps > 1 and size > 2").select("key", "main", "lefts", "rights")
+    rest = at.drop("n").join(mixed, "key").join(sets, "id").select("key", "id", "comp", F.col("set").alias("value"), (F.col("comp") != F.col("main")).alias("outside"), "lefts", "rights")
+    more = cut(_blocks(rest, rule), "more")
     roots = components(links.unionByName(more))
     copies = classes.filter("id < _last").select("set_key", F.col("id").alias("rep")).join(sig.select("set_key", F.col("doc_id").alias("id")), "set_key").select("id", "rep").distinct()
     named = copies.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))

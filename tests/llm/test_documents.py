@@ -130,6 +130,23 @@ def test_minhash_equals_brute_force(spark, docs, odd):
     assert minhash.report(docs([])).count() == 0
 
 
+def edited(base, places):
+    return " ".join(f"x{k}" if k in places else w for k, w in enumerate(base))
+
+
+def test_minhash_links_any_two_members_of_a_bucket(spark, docs, monkeypatch):
+    """One bucket: 2 is like 70 only, which is one of many members of the centre's component."""
+    base = [f"v{i}" for i in range(120)]
+    data = [(1, " ".join(base)), *((10 + i, edited(base, {3 * i})) for i in range(39) if i != 20), (70, edited(base, {20, 60})), (2, edited(base, {20, 60, 100}))]
+    sets = {i: shingle(t, 3) for i, t in data}
+    like = {i for i in sets if 100 * len(sets[2] & sets[i]) >= 90 * len(sets[2] | sets[i])}
+    assert like == {2, 70}
+    sketch = minhash.sketch
+    monkeypatch.setattr(minhash, "sketch", lambda d, r: sketch(d, r).withColumn("bands", F.expr("transform(bands, (x, i) -> cast(i as bigint))")))
+    got = {r.doc_id: r.component_id for r in minhash.report(docs(data), minhash.Rule(3, 90)).collect()}
+    assert got == components(sets, 90) and set(got.values()) == {1}
+
+
 def test_minhash_repeated_rows_and_null_ids(spark, docs):
     out = minhash.report(docs([(1, "a b c d"), (1, "a b c d"), (2, "A B c d"), (None, "a b c d"), (3, None)])).collect()
     assert sorted((r.doc_id, r.component_id, r.kept) for r in out if r.doc_id is not None) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]
