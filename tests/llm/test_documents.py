@@ -147,6 +147,15 @@ def test_minhash_links_any_two_members_of_a_bucket(spark, docs, monkeypatch):
     assert got == components(sets, 90) and set(got.values()) == {1}
 
 
+def test_minhash_confirms_pairs_of_one_band(spark, docs, monkeypatch):
+    base = [f"v{i}" for i in range(120)]
+    data = [(1, " ".join(base)), (2, edited(base, {60})), (3, edited(base, set(range(0, 120, 4))))]
+    sketch = minhash.sketch
+    monkeypatch.setattr(minhash, "sketch", lambda d, r: sketch(d, r).withColumn("bands", F.expr("transform(bands, (x, i) -> if(i = 5, 5, 1000 * doc_id + i))")))
+    got = {r.doc_id: r.component_id for r in minhash.report(docs(data)).collect()}
+    assert got == components({i: shingle(t, 3) for i, t in data}, 85) == {1: 1, 2: 1, 3: 3}
+
+
 def test_minhash_repeated_rows_and_null_ids(spark, docs):
     out = minhash.report(docs([(1, "a b c d"), (1, "a b c d"), (2, "A B c d"), (None, "a b c d"), (3, None)])).collect()
     assert sorted((r.doc_id, r.component_id, r.kept) for r in out if r.doc_id is not None) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]
