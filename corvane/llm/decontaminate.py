@@ -4,7 +4,10 @@ The benchmark is a stated query set; it is gone through in blocks of ITEMS items
 so what is sent to executors is bounded whatever its size. For each block:
 
 1. Document frequencies of the block's words are counted over all documents, map
-   side first; a word's weight is ln(COMMON * n / df), none if negative.
+   side first; a word's weight is ln(COMMON * n / df), none if negative. Passages
+   leaked so often that their own words count as common (mean squared weight under
+   WORN) are besides looked up by SEED-word runs, and the stretch of text that a run
+   aligns with the passage goes to the check of step 4.
 2. The block's passages (items cut at PASSAGE words) are a distributed TF-IDF
    matrix; a randomised SVD (random range, two power iterations, each a map over
    passages and a sum by slice of the vocabulary) gives the latent space.
@@ -39,6 +42,7 @@ from pyspark.sql import functions as F
 from corvane.llm import vocab
 
 ITEMS, PASSAGE, STEP, LEAST, RANK = 1024, 64, 32, 6, 256
+WORN, SEED = 0.25, 3
 COMMON, MIN_COSINE, MIN_HELD, SHARE, ANSWER = 0.1, 0.35, 0.25, 0.6, 0.5
 SLICE = 4096
 _EDGE = re.compile(r"^\W+|\W+$")
@@ -148,6 +152,11 @@ def common_subsequence(masks: dict[int, int], ones: int, window: list[int]) -> i
     return (ones ^ s).bit_count()
 
 
+def better(old: tuple, new: tuple) -> bool:
+    """Whether new has the greater share of its passage's words."""
+    return old[0] * new[1] < new[0] * old[1]
+
+
 class Finder:
     """Finds one block's passages in documents."""
 
@@ -169,11 +178,52 @@ class Finder:
                 for k, x in enumerate(words):
                     m[x] |= 1 << k
                 to.append((dict(m), (1 << len(words)) - 1, len(words)))
+        seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for i, (_, w) in enumerate(found):
+            if np.mean(weights[w] ** 2) < WORN:
+                for k, run in enumerate(self.runs(np.array(w)).tolist()):
+                    seeds[run].append((i, k))
+        self.seeds, self.known_runs = dict(seeds), np.array(sorted(seeds), dtype=np.int64)
+
+    def runs(self, ids: np.ndarray) -> np.ndarray:
+        """A number for every SEED words in a row, -1 where one is not in the vocabulary."""
+        at = np.lib.stride_tricks.sliding_window_view(ids.astype(np.int64), SEED) if len(ids) >= SEED else np.zeros((0, SEED), dtype=np.int64)
+        return np.where((at >= 0).all(axis=1), at @ (len(self.weights) ** np.arange(SEED, dtype=np.int64)), -1)
+
+    def settle(self, out: dict, i: int, window: list[int], cosine) -> None:
+        """Puts passage i in out if the words of a window hold enough of it; cosine() is called then only."""
+        masks, ones, n = self.masks[i]
+        common = common_subsequence(masks, ones, window)
+        if common < SHARE * n:
+            return
+        masks, ones, tail = self.ends[i]
+        if common_subsequence(masks, ones, window) < ANSWER * tail:
+            return
+        item = self.items[i]
+        if item not in out or better(out[item], (common, n)):
+            out[item] = (common, n, round(cosine(), 4))
+
+    def find_worn(self, ids: np.ndarray, out: dict) -> None:
+        """Passages of common words: each stretch of a text that has a run at the passage's own place, with a quarter's room on both sides."""
+        runs = self.runs(ids)
+        near = np.searchsorted(self.known_runs, runs)
+        at = np.flatnonzero(self.known_runs[np.minimum(near, len(self.known_runs) - 1)] == runs)
+        for i, start in sorted({(i, p - k) for p in at.tolist() for i, k in self.seeds[int(runs[p])]}):
+            n = self.masks[i][2]
+            window = ids[max(0, start - n // 4) : start + n + n // 4]
+            self.settle(out, i, window.tolist(), lambda: self.cosine(window, i))
+
+    def cosine(self, window: np.ndarray, i: int) -> float:
+        z = self.space[window[window >= 0]].sum(axis=0)
+        return float(z @ self.q[:, i] / max(float(np.linalg.norm(z)), 1e-12))
 
     def find(self, texts: list[str | None]) -> list[dict[int, tuple[int, int, float]]]:
         """Per text: item -> (words in common, words of the passage, cosine) of its best window."""
         out: list[dict] = [{} for _ in texts]
         ids = [self.ids.of(t) for t in texts]
+        if self.seeds:
+            for x, o in zip(ids, out):
+                self.find_worn(x, o)
         sizes = np.array([-(-len(x) // STEP) + 2 for x in ids])  # two empty blocks after each text
         first = np.cumsum(sizes) - sizes
         blocks = int(sizes.sum())
@@ -197,17 +247,7 @@ class Finder:
             for r, i in zip(*np.nonzero((cosine >= MIN_COSINE) & held)):
                 d = int(doc[some[r]])
                 start = int(some[r] - first[d]) * STEP
-                window = ids[d][start : start + 3 * STEP].tolist()
-                masks, ones, n = self.masks[i]
-                common = common_subsequence(masks, ones, window)
-                if common < SHARE * n:
-                    continue
-                masks, ones, tail = self.ends[i]
-                if common_subsequence(masks, ones, window) < ANSWER * tail:
-                    continue
-                item, best = self.items[i], (common, n, round(float(cosine[r, i]), 4))
-                if item not in out[d] or best[0] * out[d][item][1] > out[d][item][0] * n:
-                    out[d][item] = best
+                self.settle(out[d], i, ids[d][start : start + 3 * STEP].tolist(), lambda: float(cosine[r, i]))
         return out
 
 

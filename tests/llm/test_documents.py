@@ -181,6 +181,26 @@ def test_decontamination(spark, docs, odd):
     assert decontaminate.matches(docs([]), bench).count() == decontaminate.matches(docs(data), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_often_leaked_items(spark, docs):
+    rng = np.random.default_rng(8)
+    text = lambda n: " ".join(f"t{x}" for x in rng.integers(0, 400, n))
+    items = [(i, " ".join(f"p{i}x{k}" if k % 2 else f"t{rng.integers(0, 400)}" for k in range(30))) for i in range(4)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    data, want = [], set()
+    for d in range(120):
+        i = d % 6  # each item is in a sixth of the documents
+        if i < 4:
+            w = items[i][1].split()
+            body = " ".join(w if d % 5 else [x for k, x in enumerate(w) if k % 6])
+            want.add((d, i))
+        data.append((d, f"{text(70)} {body if i < 4 else text(30)} {text(40)}"))
+    found = decontaminate.matches(docs(data), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want and len(found) == len(want)
+    assert {r.doc_id for r in decontaminate.keep_clean(docs(data), bench).collect()} == {d for d, _ in data} - {d for d, _ in want}
+    few = [(d, f"{text(20)} {items[0][1]}") for d in range(2)] + [(9, text(50))]  # fewer documents than make any weight
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs(few), bench).collect()} == {(0, 0), (1, 0)}
+
+
 def test_crf_labels(spark, docs, odd):
     rng = np.random.default_rng(6)
     parts = {"en": ["th", "sh", "ing", "wh", "ow"], "de": ["sch", "ei", "ung", "ü", "ch"], "es": ["ción", "ll", "ñ", "os", "ue"]}
