@@ -23,8 +23,9 @@ A window never leaves its task and nothing of the corpus is shuffled but counts
 benchmark words. Words are lower-cased and stripped of signs at both ends.
 
 Defined cases: null text or item text has no words and matches nothing; items of
-fewer than LEAST words are not looked for (chance would find them); repeated rows
-are matched each; an empty benchmark or table gives an empty result.
+fewer than LEAST words are not looked for (chance would find them); items without an
+id are looked for and come out with null item_id, those that share an id are one item
+of several passages; repeated rows are matched each; an empty benchmark or table gives an empty result.
 """
 
 from __future__ import annotations
@@ -251,16 +252,22 @@ class Finder:
         return out
 
 
+def _after(last):
+    """Whether a row comes after row last in the order of (item_id, text), null ids first; repeats of last do not."""
+    later = F.col("item_id").isNotNull() if last.item_id is None else F.col("item_id") > last.item_id
+    return later | (F.col("item_id").eqNullSafe(last.item_id) & (F.col("text") > last.text))
+
+
 def finders(docs: DataFrame, benchmark: DataFrame) -> list:
     """For each block of the benchmark its number, a mark and a broadcast of what Finder() takes."""
     spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").filter("text is not null and item_id is not null")
-    out, low = [], None
-    while True:  # blocks by item_id; each fetch is of at most ITEMS rows
-        rows = (items if low is None else items.filter(F.col("item_id") > low)).orderBy("item_id").limit(ITEMS).collect()
+    items = benchmark.select("item_id", "text").filter("text is not null")
+    out, last = [], None
+    while True:  # blocks by (item_id, text), null ids first; each fetch is of at most ITEMS rows
+        rows = (items if last is None else items.filter(_after(last))).orderBy(F.col("item_id").asc_nulls_first(), "text").limit(ITEMS).collect()
         if not rows:
             return out
-        low = rows[-1].item_id
+        last = rows[-1]
         found = passages([(r.item_id, r.text) for r in rows], len(out))
         if not found:
             continue
@@ -288,7 +295,11 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for k in range(0, whole.num_rows, 256):
                 b = whole.slice(k, 256)
                 texts, names = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
-                rows = [(n, i, *x) for s in sent for n, f in zip(names, _finder(s).find(texts)) for i, x in f.items()]
+                best: list[dict] = [{} for _ in texts]
+                for s in sent:  # an item may have passages in several blocks
+                    for old, new in zip(best, _finder(s).find(texts)):
+                        old.update({i: x for i, x in new.items() if i not in old or better(old[i], x)})
+                rows = [(n, i, *x) for n, f in zip(names, best) for i, x in f.items()]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))], ["doc_id", "item_id", "common_words", "item_words", "cosine"])
 

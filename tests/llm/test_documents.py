@@ -201,6 +201,17 @@ def test_decontamination_of_often_leaked_items(spark, docs):
     assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs(few), bench).collect()} == {(0, 0), (1, 0)}
 
 
+def test_decontamination_pages_by_item_and_text(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEMS", 3)
+    ids = [1, 5, 5, 5, 5, 5, 7, None, None]
+    items = [(i, " ".join(f"p{k}x{j}" for j in range(20))) for k, i in enumerate(ids)]
+    data = [(k, f"before it {t} after it") for k, (_, t) in enumerate(items)] + [(50, f"{items[1][1]} {items[5][1]}"), (51, "clean text of some words")]
+    bench = spark.createDataFrame([*items, items[3]], "item_id bigint, text string")
+    found = [(r.doc_id, r.item_id) for r in decontaminate.matches(docs(data), bench).collect()]
+    assert sorted(found, key=str) == sorted([*enumerate(ids), (50, 5)], key=str)
+    assert [r.doc_id for r in decontaminate.keep_clean(docs(data), bench).collect()] == [51]
+
+
 def test_crf_labels(spark, docs, odd):
     rng = np.random.default_rng(6)
     parts = {"en": ["th", "sh", "ing", "wh", "ow"], "de": ["sch", "ei", "ung", "ü", "ch"], "es": ["ción", "ll", "ñ", "os", "ue"]}
