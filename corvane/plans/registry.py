@@ -7,6 +7,7 @@ tables; each SQL text begins with the same derivation.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -358,18 +359,18 @@ def _swept(c: Corpus, namespace: str | None = SCOPE) -> DataFrame:
     return audit.scope(c.statements, namespace)
 
 
-def _vectors(c: Corpus) -> DataFrame:
-    return audit.swept_vectors(c.embeddings, _swept(c).select("full_id"), MODEL)
+def _vectors(c: Corpus, namespace: str | None) -> DataFrame:
+    return audit.swept_vectors(c.embeddings, _swept(c, namespace).select("full_id"), MODEL)
 
 
 @query("knn_pairs", f"WITH {AUDIT} SELECT a, b, rank::INT AS rank, round(s, 6) AS sim FROM near WHERE rank <= 2")
-def knn_pairs(c: Corpus) -> DataFrame:
-    return vectors.nearest(_vectors(c), 2).select("a", "b", "rank", F.round("sim", 6).alias("sim"))
+def knn_pairs(c: Corpus, namespace: str | None = SCOPE) -> DataFrame:
+    return vectors.nearest(_vectors(c, namespace), 2).select("a", "b", "rank", F.round("sim", 6).alias("sim"))
 
 
 @query("csls_density", f"WITH {AUDIT} SELECT full_id, round(d, 6) AS density FROM dens")
-def csls_density(c: Corpus) -> DataFrame:
-    return audit.density(vectors.nearest(_vectors(c), C.DENSITY_K)).select("full_id", F.round("density", 6).alias("density"))
+def csls_density(c: Corpus, namespace: str | None = SCOPE) -> DataFrame:
+    return audit.density(vectors.nearest(_vectors(c, namespace), C.DENSITY_K)).select("full_id", F.round("density", 6).alias("density"))
 
 
 @query("facet_pairs", "WITH ownf AS (SELECT facet, full_id FROM facets JOIN statements USING (full_id) WHERE source_kind = 'statement' AND status IN ('active', 'proposed')), heldf AS (SELECT facet FROM ownf GROUP BY 1 HAVING count(*) BETWEEN 2 AND 8) SELECT x.full_id AS a, y.full_id AS b, array_to_string(list_sort(list(DISTINCT facet)), ',') AS shared_facets FROM ownf x JOIN ownf y USING (facet) SEMI JOIN heldf USING (facet) WHERE x.full_id < y.full_id GROUP BY 1, 2")
@@ -378,35 +379,35 @@ def facet_pairs(c: Corpus) -> DataFrame:
 
 
 @query("source_pairs", f"WITH {AUDIT} SELECT a, b FROM sp")
-def source_pairs(c: Corpus) -> DataFrame:
-    return audit.source_pairs(_swept(c))
+def source_pairs(c: Corpus, namespace: str | None = SCOPE) -> DataFrame:
+    return audit.source_pairs(_swept(c, namespace))
 
 
-def _audit(c: Corpus):
-    return audit.audit(c.statements, c.facets, c.embeddings, c.edges, c.verdicts, MODEL, SCOPE)
+def _audit(c: Corpus, namespace: str | None):
+    return audit.audit(c.statements, c.facets, c.embeddings, c.edges, c.verdicts, MODEL, namespace)
 
 
 @query("audit_pairs", f"WITH {AUDIT} SELECT {PAIR} FROM queue")
-def audit_pairs(c: Corpus) -> DataFrame:
-    q = audit.page(_audit(c)[0], 0)
+def audit_pairs(c: Corpus, namespace: str | None = SCOPE) -> DataFrame:
+    q = audit.page(_audit(c, namespace)[0], 0)
     return q.select("a", "b", F.round("score", 6).alias("score"), F.round("similarity", 6).alias("similarity"), F.array_join("shared_facets", ",").alias("shared_facets"), "same_source", "modality_conflict")
 
 
 @query("audit_page", f"WITH {AUDIT} SELECT {PAIR} FROM queue ORDER BY queue.score DESC, modality_conflict DESC, a, b LIMIT 50")
-def audit_page(c: Corpus) -> DataFrame:
-    q = audit.page(_audit(c)[0])
+def audit_page(c: Corpus, namespace: str | None = SCOPE) -> DataFrame:
+    q = audit.page(_audit(c, namespace)[0])
     return q.select("a", "b", F.round("score", 6).alias("score"), F.round("similarity", 6).alias("similarity"), F.array_join("shared_facets", ",").alias("shared_facets"), "same_source", "modality_conflict")
 
 
 @query("audit_progress", f"WITH {AUDIT} SELECT (SELECT count(*) FROM unjudged)::BIGINT AS remaining, (SELECT count(*) FROM swept WHERE full_id NOT IN (SELECT a FROM unjudged UNION SELECT b FROM unjudged))::BIGINT AS swept, (SELECT count(*) FROM swept)::BIGINT AS statements, 2 AS depth")
-def audit_progress(c: Corpus) -> DataFrame:
-    return _audit(c)[1]
+def audit_progress(c: Corpus, namespace: str | None = SCOPE) -> DataFrame:
+    return _audit(c, namespace)[1]
 
 
 @query("audit_ordered", f"WITH {AUDIT}, s AS (SELECT *, CASE WHEN substr(md5(ha || hb), 1, 1) < 'c' THEN round(('0x' || substr(md5(ha || hb), 1, 4))::INT / 65535, 6) END AS contradiction FROM queue) SELECT a, b, round(score, 6) AS score, contradiction FROM s ORDER BY contradiction DESC NULLS LAST, s.score DESC, modality_conflict DESC, a, b LIMIT 50")
-def audit_ordered(c: Corpus) -> DataFrame:
+def audit_ordered(c: Corpus, namespace: str | None = SCOPE) -> DataFrame:
     """With a fixed scorer in the model's place, which leaves some pairs unscored."""
-    queue = _audit(c)[0]
+    queue = _audit(c, namespace)[0]
     h = c.statements.select("full_id", F.sha2("body", 256).alias("h"))
     pairs = queue.select("a", "b").join(h.select(F.col("full_id").alias("a"), F.col("h").alias("a_hash")), "a").join(h.select(F.col("full_id").alias("b"), F.col("h").alias("b_hash")), "b")
     digest = F.md5(F.concat("a_hash", "b_hash"))
@@ -414,6 +415,11 @@ def audit_ordered(c: Corpus) -> DataFrame:
     return audit.ordered_by_scores(queue, scores, c.statements, "fixed").select("a", "b", F.round("score", 6).alias("score"), "contradiction")
 
 
+# the sweeps over the whole store, with the SQL of the scoped ones but its namespace
+for _f in (knn_pairs, csls_density, source_pairs, audit_pairs, audit_page, audit_progress, audit_ordered):
+    query(f"{_f.__name__}_whole", ORACLES[_f.__name__].replace(f" AND namespace = '{SCOPE}'", ""), base=False)(partial(_f, namespace=None))
+
+
 # ---- labels ------------------------------------------------------------------------------------------------
 
 CLASSES = "classes AS (SELECT r.*, CASE WHEN s.full_id IS NOT NULL THEN CASE WHEN s.abstract THEN 'abstract' WHEN s.status IN ('superseded', 'deprecated') THEN 'retired' ELSE s.status END WHEN j.full_id IS NOT NULL THEN 'rejected' ELSE 'dangling' END AS class FROM (SELECT DISTINCT * FROM refs) r LEFT JOIN statements s ON s.full_id = r.full_id LEFT JOIN (SELECT DISTINCT full_id FROM rejections) j ON j.full_id = r.full_id)"
