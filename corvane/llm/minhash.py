@@ -34,7 +34,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm import vocab
 from corvane.llm.components import components
 from corvane.llm.scratch import cut
 
@@ -69,18 +68,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_hashes() -> vocab.Remembered:
+def shingles(text: str | None, rule: Rule) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's shingles. bytes.lower() and bytes.split() know A-Z and the six ASCII blanks only."""
     import xxhash
 
-    return vocab.once("word hashes", 0, lambda: vocab.Remembered(xxhash.xxh3_64_intdigest, most=200_000))
-
-
-def shingles(text: str | None, rule: Rule, hashes: vocab.Remembered) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles. bytes.lower() and bytes.split() know A-Z and the six ASCII blanks only."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
     k = min(rule.words, len(w))
     h = np.full(len(w) - k + 1, 0x9E3779B97F4A7C15 * k & (2**64 - 1), dtype=np.uint64)
     for i in range(k):
@@ -136,11 +131,10 @@ def sketch(docs: DataFrame, rule: Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        hashes = _word_hashes()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                sets = [shingles(x.as_py(), rule, hashes) for x in b.column("text")]
+                sets = [shingles(x.as_py(), rule) for x in b.column("text")]
                 keys = [xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None for u in sets]
                 big = [i for i, u in enumerate(sets) if len(u) >= rule.least]
                 bands: list = [None] * len(sets)
@@ -158,11 +152,10 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
     """id, set of the documents whose id is in ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _word_hashes()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                sets = [shingles(x.as_py(), rule, hashes).view(np.int64) for x in b.column("text")]
+                sets = [shingles(x.as_py(), rule).view(np.int64) for x in b.column("text")]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
 
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")

@@ -33,35 +33,35 @@ from pyspark.sql import functions as F
 from corvane.llm import range_coder, vocab
 from corvane.llm.scratch import shared_dir
 
-SEGMENT = range_coder.BLOCK * range_coder.LANES
+SEGMENT = range_coder.BLOCK * range_coder.GROUP
 NO_ID = -(1 << 63)
 SCHEMA = "part int, segment int, start bigint, total bigint, doc_ids binary, lengths binary, blocks binary"
 
 
 def write(docs: DataFrame, to: str, path: str | None = None, end_id: int = 0) -> None:
     """Encode documents (doc_id, text) into the token-ID files at `to`."""
-    content = vocab.ship(docs.sparkSession, path or vocab.default_path("byte_bpe_50k.json"))
+    sent = vocab.ship(docs.sparkSession, path or vocab.default_path("byte_bpe_50k.json"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, segment, start = TaskContext.get().partitionId(), 0, 0
-        coder = vocab.once("ids", hash(content.value), lambda: vocab.ByteLevel(vocab.load(content.value), vocab.packed))
-        end = vocab.packed([end_id])
+        coder = vocab.encoder(sent.value)
+        end = np.array([end_id], dtype="<u4")
         names, ids, lengths, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            stream = np.frombuffer(b"".join(ids), dtype="<u4")
+            stream = np.concatenate(ids)
             row = [part, segment, start, len(stream), np.array(names, dtype="<i8").tobytes(), np.array(lengths, dtype="<u4").tobytes(), range_coder.encode(stream)]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["part", "segment", "start", "total", "doc_ids", "lengths", "blocks"])
 
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                x = b"".join([*coder.values(text.as_py() or ""), end])
+                x = coder(text.as_py() or "")
                 names.append(NO_ID if doc_id is None else doc_id)
-                ids.append(x)
-                lengths.append(len(x) // 4)
-                held += len(x) // 4
+                ids += [x, end]
+                lengths.append(len(x) + 1)
+                held += len(x) + 1
                 if held >= SEGMENT:
                     yield flush()
                     segment, start = segment + 1, start + held

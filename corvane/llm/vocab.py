@@ -1,32 +1,33 @@
-"""Exact tokenizer access for executors: the file's content is broadcast (its size is the vocabulary's), words are remembered.
-
-Words, here: for byte-level vocabularies a run without white space together
-with one space before it, for word vocabularies a run without white space. The
-pre-tokenizers of both always end a piece there, so a text's ids are those of
-its words. Texts that hold a special string, which splits a text first, go to
-the library whole.
+"""Exact tokenizer access for executors: the file's content is broadcast (its size is the vocabulary's).
+
+Texts are encoded by merge ranks, the same merges that the library applies: every
+entry of the vocabulary is tried once for each file (consistent()), and where each
+entry is encoded as itself, the least-ranked pair of neighbours is always a pair of
+the file's merges, so ranks alone decide like the list of merges does. Files that
+fail the trial, texts with a special string, and lines or words with characters
+whose classes, case or normal forms the two regular-expression engines might
+take differently, go to the library.
 """
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
-import struct
-import time
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import SparkSession
 
-WHITE = "\t-\r \x85\xa0  -     　"
-RUNS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-WORDS = re.compile(f"[^{WHITE}]+")
-#: Python's split() also splits at these, which are no white space to the tokenizers.
-ODD = re.compile("[\x1c-\x1f]")
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: How byte-level vocabularies split a text (fixed value).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Up to U+024F classes, case and forms are the same in all engines; but these are ours, or blank to some engines only, or lower-cased into two.
+ODD = re.compile("[\x00\x1c-\x1f\u0130\u0250-\U0010ffff]")
+#: A line end between two other characters than white space is a piece of its own.
+LINE_END = re.compile(f"(?<=[^{WHITE}])(\n)(?=[^{WHITE}])")
 _KEPT: dict[str, tuple] = {}
-FRESH = 20.0
 
 
 def default_path(name: str) -> str:
@@ -36,9 +37,10 @@ def default_path(name: str) -> str:
 
 
 def ship(spark: SparkSession, path: str):
-    """The tokenizer's file as a broadcast, so that executors need no file of their own."""
+    """The tokenizer's file as a broadcast, so that executors need no file of their own, and whether ranks decide like its merges."""
     with open(path, "rb") as f:
-        return spark.sparkContext.broadcast(f.read())
+        content = f.read()
+    return spark.sparkContext.broadcast((content, consistent(content)))
 
 
 def load(content: bytes):
@@ -56,31 +58,39 @@ def load(content: bytes):
 def once(kind: str, key, make):
     """make() once for each worker and key.
 
-    A new key takes the old one's place, and a kind that was not asked for in the last FRESH
-    seconds is let go when another is made: workers outlive stages, and what one stage
-    remembers is not the next one's.
+    A new key takes the old one's place. Workers outlive stages: when something is made, all
+    that no task of the present stage has asked for is let go, and its memory given back.
     """
-    now = time.monotonic()
+    context = TaskContext.get()
+    stage = context.stageId() if context else -1
     got = _KEPT.get(kind)
     if got is None or got[0] != key:
-        for old in [k for k, x in _KEPT.items() if k == kind or now - x[2] > FRESH]:
+        gone = [k for k, x in _KEPT.items() if k == kind or x[2] != stage]
+        for old in gone:
             del _KEPT[old]
-        got = (key, make(), now)
-    _KEPT[kind] = (got[0], got[1], now)
+        if gone:
+            give_back()
+        got = (key, make(), stage)
+    _KEPT[kind] = (got[0], got[1], stage)
     return got[1]
 
 
+def give_back() -> None:
+    """Freed memory back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 class Remembered(dict):
     """word -> make(word), in two generations of at most `most` words: a full young one becomes the old one, words used again move up."""
 
-    def __init__(self, make, most: int = 200_000, fixed: dict | None = None):
+    def __init__(self, make, most: int = 50_000):
         super().__init__()
-        self.make, self.most, self.old, self.fixed = make, most, {}, fixed or {}
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, word):
-        got = self.fixed.get(word)
-        if got is not None:
-            return got
         got = self.old.get(word)
         if got is None:
             got = self.make(word)
@@ -91,40 +101,6 @@ class Remembered(dict):
         return got
 
 
-class Pieces:
-    """word -> its ids, by the vocabulary's own model, piece by piece, and pieces are remembered.
-
-    Characters up to U+024F have fixed classes and compose with nothing among
-    themselves, so Python's splitting and lower-casing equal the library's; words
-    with others, or with what may begin a special string, go to the library whole.
-    """
-
-    def __init__(self, tok, value):
-        import regex
-
-        setup = json.loads(tok.to_str())
-        pre = setup["pre_tokenizer"]
-        split = next((p["pattern"]["Regex"] for p in pre.get("pretokenizers", ()) if p["type"] == "Split"), None)
-        self.find = regex.compile(split or BYTE_LEVEL).findall
-        self.lower = "Lowercase" in json.dumps(setup["normalizer"])
-        self.tok, self.value, model = tok, value, tok.model
-        starts = {t.content[:1] for t in tok.get_added_tokens_decoder().values()}
-        self.library = re.compile(f"[ɐ-\U0010ffff{re.escape(''.join(starts))}]").search
-        table = byte_characters()
-        self.piece = Remembered(lambda p: [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(table))], most=60_000)
-
-    def __call__(self, word: str):
-        bare = word[1:] if word[0] == " " else word
-        if bare.isascii() and bare.isalpha():  # most words are one piece
-            return self.value(self.piece[word.lower() if self.lower else word])
-        if self.library(word):
-            return self.value(self.tok.encode(word, add_special_tokens=False).ids)
-        found = self.find(word.lower() if self.lower else word)
-        if len(found) == 1:
-            return self.value(self.piece[found[0]])
-        return self.value([i for p in found for i in self.piece[p]])
-
-
 def byte_characters() -> dict[int, int]:
     """The character that byte-level vocabularies write for each byte: printable Latin-1 as itself, the others from U+0100 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -132,35 +108,132 @@ def byte_characters() -> dict[int, int]:
     return {b: b for b in own} | {b: 256 + k for k, b in enumerate(rest)}
 
 
-class ByteLevel:
-    """Texts of a byte-level vocabulary, word by word. make(word) is what is kept for a word; two tables, for words after a space and other runs."""
-
-    def __init__(self, tok, value, make=None):
-        make = make or Pieces(tok, value)
-        self.spaced = Remembered(lambda w: make(" " + w))
-        self.plain = Remembered(make, most=60_000)
-        self.whole = lambda text: value(tok.encode(text, add_special_tokens=False).ids)
-        self.marks = [t.content for t in tok.get_added_tokens_decoder().values()]
-
-    def values(self, text: str) -> list:
-        if any(m in text for m in self.marks):
-            return [self.whole(text)]
-        out, line_end = [], self.plain["\n"]
-        for k, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            if not line.isprintable() or "" in words:  # runs of white space, or unusual characters
-                return list(map(self.plain.__getitem__, RUNS.findall(text)))
-            if k:
-                out.append(line_end)
-            out.append(self.plain[words[0]])
-            if len(words) > 1:
-                out.extend(map(self.spaced.__getitem__, words[1:]))
-        return out
-
-
-#: Packers of short lists, which most words are.
-_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
-
-
-def packed(ids: list[int]) -> bytes:
-    return _PACK[len(ids)](*ids) if len(ids) < 32 else np.asarray(ids, dtype="<u4").tobytes()
+def _setup(content: bytes) -> dict:
+    """What a BPE file says: pattern, lower, suffix, vocab, merges; {} if it is of a kind that ranks do not cover."""
+    file = json.loads(content)
+    model, pre, norm = file["model"], file["pre_tokenizer"] or {}, json.dumps(file["normalizer"])
+    plain = [p for p in (pre.get("pretokenizers") or [pre])]
+    split = next((p["pattern"]["Regex"] for p in plain if p.get("type") == "Split" and p.get("invert") and p.get("behavior") == "Removed"), None)
+    level = next((p for p in plain if p.get("type") == "ByteLevel"), None)
+    known = model.get("type") == "BPE" and level and not level.get("add_prefix_space") and (split or level.get("use_regex")) and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    suffix = model.get("end_of_word_suffix") or ""
+    if not known or bool(suffix) != bool(split) or file.get("truncation") or file.get("padding"):
+        return {}
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    return {"pattern": split or BYTE_LEVEL, "lower": "Lowercase" in norm, "suffix": suffix, "vocab": model["vocab"], "merges": merges}
+
+
+def _ranks(setup: dict) -> tuple[dict[bytes, int], np.ndarray]:
+    """Bytes -> rank, and the id of each rank. The end of a word is the byte zero, which is joined to the byte before it first of all."""
+    suffix, vocab = setup["suffix"], setup["vocab"]
+    ranks: dict[bytes, int] = {}
+    ids: list[int] = []
+
+    def put(key: bytes, name: str) -> None:
+        if key in ranks:
+            raise KeyError(name)
+        ranks[key] = len(ids)
+        ids.append(vocab.get(name, 0))
+
+    chars = byte_characters()
+    bare = {chr(c): b for b, c in chars.items()}
+
+    def raw(name: str) -> bytes:
+        end = suffix and name.endswith(suffix)
+        return bytes(bare[c] for c in (name[: -len(suffix)] if end else name)) + (b"\x00" if end else b"")
+
+    if suffix:
+        for b, c in chars.items():
+            if b:
+                put(bytes([b, 0]), chr(c) + suffix)
+    for b, c in chars.items():
+        put(bytes([b]), chr(c))
+    for a, z in setup["merges"]:
+        put(raw(a)[:-1] + raw(z) if suffix and a.endswith(suffix) else raw(a) + raw(z), a + z)
+    return ranks, np.array(ids, dtype="<u4")
+
+
+def consistent(content: bytes) -> bool:
+    """Whether every entry of the vocabulary is encoded as itself by the file's own merges."""
+    from tokenizers.models import BPE
+
+    try:
+        setup = _setup(content)
+        if not setup:
+            return False
+        _ranks(setup)
+        if len(setup["vocab"]) != len(set(setup["vocab"].values())):
+            return False
+    except KeyError:
+        return False
+    suffix, mark = setup["suffix"], "\ue000"
+    name = (lambda w: w[: -len(suffix)] + mark if w.endswith(suffix) else w) if suffix else (lambda w: w)
+    first = [(w[: -len(suffix)], mark) for w in setup["vocab"] if suffix and w.endswith(suffix) and len(w) == len(suffix) + 1]
+    vocab = {name(w): i for w, i in setup["vocab"].items()}
+    if suffix:
+        vocab[mark] = max(vocab.values()) + 1
+    model = BPE(vocab=vocab, merges=[*first, *((name(a), name(z)) for a, z in setup["merges"])])
+    return all([t.id for t in model.tokenize(w)] == [i] for w, i in vocab.items())
+
+
+class Encoder:
+    """text -> its ids, as the library gives them. Holds the tokenizer and its ranks, and nothing of the texts."""
+
+    def __init__(self, content: bytes, by_ranks: bool):
+        import regex
+        import tiktoken
+
+        self.tok = load(content)
+        self.marks = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.core = None
+        if by_ranks:
+            setup = _setup(content)
+            self.lower, self.words = setup["lower"], bool(setup["suffix"])
+            ranks, self.ids = _ranks(setup)
+            self.same = np.array_equal(self.ids, np.arange(len(self.ids)))
+            self.core = tiktoken._tiktoken.CoreBPE(ranks, {}, r"[^\s\x00]+\x00" if self.words else setup["pattern"])
+            self.find = regex.compile(setup["pattern"]).findall
+
+    def library(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def ended(self, word: str) -> str:
+        """The pieces of a word that is not letters alone, with the end of a word between them."""
+        if not word[-1].isalnum() and word[:-1].isalpha():
+            return f"{word[:-1]}\x00 {word[-1]}"
+        return "\x00 ".join(self.find(word))
+
+    def plain(self, text: str) -> np.ndarray:
+        """The ids of a text without odd characters."""
+        if self.words:
+            text = text.lower() if self.lower else text
+            text = "\x00 ".join([w if w.isalpha() else self.ended(w) for w in text.split()]) + "\x00"
+        ranks = np.array(self.core.encode_ordinary(text), dtype="<u4")
+        return ranks if self.same else self.ids.take(ranks)
+
+    def __call__(self, text: str) -> np.ndarray:
+        if self.core is None or any(m in text for m in self.marks):
+            return self.library(text)
+        if not ODD.search(text):
+            return self.plain(text)
+        parts = re.findall(f"[^{WHITE}]+", text) if self.words else LINE_END.split(text)
+        return np.concatenate([self.library(p) if ODD.search(p) else self.plain(p) for p in parts]) if parts else np.zeros(0, dtype="<u4")
+
+
+class Decoder:
+    """ids -> text, as the library gives it, special tokens kept."""
+
+    def __init__(self, content: bytes):
+        self.tok = load(content)
+        bare = json.loads(content)["decoder"] is None  # then tokens are joined by spaces
+        self.names = np.array([self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())], dtype=object) if bare else None
+
+    def __call__(self, ids: np.ndarray) -> str:
+        if self.names is None:
+            return self.tok.decode(ids.tolist(), skip_special_tokens=False)
+        return " ".join(self.names.take(ids).tolist())
+
+
+def encoder(shipped: tuple[bytes, bool]) -> Encoder:
+    """The encoder of what ship() sent, once for each worker."""
+    return once("encoder", hash(shipped[0]), lambda: Encoder(*shipped))
