@@ -291,3 +291,19 @@ def keep_first(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     _, roots = linked(docs.select("doc_id", "text"), rule)
     gone = roots.filter("id <> root").select("id")
     return docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")
+
+
+#: The same by brute force: every pair that shares a shingle, and what can be reached from each document.
+LINKS_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM w),
+sets AS (SELECT list_sort(g) AS g, len(g) AS n, min(doc_id) AS rep FROM g WHERE len(g) > 0 GROUP BY ALL),
+s AS (SELECT rep, n, unnest(g) AS h FROM sets),
+pairs AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS both_ FROM s a JOIN s b ON a.h = b.h AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 100 * both_ >= 85 * (na + nb - both_)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, root) AS (SELECT a, a FROM edges UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.id),
+roots AS (SELECT id, min(root) AS root FROM reach GROUP BY 1)
+SELECT g.doc_id, len(g.g)::BIGINT AS n_shingles, coalesce(roots.root, sets.rep, g.doc_id) AS component_id, g.doc_id = coalesce(roots.root, sets.rep, g.doc_id) AS kept
+FROM g LEFT JOIN sets ON list_sort(g.g) = sets.g LEFT JOIN roots ON roots.id = sets.rep
+"""

@@ -67,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_warc": warc.PAGES_SQL,
+    "op7_minhash": minhash.LINKS_SQL,
     "op8_line_dedup": line_dedup.LINE_SQL,
     "op10_quality_rules": quality.QUALITY_SQL,
 }
