@@ -1,16 +1,19 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-The benchmark is a stated query set; it is gone through in blocks of ITEMS items,
-so what is sent to executors is bounded whatever its size. For each block:
-
-1. Document frequencies of the block's words are counted over all documents, map
-   side first; a word's weight is ln(COMMON * n / df), none if negative. Passages
-   leaked so often that their own words count as common (mean squared weight under
-   WORN) are besides looked up by SEED-word runs, and the stretch of text that a run
-   aligns with the passage goes to the check of step 4.
-2. The block's passages (items cut at PASSAGE words) are a distributed TF-IDF
-   matrix; a randomised SVD (random range, two power iterations, each a map over
-   passages and a sum by slice of the vocabulary) gives the latent space.
+The benchmark is a stated query set. Document frequencies of all its words are
+counted in one pass over the documents (one for every VOCABULARY words), map side
+first. Its passages (items cut at PASSAGE words) then go through in blocks of at
+most ITEMS passages and WORDS distinct words, GROUP blocks to a pass over the
+documents, so that what is sent to executors is bounded whatever its size; the
+driver holds its distinct words. For each block:
+
+1. A word's weight is ln(COMMON * n / df), none if negative. Passages leaked so
+   often that their own words count as common (mean squared weight under WORN) are
+   besides looked up by SEED-word runs, and the stretch of text that a run aligns
+   with the passage goes to the check of step 4.
+2. The passages are a distributed TF-IDF matrix; a randomised SVD (random range, two
+   power iterations, each a map over passages and a sum by slice of the vocabulary)
+   gives the latent space.
 3. Every document is cut into overlapping windows of three STEP-word blocks, so
    that any passage lies whole in one of them; windows are folded into the latent
    space and their cosine with every passage is taken, in matrix blocks.
@@ -19,13 +22,18 @@ so what is sent to executors is bounded whatever its size. For each block:
    common subsequence must have SHARE of the passage's words, and its last quarter,
    where an item has its answer, ANSWER of its own.
 
-A window never leaves its task and nothing of the corpus is shuffled but counts of
-benchmark words. Words are lower-cased and stripped of signs at both ends.
+Items of fewer than LEAST words say too little for a latent space: they are found
+where all their words stand in a row. Pieces of longer items never get that short.
 
-Defined cases: null text or item text has no words and matches nothing; items of
-fewer than LEAST words are not looked for (chance would find them); items without an
-id are looked for and come out with null item_id, those that share an id are one item
-of several passages; repeated rows are matched each; an empty benchmark or table gives an empty result.
+A window never leaves its task and nothing of the corpus is shuffled but counts of
+benchmark words. Words are lower-cased and stripped of signs at both ends; in
+scripts that are written without spaces each character is a word.
+
+Defined cases: null text or item text has no words and matches nothing; items
+without an id are looked for and come out with null item_id, those that share an id
+are one item of several passages (one of more than GROUP blocks may come out once a
+pass); repeated rows are matched each; an empty benchmark or table gives an empty
+result; other columns are ignored (matches) or kept (keep_clean).
 """
 
 from __future__ import annotations
@@ -41,16 +49,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import vocab
+from corvane.llm.scratch import cut
 
-ITEMS, PASSAGE, STEP, LEAST, RANK = 1024, 64, 32, 6, 256
+ITEMS, WORDS, GROUP, VOCABULARY = 1024, 1 << 14, 4, 1 << 18
+PASSAGE, STEP, LEAST, RANK = 64, 32, 6, 256
 WORN, SEED = 0.25, 3
 COMMON, MIN_COSINE, MIN_HELD, SHARE, ANSWER = 0.1, 0.35, 0.25, 0.6, 0.5
 SLICE = 4096
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
+#: Thai, Lao, Myanmar, Khmer, kana and Han
+_SOLID = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+
+
+def spaced(text: str | None) -> list[str]:
+    """The parts of a text between white space, in lower case; characters of scripts without spaces by themselves."""
+    text = (text or "").lower()
+    return (text if text.isascii() or not _SOLID.search(text) else _SOLID.sub(r" \1 ", text)).split()
+
+
 def words_of(text: str | None) -> list[str]:
-    return [w for w in (_EDGE.sub("", x) for x in (text or "").lower().split()) if w]
+    return [w for w in (_EDGE.sub("", x) for x in spaced(text)) if w]
 
 
 class Ids(dict):
@@ -69,42 +89,66 @@ class Ids(dict):
         return got
 
     def of(self, text: str | None) -> np.ndarray:
-        raw = (text or "").lower().split()
+        raw = spaced(text)
         ids = np.fromiter(map(self.__getitem__, raw), dtype=np.int32, count=len(raw))
         return ids[ids != -2]
 
 
-def passages(rows: list, block: int) -> list[tuple[int, list[str]]]:
-    """(item_id, words) of a block's items, long ones cut in pieces of PASSAGE words."""
-    out = []
-    for item, text in rows:
-        w = words_of(text)
-        n = max(1, -(-len(w) // PASSAGE))
-        size = -(-len(w) // n) if w else 1
-        out += [(item, w[k : k + size]) for k in range(0, len(w), size) if len(w[k : k + size]) >= LEAST]
-    return out
+def passages(item_id: int | None, text: str | None) -> list[tuple[int | None, list[str]]]:
+    """(item_id, words) of an item, a long one cut in like pieces of PASSAGE words at most."""
+    w = words_of(text)
+    n = max(1, -(-len(w) // PASSAGE))
+    size = max(1, -(-len(w) // n))
+    return [(item_id, w[k : k + size]) for k in range(0, len(w), size)]
 
 
-def document_frequency(docs: DataFrame, words: list[str]) -> tuple[int, np.ndarray]:
-    """The number of documents and, per word, of those that hold it."""
-    sent, mark = docs.sparkSession.sparkContext.broadcast(words), uuid.uuid4().hex
+def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, list[str]]]]:
+    """The benchmark's passages by item_id, null ones first, in blocks; a partition of it is on the driver at a time."""
+    found: list[tuple] = []
+    known: set[str] = set()
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").distinct()
+    for r in rows.orderBy(F.col("item_id").asc_nulls_first(), "text").toLocalIterator():
+        for p in passages(r.item_id, r.text):
+            if found and (len(found) == ITEMS or len(known | set(p[1])) > WORDS):
+                yield found
+                found, known = [], set()
+            found.append(p)
+            known.update(p[1])
+    if found:
+        yield found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = vocab.once("benchmark words", mark, lambda: Ids({w: i for i, w in enumerate(sent.value)}))
-        n, seen = 0, np.zeros(len(sent.value), dtype=np.int64)
+
+def document_frequency(docs: DataFrame, benchmark: DataFrame) -> tuple[int, dict[str, int]]:
+    """The number of documents and, per word of the benchmark, of those that hold it."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in b.column("text"):
-                n += 1
-                found = np.unique(ids.of(x.as_py()))
-                seen[found[found >= 0]] += 1
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], at]).astype(np.int64)), pa.array(np.concatenate([[n], seen[at]]).astype(np.int64))], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({w for x in b.column("text") for w in words_of(x.as_py())}), pa.string())], ["word"])
+
+    words = sorted(r.word for r in benchmark.select("text").mapInArrow(split, "word string").distinct().toLocalIterator())
+    n, out = 0, {}
+    for k in range(0, max(1, len(words)), VOCABULARY):
+        some = words[k : k + VOCABULARY]
+        sent, mark = docs.sparkSession.sparkContext.broadcast(some), uuid.uuid4().hex
 
-    rows = docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()  # one row per benchmark word
-    counts = np.zeros(len(words) + 1, dtype=np.int64)
-    for r in rows:
-        counts[r.word] = r.n  # -1 is the last
-    return int(counts[-1]), counts[:-1]
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, mark=mark) -> Iterator[pa.RecordBatch]:
+            ids = vocab.once("benchmark words", mark, lambda: Ids({w: i for i, w in enumerate(sent.value)}))
+            n, seen = 0, np.zeros(len(sent.value), dtype=np.int64)
+            for b in batches:
+                for x in b.column("text"):
+                    n += 1
+                    found = np.unique(ids.of(x.as_py()))
+                    seen[found[found >= 0]] += 1
+            at = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], at]).astype(np.int64)), pa.array(np.concatenate([[n], seen[at]]).astype(np.int64))], ["word", "n"])
+
+        for r in docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect():  # one row per benchmark word
+            if r.word < 0:
+                n = r.n
+            else:
+                out[some[r.word]] = r.n
+        sent.unpersist()
+    return n, out
 
 
 def latent_space(spark, rows: list[tuple[list[int], list[float]]], n_words: int, rank: int = RANK) -> np.ndarray:
@@ -163,14 +207,19 @@ class Finder:
 
     def __init__(self, found: list[tuple[int, list[int]]], numbers: dict[str, int], weights: np.ndarray, space: np.ndarray):
         self.ids = Ids(numbers)
+        self.short: dict[int, dict[int, list[tuple]]] = {}  # number of words -> hash of a run -> items
+        for item, w in found:
+            if len(w) < LEAST:
+                self.short.setdefault(len(w), {}).setdefault(int(self.hashes(np.array(w), len(w))[0]), []).append((item, w))
+        found = [(i, w) for i, w in found if len(w) >= LEAST]
         self.items = [i for i, _ in found]
         self.weights = weights
         self.space = space * weights[:, None]
-        q = np.array([self.space[w].sum(axis=0) for _, w in found])
+        q = np.array([self.space[w].sum(axis=0) for _, w in found]).reshape(len(found), self.space.shape[1])
         size = np.linalg.norm(q, axis=1, keepdims=True)
         self.q = (q / np.where(size == 0, 1, size)).T.astype(np.float32)
         self.size = np.where(size == 0, 1, size).ravel()
-        self.least = max(1, min(3, int(0.5 * min(sum(weights[x] > 0 for x in w) for _, w in found))))
+        self.least = max(1, min(3, int(0.5 * min((sum(weights[x] > 0 for x in w) for _, w in found), default=1))))
         self.masks, self.ends = [], []
         for _, w in found:
             tail = max(1, len(w) // 4)
@@ -186,6 +235,23 @@ class Finder:
                     seeds[run].append((i, k))
         self.seeds, self.known_runs = dict(seeds), np.array(sorted(seeds), dtype=np.int64)
 
+    @staticmethod
+    def hashes(ids: np.ndarray, n: int) -> np.ndarray:
+        """A number for every n words in a row, by which few others go."""
+        h = np.zeros(max(0, len(ids) - n + 1), dtype=np.uint64)
+        for k in range(n):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + (ids[k : len(ids) - n + 1 + k].astype(np.int64).astype(np.uint64) + np.uint64(2))
+        return h
+
+    def find_short(self, ids: np.ndarray, out: dict) -> None:
+        for n, known in self.short.items():
+            h = self.hashes(ids, n)
+            at = np.flatnonzero(np.isin(h, np.fromiter(known, dtype=np.uint64, count=len(known))))
+            for p in at.tolist():
+                for item, w in known[int(h[p])]:
+                    if item not in out and ids[p : p + n].tolist() == w:
+                        out[item] = (n, n, 1.0)
+
     def runs(self, ids: np.ndarray) -> np.ndarray:
         """A number for every SEED words in a row, -1 where one is not in the vocabulary."""
         at = np.lib.stride_tricks.sliding_window_view(ids.astype(np.int64), SEED) if len(ids) >= SEED else np.zeros((0, SEED), dtype=np.int64)
@@ -225,6 +291,11 @@ class Finder:
         if self.seeds:
             for x, o in zip(ids, out):
                 self.find_worn(x, o)
+        if self.short:
+            for x, o in zip(ids, out):
+                self.find_short(x, o)
+        if not self.items:
+            return out
         sizes = np.array([-(-len(x) // STEP) + 2 for x in ids])  # two empty blocks after each text
         first = np.cumsum(sizes) - sizes
         blocks = int(sizes.sum())
@@ -252,33 +323,25 @@ class Finder:
         return out
 
 
-def _after(last):
-    """Whether a row comes after row last in the order of (item_id, text), null ids first; repeats of last do not."""
-    later = F.col("item_id").isNotNull() if last.item_id is None else F.col("item_id") > last.item_id
-    return later | (F.col("item_id").eqNullSafe(last.item_id) & (F.col("text") > last.text))
-
-
-def finders(docs: DataFrame, benchmark: DataFrame) -> list:
-    """For each block of the benchmark its number, a mark and a broadcast of what Finder() takes."""
+def finders(docs: DataFrame, benchmark: DataFrame) -> Iterator[list]:
+    """For each pass, of at most GROUP blocks: each block's number, a mark and a broadcast of what Finder() takes."""
     spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").filter("text is not null")
-    out, last = [], None
-    while True:  # blocks by (item_id, text), null ids first; each fetch is of at most ITEMS rows
-        rows = (items if last is None else items.filter(_after(last))).orderBy(F.col("item_id").asc_nulls_first(), "text").limit(ITEMS).collect()
-        if not rows:
-            return out
-        last = rows[-1]
-        found = passages([(r.item_id, r.text) for r in rows], len(out))
-        if not found:
-            continue
+    n, df = document_frequency(docs, benchmark)
+    out: list[tuple] = []
+    for found in blocks(benchmark):
+        if len(out) >= GROUP:
+            yield out
+            out = []
         words = sorted({w for _, ws in found for w in ws})
         numbers = {w: i for i, w in enumerate(words)}
-        n, df = document_frequency(docs, words)
-        weights = np.maximum(np.log(np.maximum(COMMON * max(n, 1), 1.5) / np.maximum(df, 1)), 0).astype(np.float32)
+        held = np.array([df.get(w, 0) for w in words])
+        weights = np.maximum(np.log(np.maximum(COMMON * max(n, 1), 1.5) / np.maximum(held, 1)), 0).astype(np.float32)
         coded = [(i, [numbers[w] for w in ws]) for i, ws in found]
-        rows = [(list(c), [c[w] * float(weights[w]) for w in c]) for c in (Counter(ws) for _, ws in coded)]
-        space = latent_space(spark, rows, len(words))
+        rows = [(list(c), [c[w] * float(weights[w]) for w in c]) for c in (Counter(ws) for _, ws in coded if len(ws) >= LEAST)]
+        space = latent_space(spark, rows, len(words)) if rows else np.zeros((len(words), 1), dtype=np.float32)
         out.append((len(out), uuid.uuid4().hex, spark.sparkContext.broadcast((coded, numbers, weights, space))))
+    if out:
+        yield out
 
 
 def _finder(sent: tuple) -> Finder:
@@ -286,14 +349,15 @@ def _finder(sent: tuple) -> Finder:
     return vocab.once(f"finder {block}", mark, lambda: Finder(*values.value))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, common_words, item_words, cosine: one row per document and item found in it."""
-    sent = finders(docs, benchmark)
+FOUND = "doc_id bigint, item_id bigint, common_words int, item_words int, cosine double"
+BATCH = 256
+
 
+def _matches(docs: DataFrame, sent: list) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                b = whole.slice(k, 256)
+            for k in range(0, whole.num_rows, BATCH):
+                b = whole.slice(k, BATCH)
                 texts, names = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
                 best: list[dict] = [{} for _ in texts]
                 for s in sent:  # an item may have passages in several blocks
@@ -303,17 +367,14 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))], ["doc_id", "item_id", "common_words", "item_words", "cosine"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, item_id bigint, common_words int, item_words int, cosine double")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, FOUND)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no benchmark item is found."""
-    sent = finders(docs, benchmark)
-
+def _clean(docs: DataFrame, sent: list) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                b = whole.slice(k, 256)
+            for k in range(0, whole.num_rows, BATCH):
+                b = whole.slice(k, BATCH)
                 texts = b.column("text").to_pylist()
                 keep = np.ones(len(texts), dtype=bool)
                 for s in sent:
@@ -321,3 +382,33 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield b.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[list, bool]]:
+    """What finders() gives, and whether more follows; what a pass was sent is let go once the next one is asked for."""
+    before = None
+    for sent in finders(docs, benchmark):
+        if before is not None:
+            yield before, True
+            for *_, b in before:
+                b.unpersist()
+        before = sent
+    if before is not None:
+        yield before, False
+
+
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, common_words, item_words, cosine: one row per document and item found in it."""
+    out = docs.sparkSession.createDataFrame([], FOUND)
+    for sent, more in _passes(docs, benchmark):
+        found = _matches(docs, sent)
+        out = out.unionByName(cut(found, "matches") if more else found)
+    return out
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs in which no benchmark item is found."""
+    whole = docs
+    for sent, more in _passes(whole, benchmark):
+        docs = cut(_clean(docs, sent), "clean") if more else _clean(docs, sent)
+    return docs
