@@ -4,12 +4,16 @@ Lines are normalised, hashed and counted by document; the lines of a key that
 enough documents hold go everywhere but in the largest doc_id that holds it.
 Long keys are counted from one row per (document, key), made distinct inside
 the row, so that the count and the maximum combine before the shuffle and a
-line found in every document costs one row per task.
+line found in every document costs one row per task. What is frequent (one row a
+key) is joined back over SALT parts of each key, so that such a line's rows spread.
 
 Defined cases: null text is one empty line; a row with a null doc_id takes part
 in the counts, loses its lines like any other and never is the keeper unless
-nothing but null ids hold the key; repeated rows count once each; an empty
-table gives an empty one; other columns are ignored.
+nothing but null ids hold the key; repeated rows count once each, and rows that
+share a doc_id, or have none, lose their own lines only (they are told apart by
+their texts); an empty table gives an empty one; other columns are ignored
+(line_report) or kept (dedup_lines), where input columns named n_lines or n_dropped
+are replaced by the results.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = " \t\n\x0b\f\r"
+SALT = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -26,7 +31,7 @@ def _key(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
 
 
 def _hash(key: Column) -> Column:
@@ -43,24 +48,25 @@ def frequent_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """doc_id and the positions (from 0) of its lines to drop; documents that lose none have no row."""
+    """doc_id, row (the text's hash) and the positions (from 0) of its lines to drop; documents that lose none have no row."""
     held = (
         _lines(docs)
-        .select("doc_id", F.posexplode("lines").alias("pos", "line"))
-        .select("doc_id", "pos", _key(F.col("line")).alias("key"))
+        .select("doc_id", "row", F.posexplode("lines").alias("pos", "line"))
+        .select("doc_id", "row", "pos", _key(F.col("line")).alias("key"))
         .filter(F.length("key") >= min_chars)
-        .select("doc_id", "pos", _hash(F.col("key")).alias("h"))
-        .select("doc_id", "pos", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
+        .select("doc_id", "row", "pos", _hash(F.col("key")).alias("h"))
+        .select("doc_id", "row", "pos", F.col("h.a").alias("a"), F.col("h.b").alias("b"), F.pmod(F.hash("row", "pos"), F.lit(SALT)).alias("salt"))
     )
-    hit = held.join(frequent_lines(docs, min_chars, min_docs), ["a", "b"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    return hit.groupBy("doc_id").agg(F.collect_set("pos").alias("dropped"))
+    frequent = frequent_lines(docs, min_chars, min_docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    hit = held.join(frequent, ["a", "b", "salt"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    return hit.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """Every column of docs with text rebuilt from the lines kept, and n_lines, n_dropped."""
     out = [F.col(f"d.`{c}`") for c in docs.columns if c != "text"]
     drops = dropped_lines(docs, min_chars, min_docs)
-    joined = docs.alias("d").join(drops.alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")), "left")
+    joined = docs.alias("d").join(drops.alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.xxhash64("d.text") == F.col("x.row")), "left")
     split = joined.select(*out, F.split(F.coalesce("d.text", F.lit("")), "\n").alias("_lines"), F.coalesce("x.dropped", F.array().cast("array<int>")).alias("_dropped"))
     last = F.size("_lines") - 1
     kept = F.transform(F.array_except(F.sequence(F.lit(0), last), "_dropped"), lambda i: F.get("_lines", i))

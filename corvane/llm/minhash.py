@@ -9,7 +9,7 @@ Documents with equal sets are one class from the start, so copies make no pairs.
 A bucket's candidate edges form a star: every member is compared with its centre
 only, the member that meets most others over all bands. Edges, were it of one band
 only, are confirmed on full shingle sets, first each document's best one (that of
-most bands), then those that would still join two components. A star can miss a link between two
+most buckets), then those that would still join two components. A star can miss a link between two
 members that are both unlike the centre, so what still holds several components is
 gone through once more, in blocks inside tasks: members outside a bucket's largest
 component are compared on full sets with members of all others. A task joins two
@@ -250,12 +250,9 @@ def linked(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     members = members.drop("size").join(meets, "id")
     rank = F.struct(F.col("meets"), -F.col("id"))
     centres = members.groupBy("key").agg(F.max_by("id", rank).alias("a"))
-    stars = members.join(centres, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+    # same: in how many buckets the pair is a star's; only ranks a document's edges
+    stars = cut(members.join(centres, "key").filter("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("same")), "stars")
     involved = meets.select("id")
-    bands = heads.join(involved, "id", "left_semi").select("id", "bands")
-    pairs = stars.join(bands.select(F.col("id").alias("b"), F.col("bands").alias("_b")), "b").join(bands.select(F.col("id").alias("a"), F.col("bands").alias("_a")), "a")
-    same = F.size(F.filter(F.zip_with("_a", "_b", lambda x, y: x == y), lambda x: x))
-    stars = cut(pairs.select("a", "b", same.alias("same")), "stars")
     sets = cut(shingle_sets(docs, cut(involved, "involved"), rule).dropDuplicates(["id"]), "sets")
     best = stars.groupBy("b").agg(F.max_by("a", F.struct(F.col("same"), -F.col("a"))).alias("a"))
     links = cut(confirmed(best.select("a", "b"), sets, rule), "links")

@@ -34,9 +34,9 @@ FENCES = {"symbol_rate": (15, True, False), "dup_line_rate": (150, True, False),
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the counts of the base rules with the measures of FENCES."""
     text = F.coalesce("text", F.lit(""))
-    split = docs.select("doc_id", "lang", "source", text.alias("_t"), F.filter(F.split(text, SPACE), lambda w: w != "").alias("_w"))
+    split = docs.select("doc_id", "lang", "source", F.xxhash64("text").alias("_row"), text.alias("_t"), F.filter(F.split(text, SPACE), lambda w: w != "").alias("_w"))
     hashed = split.select(
-        "doc_id", "lang", "source",
+        "doc_id", "lang", "source", "_row",
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("_t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -46,7 +46,7 @@ def measured(docs: DataFrame) -> DataFrame:
     )
     span = F.sequence(F.lit(0), F.size("_x") - 3)
     windows = F.when(F.size("_x") >= 3, F.transform(span, lambda i: F.xxhash64(F.get("_x", i), F.get("_x", i + 1), F.get("_x", i + 2)))).otherwise(F.array().cast("array<bigint>"))
-    keep = ["doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_caps"]
+    keep = ["doc_id", "lang", "source", "_row", "n_words", "word_chars", "n_symbols", "n_caps"]
     lines = [F.size("_l").cast("long").alias("n_lines"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines")]
     # A text without repeated windows, told by a distinct count, needs no more; else the repeated hashes are sought
     # in the windows (few of them), or hash and position are sorted together (many of them): never more than n log n.
@@ -66,7 +66,7 @@ def measured(docs: DataFrame) -> DataFrame:
     step = step.select(*keep, "n_lines", "n_dup_lines", covered.cast("long").alias("n_repeat_words"))
     rate = lambda a, b: F.expr(f"{a} * 1000 div greatest({b}, 1)")
     return step.select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "lang", "source", "_row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         rate("n_symbols", "word_chars").alias("symbol_rate"), rate("n_dup_lines", "n_lines").alias("dup_line_rate"), rate("n_repeat_words", "n_words").alias("repeat_rate"),
         F.expr("word_chars * 100 div greatest(n_words, 1)").alias("word_len"), rate("n_caps", "word_chars").alias("caps_rate"),
@@ -129,9 +129,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept. Rows with equal ids are kept if one of them is."""
-    good = judged(docs.select("doc_id", "lang", "source", "text")).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["_id"]), "left_semi")
+    """The rows of docs that are kept; rows that share a doc_id are told apart by text, language and source."""
+    good = judged(docs.select("doc_id", "lang", "source", "text")).filter("kept").select(F.col("doc_id").alias("_id"), "_row", F.col("lang").alias("_lang"), F.col("source").alias("_source")).distinct()
+    same = docs["doc_id"].eqNullSafe(good["_id"]) & (F.xxhash64(docs["text"]) == good["_row"]) & docs["lang"].eqNullSafe(good["_lang"]) & docs["source"].eqNullSafe(good["_source"])
+    return docs.join(good, same, "left_semi")
 
 
 QUALITY_SQL = r"""

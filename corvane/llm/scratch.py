@@ -9,18 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset and all runs on one machine, as in tests."""
     conf = spark.sparkContext.getConf()
     given = conf.get("spark.checkpoint.dir", None) or spark.conf.get("corvane.scratch.dir", None)
     if not given:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         given = tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("corvane.scratch.dir", given)
     return given
 
 
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system delete path when the application ends: results are lazy, so no sooner."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df under the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gone_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm import range_coder, vocab
-from corvane.llm.scratch import shared_dir
+from corvane.llm.scratch import gone_at_exit, shared_dir
 
 SEGMENT = range_coder.BLOCK * range_coder.GROUP
 NO_ID = -(1 << 63)
@@ -107,6 +107,9 @@ def round_trip(docs: DataFrame, to: str | None = None, path: str | None = None)
     import uuid
 
     spark = docs.sparkSession
+    kept = to is not None
     to = to or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write(docs, to, path)
+    if not kept:
+        gone_at_exit(spark, to)
     return digest(spark, to)

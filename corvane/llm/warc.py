@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.scratch import shared_dir
+from corvane.llm.scratch import gone_at_exit, shared_dir
 
 CHUNK, SALT = 1 << 20, 16
 DATE = "1970-01-01T00:00:00Z"
@@ -190,8 +190,11 @@ def payload_chunks(spark: SparkSession, at: str) -> DataFrame:
 
 def round_trip(pages: DataFrame, to: str | None = None) -> DataFrame:
     spark = pages.sparkSession
+    kept = to is not None
     to = to or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, to)
+    if not kept:
+        gone_at_exit(spark, to)
     return read(spark, to).drop("url")
 
 

@@ -230,3 +230,20 @@ def test_crf_labels(spark, docs, odd):
     assert {strange[i] for i in (1, 2, 3, 8)} == {"und"}
     assert crf.predict(docs([])).count() == 0
     assert {r.lang_pred for r in crf.predict(docs([(2, "no labels")]).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_rows_that_share_an_id_lose_their_own_lines(spark, docs):
+    long = "a line that is long enough to be counted by the operator"
+    data = [(i, f"own {i}\n{long}") for i in range(5)] + [(None, f"{long}\nfirst"), (None, "second\nthird\n" + long), (2, "another text")]
+    got = {r.text: (r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(docs(data)).collect()}
+    assert got == {**{f"own {i}": (2, 1) for i in range(4)}, f"own 4\n{long}": (2, 0), "first": (2, 1), "second\nthird": (3, 1), "another text": (1, 0)}
+
+
+def test_quality_tells_rows_of_one_id_apart(spark):
+    good = " ".join(f"word{k} of text" for k in range(40))
+    rows = [(1, good, "en", "a"), (1, "bad", "en", "a"), (None, good + " x", None, None), (None, "bad too", None, "b"), (3, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").selectExpr("*", "1 as n_words", "'q' as measure", "2 as _row")
+    kept = quality.keep_good(df)
+    assert kept.columns == df.columns and sorted(r.text for r in kept.collect()) == sorted([good, good + " x"])
+    report = quality.report(df).collect()
+    assert len(report) == 5 and sum(r.kept for r in report) == 2
