@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is
 written as Parquet and reread. All but the last return the columns of documents.
+
+Defined cases, in every stage: an empty table gives an empty one; extra columns go
+along up to the last stage, whatever their names. Rows with a null or wordless text
+fail the quality rules; a null lang or source is a group of its own; rows with a
+null doc_id lose repeated lines, are never grouped as near duplicates and stay;
+repeated rows stay repeated up to the near-dedup stage, which keeps or drops all
+rows of an id; very long texts go through whole; ties are decided by doc_id.
 """
 
 from __future__ import annotations
@@ -50,7 +57,7 @@ STAGES = [
     ("BPE encoding and decoding", bpe),
 ]
 
-#: MinHash, latent retrieval and BPE have no SQL; tests hold the pipeline against brute force.
+#: Latent retrieval and BPE have no SQL; tests/llm/test_pipeline.py holds the pipeline against plain Python.
 ORACLE_SQL = None
 
 
