@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.scratch import cut
+from corvane.llm.scratch import cut, let_go
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -29,10 +29,11 @@ def _small(e: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """id, root (least id of the component) for every id that edges (a, b) name; loops and repeats are allowed."""
     e = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct(), "edges")
-    while not e.isEmpty():
+    flat = e.isEmpty()
+    while not flat:
         e = cut(_small(_large(e)), "stars")
         # the edges still join what they joined; once no end of one is the start of another, all are stars round their least ids
-        if e.join(e.select(F.col("a").alias("_a")), F.col("b") == F.col("_a"), "left_semi").isEmpty():
-            break
+        flat = e.join(e.select(F.col("a").alias("_a")), F.col("b") == F.col("_a"), "left_semi").isEmpty()
+    let_go(e.sparkSession)
     roots = e.select(F.col("a").alias("id"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("id"), "root")).distinct()

@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import vocab
-from corvane.llm.scratch import cut
+from corvane.llm.scratch import cut, let_go
 
 ITEMS, WORDS, GROUP, VOCABULARY = 1024, 1 << 14, 4, 1 << 18
 PASSAGE, STEP, LEAST, RANK = 64, 32, 6, 256
@@ -327,6 +327,7 @@ def finders(docs: DataFrame, benchmark: DataFrame) -> Iterator[list]:
     """For each pass, of at most GROUP blocks: each block's number, a mark and a broadcast of what Finder() takes."""
     spark = docs.sparkSession
     n, df = document_frequency(docs, benchmark)
+    let_go(spark)
     out: list[tuple] = []
     for found in blocks(benchmark):
         if len(out) >= GROUP:

@@ -8,8 +8,8 @@ there are as many bands as leave a pair at the threshold unseen once in a millio
 Documents with equal sets are one class from the start, so copies make no pairs.
 A bucket's candidate edges form a star: every member is compared with its centre
 only, the member that meets most others over all bands. Edges, were it of one band
-only, are confirmed on full shingle sets, first each document's best one (that of
-most buckets), then those that would still join two components. A star can miss a link between two
+only, are confirmed on full shingle sets (of 64-bit hashes, so that a link could be
+wrong only where two shingles share one). A star can miss a link between two
 members that are both unlike the centre, so what still holds several components is
 gone through once more, in blocks inside tasks: members outside a bucket's largest
 component are compared on full sets with members of all others. A task joins two
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.components import components
-from corvane.llm.scratch import cut
+from corvane.llm.scratch import cut, let_go
 
 ROWS, MISS = 5, 1e-6
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
@@ -232,12 +232,6 @@ def _named(ids: DataFrame, comps: DataFrame) -> DataFrame:
     return ids.join(comps, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
 
 
-def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    named = _named(_named(pairs.withColumnRenamed("a", "id"), comps).withColumnsRenamed({"id": "a", "comp": "_x"}).withColumnRenamed("b", "id"), comps)
-    return named.filter("_x <> comp").select("a", F.col("id").alias("b"))
-
-
 def linked(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """(sketches of all rows, doc -> component of all documents that have a class mate or a link: id, root)."""
     sig = cut(sketch(docs, rule), "sketch")
@@ -250,17 +244,12 @@ def linked(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     members = members.drop("size").join(meets, "id")
     rank = F.struct(F.col("meets"), -F.col("id"))
     centres = members.groupBy("key").agg(F.max_by("id", rank).alias("a"))
-    # same: in how many buckets the pair is a star's; only ranks a document's edges
-    stars = cut(members.join(centres, "key").filter("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("same")), "stars")
+    stars = cut(members.join(centres, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "stars")
     involved = meets.select("id")
     sets = cut(shingle_sets(docs, cut(involved, "involved"), rule).dropDuplicates(["id"]), "sets")
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct(F.col("same"), -F.col("a"))).alias("a"))
-    links = cut(confirmed(best.select("a", "b"), sets, rule), "links")
-    comps = components(links)
-    second = cut(_apart(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), comps), "second")
-    if not second.isEmpty():
-        links = links.unionByName(cut(confirmed(second, sets, rule), "links"))
-        comps = components(links)
+    let_go(docs.sparkSession)
+    links = cut(confirmed(stars, sets, rule), "links")
+    comps = cut(components(links), "comps")
     # what still holds several components: buckets by full sets, all outsiders of the largest component with all others
     at = cut(_named(members.select("key", "id"), comps).join(heads.select("id", "n"), "id"), "at")
     size, n = F.sum("size"), F.sum("n")
@@ -270,10 +259,10 @@ def linked(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     mixed = mixed.filter("comps > 1 and size > 2").select("key", "main", "lefts", "rights")
     rest = at.drop("n").join(mixed, "key").join(sets, "id").select("key", "id", "comp", F.col("set").alias("value"), (F.col("comp") != F.col("main")).alias("outside"), "lefts", "rights")
     more = cut(_blocks(rest, rule), "more")
-    roots = components(links.unionByName(more))
+    roots = comps if more.isEmpty() else cut(components(links.unionByName(more)), "comps")
     copies = classes.filter("id < _last").select("set_key", F.col("id").alias("rep")).join(sig.select("set_key", F.col("doc_id").alias("id")), "set_key").select("id", "rep").distinct()
     named = copies.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
-    return sig, cut(named.unionByName(roots.select("id", "root")).groupBy("id").agg(F.min("root").alias("root")), "roots")
+    return sig, named.unionByName(roots.select("id", "root")).groupBy("id").agg(F.min("root").alias("root"))
 
 
 def report(docs: DataFrame, rule: Rule = Rule(3, 85)) -> DataFrame:

@@ -34,3 +34,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     gone_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Have the driver collect garbage: Spark's cleaner drops what finished steps shuffled and broadcast only when their plans are collected."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -28,6 +28,7 @@ ODD = re.compile("[\x00\x1c-\x1f\u0130\u0250-\U0010ffff]")
 #: A line end between two other characters than white space is a piece of its own.
 LINE_END = re.compile(f"(?<=[^{WHITE}])(\n)(?=[^{WHITE}])")
 _KEPT: dict[str, tuple] = {}
+_TRIED: dict[int, bool] = {}
 
 
 def default_path(name: str) -> str:
@@ -40,7 +41,11 @@ def ship(spark: SparkSession, path: str):
     """The tokenizer's file as a broadcast, so that executors need no file of their own, and whether ranks decide like its merges."""
     with open(path, "rb") as f:
         content = f.read()
-    return spark.sparkContext.broadcast((content, consistent(content)))
+    key = hash(content)
+    if key not in _TRIED:
+        _TRIED[key] = consistent(content)
+        give_back()
+    return spark.sparkContext.broadcast((content, _TRIED[key]))
 
 
 def load(content: bytes):
