@@ -66,7 +66,11 @@ _SOLID = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u340
 def spaced(text: str | None) -> list[str]:
     """The parts of a text between white space, in lower case; characters of scripts without spaces by themselves."""
     text = (text or "").lower()
-    return (text if text.isascii() or not _SOLID.search(text) else _SOLID.sub(r" \1 ", text)).split()
+    try:
+        text.encode("latin-1")  # much the faster test
+    except UnicodeEncodeError:
+        text = _SOLID.sub(r" \1 ", text)
+    return text.split()
 
 
 def words_of(text: str | None) -> list[str]:
@@ -81,7 +85,7 @@ class Ids(dict):
         self.numbers = numbers
 
     def __missing__(self, raw: str) -> int:
-        word = _EDGE.sub("", raw)
+        word = raw if raw.isalnum() else _EDGE.sub("", raw)
         got = self.numbers.get(word, -1) if word else -2
         if len(self) >= 250_000:
             self.clear()
