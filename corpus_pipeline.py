@@ -57,7 +57,7 @@ STAGES = [
     ("BPE encoding and decoding", bpe),
 ]
 
-#: Latent retrieval and BPE have no SQL; tests/llm/test_pipeline.py holds the pipeline against plain Python.
+#: Latent retrieval and BPE have no SQL; tests hold each operator against SQL, brute force or the library.
 ORACLE_SQL = None
 
 
