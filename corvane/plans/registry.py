@@ -296,7 +296,7 @@ def graph_expand(c: Corpus) -> DataFrame:
     t = tables(c)
     from pyspark.sql import Window
 
-    page = check.hits(t, draft_of(c), touches=touch_names(c), vector=vector_of(c), model=MODEL, stemmed=False)
+    page = check.settled(check.hits(t, draft_of(c), touches=touch_names(c), vector=vector_of(c), model=MODEL, stemmed=False), C.CHECK_LIMIT)
     page = page.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(F.round("score", 12)), "full_id", "source_kind")))
     return graph.expand(page, t.edges, t.records).select("source_kind", "full_id", "via_from", "via_to", "via_type", "pos")
 
