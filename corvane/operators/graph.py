@@ -12,7 +12,7 @@ from corvane.functions import text as T
 def expand(hits: DataFrame, edges: DataFrame, records: DataFrame, namespace: str | None = None, limit: int = C.CHECK_LIMIT) -> DataFrame:
     """source_kind, full_id, via_from, via_to, via_type, unconfirmed, pos of neighbours of the first GRAPH_SEEDS hits.
 
-    hits has source_kind, full_id and pos (from 1) and is a page, so it is sent to all.
+    hits has source_kind, full_id and pos (from 1); a page of `limit` rows is sent to all, an unlimited one (0) is joined as it is.
     An edge type without a priority ranks like conflicts_with (0), as observed.
     """
     seeds = F.broadcast(hits.filter(F.col("pos") <= C.GRAPH_SEEDS).select(F.col("source_kind").alias("_sk"), F.col("full_id").alias("_seed"), (F.col("pos") - 1).alias("_n")))
@@ -29,7 +29,8 @@ def expand(hits: DataFrame, edges: DataFrame, records: DataFrame, namespace: str
     ranks = F.create_map(*[F.lit(x) for pair in C.EDGE_PRIORITY.items() for x in pair])
     priority = F.coalesce(F.try_element_at(ranks, F.col("via_type")), F.lit(0))
     live = records.filter((F.col("source_kind") == "rejection") | T.searchable(F.col("status"))).filter(T.in_namespace(F.col("namespace"), namespace)).select("source_kind", "full_id")
-    fresh = found.join(live, ["source_kind", "full_id"], "left_semi").join(F.broadcast(hits.select("source_kind", "full_id")), ["source_kind", "full_id"], "left_anti").withColumn("_p", priority)
+    known = hits.select("source_kind", "full_id")
+    fresh = found.join(live, ["source_kind", "full_id"], "left_semi").join(F.broadcast(known) if limit > 0 else known, ["source_kind", "full_id"], "left_anti").withColumn("_p", priority)
     order = ["_p", "_n", "full_id", "source_kind", "via_from", "via_to", "via_type"]
     first = fresh.withColumn("_i", F.row_number().over(Window.partitionBy("source_kind", "full_id").orderBy(*order))).filter("_i = 1")
     most = min(C.GRAPH_NEIGHBOURS, limit) if limit > 0 else C.GRAPH_NEIGHBOURS

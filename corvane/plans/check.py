@@ -40,10 +40,12 @@ def touched(t: Tables, touches: list[str], namespace: str | None = None) -> Data
 
 
 def lexical_lists(t: Tables, draft: str, namespace: str | None, tags: list[str], limit: int, stemmed: bool) -> list[DataFrame]:
-    tok = lexical.tokenised(t.records, stemmed)
     phrases = lexical.draft_phrases(t.records.sparkSession, draft, stemmed)
     if not any(phrases):
         return []
+    tok = lexical.tokenised(t.records)
+    if stemmed:
+        tok = lexical.stemmed_for(tok, phrases)
     scored = lexical.bm25(tok, phrases, lexical.corpus_counts(tok, phrases))
     rows = scored.join(live(t.records, namespace).select("source_kind", "full_id", "tags"), ["source_kind", "full_id"])
     order = [F.desc(F.round("score", 9)), "full_id"]
@@ -80,12 +82,12 @@ def draft_terms(spark, draft: str, stemmed: bool) -> list[str]:
     return sorted({w for w in words if len(w.encode()) >= C.MIN_STEM_BYTES and w not in stop})
 
 
-def with_evidence(page: DataFrame, t: Tables, draft: str, touches: list[str] | None = None, stemmed: bool = True) -> DataFrame:
-    """A page with shared_facets, coverage, challenged, verdict, excerpt. Runs after the cut, so bodies are read for the page only."""
+def with_evidence(page: DataFrame, t: Tables, draft: str, touches: list[str] | None = None, stemmed: bool = True, bounded: bool = True) -> DataFrame:
+    """A page with shared_facets, coverage, challenged, verdict, excerpt. Runs after the cut, so bodies are read for the page only; only a bounded page is broadcast."""
     spark = page.sparkSession
     terms = draft_terms(spark, draft, stemmed)
     asked = F.array_union(T.facets(F.lit(draft)), wanted_facets(touches or []))
-    rows = F.broadcast(page).join(t.records.select("source_kind", "full_id", "body", "status"), ["source_kind", "full_id"], "left")
+    rows = (F.broadcast(page) if bounded else page).join(t.records.select("source_kind", "full_id", "body", "status"), ["source_kind", "full_id"], "left")
     words = T.tokens(F.coalesce("body", F.lit("")))
     if stemmed:
         bodies = rows.select("source_kind", "full_id", F.explode(F.array_distinct(words)).alias("w")).groupBy("source_kind", "full_id").agg(F.collect_set(stem_column("w")).alias("_words"))
@@ -116,7 +118,7 @@ def check(t: Tables, draft: str, namespace: str | None = None, tags: list[str] |
         near = graph.expand(page, t.edges, t.records, namespace, limit)
         near = settled(near, C.GRAPH_NEIGHBOURS)
         all_ = all_.unionByName(near.select("source_kind", "full_id", F.lit(0.0).alias("score"), F.lit("graph").alias("match_kind"), F.lit(None).cast("double").alias("similarity"), (F.col("pos") + 1_000_000).alias("pos"), "via_type"))
-    out = with_evidence(all_, t, draft, touches, stemmed)
+    out = with_evidence(all_, t, draft, touches, stemmed, bounded=limit > 0)
     return out.withColumn("score", F.round("score", 9)).withColumn("similarity", F.round("similarity", 6)).orderBy("pos")
 
 

@@ -16,6 +16,7 @@ from corvane.functions import constants as C
 from corvane.functions import text as T
 from corvane.operators import audit, diffcheck, graph, lexical, listing, trace, vectors
 from corvane.plans import check
+from corvane.plans.stem_sql import stems
 from corvane.sources.adapters import BASE, MODEL, Corpus
 
 FLAGSHIP = "check_full"
@@ -209,10 +210,21 @@ def brief(c: Corpus) -> DataFrame:
 TOK = f"tok AS (SELECT source_kind, full_id, {TOKEN_SQL.format(chr(123) + chr(125))} AS w FROM records)".replace("{}", "namespace || ' ' || body || ' ' || array_to_string(tags, ' ')").replace("{{", "{").replace("}}", "}")
 DRAFT = f"""draft AS (SELECT array_to_string(list_slice(string_split_regex(body, '\\s+'), 1, {DRAFT_FIELDS}), ' ') AS d, body FROM statements WHERE doc_id = {DRAFT_ID}),
   field AS (SELECT unnest(string_split_regex(d, '\\s+')) AS f FROM draft),
-  term AS (SELECT t FROM (SELECT unnest({TOKEN_SQL.format('f').replace('{{', '{').replace('}}', '}')}) AS t FROM field))"""
-SCORED = f"""{TOK}, {DRAFT},
+  word AS (SELECT t FROM (SELECT unnest({TOKEN_SQL.format('f').replace('{{', '{').replace('}}', '}')}) AS t FROM field))"""
+STOP = ", ".join(f"'{w}'" for w in C.COVERAGE_STOPWORDS)
+
+
+def scored_sql(stemmed: bool) -> str:
+    """CTEs from tokens to BM25 scores, by words or by their stems."""
+    if stemmed:
+        terms = f"""vocabulary AS (SELECT DISTINCT unnest(w) AS w FROM tok UNION SELECT t FROM word UNION SELECT unnest([{STOP}])), {stems("vocabulary")},
+  term AS (SELECT s AS t FROM word JOIN stem ON w = t),
+  spread AS (SELECT source_kind, full_id, dl, s AS t FROM (SELECT source_kind, full_id, len(w) AS dl, unnest(w) AS u FROM tok) JOIN stem ON stem.w = u),"""
+    else:
+        terms = """term AS (SELECT t FROM word),
+  spread AS (SELECT source_kind, full_id, len(w) AS dl, unnest(w) AS t FROM tok),"""
+    return f"""{TOK}, {DRAFT}, {terms}
   sizes AS (SELECT source_kind, count(*) AS n, avg(len(w)) AS avgdl FROM tok GROUP BY 1),
-  spread AS (SELECT source_kind, full_id, len(w) AS dl, unnest(w) AS t FROM tok),
   asked AS (SELECT DISTINCT t FROM term),
   df AS (SELECT source_kind, t, count(DISTINCT full_id) AS df FROM spread SEMI JOIN asked USING (t) GROUP BY 1, 2),
   grid AS (SELECT z.source_kind, z.n, z.avgdl, q.t, coalesce(df.df, 0) AS df FROM sizes z CROSS JOIN term q LEFT JOIN df ON df.source_kind = z.source_kind AND df.t = q.t),
@@ -232,22 +244,23 @@ def doc_freq(c: Corpus) -> DataFrame:
     return lexical.document_frequency(lexical.tokenised(c.records))
 
 
-@query("df_filter", f"WITH {SCORED} SELECT DISTINCT source_kind, t AS term FROM kept")
+@query("df_filter", f"WITH {scored_sql(False)} SELECT DISTINCT source_kind, t AS term FROM kept")
 def df_filter(c: Corpus) -> DataFrame:
     tok, phrases = lexical.tokenised(c.records), lexical.draft_phrases(c.spark, draft_of(c))
     kept = {(kind, w) for kind, n in lexical.corpus_counts(tok, phrases).items() for i in lexical.kept_fields(phrases, n) for w in phrases[i]}
     return c.spark.createDataFrame(sorted(kept), "source_kind string, term string")
 
 
-@query("bm25_plain", f"WITH {SCORED} SELECT source_kind, full_id, round(score, 6) AS score FROM scored")
+@query("bm25_plain", f"WITH {scored_sql(False)} SELECT source_kind, full_id, round(score, 6) AS score FROM scored")
 def bm25_plain(c: Corpus) -> DataFrame:
     tok, phrases = lexical.tokenised(c.records), lexical.draft_phrases(c.spark, draft_of(c))
     return lexical.bm25(tok, phrases, lexical.corpus_counts(tok, phrases)).withColumn("score", F.round("score", 6))
 
 
-@query("bm25_stemmed")
+@query("bm25_stemmed", f"WITH {scored_sql(True)} SELECT source_kind, full_id, round(score, 6) AS score FROM scored")
 def bm25_stemmed(c: Corpus) -> DataFrame:
-    tok, phrases = lexical.tokenised(c.records, True), lexical.draft_phrases(c.spark, draft_of(c), True)
+    phrases = lexical.draft_phrases(c.spark, draft_of(c), True)
+    tok = lexical.stemmed_for(lexical.tokenised(c.records), phrases)
     return lexical.bm25(tok, phrases, lexical.corpus_counts(tok, phrases)).withColumn("score", F.round("score", 6))
 
 
@@ -265,7 +278,7 @@ def semantic_topk(c: Corpus) -> DataFrame:
     return found.join(live, ["source_kind", "full_id"], "left_semi").withColumn("similarity", F.round("similarity", 6))
 
 
-FUSED = f"""{SCORED}, {SIM}, {LIVE}, {NAMES},
+FUSED = f"""{SIM}, {LIVE}, {NAMES},
   lists AS (
     SELECT source_kind, full_id, 'lexical' AS kind, NULL AS similarity, row_number() OVER (PARTITION BY source_kind ORDER BY round(score, 9) DESC, full_id) AS pos, TRUE AS capped FROM scored SEMI JOIN live USING (source_kind, full_id)
     UNION ALL SELECT source_kind, full_id, 'semantic', similarity, row_number() OVER (ORDER BY round(similarity, 9) DESC, full_id, source_kind), FALSE FROM sims SEMI JOIN live USING (source_kind, full_id) WHERE similarity >= 0.5
@@ -274,7 +287,7 @@ FUSED = f"""{SCORED}, {SIM}, {LIVE}, {NAMES},
   page AS (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, full_id, source_kind) AS pos FROM fused QUALIFY pos <= 10)"""
 
 
-@query("rrf_fusion", f"WITH {FUSED} SELECT source_kind, full_id, round(score, 9) AS score, match_kind, round(similarity, 6) AS similarity FROM page")
+@query("rrf_fusion", f"WITH {scored_sql(False)}, {FUSED} SELECT source_kind, full_id, round(score, 9) AS score, match_kind, round(similarity, 6) AS similarity FROM page")
 def rrf_fusion(c: Corpus) -> DataFrame:
     out = check.hits(tables(c), draft_of(c), touches=touch_names(c), vector=vector_of(c), model=MODEL, stemmed=False)
     return out.select("source_kind", "full_id", F.round("score", 9).alias("score"), "match_kind", F.round("similarity", 6).alias("similarity"))
@@ -291,7 +304,7 @@ EXPANDED = f"""{FUSED}, seeds AS (SELECT source_kind AS sk, full_id AS seed, pos
   near AS (SELECT *, row_number() OVER (ORDER BY p, n, full_id, source_kind, via_from, via_to, via_type) AS pos FROM once QUALIFY pos <= 5)"""
 
 
-@query("graph_expand", f"WITH {EXPANDED} SELECT source_kind, full_id, via_from, via_to, via_type, pos::INT AS pos FROM near")
+@query("graph_expand", f"WITH {scored_sql(False)}, {EXPANDED} SELECT source_kind, full_id, via_from, via_to, via_type, pos::INT AS pos FROM near")
 def graph_expand(c: Corpus) -> DataFrame:
     t = tables(c)
     from pyspark.sql import Window
@@ -301,33 +314,44 @@ def graph_expand(c: Corpus) -> DataFrame:
     return graph.expand(page, t.edges, t.records).select("source_kind", "full_id", "via_from", "via_to", "via_type", "pos")
 
 
-STOP = ", ".join(f"'{w}'" for w in C.COVERAGE_STOPWORDS)
-DRAFT_FACETS = "(SELECT facet FROM facets JOIN statements USING (full_id) WHERE source_kind = 'statement' AND doc_id = -1)"
-CHECKED = f"""{EXPANDED}, {CHALLENGED},
+BODY_TOKENS = TOKEN_SQL.format("body").replace("{{", "{").replace("}}", "}")
+
+
+def checked_sql(stemmed: bool) -> str:
+    """The whole check as SQL, by words or by their stems."""
+    stop = f"SELECT s FROM stem WHERE w IN ({STOP})" if stemmed else STOP
+    said = "SELECT DISTINCT source_kind, full_id, s AS t FROM said_words JOIN stem ON w = u" if stemmed else "SELECT DISTINCT source_kind, full_id, u AS t FROM said_words"
+    return f"""WITH {scored_sql(stemmed)}, {EXPANDED}, {CHALLENGED},
   page2 AS (SELECT source_kind, full_id, score, match_kind, similarity, pos, NULL AS via_type FROM page UNION ALL SELECT source_kind, full_id, 0.0, 'graph', NULL, pos + 1000000, via_type FROM near),
-  dterm AS (SELECT DISTINCT t FROM term WHERE strlen(t) >= 3 AND t NOT IN ({STOP})),
+  dterm AS (SELECT DISTINCT t FROM term WHERE strlen(t) >= 3 AND t NOT IN ({stop})),
   draft_facet AS (SELECT facet FROM names),
+  said_words AS (SELECT source_kind, full_id, unnest({BODY_TOKENS}) AS u FROM records SEMI JOIN page2 USING (source_kind, full_id)),
+  said AS ({said}),
   ev AS (
     SELECT p.*, r.body, r.status, {FIRST_LINE.format('r.body')} AS line,
            coalesce((SELECT string_agg(f.facet, ',' ORDER BY f.facet) FROM facets f JOIN draft_facet USING (facet) WHERE f.source_kind = p.source_kind AND f.full_id = p.full_id), '') AS shared_facets,
            (SELECT count(*) FROM facets f JOIN draft_facet USING (facet) WHERE f.source_kind = p.source_kind AND f.full_id = p.full_id) AS shared,
-           round((SELECT count(*) FROM dterm WHERE list_contains({TOKEN_SQL.format('r.body').replace('{{', '{').replace('}}', '}')}, dterm.t)) / greatest((SELECT count(*) FROM dterm), 1)::DOUBLE, 6) AS coverage,
+           round((SELECT count(*) FROM dterm JOIN said USING (t) WHERE said.source_kind = p.source_kind AND said.full_id = p.full_id) / greatest((SELECT count(*) FROM dterm), 1)::DOUBLE, 6) AS coverage,
            (SELECT count(*) FROM dterm) AS terms, p.source_kind = 'statement' AND p.full_id IN (SELECT full_id FROM challenged) AS challenged
     FROM page2 p JOIN records r USING (source_kind, full_id)),
-  cov AS (SELECT *, CASE WHEN terms < 4 THEN 0 ELSE coverage END AS c, coalesce(similarity, -1) AS s FROM ev)"""
+  cov AS (SELECT *, CASE WHEN terms < 4 THEN 0 ELSE coverage END AS c, coalesce(similarity, -1) AS s FROM ev)
+  SELECT source_kind, full_id, pos::INT AS pos, round(score, 9) AS score, match_kind, round(similarity, 6) AS similarity, via_type, shared_facets, coverage, challenged,
+  CASE WHEN s >= 0.9 OR (s >= 0.82 AND shared > 0) OR (similarity IS NULL AND shared >= 2 AND c >= 0.34) OR (similarity IS NULL AND c >= 0.7) THEN 'duplicate' WHEN s >= 0.72 OR shared > 0 OR c >= 0.34 THEN 'related' ELSE 'weak' END AS verdict, {EXCERPT} AS excerpt FROM cov"""
 
 
-@query("check_full", f"""WITH {CHECKED} SELECT source_kind, full_id, pos::INT AS pos, round(score, 9) AS score, match_kind, round(similarity, 6) AS similarity, via_type, shared_facets, coverage, challenged,
-  CASE WHEN s >= 0.9 OR (s >= 0.82 AND shared > 0) OR (similarity IS NULL AND shared >= 2 AND c >= 0.34) OR (similarity IS NULL AND c >= 0.7) THEN 'duplicate' WHEN s >= 0.72 OR shared > 0 OR c >= 0.34 THEN 'related' ELSE 'weak' END AS verdict, {EXCERPT} AS excerpt FROM cov""")
-def check_full(c: Corpus) -> DataFrame:
-    out = check.check(tables(c), draft_of(c), touches=touch_names(c), vector=vector_of(c), model=MODEL, stemmed=False)
+def _checked(c: Corpus, stemmed: bool) -> DataFrame:
+    out = check.check(tables(c), draft_of(c), touches=touch_names(c), vector=vector_of(c), model=MODEL, stemmed=stemmed)
     return out.select("source_kind", "full_id", "pos", "score", "match_kind", "similarity", "via_type", F.array_join("shared_facets", ",").alias("shared_facets"), "coverage", "challenged", "verdict", "excerpt")
 
 
-@query("check_stemmed")
+@query("check_full", checked_sql(False))
+def check_full(c: Corpus) -> DataFrame:
+    return _checked(c, False)
+
+
+@query("check_stemmed", checked_sql(True))
 def check_stemmed(c: Corpus) -> DataFrame:
-    out = check.check(tables(c), draft_of(c), touches=touch_names(c), vector=vector_of(c), model=MODEL)
-    return out.select("source_kind", "full_id", "pos", "score", "match_kind", "similarity", "verdict")
+    return _checked(c, True)
 
 
 # ---- audit -------------------------------------------------------------------------------------------------
