@@ -38,8 +38,9 @@ MARKED, PLAIN = "àâäáãåçèéêëìíîïñòóôöõùúûüýÿ", "aaaaa
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits, lower-cased, Latin marks folded."""
-    return F.regexp_extract_all(F.translate(F.lower(text), MARKED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Runs of letters and digits, lower-cased, Latin marks folded; folding keeps letters letters, so only runs that are not ASCII are folded."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.transform(runs, lambda w: F.when(F.octet_length(w) == F.char_length(w), w).otherwise(F.translate(w, MARKED, PLAIN)))
 
 
 def fields(text: Column) -> Column:

@@ -4,7 +4,9 @@ Two corpora, statements (namespace, body, tags) and rejections (namespace, body)
 each with its own frequencies over all its rows, retired ones included; hits are
 filtered afterwards. A draft's fields are phrases, joined by OR; the draft is one
 request, so its phrases are literals that are counted inside each row: one pass
-gives all frequencies, a second one the scores, and no token is shuffled. postings() and document_frequency() build the inverted tables
+gives all frequencies, a second one the scores, and no token is shuffled. Arrays are
+exploded by the outer forms, as Spark infers a filter below the inner ones that
+makes the tokens a second time. postings() and document_frequency() build the inverted tables
 for callers that ask often.
 """
 
@@ -46,7 +48,7 @@ def forms(tokenised_: DataFrame, stems: list[str]) -> dict[str, str]:
     for x in begin:
         sizes.setdefault(len(x), []).append(x)
     alike = lambda w: reduce(operator.or_, [F.substring(w, 1, n).isin(xs) for n, xs in sizes.items()])
-    words = tokenised_.select(F.explode(F.array_distinct(F.filter("terms", alike))).alias("w")).distinct()
+    words = tokenised_.select(F.explode_outer(F.array_distinct(F.filter("terms", alike))).alias("w")).distinct()
     return {r.w: r.s for r in words.select("w", stem_column("w").alias("s")).filter(F.col("s").isin(sorted(set(stems)))).collect()}
 
 
@@ -61,13 +63,13 @@ def stemmed_for(tokenised_: DataFrame, phrases: list[list[str]]) -> DataFrame:
 
 def postings(tokenised_: DataFrame) -> DataFrame:
     """source_kind, full_id, term, tf, positions."""
-    rows = tokenised_.select("source_kind", "full_id", F.posexplode("terms").alias("pos", "term")).filter(F.col("term") != GAP)
+    rows = tokenised_.select("source_kind", "full_id", F.posexplode_outer("terms").alias("pos", "term")).filter(F.col("term") != GAP)
     return rows.groupBy("source_kind", "full_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
 def document_frequency(tokenised_: DataFrame) -> DataFrame:
     """source_kind, term, df: rows that hold the term."""
-    rows = tokenised_.select("source_kind", F.explode(F.array_distinct("terms")).alias("term")).filter(F.col("term") != GAP)
+    rows = tokenised_.select("source_kind", F.explode_outer(F.array_distinct("terms")).alias("term")).filter(F.col("term") != GAP)
     return rows.groupBy("source_kind", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -98,7 +100,7 @@ def matches(tokenised_: DataFrame, phrases: list[list[str]]) -> DataFrame:
 def corpus_counts(tokenised_: DataFrame, phrases: list[list[str]]) -> dict[str, dict]:
     """Per source_kind: n rows, mean length, rows holding each token and each phrase of a draft; one pass, one row per term of the draft."""
     every = F.struct(F.lit(GAP).alias("term"), F.col("dl").alias("tf"))  # stands for the row itself
-    rows = matches(tokenised_, phrases).select("source_kind", F.explode(F.concat(F.array(every), "found")).alias("x"))
+    rows = matches(tokenised_, phrases).select("source_kind", F.explode_outer(F.concat(F.array(every), "found")).alias("x"))
     out: dict[str, dict] = {}
     for r in rows.groupBy("source_kind", F.col("x.term").alias("term")).agg(F.count(F.lit(1)).alias("n"), F.avg("x.tf").alias("mean")).collect():
         c = out.setdefault(r.source_kind, {"n": 0, "avgdl": 0.0, "token": {}})
@@ -125,6 +127,6 @@ def bm25(tokenised_: DataFrame, phrases: list[list[str]], counts: dict[str, dict
     asked = [(kind, " ".join(phrases[i]), idf(c, i), c["avgdl"]) for kind, c in sorted(counts.items()) for i in kept_fields(phrases, c) if phrases[i]]
     # a field named twice counts twice; one row per phrase of the draft
     terms = tokenised_.sparkSession.createDataFrame(asked, "source_kind string, term string, idf double, avgdl double").groupBy("source_kind", "term", "avgdl").agg(F.sum("idf").alias("idf"))
-    found = matches(tokenised_, phrases).select("source_kind", "full_id", "dl", F.inline("found")).join(F.broadcast(terms), ["source_kind", "term"])
+    found = matches(tokenised_, phrases).select("source_kind", "full_id", "dl", F.inline_outer("found")).join(F.broadcast(terms), ["source_kind", "term"])
     weight = F.col("idf") * F.col("tf") * (C.BM25_K1 + 1) / (F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("dl") / F.col("avgdl")))
     return found.groupBy("source_kind", "full_id").agg(F.sum(weight).alias("score"))

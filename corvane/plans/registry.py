@@ -19,7 +19,7 @@ from corvane.plans import check
 from corvane.plans.stem_sql import stems
 from corvane.sources.adapters import BASE, MODEL, Corpus
 
-FLAGSHIP = "check_full"
+FLAGSHIP = "check_stemmed"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
