@@ -543,12 +543,12 @@ def diff_provenance_cover(c: Corpus) -> DataFrame:
 
 
 def _added(c: Corpus) -> DataFrame:
-    p = c.table("part").filter("p_partkey % 9 = 0")
+    p = c.table("part")
     name = F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))), F.lit("_"), F.col("p_size").cast("string"))
     return p.select(F.concat(F.lit("src"), (F.col("p_partkey") % 20).cast("string")).alias("file"), F.concat(F.lit("call "), name, F.lit("(x) now")).alias("added"))
 
 
-@query("diff_identifier_cover", "SELECT DISTINCT CASE WHEN source_kind = 'rejection' THEN 'rejection' ELSE 'identifier' END AS reason, full_id, 'src' || p_partkey % 20 AS file, facet FROM facets JOIN part ON facet = lower(replace(p_name, ' ', '_')) || '_' || p_size WHERE p_partkey % 9 = 0")
+@query("diff_identifier_cover", "SELECT DISTINCT CASE WHEN source_kind = 'rejection' THEN 'rejection' ELSE 'identifier' END AS reason, full_id, 'src' || p_partkey % 20 AS file, facet FROM facets JOIN part ON facet = lower(replace(p_name, ' ', '_')) || '_' || p_size")
 def diff_identifier_cover(c: Corpus) -> DataFrame:
     return diffcheck.identifier_cover(_added(c), c.facets).select("reason", "full_id", "file", "facet")
 
@@ -565,7 +565,7 @@ def diff_dropped(c: Corpus) -> DataFrame:
   every AS (
     SELECT CASE WHEN class IN ('retired', 'rejected', 'abstract') AND kind = 'code' THEN 'contradiction' ELSE 'label' END AS reason, full_id, s.file, s.line, NULL AS facet FROM spots s JOIN hunks h ON h.file = s.file AND s.line BETWEEN h.start AND h."end" WHERE class <> 'dangling'
     UNION ALL SELECT 'provenance', full_id, source_file, line_start, NULL FROM statements s JOIN hunks h ON h.file = s.source_file AND h.start <= s.line_end AND s.line_start <= h."end"
-    UNION ALL SELECT CASE WHEN source_kind = 'rejection' THEN 'rejection' ELSE 'identifier' END, full_id, 'src' || p_partkey % 20, NULL, facet FROM facets JOIN part ON facet = lower(replace(p_name, ' ', '_')) || '_' || p_size WHERE p_partkey % 9 = 0)
+    UNION ALL SELECT CASE WHEN source_kind = 'rejection' THEN 'rejection' ELSE 'identifier' END, full_id, 'src' || p_partkey % 20, NULL, facet FROM facets JOIN part ON facet = lower(replace(p_name, ' ', '_')) || '_' || p_size)
   SELECT reason, full_id, file, facet, min(line)::INT AS line FROM every GROUP BY ALL""")
 def diff_check(c: Corpus) -> DataFrame:
     parts = [diffcheck.label_cover(_spots(c), c.hunks), diffcheck.provenance_cover(c.statements, c.hunks), diffcheck.identifier_cover(_added(c), c.facets)]
