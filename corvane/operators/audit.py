@@ -9,6 +9,7 @@ from corvane.functions import constants as C
 from corvane.functions import text as T
 from corvane.operators import vectors as V
 
+SPLITS = 16  # keys over which the statements of one source are dealt when they are paired
 
 def scope(statements: DataFrame, namespace: str | None = None) -> DataFrame:
     """The statements that are swept: searchable, in the namespace. Rejections never are."""
@@ -25,9 +26,14 @@ def facet_pairs(facets: DataFrame, swept: DataFrame) -> DataFrame:
 
 
 def source_pairs(swept: DataFrame) -> DataFrame:
-    """a < b of one non-empty source file. The operator's answer is every such pair; narrow the scope before asking."""
-    own = swept.filter((F.col("source_file").isNotNull()) & (F.col("source_file") != "")).select("source_file", "full_id")
-    return own.withColumnRenamed("full_id", "a").join(own.withColumnRenamed("full_id", "b"), "source_file").filter("a < b").select("a", "b").distinct()
+    """a < b of one non-empty source file. The operator's answer is every such pair; narrow the scope before asking.
+
+    One side of each source is dealt over SPLITS keys and the other sent to all of them, so that no task pairs a large source alone.
+    """
+    own = swept.filter((F.col("source_file").isNotNull()) & (F.col("source_file") != "")).select("source_file", "full_id").distinct()
+    left = own.select("source_file", F.col("full_id").alias("a"), F.pmod(F.xxhash64("full_id"), F.lit(SPLITS)).cast("int").alias("_part"))
+    right = own.select("source_file", F.col("full_id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("_part"))
+    return left.join(right, ["source_file", "_part"]).filter("a < b").select("a", "b")
 
 
 def swept_vectors(embeddings: DataFrame, swept: DataFrame, model: str) -> DataFrame:

@@ -55,25 +55,33 @@ def _packed(vectors: DataFrame, blocks: int) -> DataFrame:
 def nearest(vectors: DataFrame, k: int, floor: float = 0.0, block: int = BLOCK) -> DataFrame:
     """a, b, sim, rank: the k nearest others of every full_id, ties by full_id; floor > 0 drops lower similarities."""
     blocks = max(1, -(-vectors.count() // block))
-    left = _packed(vectors, blocks)
-    pairs = left.crossJoin(left.select(F.col("ids").alias("ids2"), F.col("m").alias("m2")))  # pairs of blocks, not of rows
+    packed = _packed(vectors, blocks)
+    left = packed.withColumn("block2", F.explode(F.sequence("block", F.lit(blocks - 1))))
+    right = packed.select(F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("m").alias("m2"), F.explode(F.sequence(F.lit(0), "block")).alias("block"))
+    pairs = left.join(right, ["block", "block2"])  # each pair of blocks once; a block with itself too
+
+    def best_of(ids, ids2, sims):
+        order = np.argsort(ids2)
+        ids2, sims = ids2[order], sims[:, order]
+        best = np.argsort(-sims, axis=1, kind="stable")[:, :k]  # stable: ties in the order of ids
+        rows = np.repeat(np.arange(len(ids)), best.shape[1])
+        cols = best.ravel()
+        value = sims[rows, cols]
+        ok = np.isfinite(value)
+        return pa.RecordBatch.from_arrays([pa.array(ids[rows[ok]], pa.string()), pa.array(ids2[cols[ok]], pa.string()), pa.array(value[ok])], ["a", "b", "sim"])
 
     def run(batches):
         for b in batches:
-            for ids, m, ids2, m2 in zip(*(b.column(c) for c in ("ids", "m", "ids2", "m2"))):
+            for one, two, ids, m, ids2, m2 in zip(*(b.column(c) for c in ("block", "block2", "ids", "m", "ids2", "m2"))):
                 ids, ids2 = np.array(ids.as_py()), np.array(ids2.as_py())
                 x, y = (np.frombuffer(z.as_buffer(), dtype=np.float64).reshape(len(i), -1) for z, i in ((m, ids), (m2, ids2)))
-                order = np.argsort(ids2)
-                ids2, sims = ids2[order], np.round(x @ y[order].T, DIGITS)
+                sims = np.round(x @ y.T, DIGITS)
                 sims[ids[:, None] == ids2[None, :]] = -np.inf
                 if floor > 0:
                     sims[sims < floor] = -np.inf
-                best = np.argsort(-sims, axis=1, kind="stable")[:, :k]  # stable: ties in the order of ids
-                rows = np.repeat(np.arange(len(ids)), best.shape[1])
-                cols = best.ravel()
-                value = sims[rows, cols]
-                ok = np.isfinite(value)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows[ok]]), pa.array(ids2[cols[ok]]), pa.array(value[ok])], ["a", "b", "sim"])
+                yield best_of(ids, ids2, sims)
+                if one != two:
+                    yield best_of(ids2, ids, sims.T)
 
     near = pairs.mapInArrow(run, "a string, b string, sim double")
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))

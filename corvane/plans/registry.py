@@ -104,6 +104,14 @@ def list_tag(c: Corpus) -> DataFrame:
     return listing.in_order(listing.listed(c.statements, tag="src3")).select(*COLS)
 
 
+@query("list_tags", f"SELECT {ITEM} FROM statements WHERE list_contains(tags, 'src3') AND list_contains(tags, 'en')")
+def list_tags(c: Corpus) -> DataFrame:
+    out = c.statements
+    for tag in ("src3", "en"):
+        out = listing.listed(out, tag=tag)
+    return listing.in_order(out).select(*COLS)
+
+
 STATUS = "st AS (SELECT r.*, CASE WHEN e.source_hash IS NULL THEN 'missing' WHEN e.source_hash = sha256(r.body) THEN 'fresh' ELSE 'stale' END AS embedding_status FROM records r LEFT JOIN embeddings_ e USING (source_kind, full_id))"
 
 
@@ -354,10 +362,16 @@ def check_stemmed(c: Corpus) -> DataFrame:
     return _checked(c, True)
 
 
+@query("strongest_verdict", f"WITH checked AS ({checked_sql(False)}) SELECT CASE max(CASE verdict WHEN 'duplicate' THEN 2 WHEN 'related' THEN 1 ELSE 0 END) WHEN 2 THEN 'duplicate' WHEN 1 THEN 'related' WHEN 0 THEN 'weak' END AS verdict FROM checked")
+def strongest_verdict(c: Corpus) -> DataFrame:
+    return check.strongest(check.check(tables(c), draft_of(c), touches=touch_names(c), vector=vector_of(c), model=MODEL, stemmed=False))
+
+
 # ---- audit -------------------------------------------------------------------------------------------------
 
 SCOPE = "doc/de"
-AUDIT = f"""swept AS (SELECT * FROM statements WHERE status IN ('active', 'proposed') AND namespace = '{SCOPE}'),
+SWEEP = "swept AS (SELECT * FROM statements WHERE status IN ('active', 'proposed')"
+AUDIT = f"""{SWEEP}),
   vec AS (SELECT full_id, vector::DOUBLE[] AS v FROM embeddings_ SEMI JOIN swept USING (full_id)),
   sim AS (SELECT a.full_id AS a, b.full_id AS b, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM vec a JOIN vec b ON a.full_id <> b.full_id),
   near AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM sim QUALIFY rank <= 5),
@@ -379,7 +393,7 @@ AUDIT = f"""swept AS (SELECT * FROM statements WHERE status IN ('active', 'propo
 PAIR = "a, b, round(score, 6) AS score, round(similarity, 6) AS similarity, shared_facets, same_source, modality_conflict"
 
 
-def _swept(c: Corpus, namespace: str | None = SCOPE) -> DataFrame:
+def _swept(c: Corpus, namespace: str | None = None) -> DataFrame:
     return audit.scope(c.statements, namespace)
 
 
@@ -388,12 +402,12 @@ def _vectors(c: Corpus, namespace: str | None) -> DataFrame:
 
 
 @query("knn_pairs", f"WITH {AUDIT} SELECT a, b, rank::INT AS rank, round(s, 6) AS sim FROM near WHERE rank <= 2")
-def knn_pairs(c: Corpus, namespace: str | None = SCOPE) -> DataFrame:
+def knn_pairs(c: Corpus, namespace: str | None = None) -> DataFrame:
     return vectors.nearest(_vectors(c, namespace), 2).select("a", "b", "rank", F.round("sim", 6).alias("sim"))
 
 
 @query("csls_density", f"WITH {AUDIT} SELECT full_id, round(d, 6) AS density FROM dens")
-def csls_density(c: Corpus, namespace: str | None = SCOPE) -> DataFrame:
+def csls_density(c: Corpus, namespace: str | None = None) -> DataFrame:
     return audit.density(vectors.nearest(_vectors(c, namespace), C.DENSITY_K)).select("full_id", F.round("density", 6).alias("density"))
 
 
@@ -403,33 +417,41 @@ def facet_pairs(c: Corpus) -> DataFrame:
 
 
 @query("source_pairs", f"WITH {AUDIT} SELECT a, b FROM sp")
-def source_pairs(c: Corpus, namespace: str | None = SCOPE) -> DataFrame:
+def source_pairs(c: Corpus, namespace: str | None = None) -> DataFrame:
     return audit.source_pairs(_swept(c, namespace))
 
 
-def _audit(c: Corpus, namespace: str | None):
-    return audit.audit(c.statements, c.facets, c.embeddings, c.edges, c.verdicts, MODEL, namespace)
+def _audit(c: Corpus, namespace: str | None, floor: float = 0.0):
+    return audit.audit(c.statements, c.facets, c.embeddings, c.edges, c.verdicts, MODEL, namespace, floor=floor)
+
+
+def _pairs(queue: DataFrame) -> DataFrame:
+    return queue.select("a", "b", F.round("score", 6).alias("score"), F.round("similarity", 6).alias("similarity"), F.array_join("shared_facets", ",").alias("shared_facets"), "same_source", "modality_conflict")
 
 
 @query("audit_pairs", f"WITH {AUDIT} SELECT {PAIR} FROM queue")
-def audit_pairs(c: Corpus, namespace: str | None = SCOPE) -> DataFrame:
-    q = audit.page(_audit(c, namespace)[0], 0)
-    return q.select("a", "b", F.round("score", 6).alias("score"), F.round("similarity", 6).alias("similarity"), F.array_join("shared_facets", ",").alias("shared_facets"), "same_source", "modality_conflict")
+def audit_pairs(c: Corpus, namespace: str | None = None) -> DataFrame:
+    return _pairs(audit.page(_audit(c, namespace)[0], 0))
+
+
+@query("audit_floor", f"WITH {AUDIT} SELECT {PAIR} FROM queue".replace("WHERE rank <= 2)", "WHERE rank <= 2 AND s >= 0.3)"))
+def audit_floor(c: Corpus) -> DataFrame:
+    """Neighbours below the floor make no pairs; densities stay as they are."""
+    return _pairs(_audit(c, None, 0.3)[0])
 
 
 @query("audit_page", f"WITH {AUDIT} SELECT {PAIR} FROM queue ORDER BY queue.score DESC, modality_conflict DESC, a, b LIMIT 50")
-def audit_page(c: Corpus, namespace: str | None = SCOPE) -> DataFrame:
-    q = audit.page(_audit(c, namespace)[0])
-    return q.select("a", "b", F.round("score", 6).alias("score"), F.round("similarity", 6).alias("similarity"), F.array_join("shared_facets", ",").alias("shared_facets"), "same_source", "modality_conflict")
+def audit_page(c: Corpus, namespace: str | None = None) -> DataFrame:
+    return _pairs(audit.page(_audit(c, namespace)[0]))
 
 
 @query("audit_progress", f"WITH {AUDIT} SELECT (SELECT count(*) FROM unjudged)::BIGINT AS remaining, (SELECT count(*) FROM swept WHERE full_id NOT IN (SELECT a FROM unjudged UNION SELECT b FROM unjudged))::BIGINT AS swept, (SELECT count(*) FROM swept)::BIGINT AS statements, 2 AS depth")
-def audit_progress(c: Corpus, namespace: str | None = SCOPE) -> DataFrame:
+def audit_progress(c: Corpus, namespace: str | None = None) -> DataFrame:
     return _audit(c, namespace)[1]
 
 
 @query("audit_ordered", f"WITH {AUDIT}, s AS (SELECT *, CASE WHEN substr(md5(ha || hb), 1, 1) < 'c' THEN round(('0x' || substr(md5(ha || hb), 1, 4))::INT / 65535, 6) END AS contradiction FROM queue) SELECT a, b, round(score, 6) AS score, contradiction FROM s ORDER BY contradiction DESC NULLS LAST, s.score DESC, modality_conflict DESC, a, b LIMIT 50")
-def audit_ordered(c: Corpus, namespace: str | None = SCOPE) -> DataFrame:
+def audit_ordered(c: Corpus, namespace: str | None = None) -> DataFrame:
     """With a fixed scorer in the model's place, which leaves some pairs unscored."""
     queue = _audit(c, namespace)[0]
     h = c.statements.select("full_id", F.sha2("body", 256).alias("h"))
@@ -439,9 +461,9 @@ def audit_ordered(c: Corpus, namespace: str | None = SCOPE) -> DataFrame:
     return audit.ordered_by_scores(queue, scores, c.statements, "fixed").select("a", "b", F.round("score", 6).alias("score"), "contradiction")
 
 
-# the sweeps over the whole store, with the SQL of the scoped ones but its namespace
+# the same sweeps by the operators' namespace parameter, beside those over the whole store
 for _f in (knn_pairs, csls_density, source_pairs, audit_pairs, audit_page, audit_progress, audit_ordered):
-    query(f"{_f.__name__}_whole", ORACLES[_f.__name__].replace(f" AND namespace = '{SCOPE}'", ""), base=False)(partial(_f, namespace=None))
+    query(f"{_f.__name__}_scoped", ORACLES[_f.__name__].replace(SWEEP, f"{SWEEP} AND namespace = '{SCOPE}'"), base=False)(partial(_f, namespace=SCOPE))
 
 
 # ---- labels ------------------------------------------------------------------------------------------------
@@ -521,14 +543,13 @@ def _patch(c: Corpus) -> DataFrame:
 
 @query("diff_hunks", 'SELECT file, start, "end" FROM hunks')
 def diff_hunks(c: Corpus) -> DataFrame:
-    lines = _patch(c).filter("line <> '+++ x'")
-    return diffcheck.parse_patch(lines)[0].select("file", "start", "end")
+    return diffcheck.parse_patch(_patch(c))[0].select("file", "start", "end")
 
 
-@query("diff_changes", "SELECT file, 'is ' || start AS added, 'was ' || start AS removed FROM hunks")
+@query("diff_changes", "SELECT file, 'is ' || start || chr(10) || '++ x' AS added, 'was ' || start AS removed FROM hunks")
 def diff_changes(c: Corpus) -> DataFrame:
-    lines = _patch(c).filter("line <> '+++ x'")
-    return diffcheck.parse_patch(lines)[1].select("file", "added", "removed")
+    """An added line that itself begins like a file header is changed text."""
+    return diffcheck.parse_patch(_patch(c))[1].select("file", "added", "removed")
 
 
 @query("diff_label_cover", f"""WITH {CLASSES}, {SPOTS}
@@ -553,23 +574,60 @@ def diff_identifier_cover(c: Corpus) -> DataFrame:
     return diffcheck.identifier_cover(_added(c), c.facets).select("reason", "full_id", "file", "facet")
 
 
+def _dropped(c: Corpus) -> DataFrame:
+    gone = c.sites.filter("line % 10 < 3").groupBy("file").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("removed"))
+    now = trace.scan(c.sites.filter("line % 10 >= 3"))
+    return diffcheck.dropped(diffcheck.removed_labels(gone), now, c.statements)
+
+
 @query("diff_dropped", """WITH gone AS (SELECT DISTINCT full_id, file FROM refs WHERE kind = 'code' AND line % 10 < 3), now AS (SELECT DISTINCT full_id FROM refs WHERE kind = 'code' AND line % 10 >= 3)
   SELECT g.full_id, array_to_string(list_sort(list(DISTINCT g.file)), ',') AS files FROM gone g ANTI JOIN now ON now.full_id = g.full_id JOIN statements s ON s.full_id = g.full_id WHERE status IN ('active', 'proposed') AND NOT abstract GROUP BY 1""")
 def diff_dropped(c: Corpus) -> DataFrame:
-    gone = c.sites.filter("line % 10 < 3").groupBy("file").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("removed"))
-    now = trace.scan(c.sites.filter("line % 10 >= 3"))
-    return diffcheck.dropped(diffcheck.removed_labels(gone), now, c.statements).select("full_id", F.array_join("files", ",").alias("files"))
+    return _dropped(c).select("full_id", F.array_join("files", ",").alias("files"))
 
 
-@query("diff_check", f"""WITH {CLASSES}, {SPOTS},
-  every AS (
+EVERY = """
     SELECT CASE WHEN class IN ('retired', 'rejected', 'abstract') AND kind = 'code' THEN 'contradiction' ELSE 'label' END AS reason, full_id, s.file, s.line, NULL AS facet FROM spots s JOIN hunks h ON h.file = s.file AND s.line BETWEEN h.start AND h."end" WHERE class <> 'dangling'
     UNION ALL SELECT 'provenance', full_id, source_file, line_start, NULL FROM statements s JOIN hunks h ON h.file = s.source_file AND h.start <= s.line_end AND s.line_start <= h."end"
-    UNION ALL SELECT CASE WHEN source_kind = 'rejection' THEN 'rejection' ELSE 'identifier' END, full_id, 'src' || p_partkey % 20, NULL, facet FROM facets JOIN part ON facet = lower(replace(p_name, ' ', '_')) || '_' || p_size)
-  SELECT reason, full_id, file, facet, min(line)::INT AS line FROM every GROUP BY ALL""")
+    UNION ALL SELECT CASE WHEN source_kind = 'rejection' THEN 'rejection' ELSE 'identifier' END, full_id, 'src' || p_partkey % 20, NULL, facet FROM facets JOIN part ON facet = lower(replace(p_name, ' ', '_')) || '_' || p_size"""
+
+
+def _covering(c: Corpus) -> DataFrame:
+    return diffcheck.covered([diffcheck.label_cover(_spots(c), c.hunks), diffcheck.provenance_cover(c.statements, c.hunks), diffcheck.identifier_cover(_added(c), c.facets)])
+
+
+@query("diff_check", f"WITH {CLASSES}, {SPOTS}, every AS ({EVERY}) SELECT reason, full_id, file, facet, min(line)::INT AS line FROM every GROUP BY ALL")
 def diff_check(c: Corpus) -> DataFrame:
-    parts = [diffcheck.label_cover(_spots(c), c.hunks), diffcheck.provenance_cover(c.statements, c.hunks), diffcheck.identifier_cover(_added(c), c.facets)]
-    return diffcheck.covered(parts).select("reason", "full_id", "file", "facet", "line")
+    return _covering(c).select("reason", "full_id", "file", "facet", "line")
+
+
+@query("diff_outside", "SELECT file, start, \"end\" FROM hunks WHERE file <> 'src1' AND file NOT LIKE 'src1/%'")
+def diff_outside(c: Corpus) -> DataFrame:
+    """Hunks of the patch that are not of the store, here the folder src1."""
+    return diffcheck.outside(c.hunks, "src1").select("file", "start", "end")
+
+
+STALE = "stale AS (SELECT full_id FROM statements WHERE doc_id % 4 = 0)"
+
+
+@query("diff_gate", f"""WITH {CLASSES}, {SPOTS}, {STALE}, every AS ({EVERY}),
+  gone AS (SELECT DISTINCT full_id, file FROM refs WHERE kind = 'code' AND line % 10 < 3), now AS (SELECT DISTINCT full_id FROM refs WHERE kind = 'code' AND line % 10 >= 3),
+  lost AS (SELECT DISTINCT g.full_id FROM gone g ANTI JOIN now ON now.full_id = g.full_id JOIN statements s ON s.full_id = g.full_id WHERE status IN ('active', 'proposed') AND NOT abstract),
+  cases AS (SELECT unnest(['all', 'dropped', 'stale', 'none']) AS "case")
+  SELECT "case", CASE "case" WHEN 'all' THEN EXISTS (FROM every WHERE reason = 'contradiction') OR EXISTS (FROM lost) OR EXISTS (FROM every SEMI JOIN stale USING (full_id))
+    WHEN 'dropped' THEN EXISTS (FROM lost) WHEN 'stale' THEN EXISTS (FROM every SEMI JOIN stale USING (full_id) WHERE reason = 'provenance') ELSE FALSE END AS failed FROM cases""")
+def diff_gate(c: Corpus) -> DataFrame:
+    """The verdict on the whole patch, on dropped labels alone, on stale covering statements alone, and on nothing."""
+    stale = c.statements.filter("doc_id % 4 = 0").select("full_id")
+    cover, gone = _covering(c), _dropped(c)
+    none = cover.limit(0)
+    ranges = cover.filter("reason = 'provenance'")
+    cases = {"all": (cover, gone, stale), "dropped": (none, gone, stale), "stale": (ranges, gone.limit(0), stale), "none": (none, gone.limit(0), stale)}
+    out = None
+    for name, case in cases.items():
+        row = diffcheck.gate(*case).select(F.lit(name).alias("case"), "failed")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 # ---- small rules and derivation ----------------------------------------------------------------------------
@@ -641,6 +699,96 @@ def batch_validate(c: Corpus) -> DataFrame:
     return records.batch(c.table("events").select(i.alias("line_no"), text.alias("text"))).withColumn("op", F.when(F.col("problem") == "malformed", F.lit(None)).otherwise(F.col("op")))
 
 
+@query("reindex_stats", f"SELECT change, count(*)::BIGINT AS n FROM ({ORACLES['reindex_diff']}) GROUP BY 1", base=False)
+def reindex_stats(c: Corpus) -> DataFrame:
+    return records.change_stats(reindex_diff(c))
+
+
+@query("batch_summary", f"SELECT count(*)::BIGINT AS total, (count(*) FILTER (problem IS NOT NULL))::BIGINT AS failed, count(*) FILTER (problem = 'malformed') = 0 AS applies FROM ({ORACLES['batch_validate']})", base=False)
+def batch_summary(c: Corpus) -> DataFrame:
+    return records.batch_summary(batch_validate(c))
+
+
+@query("source_spec", """WITH s AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'f/' || event_type || '.go:' || event_id WHEN 1 THEN 'f:' || user_id || ':' || event_id || '-' || event_id + 4 WHEN 2 THEN 'f.go:' WHEN 3 THEN 'f.go:4-' ELSE ':' || event_id END AS spec FROM events)
+  SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'f/' || regexp_extract(spec, '^f/(.*):', 1) WHEN event_id % 5 = 1 THEN regexp_extract(spec, '^(f:\\d+):', 1) END AS file, CASE WHEN event_id % 5 < 2 THEN event_id END::INT AS start, CASE event_id % 5 WHEN 0 THEN event_id WHEN 1 THEN event_id + 4 END::INT AS "end" FROM s""".replace("\\\\", "\\"), base=False)
+def source_spec(c: Corpus) -> DataFrame:
+    """`file:10` and `file:10-14`; a file's name may hold a colon; anything else is no source."""
+    i, n = F.col("event_id"), F.col("event_id").cast("string")
+    spec = F.when(i % 5 == 0, F.concat(F.lit("f/"), "event_type", F.lit(".go:"), n)).when(i % 5 == 1, F.concat(F.lit("f:"), F.col("user_id").cast("string"), F.lit(":"), n, F.lit("-"), (i + 4).cast("string"))).when(i % 5 == 2, "f.go:").when(i % 5 == 3, "f.go:4-").otherwise(F.concat(F.lit(":"), n))
+    return c.table("events").select("event_id", T.source_range(spec).alias("r")).select("event_id", "r.file", "r.start", "r.end")
+
+
+@query("slug_rules", "SELECT p_partkey, regexp_full_match(x, '[a-z0-9]+(-[a-z0-9]+)*') AS slug FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN replace(p_name, ' ', '-') WHEN 1 THEN replace(lower(p_name), ' ', '-') || '-' || p_size WHEN 2 THEN lower(p_name) ELSE '-' || lower(p_brand) END AS x FROM part)", base=False)
+def slug_rules(c: Corpus) -> DataFrame:
+    k, low = F.col("p_partkey"), F.lower("p_name")
+    x = F.when(k % 4 == 0, F.replace("p_name", F.lit(" "), F.lit("-"))).when(k % 4 == 1, F.concat(F.replace(low, F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_size").cast("string"))).when(k % 4 == 2, low).otherwise(F.concat(F.lit("-"), F.lower("p_brand")))
+    return c.table("part").select("p_partkey", T.valid_slug(x).alias("slug"))
+
+
+@query("commit_trailers", f"""SELECT substr(md5(event_id::VARCHAR), 1, 7) AS sha, ts AS date, event_type AS subject FROM events CROSS JOIN n JOIN ids ON doc_id = {DRAFT_ID} WHERE event_id % 6 IN (0, 1)""")
+def commit_trailers(c: Corpus) -> DataFrame:
+    """Commits whose message has the trailer on a line of its own; ids that only begin alike and running text do not count."""
+    full_id = c.ids.filter(F.col("doc_id") == DRAFT_ID).first().full_id
+    i = F.col("event_id")
+    tail = F.when(i % 6 == 0, f"Decision: {full_id}").when(i % 6 == 1, f"more\n\ndecision:\t{full_id}  \nSigned: x").when(i % 6 == 2, f"Decision: {full_id}0").when(i % 6 == 3, f"see Decision: {full_id}").when(i % 6 == 4, f"Decision: {full_id} and more").otherwise("none")
+    commits = c.table("events").select(F.md5(i.cast("string")).alias("sha"), F.col("ts").alias("date"), F.col("event_type").alias("subject"), F.concat("event_type", F.lit("\n\n"), tail).alias("message"))
+    return trace.commits_of(commits, full_id)
+
+
+PAIR_IDS = f"x AS (SELECT full_id FROM ids WHERE doc_id = {DRAFT_ID}), y AS (SELECT full_id FROM ids WHERE doc_id = 11)"
+
+
+def _two(c: Corpus) -> tuple[str, str]:
+    rows = {r.doc_id: r.full_id for r in c.ids.filter(F.col("doc_id").isin(DRAFT_ID, 11)).collect()}
+    return rows[DRAFT_ID], rows[11]
+
+
+@query("edges_linked", f"WITH {PAIR_IDS} SELECT from_id, to_id, type, unconfirmed FROM edges UNION ALL SELECT x.full_id, y.full_id, 'refines', TRUE FROM x, y")
+def edges_linked(c: Corpus) -> DataFrame:
+    """One link more, made twice: the second time it is there already."""
+    x, y = _two(c)
+    once = records.linked(c.edges, x, y, "refines", confirmed=False)
+    return records.linked(once, x, y, "refines", confirmed=False).select("from_id", "to_id", "type", "unconfirmed")
+
+
+@query("edges_unlinked", f"WITH {PAIR_IDS} SELECT from_id, to_id, type FROM edges WHERE from_id <> (SELECT full_id FROM x)")
+def edges_unlinked(c: Corpus) -> DataFrame:
+    """All of one statement's links go, one by one."""
+    x, _ = _two(c)
+    out = c.edges
+    for r in c.edges.filter(F.col("from_id") == x).select("to_id").distinct().collect():
+        out = records.unlinked(out, x, r.to_id)
+    return out.select("from_id", "to_id", "type")
+
+
+@query("moved_edges", f"WITH {PAIR_IDS} SELECT CASE WHEN from_id = x.full_id THEN 'new/place' ELSE from_id END AS from_id, CASE WHEN to_id = x.full_id THEN 'new/place' ELSE to_id END AS to_id, type FROM edges, x UNION ALL SELECT full_id, 'new/place', 'moved_to' FROM x")
+def moved_edges(c: Corpus) -> DataFrame:
+    """Edges after a move that leaves a stub behind."""
+    x, _ = _two(c)
+    return records.moved(c.statements, c.rejections, c.edges, c.embeddings, x, "new/place", stub=True)[2].select("from_id", "to_id", "type")
+
+
+@query("moved_statements", f"WITH {PAIR_IDS} SELECT CASE WHEN s.full_id = x.full_id THEN 'new/place' ELSE s.full_id END AS full_id, CASE WHEN s.full_id = x.full_id THEN 'new' ELSE namespace END AS namespace, CASE WHEN s.full_id = x.full_id THEN 'place' ELSE doc_id::VARCHAR END AS id, status, sha256(body) AS hash FROM statements s, x UNION ALL SELECT s.full_id, namespace, doc_id::VARCHAR, 'superseded', sha256('Moved to new/place.') FROM statements s JOIN x USING (full_id)")
+def moved_statements(c: Corpus) -> DataFrame:
+    x, _ = _two(c)
+    return records.moved(c.statements, c.rejections, c.edges, c.embeddings, x, "new/place", stub=True)[0].select("full_id", "namespace", "id", "status", F.sha2("body", 256).alias("hash"))
+
+
+@query("dismissed_pairs", f"WITH {PAIR_IDS} SELECT a, b FROM verdicts UNION SELECT least(x.full_id, y.full_id), greatest(x.full_id, y.full_id) FROM x, y")
+def dismissed_pairs(c: Corpus) -> DataFrame:
+    x, y = _two(c)
+    once = records.dismissed(c.verdicts, y, x)
+    return records.dismissed(once, x, y).select("a", "b")
+
+
+@query("vectors_upserted", "SELECT full_id, model, CASE WHEN source_hash = sha256('old') THEN sha256(body) ELSE source_hash END AS source_hash FROM embeddings_ JOIN statements USING (full_id)")
+def vectors_upserted(c: Corpus) -> DataFrame:
+    """Stale vectors are put in anew under their bodies' hashes."""
+    bodies = c.statements.select("full_id", F.sha2("body", 256).alias("_h"))
+    stale = c.embeddings.filter(F.col("source_hash") == F.sha2(F.lit("old"), 256)).join(bodies, "full_id").withColumn("source_hash", F.col("_h")).select(*c.embeddings.columns)
+    return records.with_vectors(c.embeddings, stale).select("full_id", "model", "source_hash")
+
+
 @query("stale_sources", """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l, (doc_id % 3 + 1)::INT AS k FROM documents), s AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN 'x' ELSE sha256(array_to_string(list_slice(l, 1, k), chr(10))) END AS h FROM d)
   SELECT 'f/' || doc_id AS full_id, CASE WHEN k > len(l) THEN TRUE ELSE h <> sha256(array_to_string(list_slice(l, 1, k), chr(10))) END AS stale FROM s""", base=False)
 def stale_sources(c: Corpus) -> DataFrame:
