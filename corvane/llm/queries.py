@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe_chunks, crf, decontaminate, line_dedup, minhash, quality, shards, token_counts, token_files, warc
+from corvane.llm import alignment, bpe_chunks, centroids, crf, decontaminate, line_dedup, minhash, quality, shards, simhash, token_counts, token_files, warc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(_docs(spark, sf_dir))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(_docs(spark, sf_dir))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(_docs(spark, sf_dir))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_chunks": op1_bpe_chunks,
     "op2_warc": op2_warc,
@@ -64,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_quality_rules": op10_quality_rules,
+    "op11_alignment": op11_alignment,
+    "op12_simhash": op12_simhash,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLES: dict[str, str] = {
@@ -71,4 +86,5 @@ ORACLES: dict[str, str] = {
     "op7_minhash": minhash.LINKS_SQL,
     "op8_line_dedup": line_dedup.LINE_SQL,
     "op10_quality_rules": quality.QUALITY_SQL,
+    "op13_centroids": centroids.CLUSTER_SQL,
 }

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.01"
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         c.sql(f"create view {t} as from '{SF}/{t}.parquet'")
     return c
 
