@@ -38,7 +38,6 @@ from corvane.llm.scratch import cut
 TABLE, PART = 1 << 18, 1 << 21
 BATCH_BYTES = 1 << 20
 
-
 class Sides:
     """Both tokenizers: text -> ids and token lengths in bytes, or None where a side does not give the text back."""
 
@@ -61,19 +60,18 @@ class Sides:
         self.size_a = np.array([len(x) for x in self.bytes_a], dtype=np.int64)
         self.size_b = np.array([len(x) for x in self.bytes_b], dtype=np.int64)
         self.width = len(self.bytes_b)
-        most = max(len(self.bytes_a), self.width)
-        self.names = [f"{i}{sep}" for sep in ",|;" for i in range(most)]
-        self.most = most
+        self.most = max(len(self.bytes_a), self.width)
+        self.names = np.array([f"{i}{sep}" for sep in ",|;" for i in range(self.most)], dtype="S")
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         if not text:
             return None
         whole = (" " + text).encode()
         b = self.b.encode(text)
-        if b"".join([self.bytes_b[i] for i in b]) != whole:
+        if b"".join(map(self.bytes_b.__getitem__, b)) != whole:
             return None
         a = self.a(" " + text)
-        if b"".join([self.bytes_a[i] for i in a.tolist()]) != whole:
+        if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != whole:
             return None
         return a.astype(np.int64), np.array(b, dtype=np.int64)
 
@@ -97,11 +95,18 @@ def union(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The group number, from 0 in order, of each A and each B token, from the ascending ends of both over the same bytes."""
-    ends = np.unique(np.concatenate([ends_a, ends_b]))
-    x, y = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)  # whose last byte lies before each end
-    label = union(len(ends_a) + len(ends_b), x, y + len(ends_a))
-    _, number = np.unique(label, return_inverse=True)  # a component's least member is an A token, and those ascend
-    return number[: len(ends_a)], number[len(ends_a) :]
+    n = len(ends_a)
+    both = np.concatenate([ends_a, ends_b])
+    order = np.argsort(both, kind="stable")  # two sorted runs, merged; at equal ends A's comes first
+    last = np.flatnonzero(np.diff(both[order], append=-1))  # of each distinct end
+    of_a = order < n
+    upto = of_a.cumsum()[last]
+    # the tokens whose last byte lies before each end: as many ends lie before it
+    x = upto - np.where(of_a[last], 1, of_a[last - 1] & (both[order[last - 1]] == both[order[last]]))
+    y = (last + 1 - upto) - ~of_a[last]
+    label = union(len(both), x, y + n)
+    number = (label[:n] == np.arange(n)).cumsum() - 1  # a component's least member is an A token, and those ascend
+    return number[label[:n]], number[label[n:]]
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -130,10 +135,10 @@ def expanded(text: np.ndarray, ga: np.ndarray, a: np.ndarray, gb: np.ndarray, b:
     ka, na = _distinct(ga * span + a)
     kb, nb = _distinct(gb * span + b)
     ga, a, gb, b = ka // span, ka % span, kb // span, kb % span
-    order = np.lexsort((a, text[ga]))
+    order = np.argsort(text[ga] * span + a, kind="stable")
     ga, a, na = ga[order], a[order], na[order]
-    low = np.searchsorted(gb, ga, "left")
-    size = np.searchsorted(gb, ga, "right") - low
+    held = np.bincount(gb, minlength=len(text))
+    low, size = (held.cumsum() - held)[ga], held[ga]
     ends, first = size.cumsum(), _runs(text[ga], a)
     at = 0
     while at < len(ga):
@@ -146,7 +151,7 @@ def expanded(text: np.ndarray, ga: np.ndarray, a: np.ndarray, gb: np.ndarray, b:
         left = np.repeat(np.arange(at, to), n)
         right = np.arange(len(left)) - np.repeat(n.cumsum() - n - low[at:to], n)
         t, pair, times = text[ga[left]], a[left] * width + b[right], na[left] * nb[right]
-        order = np.lexsort((pair, t))
+        order = np.argsort(t * (span * width) + pair)
         t, pair, times = t[order], pair[order], times[order]
         new = _runs(t, pair)
         yield t[new], pair[new], np.add.reduceat(times, new)
@@ -175,14 +180,14 @@ def _align(ids: list, sides: Sides) -> tuple[list[tuple], Iterator]:
     sign = np.zeros(len(order), dtype=np.int64)
     after = (na + nb).cumsum()
     sign[after - nb - 1], sign[after - 1] = 1, 2
-    names = list(map(sides.names.__getitem__, (np.concatenate([a, b])[order] + sign * sides.most).tolist()))
+    names = sides.names[np.concatenate([a, b])[order] + sign * sides.most]
     links, at = na * nb, 0
     ends = np.searchsorted(text, some, "right")
     for i, lo, hi in zip(some, np.searchsorted(text, some, "left").tolist(), ends.tolist()):
         n = len(ids[i][0]) + len(ids[i][1])
-        said = "".join(names[at : at + n])[:-1]
+        said = names[at : at + n].tobytes().translate(None, b"\0")[:-1]
         at += n
-        facts[i] = (len(ids[i][0]), len(ids[i][1]), hi - lo, int(links[lo:hi].sum()), hashlib.sha256(said.encode()).hexdigest())
+        facts[i] = (len(ids[i][0]), len(ids[i][1]), hi - lo, int(links[lo:hi].sum()), hashlib.sha256(said).hexdigest())
     return facts, expanded(text, ga, a, gb, b, sides.width)
 
 
