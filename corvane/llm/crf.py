@@ -7,11 +7,13 @@ splice spans of several documents, as code-switched text does, so that staying a
 switching both occur. Marginals come from the forward-backward algorithm, cut in
 segments of SEGMENT words: each segment's matrix product first, then messages from
 segment to segment, then inside all segments at once, which is exact and needs no
-padding to the longest text.
+padding to the longest text; a text's first word has its emission alone, as in the
+training chains.
 
 Learned on the driver from at most TRAIN_DOCS labelled documents (a bounded,
-documented sample, by hash of doc_id, of texts of TRAIN_BYTES at most); labels of
-words are those of their documents. Whole texts are predicted, map side, nothing
+documented sample, by hash of doc_id; of a text longer than TRAIN_CHARS, a span of
+that length from a place that the hash picks); labels of words are those of their
+documents. Whole texts are predicted, map side, nothing
 is shuffled.
 
 Defined cases: null text, or none with a letter, gives `und` with score 0; no
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm import vocab
 
-TRAIN_DOCS, TRAIN_BYTES, SPANS, SPAN, LEXICON = 2500, 20_000, 6, 12, 20_000
+TRAIN_DOCS, TRAIN_CHARS, SPANS, SPAN, LEXICON = 2500, 20_000, 6, 12, 20_000
 GRAMS, HASHED, ROUNDS, SEGMENT = 4, 1 << 15, 60, 64
 
 
@@ -184,12 +186,17 @@ class Tagger:
         real = grid > 0
         e = self.table[grid]
         p = np.exp(e - e.max(axis=2, keepdims=True))
+        head = np.zeros(total, dtype=bool)  # segments that begin a text: nothing moves into their first word
+        head[first[segs > 0]] = True
         m = np.broadcast_to(np.eye(k), (total, k, k)).copy()  # each segment's product
         for i in range(SEGMENT):
             on = real[:, i]
             if not on.any():
                 break
-            step = (m.reshape(-1, k) @ t).reshape(total, k, k) * p[:, i][:, None, :]
+            step = (m.reshape(-1, k) @ t).reshape(total, k, k)
+            if not i:
+                step[head] = m[head]
+            step = step * p[:, i][:, None, :]
             step /= step.sum(axis=(1, 2), keepdims=True)
             m = np.where(on[:, None, None], step, m)
         start, finish = np.full((total, k), 1 / k), np.ones((total, k))
@@ -204,7 +211,10 @@ class Tagger:
         a, b = start, finish
         kept = np.zeros((total, SEGMENT, k))
         for i in range(SEGMENT):
-            step = (a @ t) * p[:, i]
+            step = a @ t
+            if not i:
+                step[head] = a[head]
+            step = step * p[:, i]
             step /= step.sum(axis=1, keepdims=True)
             a = np.where(real[:, i : i + 1], step, a)
             kept[:, i] = a
@@ -226,12 +236,17 @@ def held_out(doc_id: Column) -> Column:
 
 def training_rows(docs: DataFrame) -> list[tuple[str, str]]:
     """The bounded sample: the TRAIN_DOCS labelled, not held-out documents whose doc_id hashes lowest."""
-    usable = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") <= TRAIN_BYTES))
+    usable = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("_h"), "doc_id")
     # a share of the hash space that holds a little more than the sample, so that tasks send few texts to be ranked
     share = min(1.0, 1.5 * TRAIN_DOCS / max(usable.count(), 1) + 1e-9)
     low = usable.filter(F.shiftrightunsigned("_h", 11) < int(share * (1 << 53)))
-    return [(r.text, r.lang) for r in low.orderBy(F.shiftrightunsigned("_h", 11), "doc_id").limit(TRAIN_DOCS).collect()]
+    long = F.length("text") > TRAIN_CHARS
+    at = F.pmod("_h", F.greatest(F.length("text") - TRAIN_CHARS, F.lit(1))).cast("int") + 1
+    span = F.when(long, F.substring("text", at, F.lit(TRAIN_CHARS))).otherwise(F.col("text"))
+    rows = low.select(span.alias("text"), long.alias("long"), "lang", "_h", "doc_id").orderBy(F.shiftrightunsigned("_h", 11), "doc_id").limit(TRAIN_DOCS).collect()
+    # a span's first and last words may be cut
+    return [(" ".join(r.text.split()[1:-1]) if r.long else r.text, r.lang) for r in rows]
 
 
 def fitted(docs: DataFrame):
