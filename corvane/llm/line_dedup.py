@@ -2,15 +2,17 @@
 
 Lines are normalised, hashed and counted by document; the lines of a key that
 enough documents hold go everywhere but in the largest doc_id that holds it.
-Long keys are counted from one row per (document, key), made distinct inside
-the row, so that the count and the maximum combine before the shuffle and a
-line found in every document costs one row per task. What is frequent (one row a
+Long keys are counted from one row per (row, key), made distinct inside the row,
+so that the count and the maximum combine before the shuffle and a line found in
+every document costs one row per task. Where a doc_id has several rows, what they
+counted too often is found from those rows alone, distinct by (key, doc_id), and
+taken off. What is frequent (one row a
 key) is joined back over SALT parts of each key, so that such a line's rows spread.
 
 Defined cases: null text is one empty line; a row with a null doc_id takes part
 in the counts, loses its lines like any other and never is the keeper unless
-nothing but null ids hold the key; repeated rows count once each, and rows that
-share a doc_id, or have none, lose their own lines only (they are told apart by
+nothing but null ids hold the key; rows that share a doc_id, repeated or not, count
+as one document, rows without one as one each, and both lose their own lines only (they are told apart by
 their texts); an empty table gives an empty one; other columns are ignored
 (line_report) or kept (dedup_lines), where input columns named n_lines or n_dropped
 are replaced by the results.
@@ -44,7 +46,15 @@ def frequent_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
     keys = F.filter(F.transform("lines", _key), lambda k: F.length(k) >= min_chars)
     held = _lines(docs).select("doc_id", F.explode(F.array_distinct(F.transform(keys, _hash))).alias("h"))
     counts = held.groupBy(F.col("h.a").alias("a"), F.col("h.b").alias("b"))
-    return counts.agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= min_docs)
+    found = counts.agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).filter(F.col("n_docs") >= min_docs)
+    again = docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_id")
+    if again.isEmpty():
+        return found
+    rows = _lines(docs).select("doc_id", F.array_distinct(F.transform(keys, _hash)).alias("hs")).join(again, F.col("doc_id") == F.col("_id"), "left_semi")
+    twice = rows.select("doc_id", F.explode("hs").alias("h")).groupBy("doc_id", F.col("h.a").alias("a"), F.col("h.b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    over = twice.groupBy("a", "b").agg(F.sum(F.col("n") - 1).alias("over"))
+    right = found.join(over, ["a", "b"], "left").withColumn("n_docs", F.col("n_docs") - F.coalesce("over", F.lit(0)))
+    return right.drop("over").filter(F.col("n_docs") >= min_docs)
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -62,17 +72,26 @@ def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Da
     return hit.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """Every column of docs with text rebuilt from the lines kept, and n_lines, n_dropped."""
+def _unlike(name: str, docs: DataFrame) -> str:
+    """name, longer where docs has it."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keep_names: bool = False) -> DataFrame:
+    """Every column of docs with text rebuilt from the lines kept, and n_lines, n_dropped; with keep_names the columns of docs alone, whatever their names."""
+    lines, drop = _unlike("_lines", docs), _unlike("_dropped", docs)
     out = [F.col(f"d.`{c}`") for c in docs.columns if c != "text"]
     drops = dropped_lines(docs, min_chars, min_docs)
     joined = docs.alias("d").join(drops.alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.xxhash64("d.text") == F.col("x.row")), "left")
-    split = joined.select(*out, F.split(F.coalesce("d.text", F.lit("")), "\n").alias("_lines"), F.coalesce("x.dropped", F.array().cast("array<int>")).alias("_dropped"))
-    last = F.size("_lines") - 1
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), last), "_dropped"), lambda i: F.get("_lines", i))
-    text = F.when(F.size("_dropped") == 0, F.array_join("_lines", "\n")).otherwise(F.array_join(kept, "\n"))
-    names = [c for c in docs.columns if c != "text"]
-    return split.select(*[f"`{c}`" for c in names if c not in ("n_lines", "n_dropped")], text.alias("text"), F.size("_lines").cast("long").alias("n_lines"), F.size("_dropped").cast("long").alias("n_dropped"))
+    split = joined.select(*out, F.split(F.coalesce("d.text", F.lit("")), "\n").alias(lines), F.coalesce("x.dropped", F.array().cast("array<int>")).alias(drop))
+    last = F.size(lines) - 1
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), last), drop), lambda i: F.get(lines, i))
+    text = F.when(F.size(drop) == 0, F.array_join(lines, "\n")).otherwise(F.array_join(kept, "\n"))
+    if keep_names:
+        return split.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return split.select(*[f"`{c}`" for c in docs.columns if c not in ("text", "n_lines", "n_dropped")], text.alias("text"), F.size(lines).cast("long").alias("n_lines"), F.size(drop).cast("long").alias("n_dropped"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:

@@ -36,6 +36,23 @@ def test_line_dedup(spark, docs, odd):
     assert line_dedup.line_report(docs([])).count() == 0
 
 
+def test_line_dedup_counts_documents(spark, docs):
+    """Rows of one doc_id are one document: a line in two documents stays, however often their rows repeat; in five it goes."""
+    two = [(1, f"a\n{LINE}")] * 4 + [(2, LINE)]
+    assert {tuple(r)[:3] for r in line_dedup.line_report(docs(two)).collect()} == {(1, 2, 0), (2, 1, 0)}
+    more = two + [(i, f"{LINE}\nx") for i in (3, 4)] + [(None, LINE)]
+    got = [tuple(r)[:3] for r in line_dedup.line_report(docs(more)).collect()]
+    assert sorted(got, key=str) == sorted([(1, 2, 1)] * 4 + [(2, 1, 1), (3, 2, 1), (4, 2, 0), (None, 1, 1)], key=str)
+    assert {tuple(r)[:3] for r in line_dedup.line_report(docs(more[:-1])).collect()} == {(1, 2, 0), (2, 1, 0), (3, 2, 0), (4, 2, 0)}
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, LINE, 7, "p", [3], 5)], "doc_id bigint, text string, n_lines int, `a.b` string, _lines array<int>, _dropped int")
+    got = line_dedup.dedup_lines(df, keep_names=True)
+    assert got.dtypes == df.dtypes and got.collect() == df.collect()
+    assert line_dedup.dedup_lines(df).select("n_lines", "`a.b`", "_lines", "_dropped").first() == (1, "p", [3], 5)
+
+
 def repeats(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     win = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
