@@ -4,8 +4,17 @@ One hash of each shingle decides both its bin and its rank in it; a bin's value
 its least hash. Empty bins borrow from a bin that a universal hash of (bin, try)
 picks, the same for every document (Shrivastava, 2017). ROWS bins make a band;
 there are as many bands as leave a pair at the threshold unseen once in a million.
-
-Documents with equal sets are one class from the start, so copies make no pairs.
+That holds for sets that fill their bins. Smaller ones borrow, and their bands agree
+or differ together: sets under TWICE shingles have bands of a second permutation,
+and pairs with a set under SMALL are found exactly. Two such sets of given sizes
+differ in at most d shingles, so of d + r parts into which a hash deals all
+shingles, r at least are the same in both; the contents of any r parts are a key,
+r chosen so that a key holds most of a set. Sizes go in classes that each reach to
+the largest partner of their smallest, and a set has keys of its own class and of
+the one below.
+
+Documents with equal sets are one class from the start, so copies make no pairs; a
+class is known by a 64-bit hash of its set.
 A bucket's candidate edges form a star: every member is compared with its centre
 only, the member that meets most others over all bands. Edges, were it of one band
 only, are confirmed on full shingle sets (of 64-bit hashes, so that a link could be
@@ -18,9 +27,10 @@ stay in proportion to the documents and nothing is capped. Sets too small to hav
 partner (|s| / (|s| + 1) under the threshold) are compared for equality only.
 
 Defined cases: null or wordless text has an empty set, links with nothing and is
-kept; repeated rows (same id, same text) are one node and come out once each; rows
-with a null id come out with null component and kept true; an empty table gives an
-empty one; other columns are ignored (report) or kept (keep_first).
+kept; rows that share a doc_id are one document, with all links of their texts, and
+come out once each; rows with a null id come out with null component and kept true;
+an empty table gives an empty one; other columns are ignored (report) or kept
+(keep_first).
 """
 
 from __future__ import annotations
@@ -28,6 +38,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +51,7 @@ from corvane.llm.scratch import cut, let_go
 
 ROWS, MISS = 5, 1e-6
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+SMALL, TWICE, KEYS = 100, 512, 21
 
 
 @dataclass(frozen=True)
@@ -62,6 +75,34 @@ class Rule:
         return math.ceil(self.percent / (100 - self.percent)) if self.percent < 100 else 1 << 30
 
 
+@cache
+def size_classes(percent: int) -> list[tuple[int, int, int, tuple[tuple[int, ...], ...]]]:
+    """(least size, largest size, parts, combinations of parts) of the classes whose smaller sets are under SMALL; none where a pair cannot differ."""
+    out, low = [], 1
+    while low < SMALL:
+        high = low * 100 // percent
+        differ = max(n + m - 2 * -(-percent * (n + m) // (100 + percent)) for n in range(low, high + 1) for m in range(n, n * 100 // percent + 1))
+        r = 1  # the most parts that leave no more than KEYS combinations
+        while differ and math.comb(differ + r + 1, r + 1) <= KEYS and r < 5:
+            r += 1
+        out.append((low, high, differ + r, tuple(combinations(range(differ + r), r)) if differ else ()))
+        low = high + 1
+    return out
+
+
+def exact_keys(u: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of a set, one of which it shares with each set that is like enough, where the smaller of the two is under SMALL."""
+    keys = []
+    for k, (low, high, parts, some) in enumerate(size_classes(percent)):
+        if low <= len(u) and len(u) * percent <= 100 * high and some:
+            mixed = _mix(u ^ np.uint64(0xA0761D6478BD642F * (k + 1) & (2**64 - 1)))
+            part, held = mixed % np.uint64(parts), np.zeros(parts, dtype=np.uint64)
+            np.add.at(held, part.astype(np.int64), _mix(mixed))
+            of = held[np.array(some)].sum(1, dtype=np.uint64)
+            keys.append(_mix(of ^ _mix(np.arange(len(some), dtype=np.uint64) + np.uint64((k + 1) << 32))))
+    return np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -125,6 +166,19 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def keys_of(sets: list[np.ndarray], rule: Rule) -> list[np.ndarray]:
+    """The keys of each set: bands of its bins, of a second permutation's where it is under TWICE, exact ones where a smaller partner can be under SMALL."""
+    out = [[exact_keys(u, rule.percent).view(np.int64)] for u in sets]
+    for again, most in ((0, 1 << 62), (1, TWICE)):
+        own = [i for i, u in enumerate(sets) if SMALL <= len(u) < most]
+        if own:
+            salt = np.uint64(0x8BB84B93962EACC9)
+            sig = signatures([np.sort(_mix(sets[i] ^ salt)) if again else sets[i] for i in own], rule.bins)
+            for i, k in zip(own, band_keys(sig)):
+                out[i].append(k ^ np.int64(again))
+    return [np.concatenate(x) for x in out]
+
+
 def sketch(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n_shingles, set_key, bands of every row; bands are null where no other set can be like enough."""
 
@@ -138,10 +192,8 @@ def sketch(docs: DataFrame, rule: Rule) -> DataFrame:
                 keys = [xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None for u in sets]
                 big = [i for i, u in enumerate(sets) if len(u) >= rule.least]
                 bands: list = [None] * len(sets)
-                if big:
-                    s = signatures([sets[i] for i in big], rule.bins)
-                    for i, k in zip(big, band_keys(s)):
-                        bands[i] = k
+                for i, k in zip(big, keys_of([sets[i] for i in big], rule)):
+                    bands[i] = k
                 cols = [b.column("doc_id"), pa.array([len(u) for u in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "set_key", "bands"])
 
@@ -149,17 +201,26 @@ def sketch(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
-    """id, set of the documents whose id is in ids."""
+    """id (of the class), set of the documents whose doc_id is in ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                sets = [shingles(x.as_py(), rule).view(np.int64) for x in b.column("text")]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
+                sets = [shingles(x.as_py(), rule) for x in b.column("text")]
+                keys = [xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None for u in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([u.view(np.int64) for u in sets], pa.list_(pa.int64()))], ["set_key", "set"])
 
     rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    return rows.join(ids, rows["doc_id"] == ids["id"], "left_semi").mapInArrow(run, "id bigint, set array<bigint>")
+    found = rows.join(ids, rows["doc_id"] == ids["rep"], "left_semi").mapInArrow(run, "set_key binary, set array<bigint>")
+    return found.filter("set_key is not null").select(_class(), "set")
+
+
+def _class():
+    """The number of a class: a hash of its set's key."""
+    return F.xxhash64("set_key").alias("id")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -235,7 +296,12 @@ def _named(ids: DataFrame, comps: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """(sketches of all rows, doc -> component of all documents that have a class mate or a link: id, root)."""
     sig = cut(sketch(docs, rule), "sketch")
-    classes = cut(sig.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("_last"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "classes")
+    known = sig.filter("n_shingles > 0 and doc_id is not null")
+    classes = cut(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("_last"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")).withColumn("id", _class()), "classes")
+    # texts of one doc_id are linked as they stand
+    own = known.select("doc_id", _class())
+    several = own.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("_b")).filter("a < _b").select("doc_id", "a")
+    same = cut(own.join(several, "doc_id").filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "same")
     heads = classes.filter("bands is not null").select("id", "bands", "n")
     rows = heads.select("id", F.explode("bands").alias("key")).distinct()
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -245,10 +311,11 @@ def linked(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     rank = F.struct(F.col("meets"), -F.col("id"))
     centres = members.groupBy("key").agg(F.max_by("id", rank).alias("a"))
     stars = cut(members.join(centres, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "stars")
-    involved = meets.select("id")
-    sets = cut(shingle_sets(docs, cut(involved, "involved"), rule).dropDuplicates(["id"]), "sets")
+    involved = cut(classes.select("id", "rep").join(meets.select("id"), "id", "left_semi"), "involved")
+    found = shingle_sets(docs, involved.select("rep").distinct(), rule)
+    sets = cut(found.join(involved.select("id"), "id", "left_semi").dropDuplicates(["id"]), "sets")
     let_go(docs.sparkSession)
-    links = cut(confirmed(stars, sets, rule), "links")
+    links = cut(confirmed(stars, sets, rule).unionByName(same), "links")
     comps = cut(components(links), "comps")
     # what still holds several components: buckets by full sets, all outsiders of the largest component with all others
     at = cut(_named(members.select("key", "id"), comps).join(heads.select("id", "n"), "id"), "at")
@@ -260,9 +327,14 @@ def linked(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     rest = at.drop("n").join(mixed, "key").join(sets, "id").select("key", "id", "comp", F.col("set").alias("value"), (F.col("comp") != F.col("main")).alias("outside"), "lefts", "rights")
     more = cut(_blocks(rest, rule), "more")
     roots = comps if more.isEmpty() else cut(components(links.unionByName(more)), "comps")
-    copies = classes.filter("id < _last").select("set_key", F.col("id").alias("rep")).join(sig.select("set_key", F.col("doc_id").alias("id")), "set_key").select("id", "rep").distinct()
-    named = copies.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
-    return sig, named.unionByName(roots.select("id", "root")).groupBy("id").agg(F.min("root").alias("root"))
+    # components by their least doc_id, then all documents of classes that have copies or links
+    named = classes.select("set_key", "id", "rep", "_last").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = cut(named.filter("rep < _last").unionByName(named.filter("rep = _last").join(roots.select("id"), "id", "left_semi")).select("set_key", "root", "rep", "_last"), "named")
+    least = named.groupBy("root").agg(F.min("rep").alias("least"))
+    named = named.join(least, "root")
+    copies = named.filter("rep < _last").select("set_key", "least").join(sig.select("set_key", F.col("doc_id").alias("id")).filter("id is not null"), "set_key")
+    alone = named.filter("rep = _last").select(F.col("rep").alias("id"), "least")
+    return sig, copies.select("id", "least").unionByName(alone).groupBy("id").agg(F.min("least").alias("root"))
 
 
 def report(docs: DataFrame, rule: Rule = Rule(3, 85)) -> DataFrame:
@@ -273,7 +345,7 @@ def report(docs: DataFrame, rule: Rule = Rule(3, 85)) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """The rows of docs but those whose component has a smaller doc_id; one row of repeated ones stays by its id."""
+    """The rows of docs but those whose component has a smaller doc_id; all rows of the smallest stay."""
     _, roots = linked(docs.select("doc_id", "text"), rule)
     gone = roots.filter("id <> root").select("id")
     return docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")

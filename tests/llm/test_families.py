@@ -74,3 +74,49 @@ def test_many_small_families_and_a_large_one(spark, docs):
             data.append((len(data) * 7 % 5003, " ".join(w)))
     got = {r.doc_id: r.component_id for r in minhash.report(docs(data), rule).collect()}
     assert got == brute(data, rule)
+
+
+def test_one_word_more(spark, docs):
+    """Sets of 6 and 7 shingles, 6 in common: a link that no band of mostly borrowed bins held."""
+    words = "w1398404 w7557066 w6693112 w8778894 w6233753 w6468654 w3446781 w3103286"
+    got = {r.doc_id: r.component_id for r in minhash.report(docs([(1, words), (2, f"{words} w6174919")]), minhash.Rule(3, 85)).collect()}
+    assert got == {1: 1, 2: 1}
+
+
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_keys_of_small_sets_are_exact(percent):
+    """Every pair at or just over the threshold, of all sizes that are found exactly and the first that are not, has a key in common."""
+    rng, rule = np.random.default_rng(percent), minhash.Rule(3, percent)
+    last = minhash.size_classes(percent)[-1][1]
+    for n in range(rule.least, last + 30):
+        pairs = []
+        for gone in range(n):
+            more = (100 * (n - gone)) // percent - n  # the most that keep the pair linked
+            if more < 0:
+                break
+            u = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+            pairs += [(np.sort(u), np.sort(np.concatenate([u[gone:], rng.integers(0, 1 << 64, k, dtype=np.uint64)]))) for k in {more, more // 2} if gone or k]
+        for a, b in pairs:
+            assert min(len(a), len(b)) < rule.least or set(minhash.keys_of([a], rule)[0]) & set(minhash.keys_of([b], rule)[0])
+
+
+def test_loss_of_larger_sets():
+    """Bands alone, from SMALL on: of 3,000 pairs at the threshold none is unseen."""
+    rng, rule = np.random.default_rng(13), minhash.Rule(3, 85)
+    for n in (110, 250, 511, 530):
+        sets = []
+        for _ in range(750):
+            u = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+            sets += [np.sort(u), np.sort(np.concatenate([u[: -(-85 * n // 100)], rng.integers(0, 1 << 64, 0, dtype=np.uint64)]))]
+        keys = minhash.keys_of(sets, rule)
+        assert all(set(a[-24:]) & set(b[-24:]) or set(a) & set(b) for a, b in zip(keys[::2], keys[1::2]))
+
+
+def test_texts_of_one_id_in_any_order(spark, docs):
+    """Rows that share a doc_id are one document with the links of all its texts; the order of rows changes nothing."""
+    one, two, far = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    data = [(1, one), (1, two), (2, one + " more"), (3, two + " more"), (4, far), (4, far), (5, None), (5, far)]
+    want = {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
+    for order in (data, data[::-1]):
+        assert {(r.doc_id, r.component_id) for r in minhash.report(docs(order), minhash.Rule(3, 85)).collect()} == want
+    assert sorted(r.doc_id for r in minhash.keep_first(docs(data), minhash.Rule(3, 85)).collect()) == [1, 1, 4, 4]
