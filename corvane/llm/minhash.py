@@ -322,8 +322,10 @@ def linked(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     size, n = F.sum("size"), F.sum("n")
     most = F.struct(F.col("size"), -F.col("comp"))
     parts = lambda size, n: F.greatest(F.ceil(size / BLOCK), F.ceil(n / BLOCK_SHINGLES)).cast("int")
-    mixed = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"), n.alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("comps"), size.alias("size"), F.max_by("comp", most).alias("main"), parts(size - F.max("size"), n - F.max_by("n", most)).alias("lefts"), parts(size, n).alias("rights"))
-    mixed = mixed.filter("comps > 1 and size > 2").select("key", "main", "lefts", "rights")
+    # buckets of the same members are gone through once: like documents share several keys
+    names = lambda of: [F.bit_xor(c).alias(x) for c, x in zip(of, ("_x", "_y"))]
+    mixed = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"), n.alias("n"), *names((F.xxhash64("id"), F.xxhash64(F.lit(1), "id")))).groupBy("key").agg(F.count(F.lit(1)).alias("comps"), size.alias("size"), F.max_by("comp", most).alias("main"), parts(size - F.max("size"), n - F.max_by("n", most)).alias("lefts"), parts(size, n).alias("rights"), *names((F.col("_x"), F.col("_y"))))
+    mixed = mixed.filter("comps > 1 and size > 2").groupBy("_x", "_y", "size").agg(*[F.min_by(c, "key").alias(c) for c in ("main", "lefts", "rights")], F.min("key").alias("key")).drop("_x", "_y", "size")
     rest = at.drop("n").join(mixed, "key").join(sets, "id").select("key", "id", "comp", F.col("set").alias("value"), (F.col("comp") != F.col("main")).alias("outside"), "lefts", "rights")
     more = cut(_blocks(rest, rule), "more")
     roots = comps if more.isEmpty() else cut(components(links.unionByName(more)), "comps")
