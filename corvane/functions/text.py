@@ -88,6 +88,11 @@ def modality_conflict(a: Column, b: Column) -> Column:
     return F.coalesce(known & (a.isin(C.NEGATIVE) != b.isin(C.NEGATIVE)), F.lit(False))
 
 
+def modality_sign(m: Column) -> Column:
+    """-1 for what must not or should not be, 1 for the others, 0 where nothing is said; opposed ones have a negative product."""
+    return F.when(m.isin(C.NEGATIVE), -1).when(m.isin(C.MODALITIES), 1).otherwise(0)
+
+
 def grew(old: Column, new: Column) -> Column:
     """Whether an update adds so much that it may be two statements."""
     before, added = F.octet_length(old), F.octet_length(new) - F.octet_length(old)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import constants as C
 from corvane.functions import text as T
 from corvane.operators import vectors as V
+from corvane.sources.shared import stored
 
 SPLITS = 16  # keys over which the statements of one source are dealt when they are paired
+PART = 2048  # statements of one source in a block of the page's search
+
 
 def scope(statements: DataFrame, namespace: str | None = None) -> DataFrame:
     """The statements that are swept: searchable, in the namespace. Rejections never are."""
@@ -96,6 +101,122 @@ def audit(statements: DataFrame, facets: DataFrame, embeddings: DataFrame, edges
     return queue, progress
 
 
+def _linear_pairs(facets: DataFrame, swept: DataFrame, chosen: DataFrame, neighbours: int) -> DataFrame:
+    """a, b, shared_facets, same_source of the pairs from identifiers and neighbours: as many as records, near enough."""
+    pairs = facet_pairs(facets, swept).unionByName(knn_pairs(chosen, neighbours).withColumn("shared_facets", F.lit(None).cast("array<string>")))
+    one = pairs.groupBy("a", "b").agg(F.coalesce(F.max("shared_facets"), F.array().cast("array<string>")).alias("shared_facets"))
+    return _same_source(one, swept)
+
+
+def _same_source(pairs: DataFrame, swept: DataFrame) -> DataFrame:
+    """pairs with same_source: both from one non-empty source file."""
+    s = swept.select("full_id", F.nullif("source_file", F.lit("")).alias("_s"))
+    both = pairs.join(s.select(F.col("full_id").alias("a"), F.col("_s").alias("_sa")), "a").join(s.select(F.col("full_id").alias("b"), F.col("_s").alias("_sb")), "b")
+    return both.withColumn("same_source", F.coalesce(F.col("_sa") == F.col("_sb"), F.lit(False))).drop("_sa", "_sb")
+
+
+def _best_of_sources(swept: DataFrame, vectors: DataFrame, near: DataFrame, judged: DataFrame, least: float, limit: int) -> DataFrame:
+    """a, b: of each two blocks of a source, the first `limit` unjudged pairs that may score `least`, by the score that sources and vectors give.
+
+    Statements of a source are dealt over blocks of about PART; a pair of blocks is one matrix product, and no pair leaves it but the first.
+    """
+    sized = swept.filter("source_file is not null and source_file <> ''").select("full_id", "source_file", T.modality_sign(F.col("modality")).alias("sign"))
+    parts = sized.groupBy("source_file").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).filter("parts > 0")
+    d = density(near)
+    rows = sized.join(parts, "source_file").join(d, "full_id", "left").join(vectors.select("full_id", "vector"), "full_id", "left")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("full_id"), F.col("parts")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("parts") - 1)
+    cell = lambda: F.struct(F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"))
+    dealt = rows.withColumn("o", F.explode(others)).withColumn("cell", cell())
+    side = dealt.select("source_file", "cell", "full_id", F.lit(None).cast("string").alias("other"), "vector", "density", "sign", "part")
+    at = rows.select("full_id", "source_file", "part")
+    j = judged.join(at.select(F.col("full_id").alias("a"), "source_file", "part"), "a").join(at.select(F.col("full_id").alias("b"), F.col("source_file").alias("_s"), F.col("part").alias("o")), "b").filter("source_file = _s")
+    done = j.withColumn("cell", cell()).select("source_file", "cell", F.col("a").alias("full_id"), F.col("b").alias("other"), F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast("double").alias("density"), F.lit(None).cast("int").alias("sign"), F.lit(None).cast("int").alias("part"))
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        own = sorted((r for r in rows if r["other"] is None), key=lambda r: r["full_id"])
+        ids = [r["full_id"] for r in own]
+        number = {x: n for n, x in enumerate(ids)}
+        cell = rows[0]["cell"]
+        left = np.array([n for n, r in enumerate(own) if r["part"] == cell["i"]], dtype=np.int64)
+        right = np.array([n for n, r in enumerate(own) if r["part"] == cell["j"]], dtype=np.int64)
+        widths = np.array([len(r["vector"]) if r["vector"] is not None else -1 for r in own])
+        rho = np.array([r["density"] or 0.0 for r in own])
+        sign = np.array([r["sign"] or 0 for r in own])
+        score = np.full((len(left), len(right)), C.SOURCE_BOOST)
+        for w in set(widths.tolist()) - {-1}:
+            v = np.zeros((len(own), max(w, 1)))
+            for n in np.flatnonzero(widths == w):
+                v[n, :w] = own[n]["vector"]
+            size = np.sqrt((v * v).sum(1))
+            v /= np.where(size > 0, size, 1)[:, None]
+            p, q = np.flatnonzero(widths[left] == w), np.flatnonzero(widths[right] == w)
+            score[np.ix_(p, q)] += 2 * (v[left[p]] @ v[right[q]].T)
+        with_ = widths >= 0
+        score -= np.where(with_[left][:, None] & with_[right][None, :], rho[left][:, None] + rho[right][None, :], 0)
+        if cell["i"] == cell["j"]:
+            score[left[:, None] >= right[None, :]] = -np.inf
+        place_l, place_r = {n: k for k, n in enumerate(left.tolist())}, {n: k for k, n in enumerate(right.tolist())}
+        for r in rows:
+            if r["other"] is not None:
+                for x, y in ((number[r["full_id"]], number[r["other"]]), (number[r["other"]], number[r["full_id"]])):
+                    if x in place_l and y in place_r:
+                        score[place_l[x], place_r[y]] = -np.inf
+        p, q = np.nonzero(score >= least - 1e-6)
+        a, b, value = left[p], right[q], np.round(score[p, q], 8)
+        lo, hi = np.minimum(a, b), np.maximum(a, b)
+        # the queue's order: score, opposed modalities first, ids, whose order is that of the numbers
+        order = np.lexsort((hi, lo, sign[lo] * sign[hi] >= 0, -value))
+        if len(order) > limit:  # what may be the same score but for rounding stays, the first of each value
+            value = value[order]
+            rank = np.arange(len(order)) - np.searchsorted(-value, -value, "left")
+            order = order[(value >= value[limit - 1] - 1e-7) & (rank < limit)]
+        return pa.table({"a": pa.array([ids[n] for n in lo[order]], pa.string()), "b": pa.array([ids[n] for n in hi[order]], pa.string())})
+
+    return side.unionByName(done).groupBy("source_file", "cell").applyInArrow(run, "a string, b string").distinct()
+
+
+def first_page(statements: DataFrame, facets: DataFrame, embeddings: DataFrame, edges: DataFrame, verdicts: DataFrame, model: str, namespace: str | None = None, neighbours: int = C.AUDIT_NEIGHBOURS, floor: float = 0.0, limit: int = C.AUDIT_LIMIT) -> DataFrame:
+    """The first `limit` rows of audit()'s queue in its order, without a row for every pair of a source.
+
+    The lists of identifiers and neighbours, which grow with the records, are scored whole; their limit-th score is what a pair
+    of one source must reach to matter, and such pairs are sought block by block. What both give is scored as the queue is.
+    """
+    swept = scope(statements, namespace).select("full_id", "namespace", "status", "modality", "source_file")
+    vectors = stored(swept_vectors(embeddings, swept, model), "audit-vectors")
+    near = stored(V.nearest(vectors, max(neighbours, C.DENSITY_K)), "audit-near")
+    chosen = V.nearest(vectors, neighbours, floor) if floor > 0 else near
+    judged = stored(adjudicated(edges, verdicts), "audit-judged")
+    lists = stored(_linear_pairs(facets, swept, chosen, neighbours).join(judged, ["a", "b"], "left_anti"), "audit-lists")
+    first = stored(page(score(lists, swept, vectors, near), limit), "audit-first")
+    last = first.agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).first()
+    least = last.least if last.n >= limit else -np.inf
+    more = _best_of_sources(swept, vectors, near, judged, float(least), limit).join(lists, ["a", "b"], "left_anti")
+    more = more.select("a", "b", F.array().cast("array<string>").alias("shared_facets"), F.lit(True).alias("same_source"))
+    return page(first.unionByName(score(more, swept, vectors, near).select(*first.columns)), limit)
+
+
+def progress(statements: DataFrame, facets: DataFrame, embeddings: DataFrame, edges: DataFrame, verdicts: DataFrame, model: str, namespace: str | None = None, neighbours: int = C.AUDIT_NEIGHBOURS, floor: float = 0.0) -> DataFrame:
+    """remaining, swept, statements, depth as audit() says them, by counting: a source of n statements has n (n - 1) / 2 pairs, n - 1 of each.
+
+    To these come the pairs of the other lists that are of no one source; off go the judged ones of either.
+    """
+    swept = scope(statements, namespace).select("full_id", "namespace", "status", "modality", "source_file")
+    vectors = swept_vectors(embeddings, swept, model)
+    near = V.nearest(vectors, neighbours, floor)
+    lists = stored(_linear_pairs(facets, swept, near, neighbours), "audit-lists")
+    judged = _same_source(adjudicated(edges, verdicts).filter("a <> b"), swept)
+    own = judged.filter("same_source").select("a", "b", F.lit(-1).alias("n"))
+    rest = lists.filter("not same_source").select("a", "b").join(judged.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", F.lit(1).alias("n"))
+    pairs = own.unionByName(rest)
+    of_source = swept.filter("source_file is not null and source_file <> ''").groupBy("source_file").agg((F.count(F.lit(1)) - 1).alias("n"))
+    degree = swept.select("full_id", "source_file").join(of_source, "source_file").select("full_id", "n").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("full_id"), F.col("n").cast("long").alias("n")))
+    busy = degree.groupBy("full_id").agg(F.sum("n").alias("n")).agg(F.count_if(F.col("n") > 0).alias("busy"), F.expr("coalesce(sum(n), 0) div 2").alias("remaining"))
+    every = swept.agg(F.count(F.lit(1)).alias("statements"))
+    return busy.crossJoin(F.broadcast(every)).select("remaining", (F.col("statements") - F.col("busy")).alias("swept"), "statements", F.lit(neighbours).alias("depth"))  # one row each
+
+
 def page(queue: DataFrame, limit: int = C.AUDIT_LIMIT) -> DataFrame:
     out = queue.orderBy(F.desc("score"), F.desc("modality_conflict"), "a", "b")
     return out.limit(limit) if limit else out

@@ -10,29 +10,41 @@ from corvane.functions import text as T
 from corvane.operators import trace
 
 
+HUNK = r"^@@ -\d+(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+BIN = 256  # lines; a range stands in every bin it meets
+
+
 def parse_patch(patch_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hunks: patch, file, start, end; changes: patch, file, added, removed) of patch_lines (patch, pos, line).
 
-    The file and hunk a line belongs to are the last ones before it: running windows per patch.
+    A hunk's header says how many lines of the old and the new file follow, so a changed line is told from a file's
+    header by what the hunk still lacks, whatever it looks like: running counts per hunk. A missing length is one; a hunk
+    without new lines stands at its boundary. A file that is deleted goes by its old name.
     """
-    run = Window.partitionBy("patch").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    new = F.regexp_extract("line", r"^\+\+\+ (?:b/)?(.+?)\t?$", 1)
-    header = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
-    number = lambda i: F.regexp_extract("line", header, i).try_cast("int")
-    order = Window.partitionBy("patch").orderBy("pos")
-    # a file's header is two lines; one alone is changed text that looks like it
-    is_new = F.col("line").startswith("+++ ") & F.coalesce(F.lag("line").over(order).startswith("--- "), F.lit(False))
-    is_old = F.col("line").startswith("--- ") & F.coalesce(F.lead("line").over(order).startswith("+++ "), F.lit(False))
-    rows = patch_lines.withColumn("_f", F.when(F.col("line").startswith("diff --git"), F.lit("")).when(is_new, F.when(new == "/dev/null", F.lit("")).otherwise(new)))
-    rows = rows.withColumn("_old", F.when(is_old, F.regexp_extract("line", r"^--- (?:a/)?(.+?)\t?$", 1)))
-    rows = rows.withColumn("_h", F.when(F.col("_f").isNotNull(), F.lit(False)).when(F.col("line").rlike(header), F.lit(True)))
-    rows = rows.withColumn("file", F.last("_f", True).over(run)).withColumn("_from", F.last("_old", True).over(run)).withColumn("_in", F.coalesce(F.last("_h", True).over(run), F.lit(False)))
-    rows = rows.withColumn("file", F.when(F.col("file") == "", F.col("_from")).otherwise(F.col("file")))
-    size = F.coalesce(number(2), F.lit(1))
-    hunks = rows.filter(F.col("line").rlike(header)).select("patch", "file", number(1).alias("start"), (number(1) + F.greatest(size, F.lit(1)) - 1).alias("end"))
-    body = rows.filter(F.col("_in") & ~F.col("line").rlike(header))
+    length = lambda i: F.coalesce(F.regexp_extract("line", HUNK, i).try_cast("int"), F.lit(1))
+    order = Window.partitionBy("patch").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = patch_lines.withColumn("_head", F.col("line").rlike(HUNK)).withColumn("_k", F.count_if("_head").over(order))
+    hunk = Window.partitionBy("patch", "_k").orderBy("pos")
+    before = hunk.rowsBetween(Window.unboundedPreceding, -1)
+    first = F.substring("line", 1, 1)
+    both = (first == " ") | (F.col("line") == "")  # some tools cut the space of an empty line
+    old, new = F.count_if(~F.col("_head") & (both | (first == "-"))), F.count_if(~F.col("_head") & (both | (first == "+")))
+    lacks = lambda i, seen: F.first(F.when(F.col("_head"), length(i)), True).over(hunk) > F.coalesce(seen.over(before), F.lit(0))
+    over = F.coalesce(F.max(F.col("line").startswith("diff --git ")).over(hunk), F.lit(False))
+    rows = rows.withColumn("_in", F.coalesce((F.col("_k") > 0) & ~F.col("_head") & ~over & (lacks(1, old) | lacks(3, new)), F.lit(False)))
+    name = lambda sign, side: F.when(~F.col("_in") & F.col("line").startswith(sign), F.regexp_extract("line", rf"^.{{4}}(?:{side}/)?(.+?)\s*$", 1))
+    rows = rows.withColumn("_new", F.when(F.col("line").startswith("diff --git "), F.lit("")).otherwise(name("+++ ", "b"))).withColumn("_old", name("--- ", "a"))
+    rows = rows.withColumn("_file", F.last("_new", True).over(order)).withColumn("_from", F.last("_old", True).over(order))
+    rows = rows.withColumn("file", F.when(F.col("_file") == "/dev/null", F.col("_from")).otherwise(F.nullif("_file", F.lit(""))))
+    start, size = F.regexp_extract("line", HUNK, 2).try_cast("int"), length(3)
+    hunks = rows.filter("_head and file is not null").select("patch", "file", start.alias("start"), (start + F.greatest(size, F.lit(1)) - 1).alias("end"))
     text = lambda sign: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("line").startswith(sign), F.struct("pos", F.expr("substring(line, 2)").alias("t"))))), lambda x: x["t"]), "\n")
-    return hunks, body.groupBy("patch", "file").agg(text("+").alias("added"), text("-").alias("removed"))
+    return hunks, rows.filter("_in and file is not null").groupBy("patch", "file").agg(text("+").alias("added"), text("-").alias("removed"))
+
+
+def _bins(start, end):
+    """The bins that lines start to end meet."""
+    return F.explode(F.sequence(F.floor(start / BIN), F.floor(end / BIN)))
 
 
 def outside(df: DataFrame, store: str) -> DataFrame:
@@ -42,18 +54,20 @@ def outside(df: DataFrame, store: str) -> DataFrame:
 
 def label_cover(classes: DataFrame, hunks: DataFrame) -> DataFrame:
     """Labels on a changed line: reason label, or contradiction for code labels of decisions not in force. Dangling ones cover nothing."""
-    h = hunks.select("file", "start", "end").distinct()
-    hit = classes.filter(F.col("class") != "dangling").join(h, "file").filter("line between start and end").select("full_id", "file", "line", "kind", "class").distinct()
+    h = hunks.select("file", "start", "end").distinct().withColumn("_bin", _bins(F.col("start"), F.col("end")))
+    at = classes.filter(F.col("class") != "dangling").withColumn("_bin", F.floor(F.col("line") / BIN))
+    hit = at.join(h, ["file", "_bin"]).filter("line between start and end").select("full_id", "file", "line", "kind", "class").distinct()
     bad = F.col("class").isin("retired", "rejected", "abstract") & (F.col("kind") == "code")
     return hit.select(F.when(bad, "contradiction").otherwise("label").alias("reason"), "full_id", "file", "line", F.lit(None).cast("string").alias("facet"))
 
 
 def provenance_cover(statements: DataFrame, hunks: DataFrame) -> DataFrame:
-    """Statements whose source range meets a hunk, whatever their status."""
-    s = statements.filter(F.col("source_file").isNotNull() & F.col("line_start").isNotNull()).select("full_id", F.col("source_file").alias("file"), "line_start", "line_end")
-    h = hunks.select("file", "start", "end").distinct()
-    hit = s.join(h, (s["file"] == h["file"]) & (h["start"] <= s["line_end"]) & (s["line_start"] <= h["end"]), "left_semi")
-    return hit.select(F.lit("provenance").alias("reason"), "full_id", "file", F.col("line_start").alias("line"), F.lit(None).cast("string").alias("facet"))
+    """Statements whose source range meets a hunk, whatever their status. Ranges are joined by file and bin, so a file of very many hunks is no one task's."""
+    s = statements.filter("source_file is not null and line_start <= line_end").select("full_id", F.col("source_file").alias("file"), "line_start", "line_end")
+    s = s.withColumn("_bin", _bins(F.col("line_start"), F.col("line_end")))
+    h = hunks.select("file", "start", "end").distinct().withColumn("_bin", _bins(F.col("start"), F.col("end")))
+    hit = s.join(h, (s["file"] == h["file"]) & (s["_bin"] == h["_bin"]) & (h["start"] <= s["line_end"]) & (s["line_start"] <= h["end"]), "left_semi")
+    return hit.select("full_id", "file", "line_start").distinct().select(F.lit("provenance").alias("reason"), "full_id", "file", F.col("line_start").alias("line"), F.lit(None).cast("string").alias("facet"))
 
 
 def identifier_cover(changes: DataFrame, facets: DataFrame) -> DataFrame:

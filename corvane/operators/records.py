@@ -129,22 +129,67 @@ def with_vectors(embeddings: DataFrame, rows: DataFrame, force: bool = False) ->
 # ---- batches -----------------------------------------------------------------------------------------------
 
 OPS = ["add", "update", "reject", "link", "unlink", "dismiss"]
-NEEDS = {"add": ["namespace", "id", "kind", "body"], "update": ["full_id"], "reject": ["namespace", "id", "body"], "link": ["from", "to", "type"], "unlink": ["from", "to"], "dismiss": ["from", "to"]}
-OP_SCHEMA = "op string, full_id string, namespace string, id string, kind string, body string, `from` string, `to` string, type string, note string, confirmed boolean, status string, modality string, see_instead string, tags array<string>, _bad string"
+NEEDS = {"add": ["namespace", "id", "kind", "body"], "update": ["full_id"], "reject": ["namespace", "id", "body"], "link": ["from", "to", "type"], "unlink": ["from", "to"], "dismiss": ["from"]}
+TEXTS = ["op", "full_id", "namespace", "id", "kind", "body", "from", "to", "type", "note", "status", "modality", "see_instead", "provenance", "source"]
+FLAGS = ["confirmed", "abstract", "duplicate_ok", "open_wording"]
+
+
+def _read(lines: DataFrame) -> DataFrame:
+    """line_no, text, v (the line's JSON, null if it has none) of the lines that are not blank and no # comment; too long ones always."""
+    trimmed = F.btrim("text", F.lit(" \t\n\x0b\f\r\u0085\u00a0"))
+    rows = lines.select("line_no", trimmed.alias("text"), (F.octet_length("text") >= C.BATCH_LINE_BYTES).alias("long"))
+    rows = rows.filter(F.col("long") | ((F.col("text") != "") & ~F.col("text").startswith("#")))
+    return rows.withColumn("v", F.try_parse_json("text"))
+
+
+def _kind(name: str) -> Column:
+    """The JSON type of one field, null where it is missing or null."""
+    return F.nullif(F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant")), F.lit("VOID"))
+
+
+def _text(name: str) -> Column:
+    return F.coalesce(F.try_variant_get("v", f"$.{name}", "string"), F.lit(""))
+
+
+def _malformed() -> Column:
+    """No JSON object, or a field of another type than its own."""
+    wrong = [(_kind(n), ["STRING"]) for n in TEXTS] + [(_kind(n), ["BOOLEAN"]) for n in FLAGS] + [(_kind("tags"), ["ARRAY<STRING>", "ARRAY<VOID>"])]
+    off = F.lit(False)
+    for kind, right in wrong:
+        off = off | F.coalesce(~kind.isin(right), F.lit(False))
+    whole = F.schema_of_variant("v")
+    return F.col("v").isNull() | ~(whole.startswith("OBJECT<") | (whole == "VOID")) | off
 
 
 def batch(lines: DataFrame) -> DataFrame:
-    """line_no, op, problem of operations given one JSON object a line (line_no, text); blank and # lines are skipped, null problem means fit to apply."""
-    rows = lines.filter(~F.trim("text").startswith("#") & (F.trim("text") != ""))
-    o = rows.select("line_no", F.octet_length("text").alias("_n"), F.from_json("text", OP_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("o"))
+    """line_no, op, problem of operations given one JSON object a line (line_no, text); null problem means it is one.
+
+    Blank and # lines are skipped. An update must say what it changes; a dismissal names a pair, or with open_wording one statement.
+    """
+    rows, op = _read(lines), _text("op")
     missing = F.lit(None).cast("string")
-    for op, needed in NEEDS.items():
-        lack = F.array_join(F.filter(F.array(*[F.when(F.coalesce(F.col(f"o.`{n}`"), F.lit("")) == "", F.lit(n)) for n in needed]), lambda x: x.isNotNull()), ",")
-        missing = F.when((F.col("o.op") == op) & (lack != ""), F.concat(F.lit("missing "), lack)).otherwise(missing)
-    problem = F.when(F.col("_n") > C.BATCH_LINE_BYTES, "too long").when(F.col("o._bad").isNotNull() | F.col("o").isNull(), "malformed").when(~F.coalesce(F.col("o.op").isin(OPS), F.lit(False)), "unknown op").otherwise(missing)
-    return o.select("line_no", F.col("o.op").alias("op"), problem.alias("problem"))
+    for name, needed in NEEDS.items():
+        lack = F.array_join(F.filter(F.array(*[F.when(_text(n) == "", F.lit(n)) for n in needed]), lambda x: x.isNotNull()), ",")
+        missing = F.when((op == name) & (lack != ""), F.concat(F.lit("missing "), lack)).otherwise(missing)
+    idle = F.when((op == "update") & (_text("body") == "") & (_text("status") == "") & (_text("modality") == ""), "nothing to update")
+    wording = F.coalesce(F.try_variant_get("v", "$.open_wording", "boolean"), F.lit(False))
+    pair = F.when((op == "dismiss") & wording & (_text("to") != ""), "open_wording clears one statement").when((op == "dismiss") & ~wording & (_text("to") == ""), "missing to")
+    problem = F.when(F.col("long"), "too long").when(_malformed(), "malformed").when(op == "", "missing op").when(~op.isin(OPS), "unknown op").otherwise(F.coalesce(missing, idle, pair))
+    return rows.select("line_no", F.when(~F.col("long") & ~_malformed(), F.nullif(op, F.lit(""))).alias("op"), problem.alias("problem"))
+
+
+def operations(lines: DataFrame) -> DataFrame:
+    """line_no, op, problem (null) and every field of the lines that are operations; missing texts are empty, missing flags false."""
+    good = batch(lines).filter("problem is null").select("line_no")
+    rows = _read(lines).join(good, "line_no", "left_semi")
+    flag = lambda n: F.coalesce(F.try_variant_get("v", f"$.{n}", "boolean"), F.lit(False)).alias(n)
+    own = F.when(_text("op").isin("add", "reject"), F.concat_ws("/", _text("namespace"), _text("id"))).otherwise(_text("full_id"))
+    names = {"from": "from_id", "to": "to_id"}
+    texts = [_text(n).alias(names.get(n, n)) for n in TEXTS if n != "full_id"]
+    return rows.select("line_no", F.lit(None).cast("string").alias("problem"), own.alias("full_id"), *texts, *[flag(n) for n in FLAGS], F.try_variant_get("v", "$.tags", "array<string>").alias("tags"))
 
 
 def batch_summary(checked: DataFrame) -> DataFrame:
-    """total, failed, applies: any malformed line keeps the whole batch from being applied."""
-    return checked.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("problem").isNotNull()).alias("failed"), (F.count_if(F.col("problem") == "malformed") == 0).alias("applies"))
+    """total, failed, applies: one line that is no operation, or none that is one, keeps the whole batch from being applied."""
+    failed = F.count_if(F.col("problem").isNotNull())
+    return checked.agg(F.count(F.lit(1)).alias("total"), failed.alias("failed"), ((failed == 0) & (F.count(F.lit(1)) > 0)).alias("applies"))

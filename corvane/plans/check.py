@@ -11,16 +11,21 @@ from corvane.functions import constants as C
 from corvane.functions import text as T
 from corvane.functions.porter import stem, stem_column
 from corvane.operators import fusion, graph, lexical, listing, vectors
+from corvane.operators.index import Index
 
 
 @dataclass(frozen=True)
 class Tables:
-    """What a check reads. records: source_kind, full_id, namespace, body, status, tags and, for expansion, see_instead."""
+    """What a check reads. records: source_kind, full_id, namespace, body, status, tags and, for expansion, see_instead.
+
+    index, if there is one, stands in for reading all bodies; it is the caller's to refresh before a read.
+    """
 
     records: DataFrame
     facets: DataFrame
     edges: DataFrame
     embeddings: DataFrame | None = None
+    index: Index | None = None
 
 
 def live(records: DataFrame, namespace: str | None) -> DataFrame:
@@ -43,13 +48,20 @@ def lexical_lists(t: Tables, draft: str, namespace: str | None, tags: list[str],
     phrases = lexical.draft_phrases(t.records.sparkSession, draft, stemmed)
     if not any(phrases):
         return []
-    tok = lexical.tokenised(t.records)
-    if stemmed:
-        tok = lexical.stemmed_for(tok, phrases)
-    scored = lexical.bm25(tok, phrases, lexical.corpus_counts(tok, phrases))
-    rows = scored.join(live(t.records, namespace).select("source_kind", "full_id", "tags"), ["source_kind", "full_id"])
+    if t.index is not None and t.index.stemmed != stemmed:
+        raise ValueError("the index and the draft must both be stemmed, or neither")
     order = [F.desc(F.round("score", 9)), "full_id"]
     cap = fusion.scan_cap(limit)
+    if t.index is not None and cap:
+        return _indexed_lists(t, phrases, namespace, tags, cap)
+    if t.index is not None:
+        scored = t.index.scores(phrases, t.index.counts(phrases))
+    else:
+        tok = lexical.tokenised(t.records)
+        if stemmed:
+            tok = lexical.stemmed_for(tok, phrases)
+        scored = lexical.bm25(tok, phrases, lexical.corpus_counts(tok, phrases))
+    rows = scored.join(live(t.records, namespace).select("source_kind", "full_id", "tags"), ["source_kind", "full_id"])
     s = rows.filter(F.col("source_kind") == "statement")
     for tag in tags:  # tags narrow this list only, and silence the rejections
         s = s.filter(F.array_contains("tags", tag))
@@ -59,6 +71,21 @@ def lexical_lists(t: Tables, draft: str, namespace: str | None, tags: list[str],
     return out
 
 
+def _indexed_lists(t: Tables, phrases: list[list[str]], namespace: str | None, tags: list[str], cap: int) -> list[DataFrame]:
+    """The same lists from the index, which scores only shards that may hold one of the first `cap` records."""
+    fit = live(t.records, namespace)
+    if tags:
+        fit = fit.filter(F.col("source_kind") == "statement")
+        for tag in tags:
+            fit = fit.filter(F.array_contains("tags", tag))
+    best = t.index.top(phrases, t.index.counts(phrases), fit, cap)
+    out = []
+    for kind, name in (("statement", "statements"), ("rejection", "rejections"))[: 1 if tags else 2]:
+        own = best.filter(F.col("source_kind") == kind)
+        out.append(own.select(*fusion.KEY, F.lit(name).alias("list"), F.lit("lexical").alias("kind"), F.lit(None).cast("double").alias("similarity"), "pos"))
+    return out
+
+
 def hits(t: Tables, draft: str, namespace: str | None = None, tags: list[str] | None = None, touches: list[str] | None = None, vector: list[float] | None = None, model: str | None = None, limit: int = C.CHECK_LIMIT, stemmed: bool = True) -> DataFrame:
     """The fused page: source_kind, full_id, score, match_kind, similarity."""
     lists = lexical_lists(t, draft, namespace, tags or [], limit, stemmed)

@@ -6,18 +6,22 @@ tables; each SQL text begins with the same derivation.
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import constants as C
 from corvane.functions import text as T
 from corvane.operators import audit, diffcheck, graph, lexical, listing, trace, vectors
-from corvane.plans import check
+from corvane.operators.index import Index
+from corvane.plans import batch, check
 from corvane.plans.stem_sql import stems
 from corvane.sources.adapters import BASE, MODEL, Corpus
+from corvane.sources.shared import shared_dir
 
 FLAGSHIP = "check_stemmed"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,9 +56,23 @@ def _classes(c: Corpus) -> DataFrame:
 # ---- identifiers -------------------------------------------------------------------------------------------
 
 
-def tables(c: Corpus) -> check.Tables:
+def index_at(c: Corpus, name: str, stemmed: bool) -> Index:
+    """This application's index of one data directory in the cluster's shared folder."""
+    place = hashlib.sha256(os.path.abspath(c.sf_dir).encode()).hexdigest()[:16]
+    return Index(c.spark, f"{shared_dir(c.spark)}/{c.spark.sparkContext.applicationId}/{name}-{place}", stemmed)
+
+
+def indexed(c: Corpus, stemmed: bool) -> Index:
+    """The index of the records as they are now: refreshed before it is read."""
+    out = index_at(c, "stems" if stemmed else "words", stemmed)
+    out.refresh(c.records)
+    return out
+
+
+def tables(c: Corpus, stemmed: bool | None = None) -> check.Tables:
+    """Record tables; with stemmed said, an index over them."""
     see = c.rejections.select(F.lit("rejection").alias("source_kind"), "full_id", "see_instead")
-    return check.Tables(c.records.join(see, ["source_kind", "full_id"], "left"), c.facets, c.edges, c.embeddings)
+    return check.Tables(c.records.join(see, ["source_kind", "full_id"], "left"), c.facets, c.edges, c.embeddings, None if stemmed is None else indexed(c, stemmed))
 
 
 def touch_names(c: Corpus) -> list[str]:
@@ -272,6 +290,38 @@ def bm25_stemmed(c: Corpus) -> DataFrame:
     return lexical.bm25(tok, phrases, lexical.corpus_counts(tok, phrases)).withColumn("score", F.round("score", 6))
 
 
+def _older(c: Corpus) -> DataFrame:
+    """The records as they may have been: every seventh not there yet, every fifth with other words, and some that are gone now."""
+    n = F.crc32(F.col("full_id").cast("binary"))
+    was = c.records.filter(n % 7 != 0).withColumn("body", F.when(n % 5 == 0, F.concat(F.lit("older words of "), "body")).otherwise(F.col("body")))
+    gone = c.records.filter(n % 4 == 0).withColumn("full_id", F.concat(F.lit("gone/"), "full_id"))
+    return was.unionByName(gone)
+
+
+@query("index_refresh", f"WITH {TOK} SELECT source_kind, term, count(*)::BIGINT AS df FROM (SELECT source_kind, unnest(list_distinct(w)) AS term FROM tok) GROUP BY 1, 2")
+def index_refresh(c: Corpus) -> DataFrame:
+    """Document frequencies of an index of older records that was refreshed to the present ones: edits and removals leave no trace."""
+    index = index_at(c, "refreshed", False)
+    index.refresh(_older(c))
+    index.refresh(c.records)
+    df = index._read(index.version(), "df").groupBy("source_kind", "term").agg(F.sum("df").alias("df"))
+    return df.filter("df <> 0")
+
+
+@query("bm25_indexed", f"WITH {scored_sql(True)} SELECT source_kind, full_id, round(score, 6) AS score FROM scored")
+def bm25_indexed(c: Corpus) -> DataFrame:
+    """The scores of bm25_stemmed, from the index's postings of the draft's stems."""
+    index, phrases = indexed(c, True), lexical.draft_phrases(c.spark, draft_of(c), True)
+    return index.scores(phrases, index.counts(phrases)).withColumn("score", F.round("score", 6))
+
+
+@query("bm25_top", f"WITH {scored_sql(True)}, {LIVE} SELECT source_kind, full_id, round(score, 6) AS score, row_number() OVER (PARTITION BY source_kind ORDER BY round(score, 9) DESC, full_id)::INT AS pos FROM scored SEMI JOIN live USING (source_kind, full_id) QUALIFY pos <= 100")
+def bm25_top(c: Corpus) -> DataFrame:
+    """The first 100 of each kind; only shards whose bound reaches the hundredth score are scored."""
+    index, phrases = indexed(c, True), lexical.draft_phrases(c.spark, draft_of(c), True)
+    return index.top(phrases, index.counts(phrases), check.live(c.records, None), 100).withColumn("score", F.round("score", 6))
+
+
 def vector_of(c: Corpus) -> list[float]:
     return list(c.table("embeddings").filter(F.col("vec_id") == DRAFT_ID).first().embedding)
 
@@ -297,7 +347,7 @@ FUSED = f"""{SIM}, {LIVE}, {NAMES},
 
 @query("rrf_fusion", f"WITH {scored_sql(False)}, {FUSED} SELECT source_kind, full_id, round(score, 9) AS score, match_kind, round(similarity, 6) AS similarity FROM page")
 def rrf_fusion(c: Corpus) -> DataFrame:
-    out = check.hits(tables(c), draft_of(c), touches=touch_names(c), vector=vector_of(c), model=MODEL, stemmed=False)
+    out = check.hits(tables(c, False), draft_of(c), touches=touch_names(c), vector=vector_of(c), model=MODEL, stemmed=False)
     return out.select("source_kind", "full_id", F.round("score", 9).alias("score"), "match_kind", F.round("similarity", 6).alias("similarity"))
 
 
@@ -314,7 +364,7 @@ EXPANDED = f"""{FUSED}, seeds AS (SELECT source_kind AS sk, full_id AS seed, pos
 
 @query("graph_expand", f"WITH {scored_sql(False)}, {EXPANDED} SELECT source_kind, full_id, via_from, via_to, via_type, pos::INT AS pos FROM near")
 def graph_expand(c: Corpus) -> DataFrame:
-    t = tables(c)
+    t = tables(c, False)
     from pyspark.sql import Window
 
     page = check.settled(check.hits(t, draft_of(c), touches=touch_names(c), vector=vector_of(c), model=MODEL, stemmed=False), C.CHECK_LIMIT)
@@ -348,7 +398,7 @@ def checked_sql(stemmed: bool) -> str:
 
 
 def _checked(c: Corpus, stemmed: bool) -> DataFrame:
-    out = check.check(tables(c), draft_of(c), touches=touch_names(c), vector=vector_of(c), model=MODEL, stemmed=stemmed)
+    out = check.check(tables(c, stemmed), draft_of(c), touches=touch_names(c), vector=vector_of(c), model=MODEL, stemmed=stemmed)
     return out.select("source_kind", "full_id", "pos", "score", "match_kind", "similarity", "via_type", F.array_join("shared_facets", ",").alias("shared_facets"), "coverage", "challenged", "verdict", "excerpt")
 
 
@@ -364,7 +414,7 @@ def check_stemmed(c: Corpus) -> DataFrame:
 
 @query("strongest_verdict", f"WITH checked AS ({checked_sql(False)}) SELECT CASE max(CASE verdict WHEN 'duplicate' THEN 2 WHEN 'related' THEN 1 ELSE 0 END) WHEN 2 THEN 'duplicate' WHEN 1 THEN 'related' WHEN 0 THEN 'weak' END AS verdict FROM checked")
 def strongest_verdict(c: Corpus) -> DataFrame:
-    return check.strongest(check.check(tables(c), draft_of(c), touches=touch_names(c), vector=vector_of(c), model=MODEL, stemmed=False))
+    return check.strongest(check.check(tables(c, False), draft_of(c), touches=touch_names(c), vector=vector_of(c), model=MODEL, stemmed=False))
 
 
 # ---- audit -------------------------------------------------------------------------------------------------
@@ -442,12 +492,12 @@ def audit_floor(c: Corpus) -> DataFrame:
 
 @query("audit_page", f"WITH {AUDIT} SELECT {PAIR} FROM queue ORDER BY queue.score DESC, modality_conflict DESC, a, b LIMIT 50")
 def audit_page(c: Corpus, namespace: str | None = None) -> DataFrame:
-    return _pairs(audit.page(_audit(c, namespace)[0]))
+    return _pairs(audit.first_page(c.statements, c.facets, c.embeddings, c.edges, c.verdicts, MODEL, namespace))
 
 
 @query("audit_progress", f"WITH {AUDIT} SELECT (SELECT count(*) FROM unjudged)::BIGINT AS remaining, (SELECT count(*) FROM swept WHERE full_id NOT IN (SELECT a FROM unjudged UNION SELECT b FROM unjudged))::BIGINT AS swept, (SELECT count(*) FROM swept)::BIGINT AS statements, 2 AS depth")
 def audit_progress(c: Corpus, namespace: str | None = None) -> DataFrame:
-    return _audit(c, namespace)[1]
+    return audit.progress(c.statements, c.facets, c.embeddings, c.edges, c.verdicts, MODEL, namespace)
 
 
 @query("audit_ordered", f"WITH {AUDIT}, s AS (SELECT *, CASE WHEN substr(md5(ha || hb), 1, 1) < 'c' THEN round(('0x' || substr(md5(ha || hb), 1, 4))::INT / 65535, 6) END AS contradiction FROM queue) SELECT a, b, round(score, 6) AS score, contradiction FROM s ORDER BY contradiction DESC NULLS LAST, s.score DESC, modality_conflict DESC, a, b LIMIT 50")
@@ -537,18 +587,28 @@ def _spots(c: Corpus) -> DataFrame:
 def _patch(c: Corpus) -> DataFrame:
     file = F.col("file")
     s, n = F.col("start").cast("string"), (F.col("end") - F.col("start") + 1).cast("string")
-    lines = F.array(F.concat(F.lit("diff --git a/"), file, F.lit(" b/"), file), F.concat(F.lit("--- a/"), file), F.concat(F.lit("+++ b/"), file), F.concat(F.lit("@@ -1 +"), s, F.lit(","), n, F.lit(" @@ f()")), F.concat(F.lit("-was "), s), F.concat(F.lit("+is "), s), F.lit("+++ x"), F.lit(" same"))
+    text = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    # a hunk of lines that look like headers, one as long as it says, one without lengths and one without new lines; the second file follows without a line of its own
+    k = F.col("end") - F.col("start")
+    fill = F.transform(F.sequence(F.lit(0), k), lambda i: F.concat(F.lit("+row "), i.cast("string")))
+    lines = F.concat(
+        F.array(text("diff --git a/", file, " b/", file), text("--- a/", file), text("+++ b/", file), text("@@ -1,2 +", s, ",", n, " @@ f()"), text("-- gone ", s), F.lit("--- a/old")),
+        F.when(k > 0, F.concat(F.array(F.lit("+++ b/new")), F.slice(fill, 1, k))).otherwise(F.array(F.lit("+++ b/new"))),
+        F.array(text("@@ -9 +", s, " @@"), text("-was ", s), text("+is ", s), F.lit("\\ No newline at end of file"), text("@@ -30,1 +", s, ",0 @@"), F.lit("-++ b/no")),
+        F.array(text("--- a/", file, ".x"), text("+++ b/", file, ".x\t"), text("@@ -", s, ",3 +", s, ",3 @@"), F.lit(" @@ -1 +1 @@"), F.lit("-old"), F.lit("+new"), F.lit("")),
+    )
     return c.hunks.select(F.concat_ws(":", file, s, n).alias("patch"), F.posexplode(lines).alias("pos", "line"))
 
 
-@query("diff_hunks", 'SELECT file, start, "end" FROM hunks')
+@query("diff_hunks", """SELECT file, start, "end" FROM hunks UNION ALL SELECT file, start, start FROM hunks UNION ALL SELECT file, start, start FROM hunks UNION ALL SELECT file || '.x', start, start + 2 FROM hunks""")
 def diff_hunks(c: Corpus) -> DataFrame:
     return diffcheck.parse_patch(_patch(c))[0].select("file", "start", "end")
 
 
-@query("diff_changes", "SELECT file, 'is ' || start || chr(10) || '++ x' AS added, 'was ' || start AS removed FROM hunks")
+@query("diff_changes", """SELECT file, '++ b/new' || array_to_string(list_transform(range(0, "end" - start), lambda i: chr(10) || 'row ' || i), '') || chr(10) || 'is ' || start AS added, '- gone ' || start || chr(10) || '-- a/old' || chr(10) || 'was ' || start || chr(10) || '++ b/no' AS removed FROM hunks
+    UNION ALL SELECT file || '.x', 'new', 'old' FROM hunks""")
 def diff_changes(c: Corpus) -> DataFrame:
-    """An added line that itself begins like a file header is changed text."""
+    """Changed lines that look like the headers of files and hunks are text, as the hunk's lengths say."""
     return diffcheck.parse_patch(_patch(c))[1].select("file", "added", "removed")
 
 
@@ -691,12 +751,34 @@ def open_wording(c: Corpus) -> DataFrame:
     return listing.open_wording(c.statements, cleared, scores)
 
 
-@query("batch_validate", """WITH e AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '{"op":"add","namespace":"a","id":"x' || event_id || '","kind":"rule","body":"b"}' WHEN 1 THEN '{"op":"link","from":"a/b","to":"c"}' WHEN 2 THEN '{"op":"link",' WHEN 3 THEN '# note' WHEN 4 THEN '{"op":"fly"}' ELSE '{"op":"update","full_id":"x"}' END AS t FROM events)
-  SELECT event_id AS line_no, CASE event_id % 6 WHEN 0 THEN 'add' WHEN 1 THEN 'link' WHEN 4 THEN 'fly' WHEN 5 THEN 'update' END AS op, CASE event_id % 6 WHEN 1 THEN 'missing type' WHEN 2 THEN 'malformed' WHEN 4 THEN 'unknown op' END AS problem FROM e WHERE t NOT LIKE '#%'""", base=False)
+# One line of a batch for each event. The bad kinds: what no JSON reader takes, what is no object, a field of another
+# type, an op that is none or missing, and each way in which a line can lack what its op needs.
+BATCH_LINES = [
+    ("add", None, '{"op":"add","namespace":"a","id":"x#","kind":"rule","body":"b"}'), ("link", "missing type", '{"op":"link","from":"a/b","to":"c"}'), (None, "malformed", '{"op":"link",'), (None, None, "  # note #"),
+    ("fly", "unknown op", '{"op":"fly"}'), ("update", "nothing to update", '{"op":"update","full_id":"x"}'), ("update", None, '\t{"op":"update","full_id":"x#","modality":"none"} '), (None, "missing op", '{"full_id":"x#"}'),
+    (None, "malformed", '[1, #]'), (None, "malformed", '{"op":"add","namespace":"a","id":#}'), ("dismiss", "missing to", '{"op":"dismiss","from":"a"}'), ("dismiss", None, '{"op":"dismiss","from":"a","open_wording":true}'),
+    ("dismiss", "open_wording clears one statement", '{"op":"dismiss","from":"a","to":"b","open_wording":true}'), ("unlink", None, '{"op":"unlink","from":"a","to":"b#"}'), ("add", "missing id,body", '{"op":"add","namespace":"a","kind":"rule","id":""}'), (None, None, "   "),
+    ("reject", "missing body", '{"op":"reject","namespace":"a","id":"x#"}'), (None, "malformed", '{"op":"link","from":"a","to":"b","type":"refines","confirmed":"yes"}'), ("link", None, '{"op":"link","from":"a","to":"b","type":"refines","confirmed":true,"more":#}'),
+]
+
+
+def _batch_lines(c: Corpus) -> DataFrame:
+    i, n = F.col("event_id"), len(BATCH_LINES)
+    line = F.get(F.array(*[F.lit(x) for *_, x in BATCH_LINES]), (i % n).cast("int"))
+    return c.table("events").select(i.alias("line_no"), F.replace(line, F.lit("#"), F.when(F.ltrim(line).startswith("#"), "#").otherwise(i.cast("string"))).alias("text"))
+
+
+def _case(values: list) -> str:
+    """The values of a batch's kinds of lines, as SQL."""
+    return f"CASE event_id % {len(values)} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values) if v) + " END"
+
+
+SKIPPED = ", ".join(str(k) for k, (op, problem, _) in enumerate(BATCH_LINES) if op is None and problem is None)
+
+
+@query("batch_validate", f"SELECT event_id AS line_no, {_case([op for op, *_ in BATCH_LINES])} AS op, {_case([p for _, p, _ in BATCH_LINES])} AS problem FROM events WHERE event_id % {len(BATCH_LINES)} NOT IN ({SKIPPED})", base=False)
 def batch_validate(c: Corpus) -> DataFrame:
-    i = F.col("event_id")
-    text = F.when(i % 6 == 0, F.concat(F.lit('{"op":"add","namespace":"a","id":"x'), i.cast("string"), F.lit('","kind":"rule","body":"b"}'))).when(i % 6 == 1, '{"op":"link","from":"a/b","to":"c"}').when(i % 6 == 2, '{"op":"link",').when(i % 6 == 3, "# note").when(i % 6 == 4, '{"op":"fly"}').otherwise('{"op":"update","full_id":"x"}')
-    return records.batch(c.table("events").select(i.alias("line_no"), text.alias("text"))).withColumn("op", F.when(F.col("problem") == "malformed", F.lit(None)).otherwise(F.col("op")))
+    return records.batch(_batch_lines(c))
 
 
 @query("reindex_stats", f"SELECT change, count(*)::BIGINT AS n FROM ({ORACLES['reindex_diff']}) GROUP BY 1", base=False)
@@ -704,9 +786,96 @@ def reindex_stats(c: Corpus) -> DataFrame:
     return records.change_stats(reindex_diff(c))
 
 
-@query("batch_summary", f"SELECT count(*)::BIGINT AS total, (count(*) FILTER (problem IS NOT NULL))::BIGINT AS failed, count(*) FILTER (problem = 'malformed') = 0 AS applies FROM ({ORACLES['batch_validate']})", base=False)
+@query("batch_summary", f"""WITH b AS ({ORACLES['batch_validate']})
+  SELECT 'all' AS "case", count(*)::BIGINT AS total, count(problem)::BIGINT AS failed, FALSE AS applies FROM b
+  UNION ALL SELECT 'good', count(*)::BIGINT, 0::BIGINT, TRUE FROM b WHERE problem IS NULL UNION ALL SELECT 'none', 0::BIGINT, 0::BIGINT, FALSE""", base=False)
 def batch_summary(c: Corpus) -> DataFrame:
-    return records.batch_summary(batch_validate(c))
+    """Of the whole batch, of its good lines alone, and of a batch without lines."""
+    every = batch_validate(c)
+    case = lambda name, rows: records.batch_summary(rows).select(F.lit(name).alias("case"), "*")
+    return case("all", every).unionByName(case("good", every.filter("problem is null"))).unionByName(case("none", every.limit(0)))
+
+
+BATCH_TYPES = ["refines", "depends_on", "duplicates"]
+
+
+def _ops(c: Corpus) -> DataFrame:
+    """A batch of an operation an event: links, unlinks, updates and adds that meet again and again on few records."""
+    i, u = F.col("event_id"), F.col("user_id") % 12
+    few = c.ids.filter("doc_id < 12")
+    e = c.table("events").select("event_id", "user_id", u.alias("_f"), ((F.col("user_id") * 5 + i % 3) % 14).alias("_t"))
+    e = e.join(few.select(F.col("doc_id").alias("_f"), F.col("full_id").alias("f")), "_f").join(few.select(F.col("doc_id").alias("_t"), F.col("full_id").alias("_g")), "_t", "left")
+    t = F.coalesce("_g", F.concat(F.lit("new/n"), (i % 9).cast("string")))
+    kind = _pick_text(BATCH_TYPES, i % 3)
+    obj = lambda op, **x: F.to_json(F.struct(F.lit(op).alias("op"), *[v.alias(k) for k, v in x.items()]))
+    text = (
+        F.when(i % 10 < 4, obj("link", **{"from": F.col("f"), "to": t, "type": kind, "note": F.when(i % 4 == 0, "").otherwise(F.concat(F.lit("n"), i.cast("string"))), "confirmed": i % 7 == 0}))
+        .when(i % 10 < 6, obj("unlink", **{"from": F.col("f"), "to": t, "type": kind}))
+        .when(i % 10 == 6, obj("unlink", **{"from": F.col("f"), "to": t}))
+        .when(i % 10 == 7, obj("update", full_id=F.when(i % 4 == 0, F.concat(F.lit("new/n"), (i % 9).cast("string"))).otherwise(F.col("f")), status=F.when(i % 3 == 0, "").otherwise("deprecated"), body=F.when(i % 3 == 1, "").otherwise(F.concat(F.lit("body "), i.cast("string")))))
+        .when(i % 10 == 8, obj("add", namespace=F.lit("new"), id=F.concat(F.lit("n"), (i % 9).cast("string")), kind=F.lit("rule"), body=F.concat(F.lit("added at "), i.cast("string"))))
+        .otherwise(obj("dismiss", **{"from": F.col("f"), "to": t}))
+    )
+    return e.select(i.alias("line_no"), text.alias("text"))
+
+
+def _pick_text(names: list[str], number: Column) -> Column:
+    return F.get(F.array(*[F.lit(x) for x in names]), number.cast("int"))
+
+
+#: The same operations as rows, and their replay one after the other: a step per operation of a pair, whose state is the list of its edges.
+OPS_SQL = f"""ops AS (
+    SELECT event_id AS n, f.full_id AS f, coalesce(t.full_id, 'new/n' || event_id % 9) AS t, ['{"', '".join(BATCH_TYPES)}'][event_id % 3 + 1] AS type,
+           CASE WHEN event_id % 10 < 4 THEN 'link' WHEN event_id % 10 < 7 THEN 'unlink' WHEN event_id % 10 = 7 THEN 'update' WHEN event_id % 10 = 8 THEN 'add' ELSE 'dismiss' END AS op,
+           CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'n' || event_id END AS note, event_id % 7 = 0 AS confirmed, event_id % 10 = 6 AS whole, 'new/n' || event_id % 9 AS new_id
+    FROM events JOIN ids f ON f.doc_id = user_id % 12 LEFT JOIN (SELECT * FROM ids WHERE doc_id < 12) t ON t.doc_id = (user_id * 5 + event_id % 3) % 14),
+  born AS (SELECT new_id AS id, min(n) AS since FROM ops WHERE op = 'add' GROUP BY 1 UNION ALL SELECT full_id, 0 FROM statements),
+  told AS (SELECT o.*, CASE WHEN op = 'update' THEN CASE WHEN n % 4 = 0 THEN new_id ELSE f END WHEN op = 'add' THEN new_id ELSE f END AS own FROM ops o),
+  seen AS (SELECT told.*, coalesce(bo.since < n, FALSE) AS own_there, coalesce(bt.since < n, FALSE) AS t_there, coalesce(bf.since < n, FALSE) AS f_there FROM told LEFT JOIN born bo ON bo.id = own LEFT JOIN born bt ON bt.id = t LEFT JOIN born bf ON bf.id = f),
+  steps AS (SELECT f, t, n, op, type, note, confirmed, whole, row_number() OVER (PARTITION BY f, t ORDER BY n) AS k FROM seen WHERE op IN ('link', 'unlink') AND f_there AND (op = 'unlink' OR t_there)),
+  replay(f, t, k, n, state, had) AS (
+    SELECT f, t, 0::BIGINT, 0::BIGINT, list_filter((SELECT coalesce(list({{'type': type, 'note': NULL::VARCHAR, 'unconfirmed': unconfirmed}}), []) FROM edges WHERE from_id = f AND to_id = t), lambda x: TRUE), TRUE FROM (SELECT DISTINCT f, t FROM steps)
+    UNION ALL
+    SELECT r.f, r.t, s.k, s.n,
+           CASE WHEN s.op = 'unlink' THEN list_filter(r.state, lambda x: NOT (s.whole OR x.type = s.type))
+                WHEN list_contains(list_transform(r.state, lambda x: x.type), s.type) THEN list_transform(r.state, lambda x: CASE WHEN x.type = s.type THEN {{'type': x.type, 'note': coalesce(s.note, x.note), 'unconfirmed': x.unconfirmed AND NOT s.confirmed}} ELSE x END)
+                ELSE list_append(r.state, {{'type': s.type, 'note': s.note, 'unconfirmed': NOT s.confirmed}}) END,
+           s.op = 'link' OR len(list_filter(r.state, lambda x: s.whole OR x.type = s.type)) > 0
+    FROM replay r JOIN steps s ON s.f = r.f AND s.t = r.t AND s.k = r.k + 1)"""
+
+
+def _replayed(sql: str) -> str:
+    """SQL after the replay, which needs the word RECURSIVE at the start of all."""
+    return BASE.replace("WITH n AS", "WITH RECURSIVE n AS", 1) + ", " + OPS_SQL + " " + sql
+
+
+def _store(c: Corpus) -> batch.Store:
+    clear = c.spark.createDataFrame([], "id string, body_hash string, note string")
+    return batch.Store(c.statements, c.rejections, c.edges, c.verdicts, clear)
+
+
+@query("batch_apply", _replayed("""SELECT s.n AS line_no, s.op, s.own AS full_id, problem IS NULL AS applied, problem FROM (
+    SELECT s.*, CASE WHEN s.op = 'add' AND own_there THEN 'exists' WHEN s.op = 'update' AND NOT own_there THEN 'not found' WHEN s.op IN ('link', 'unlink', 'dismiss') AND NOT f_there THEN 'from not found'
+           WHEN s.op IN ('link', 'dismiss') AND NOT t_there THEN 'to not found' WHEN s.op = 'unlink' AND NOT had THEN 'no such edge' END AS problem
+    FROM seen s LEFT JOIN replay r ON r.n = s.n AND r.f = s.f AND r.t = s.t) s"""), base=False)
+def batch_apply(c: Corpus) -> DataFrame:
+    """What became of every line of a batch that links, unlinks, updates, adds and dismisses the same few records over and over."""
+    return batch.applied(_ops(c), _store(c))[0]
+
+
+@query("batch_edges", _replayed("""SELECT f AS from_id, t AS to_id, e.type, e.note, e.unconfirmed FROM (SELECT f, t, unnest(state) AS e FROM replay QUALIFY row_number() OVER (PARTITION BY f, t ORDER BY k DESC) = 1)
+    UNION ALL SELECT from_id, to_id, type, NULL, unconfirmed FROM edges WHERE (from_id, to_id) NOT IN (SELECT (f, t) FROM steps)"""), base=False)
+def batch_edges(c: Corpus) -> DataFrame:
+    """All edges after the batch."""
+    return batch.applied(_ops(c), _store(c))[1].edges.select("from_id", "to_id", "type", "note", "unconfirmed")
+
+
+@query("batch_statements", _replayed("""SELECT full_id, coalesce((SELECT arg_max('deprecated', n) FROM seen u WHERE op = 'update' AND own_there AND own = x.full_id AND n % 3 <> 0), status) AS status,
+    sha256(coalesce((SELECT arg_max('body ' || n, n) FROM seen u WHERE op = 'update' AND own_there AND own = x.full_id AND n % 3 <> 1), body)) AS body_hash
+    FROM (SELECT full_id, status, body FROM statements UNION ALL SELECT new_id, 'active', 'added at ' || min(n) FROM ops WHERE op = 'add' GROUP BY 1) x"""), base=False)
+def batch_statements(c: Corpus) -> DataFrame:
+    """All statements after the batch."""
+    return batch.applied(_ops(c), _store(c))[1].statements.select("full_id", "status", F.sha2("body", 256).alias("body_hash"))
 
 
 @query("source_spec", """WITH s AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'f/' || event_type || '.go:' || event_id WHEN 1 THEN 'f:' || user_id || ':' || event_id || '-' || event_id + 4 WHEN 2 THEN 'f.go:' WHEN 3 THEN 'f.go:4-' ELSE ':' || event_id END AS spec FROM events)

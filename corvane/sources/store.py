@@ -1,9 +1,9 @@
 """The Markdown record store: statements, rejections, verdicts and clearances as DataFrames, and their writing.
 
 Files are read whole by Spark (any file system it knows), split by built-in
-functions, and only the front matter's YAML goes through Python, in Arrow batches.
+functions, and only the front matter's YAML goes through Python (front.py), in Arrow batches.
 Reading tolerates what writing refuses: an unknown modality reads as unset and
-duplicate edges collapse.
+duplicate edges collapse; a file whose front matter cannot be read is an error.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import constants as C
 from corvane.operators.records import merged_edges
+from corvane.sources import front, ignore, sink
 
 ENTRY_SEPARATOR = r"(?m)^<!--[^>]*-->\s*$"
 FRONT = r"(?s)\A---[ \t]*\n(.*?)(?:^|\n)---[ \t]*(?:\n(.*))?\z"
@@ -60,58 +61,6 @@ def front_matter(content: Column) -> Column:
     return F.when(norm.rlike(FRONT), F.struct(F.regexp_extract(norm, FRONT, 1).alias("front"), F.btrim(F.regexp_extract(norm, FRONT, 2), F.lit("\n")).alias("body")))
 
 
-def _scalar(text: str):
-    text = text.strip()
-    if len(text) > 1 and text[0] == text[-1] == '"':
-        return json.loads(text)
-    if len(text) > 1 and text[0] == text[-1] == "'":
-        return text[1:-1].replace("''", "'")
-    if text.startswith("[") and text.endswith("]"):
-        return [_scalar(x) for x in text[1:-1].split(",") if x.strip()]
-    if re.fullmatch(r"0|-?[1-9]\d{0,17}", text):
-        return int(text)
-    return {"": None, "null": None, "~": None, "true": True, "false": False, "[]": [], "{}": {}}.get(text, text)
-
-
-def parse_yaml(text: str):
-    """The part of YAML that record files use: maps, lists of scalars or maps, scalars on one line, block text by |."""
-    rows = [(len(x) - len(x.lstrip()), x.strip()) for x in text.split("\n") if x.strip() and not x.strip().startswith("#")]
-
-    def block(at: int, indent: int):
-        if rows[at][1].startswith("- ") or rows[at][1] == "-":
-            out = []
-            while at < len(rows) and rows[at][0] == indent and (rows[at][1].startswith("- ") or rows[at][1] == "-"):
-                item = rows[at][1][2:].strip()
-                if re.match(r"[\w-]+:(\s|$)", item):
-                    inner = indent + 2
-                    rows[at] = (inner, item)
-                    value, at = block(at, inner)
-                    out.append(value)
-                else:
-                    out.append(_scalar(item))
-                    at += 1
-            return out, at
-        found = {}
-        while at < len(rows) and rows[at][0] == indent and not rows[at][1].startswith("- "):
-            key, _, rest = rows[at][1].partition(":")
-            at += 1
-            if rest.strip() in ("|", "|-", ">", ">-"):
-                lines = []
-                while at < len(rows) and rows[at][0] > indent:
-                    lines.append(rows[at][1])
-                    at += 1
-                found[key.strip()] = ("\n" if rest.strip()[0] == "|" else " ").join(lines)
-            elif rest.strip():
-                found[key.strip()] = _scalar(rest)
-            elif at < len(rows) and (rows[at][0] > indent or (rows[at][0] == indent and rows[at][1].startswith("-"))):
-                found[key.strip()], at = block(at, rows[at][0])
-            else:
-                found[key.strip()] = None
-        return found, at
-
-    return block(0, rows[0][0])[0] if rows else {}
-
-
 FRONT_JSON = (
     "kind string, modality string, abstract boolean, status string, tags array<string>, provenance struct<type string, file string, line_range struct<start int, `end` int>, hash string>, created_at timestamp, "
     "relationships array<struct<to string, type string, note string, via string, unconfirmed boolean>>, id string, see_instead string, rejected_at timestamp, a string, b string, verdict string, decided_at timestamp, body_hash string, cleared_at timestamp"
@@ -119,18 +68,20 @@ FRONT_JSON = (
 
 
 def _parsed(df: DataFrame) -> DataFrame:
-    """df with front parsed by FRONT_JSON (column m); a bad front matter has a null m."""
+    """df with front parsed by FRONT_JSON (column m). A front matter that is none, or that cannot be read, is an error that names the file."""
     names = df.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(front):
+        def one(path, text):
+            if text is None:
+                raise front.FrontError(f"{path}: no front matter between two lines of ---")
             try:
-                return json.dumps(parse_yaml(front))
-            except (ValueError, IndexError, TypeError):
-                return None
+                return json.dumps(front.parse(text))
+            except front.FrontError as e:
+                raise front.FrontError(f"{path}: {e}") from e
 
         for pdf in batches:
-            yield pdf.assign(front=pdf["front"].map(one))
+            yield pdf.assign(front=[one(p, t) for p, t in zip(pdf["file_path"], pdf["front"])])
 
     return df.mapInPandas(run, df.schema).withColumn("m", F.from_json("front", FRONT_JSON)).select(*names, "m")
 
@@ -178,11 +129,16 @@ def _flat(spark: SparkSession, root: str) -> DataFrame:
     return _parsed(f)
 
 
-def source_lines(spark: SparkSession, root: str, skip: tuple[str, ...] = ()) -> DataFrame:
-    """file, line, text of text files below root; files or folders named in skip, and files with a zero byte, are left out."""
+#: Documents at the top that a tool writes, with example labels in them (fixed values).
+GENERATED = ("AGENTS.md", "CLAUDE.md", "CLAUDE.local.md")
+
+
+def source_lines(spark: SparkSession, root: str, skip: tuple[str, ...] = GENERATED, rules: list[ignore.Rule] | None = None) -> DataFrame:
+    """file, line, text of text files below root. Left out: files or folders named in skip (the store, generated documents), what the tree's ignore rules drop, and files with a zero byte."""
     f = files(spark, root, "*")
     for s in skip:
         f = f.filter((F.col("file_path") != s) & ~F.col("file_path").startswith(s + "/"))
+    f = f.filter(~ignore.ignored(F.col("file_path"), ignore.rules_of(spark, root) if rules is None else rules))
     f = f.filter(~F.contains("content", F.lit("\u0000")))
     return f.select(F.col("file_path").alias("file"), F.posexplode(F.split("content", "\n")).alias("_p", "text")).select("file", (F.col("_p") + 1).alias("line"), "text")
 
@@ -231,18 +187,5 @@ def record_text(s: DataFrame) -> DataFrame:
 
 
 def write_records(texts: DataFrame, root: str) -> None:
-    """Each (file_path, content) as one file below root, through Spark's file system, by rename from a temporary name.
-
-    Record files are small and a write changes few of them; this runs on the driver, as one command did.
-    """
-    spark = texts.sparkSession
-    jvm = spark.sparkContext._jvm
-    for r in texts.toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{r.file_path}")
-        temp = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{r.file_path}.tmp")
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        out = fs.create(temp, True)
-        out.write(bytearray(r.content.encode()))
-        out.close()
-        fs.delete(path, False)
-        fs.rename(temp, path)
+    """Each (file_path, content) as one file below root, all or none (sink.py); a null content removes the file."""
+    sink.write(texts, root)

@@ -287,3 +287,49 @@ def test_models(spark):
     assert models.first_reachable([down, lambda t: [[1.0]] * len(t)])(["x"]) == [[1.0]]
     done = models.embedded(as_records(statements(spark, [("a/x", "one"), ("a/y", "two")])), lambda t: [[1.0, 2.0]] * len(t), "m")
     assert models.stored(embeddings(spark, [("a/x", [0, 0])]), done).count() == 2 and models.failures(done).count() == 0
+
+
+def test_patch_by_lengths(spark):
+    """Changed lines that look like headers, a deleted file, a hunk that is cut short, lengths that are missing or zero."""
+    text = """diff --git a/one.go b/one.go
+--- a/one.go
++++ b/one.go
+@@ -1,3 +1,3 @@
+--- gone
+-x
++++ new
++y
+ same
+@@ -9 +9 @@
+-a
++b
+--- a/two.go	
++++ b/two.go	
+@@ -5,2 +4,0 @@ func
+--- a/fake
+-+++ b/fake
+diff --git a/old.go b/old.go
+--- a/old.go
++++ /dev/null
+@@ -1,9 +0,0 @@
+-cut short
+diff --git a/bin b/bin
+Binary files differ
+"""
+    lines = spark.createDataFrame([("p", i, x) for i, x in enumerate(text.split("\n"))], "patch string, pos int, line string")
+    hunks, changes = diffcheck.parse_patch(lines)
+    assert {(r.file, r.start, r.end) for r in hunks.collect()} == {("one.go", 1, 3), ("one.go", 9, 9), ("two.go", 4, 4), ("old.go", 0, 0)}
+    assert {(r.file, r.added, r.removed) for r in changes.collect()} == {("one.go", "++ new\ny\nb", "-- gone\nx\na"), ("two.go", "", "-- a/fake\n+++ b/fake"), ("old.go", "", "cut short")}
+
+
+def test_ranges_meet_by_bins(spark):
+    """Short and long ranges, at and over the edges of bins, against every pair."""
+    rng = np.random.default_rng(2)
+    spans = [(int(a), int(a + n)) for a, n in zip(rng.integers(1, 2000, 80), rng.choice([0, 1, 5, 300, 1500], 80))] + [(256, 256), (255, 256), (1, 5000), (512, 767)]
+    h = spark.createDataFrame([("f", a, b) for a, b in spans[::2]], "file string, start int, end int")
+    s = spark.createDataFrame([(f"a/{i}", "f", a, b) for i, (a, b) in enumerate(spans[1::2])] + [("a/none", "f", None, None), ("a/other", "g", 1, 9)], "full_id string, source_file string, line_start int, line_end int")
+    got = [r.full_id for r in diffcheck.provenance_cover(s, h).collect()]
+    assert sorted(got) == sorted(f"a/{i}" for i, (a, b) in enumerate(spans[1::2]) if any(x <= b and a <= y for x, y in spans[::2]))
+    labels = spark.createDataFrame([(f"a/{k}", "f", k, "code", "active") for k in range(0, 4000, 37)], "full_id string, file string, line int, kind string, class string")
+    hit = {r.line for r in diffcheck.label_cover(labels, h.filter("end < 3000")).collect()}
+    assert hit == {k for k in range(0, 4000, 37) if any(x <= k <= y < 3000 for x, y in spans[::2])}
