@@ -134,31 +134,24 @@ TEXTS = ["op", "full_id", "namespace", "id", "kind", "body", "from", "to", "type
 FLAGS = ["confirmed", "abstract", "duplicate_ok", "open_wording"]
 
 
+FIELDS = "struct<" + ", ".join([*[f"`{n}`: string" for n in TEXTS], *[f"`{n}`: boolean" for n in FLAGS], "tags: array<string>"]) + ">"
+
+
 def _read(lines: DataFrame) -> DataFrame:
-    """line_no, text, v (the line's JSON, null if it has none) of the lines that are not blank and no # comment; too long ones always."""
+    """line_no, long, bad (no JSON object, or a field of another type than its own), o (FIELDS) of the lines that are not blank and no # comment; too long ones always."""
     trimmed = F.btrim("text", F.lit(" \t\n\x0b\f\r\u0085\u00a0"))
     rows = lines.select("line_no", trimmed.alias("text"), (F.octet_length("text") >= C.BATCH_LINE_BYTES).alias("long"))
-    rows = rows.filter(F.col("long") | ((F.col("text") != "") & ~F.col("text").startswith("#")))
-    return rows.withColumn("v", F.try_parse_json("text"))
-
-
-def _kind(name: str) -> Column:
-    """The JSON type of one field, null where it is missing or null."""
-    return F.nullif(F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant")), F.lit("VOID"))
+    rows = rows.filter(F.col("long") | ((F.col("text") != "") & ~F.col("text").startswith("#"))).withColumn("v", F.try_parse_json("text"))
+    right = {n: "STRING" for n in TEXTS} | {n: "BOOLEAN" for n in FLAGS} | {"tags": "ARRAY<STRING> ARRAY<VOID>"}
+    kinds = F.array(*[F.struct(F.schema_of_variant(F.try_variant_get("v", f"$.{n}", "variant")).alias("k"), F.split(F.lit(f"VOID {r}"), " ").alias("r")) for n, r in right.items()])
+    off = F.exists(kinds, lambda x: F.coalesce(~F.array_contains(x["r"], x["k"]), F.lit(False)))
+    whole = F.schema_of_variant("v")
+    bad = F.col("v").isNull() | ~(whole.startswith("OBJECT<") | (whole == "VOID")) | off
+    return rows.select("line_no", "long", bad.alias("bad"), F.try_variant_get("v", "$", FIELDS).alias("o"))
 
 
 def _text(name: str) -> Column:
-    return F.coalesce(F.try_variant_get("v", f"$.{name}", "string"), F.lit(""))
-
-
-def _malformed() -> Column:
-    """No JSON object, or a field of another type than its own."""
-    wrong = [(_kind(n), ["STRING"]) for n in TEXTS] + [(_kind(n), ["BOOLEAN"]) for n in FLAGS] + [(_kind("tags"), ["ARRAY<STRING>", "ARRAY<VOID>"])]
-    off = F.lit(False)
-    for kind, right in wrong:
-        off = off | F.coalesce(~kind.isin(right), F.lit(False))
-    whole = F.schema_of_variant("v")
-    return F.col("v").isNull() | ~(whole.startswith("OBJECT<") | (whole == "VOID")) | off
+    return F.coalesce(F.col(f"o.`{name}`"), F.lit(""))
 
 
 def batch(lines: DataFrame) -> DataFrame:
@@ -166,27 +159,29 @@ def batch(lines: DataFrame) -> DataFrame:
 
     Blank and # lines are skipped. An update must say what it changes; a dismissal names a pair, or with open_wording one statement.
     """
+    return _checked(lines).select("line_no", F.when(~F.col("long") & ~F.col("bad"), F.nullif(_text("op"), F.lit(""))).alias("op"), "problem")
+
+
+def _checked(lines: DataFrame) -> DataFrame:
     rows, op = _read(lines), _text("op")
-    missing = F.lit(None).cast("string")
-    for name, needed in NEEDS.items():
-        lack = F.array_join(F.filter(F.array(*[F.when(_text(n) == "", F.lit(n)) for n in needed]), lambda x: x.isNotNull()), ",")
-        missing = F.when((op == name) & (lack != ""), F.concat(F.lit("missing "), lack)).otherwise(missing)
-    idle = F.when((op == "update") & (_text("body") == "") & (_text("status") == "") & (_text("modality") == ""), "nothing to update")
-    wording = F.coalesce(F.try_variant_get("v", "$.open_wording", "boolean"), F.lit(False))
+    needs = F.create_map(*[F.lit(x) for name, needed in NEEDS.items() for x in (name, ",".join(needed))])
+    held = F.create_map(*[x for n in sorted({n for needed in NEEDS.values() for n in needed}) for x in (F.lit(n), _text(n))])
+    lack = F.array_join(F.filter(F.split(F.coalesce(F.try_element_at(needs, op), F.lit("")), ","), lambda n: F.try_element_at(held, n) == ""), ",")
+    missing = F.when(lack != "", F.concat(F.lit("missing "), lack))
+    idle = F.when((op == "update") & (F.concat(_text("body"), _text("status"), _text("modality")) == ""), "nothing to update")
+    wording = F.coalesce("o.open_wording", F.lit(False))
     pair = F.when((op == "dismiss") & wording & (_text("to") != ""), "open_wording clears one statement").when((op == "dismiss") & ~wording & (_text("to") == ""), "missing to")
-    problem = F.when(F.col("long"), "too long").when(_malformed(), "malformed").when(op == "", "missing op").when(~op.isin(OPS), "unknown op").otherwise(F.coalesce(missing, idle, pair))
-    return rows.select("line_no", F.when(~F.col("long") & ~_malformed(), F.nullif(op, F.lit(""))).alias("op"), problem.alias("problem"))
+    problem = F.when(F.col("long"), "too long").when(F.col("bad"), "malformed").when(op == "", "missing op").when(~op.isin(OPS), "unknown op").otherwise(F.coalesce(missing, idle, pair))
+    return rows.withColumn("problem", problem)
 
 
 def operations(lines: DataFrame) -> DataFrame:
     """line_no, op, problem (null) and every field of the lines that are operations; missing texts are empty, missing flags false."""
-    good = batch(lines).filter("problem is null").select("line_no")
-    rows = _read(lines).join(good, "line_no", "left_semi")
-    flag = lambda n: F.coalesce(F.try_variant_get("v", f"$.{n}", "boolean"), F.lit(False)).alias(n)
+    rows = _checked(lines).filter("problem is null")
     own = F.when(_text("op").isin("add", "reject"), F.concat_ws("/", _text("namespace"), _text("id"))).otherwise(_text("full_id"))
     names = {"from": "from_id", "to": "to_id"}
     texts = [_text(n).alias(names.get(n, n)) for n in TEXTS if n != "full_id"]
-    return rows.select("line_no", F.lit(None).cast("string").alias("problem"), own.alias("full_id"), *texts, *[flag(n) for n in FLAGS], F.try_variant_get("v", "$.tags", "array<string>").alias("tags"))
+    return rows.select("line_no", F.lit(None).cast("string").alias("problem"), own.alias("full_id"), *texts, *[F.coalesce(f"o.{n}", F.lit(False)).alias(n) for n in FLAGS], "o.tags")
 
 
 def batch_summary(checked: DataFrame) -> DataFrame:

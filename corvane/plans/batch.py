@@ -49,7 +49,7 @@ def _known(column: str, first: DataFrame, name: str) -> DataFrame:
 
 def judged(lines: DataFrame, store: Store, duplicates: DataFrame | None = None) -> DataFrame:
     """The operations of (line_no, text) with problem: why a line is refused when its turn comes. Edges are not looked at."""
-    ops = records.operations(lines)
+    ops = stored(records.operations(lines), "batch-operations")
     if duplicates is not None:
         ops = ops.join(duplicates.select("line_no", F.lit(True).alias("_dup")), "line_no", "left").withColumn("_dup", F.coalesce("_dup", F.lit(False)) & ~F.col("duplicate_ok"))
     else:
@@ -143,7 +143,7 @@ def applied(lines: DataFrame, store: Store, duplicates: DataFrame | None = None)
     """(RESULTS by line, the tables) after the batch. A refused batch leaves the tables as they are, its results say why."""
     checked = records.batch(lines)
     refused = records.batch_summary(checked).select((~F.col("applies")).alias("_no"))
-    ops = judged(lines, store, duplicates)
+    ops = stored(judged(lines, store, duplicates), "batch-lines")
     ops = ops.crossJoin(F.broadcast(refused)).withColumn("problem", F.when(F.col("_no"), F.coalesce("problem", F.lit("batch refused"))).otherwise(F.col("problem"))).drop("_no")  # one row
     ops = stored(ops, "batch")  # every table reads it
     events = stored(edge_events(ops, store.edges), "batch-edges")
