@@ -163,7 +163,7 @@ def _best_of_sources(swept: DataFrame, vectors: DataFrame, near: DataFrame, judg
                 for x, y in ((number[r["full_id"]], number[r["other"]]), (number[r["other"]], number[r["full_id"]])):
                     if x in place_l and y in place_r:
                         score[place_l[x], place_r[y]] = -np.inf
-        p, q = np.nonzero(score >= least - 1e-6)
+        p, q = np.nonzero(np.isfinite(score) & (score >= least - 1e-6))
         a, b, value = left[p], right[q], np.round(score[p, q], 8)
         lo, hi = np.minimum(a, b), np.maximum(a, b)
         # the queue's order: score, opposed modalities first, ids, whose order is that of the numbers

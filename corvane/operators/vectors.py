@@ -146,7 +146,7 @@ def _near_blocks(packed: DataFrame, blocks: int) -> DataFrame:
         low = [float(np.frombuffer(x, dtype=np.float64).min()) for x in t.column("low").to_pylist()]
         return pa.table({"g": t.column("g").slice(0, 1), "blocks": [t.column("block").to_pylist()], "kinds": [t.column("kind").to_pylist()], "centres": [t.column("centre").to_pylist()], "radii": [t.column("radius").to_pylist()], "lows": [low]})
 
-    cols = "blocks array<bigint>, kinds array<int>, centres array<binary>, radii array<double>, lows array<double>"
+    cols = "blocks array<bigint>, kinds array<bigint>, centres array<binary>, radii array<double>, lows array<double>"
     heads = packed.select((F.col("block") % groups).cast("int").alias("g"), "block", "kind", "centre", "radius", "low").groupBy("g").applyInArrow(head, f"g int, {cols}")
     left = heads.withColumn("g2", F.explode(F.sequence("g", F.lit(groups - 1))))
     right = heads.select(F.col("g").alias("g2"), F.explode(F.sequence(F.lit(0), "g")).alias("g"), *[F.col(c.split()[0]).alias(c.split()[0] + "2") for c in cols.split(", ")])
