@@ -231,10 +231,11 @@ def ordered_by_scores(queue: DataFrame, scores: DataFrame, bodies: DataFrame, id
     return out.limit(limit) if limit else out
 
 
-def with_bodies(pairs: DataFrame, statements: DataFrame) -> DataFrame:
-    """The page with both bodies and excerpts, for writing as JSON lines; a page is small, so it is sent to the bodies."""
+def with_bodies(pairs: DataFrame, statements: DataFrame, limit: int = C.AUDIT_LIMIT) -> DataFrame:
+    """The page with both bodies and excerpts, for writing as JSON lines; a page of `limit` rows is sent to the bodies, an unlimited one (0) is joined."""
     b = statements.select("full_id", "body")
-    ids = F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("full_id")).distinct())
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("full_id")).distinct()
+    ids = F.broadcast(ids) if limit else ids
     own = b.join(ids, "full_id", "left_semi")
     named = lambda x: own.select(F.col("full_id").alias(x), F.col("body").alias(f"body_{x}"), T.excerpt(F.col("body")).alias(f"excerpt_{x}"))
     return pairs.join(named("a"), "a").join(named("b"), "b")

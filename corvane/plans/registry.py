@@ -336,6 +336,14 @@ def semantic_topk(c: Corpus) -> DataFrame:
     return found.join(live, ["source_kind", "full_id"], "left_semi").withColumn("similarity", F.round("similarity", 6))
 
 
+@query("semantic_ranked", f"WITH {SIM} SELECT source_kind, full_id, round(similarity, 6) AS similarity FROM sims WHERE round(similarity, 9) >= 0")
+def semantic_ranked(c: Corpus) -> DataFrame:
+    """All records on the query's side, among vectors of two models, of which only the query's own counts."""
+    other = c.embeddings.withColumn("model", F.lit("m2")).withColumn("vector", F.reverse("vector"))
+    found = vectors.semantic(c.embeddings.unionByName(other), vector_of(c), MODEL, floor=-1.0)
+    return found.filter(F.round("similarity", 9) >= 0).withColumn("similarity", F.round("similarity", 6))
+
+
 FUSED = f"""{SIM}, {LIVE}, {NAMES},
   lists AS (
     SELECT source_kind, full_id, 'lexical' AS kind, NULL AS similarity, row_number() OVER (PARTITION BY source_kind ORDER BY round(score, 9) DESC, full_id) AS pos, TRUE AS capped FROM scored SEMI JOIN live USING (source_kind, full_id)
