@@ -51,7 +51,8 @@ from corvane.llm.scratch import cut, let_go
 
 ROWS, MISS = 5, 1e-6
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
-SMALL, TWICE, KEYS = 100, 512, 21
+SMALL, TWICE, KEYS, LONG_ROWS = 100, 512, 21, 8
+BITS = 1 << 26  # of the map that tells which texts are wanted, 8 MB whatever the input
 
 
 @dataclass(frozen=True)
@@ -157,24 +158,24 @@ def signatures(sets: list[np.ndarray], bins: int) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    n, bins = sig.shape
-    grid = sig.reshape(n, bins // ROWS, ROWS)
-    h = np.arange(bins // ROWS, dtype=np.uint64)[None, :] + np.uint64(1)
-    for i in range(ROWS):
+def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    n, bands = len(sig), sig.shape[1] // rows
+    grid = sig[:, : bands * rows].reshape(n, bands, rows)
+    h = np.arange(bands, dtype=np.uint64)[None, :] + np.uint64(1)
+    for i in range(rows):
         h = _mix(h * np.uint64(0xD1342543DE82EF95) + grid[:, :, i])
     return h.view(np.int64)
 
 
 def keys_of(sets: list[np.ndarray], rule: Rule) -> list[np.ndarray]:
-    """The keys of each set: bands of its bins, of a second permutation's where it is under TWICE, exact ones where a smaller partner can be under SMALL."""
+    """The keys of each set: bands of its bins, longer ones of a second permutation where it is under TWICE, exact ones where a smaller partner can be under SMALL."""
     out = [[exact_keys(u, rule.percent).view(np.int64)] for u in sets]
     for again, most in ((0, 1 << 62), (1, TWICE)):
         own = [i for i, u in enumerate(sets) if SMALL <= len(u) < most]
         if own:
             salt = np.uint64(0x8BB84B93962EACC9)
             sig = signatures([np.sort(_mix(sets[i] ^ salt)) if again else sets[i] for i in own], rule.bins)
-            for i, k in zip(own, band_keys(sig)):
+            for i, k in zip(own, band_keys(sig, LONG_ROWS if again else ROWS)):
                 out[i].append(k ^ np.int64(again))
     return [np.concatenate(x) for x in out]
 
@@ -200,8 +201,27 @@ def sketch(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>")
 
 
+def _bit(doc_id):
+    return F.pmod(F.xxhash64(doc_id), F.lit(BITS))
+
+
+def bit_map(ids: DataFrame):
+    """A broadcast map of BITS bits, those set that the hashes of column rep name; built in parts of 4 KB, 2,048 at most."""
+    bits = np.zeros(BITS // 8, dtype=np.uint8)
+    at = ids.select((_bit(F.col("rep")) + 1).alias("b"))  # bitmaps count from 1
+    for r in at.groupBy(F.bitmap_bucket_number("b").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect():
+        part = np.frombuffer(r.m, dtype=np.uint8)
+        begin = (r.n - 1) * len(part)
+        bits[begin : begin + len(part)] |= part[: len(bits) - begin]
+    return ids.sparkSession.sparkContext.broadcast(bits)
+
+
 def shingle_sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
-    """id (of the class), set of the documents whose doc_id is in ids."""
+    """id (of the class), set, brief (the set's shingles in 16 bits each) of the documents whose doc_id is a rep of ids, and of a few more.
+
+    A map of bits picks the texts where they are read, so no text is shuffled; the sets are joined to what is wanted afterwards.
+    """
+    wanted = bit_map(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -209,13 +229,39 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                sets = [shingles(x.as_py(), rule) for x in b.column("text")]
-                keys = [xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None for u in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([u.view(np.int64) for u in sets], pa.list_(pa.int64()))], ["set_key", "set"])
+                bit = b.column("b").to_numpy(zero_copy_only=False)
+                some = np.flatnonzero(wanted.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+                sets = [shingles(b.column("text")[int(i)].as_py(), rule) for i in some]
+                sets = [u for u in sets if len(u)]
+                keys = [xxhash.xxh3_128_digest(u.tobytes()) for u in sets]
+                brief = [brief_set(u).tobytes() for u in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([u.view(np.int64) for u in sets], pa.list_(pa.int64())), pa.array(brief, pa.binary())], ["set_key", "set", "brief"])
+
+    rows = docs.filter("doc_id is not null").select(_bit(F.col("doc_id").cast("bigint")).alias("b"), "text")
+    return rows.mapInArrow(run, "set_key binary, set array<bigint>, brief binary").select(_class(), "set", "brief")
+
+
+def brief_set(u: np.ndarray) -> np.ndarray:
+    """16 bits of each shingle, sorted. Two sets share no more shingles than one has whose bits the other knows."""
+    return np.sort((u >> np.uint64(17)).astype("<u2"))
+
+
+def maybe_alike(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) whose brief sets leave room for a link: all that are linked, and next to nothing else."""
+    briefs = lambda name, x: sets.select(F.col("id").alias(name), F.col("brief").alias(x))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column("_s"), b.column("_t")):
+                u, v = (np.frombuffer(z.as_buffer(), dtype="<u2") for z in (x, y))
+                small, large = (u, v) if len(u) <= len(v) else (v, u)
+                both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+                ok.append(100 * both >= rule.percent * (len(u) + len(v) - both))
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    found = rows.join(ids, rows["doc_id"] == ids["rep"], "left_semi").mapInArrow(run, "set_key binary, set array<bigint>")
-    return found.filter("set_key is not null").select(_class(), "set")
+    both = pairs.select("a", "b").join(briefs("b", "_t"), "b").join(briefs("a", "_s"), "a").select("a", "b", "_s", "_t")
+    return both.mapInArrow(run, "a bigint, b bigint")
 
 
 def _class():
@@ -307,15 +353,16 @@ def linked(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = cut(rows.join(sizes, "key").select("key", "id", "size"), "members")
     meets = members.groupBy("id").agg(F.sum("size").alias("meets"))
-    members = members.drop("size").join(meets, "id")
+    members = members.drop("size").join(meets, "id").join(heads.select("id", "n"), "id")
     rank = F.struct(F.col("meets"), -F.col("id"))
-    centres = members.groupBy("key").agg(F.max_by("id", rank).alias("a"))
-    stars = cut(members.join(centres, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "stars")
+    centres = members.groupBy("key").agg(F.max_by(F.struct(F.col("id").alias("a"), F.col("n").alias("m")), rank).alias("c")).select("key", "c.a", "c.m")
+    fit = 100 * F.least("n", "m") >= rule.percent * F.greatest("n", "m")  # sets of other sizes cannot be alike
+    stars = cut(members.join(centres, "key").filter("id <> a").filter(fit).select("a", F.col("id").alias("b")).distinct(), "stars")
     involved = cut(classes.select("id", "rep").join(meets.select("id"), "id", "left_semi"), "involved")
     found = shingle_sets(docs, involved.select("rep").distinct(), rule)
     sets = cut(found.join(involved.select("id"), "id", "left_semi").dropDuplicates(["id"]), "sets")
     let_go(docs.sparkSession)
-    links = cut(confirmed(stars, sets, rule).unionByName(same), "links")
+    links = cut(confirmed(cut(maybe_alike(stars, sets, rule), "maybe"), sets, rule).unionByName(same), "links")
     comps = cut(components(links), "comps")
     # what still holds several components: buckets by full sets, all outsiders of the largest component with all others
     at = cut(_named(members.select("key", "id"), comps).join(heads.select("id", "n"), "id"), "at")
