@@ -376,17 +376,20 @@ def _matches(docs: DataFrame, sent: list) -> DataFrame:
 
 
 def _clean(docs: DataFrame, sent: list) -> DataFrame:
+    at = f"c{docs.columns.index('text')}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, BATCH):
                 b = whole.slice(k, BATCH)
-                texts = b.column("text").to_pylist()
+                texts = b.column(at).to_pylist()
                 keep = np.ones(len(texts), dtype=bool)
                 for s in sent:
                     keep &= np.array([not f for f in _finder(s).find(texts)], dtype=bool)
                 yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # a name with a dot is no name to mapInArrow
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def _passes(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[list, bool]]:
