@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import constants as C
@@ -39,14 +39,20 @@ def near_misses(classes: DataFrame, statements: DataFrame, rejections: DataFrame
     """full_id (dangling), file, line, nearest, distance: the closest known id within EDIT_DISTANCE edits.
 
     Two ids within d edits share a string that d deletions make of each, so candidates come from an equi-join on those
-    strings, never from a cross join. Ties keep the first known id: statements by namespace and id, then rejections.
+    strings' hashes, never from a cross join; ids as long as no known one, give or take d, are not spread. Ties keep the
+    first known id: statements by namespace and id, then rejections.
     """
     known = statements.select("full_id", F.lit(0).alias("_o"), "namespace", "id").unionByName(rejections.select("full_id", F.lit(1).alias("_o"), F.col("namespace"), F.col("full_id").alias("id")))
     lost = classes.filter(F.col("class") == "dangling").select("full_id").distinct()
-    a = lost.select(F.col("full_id").alias("lost"), F.explode(_variants(F.col("full_id"), C.EDIT_DISTANCE)).alias("v"))
-    b = known.select(F.col("full_id").alias("nearest"), "_o", "namespace", "id", F.explode(_variants(F.col("full_id"), C.EDIT_DISTANCE)).alias("v"))
-    pairs = a.join(b, "v").drop("v").distinct().withColumn("distance", F.levenshtein("lost", "nearest", C.EDIT_DISTANCE)).filter("distance >= 0")
-    best = pairs.withColumn("_i", F.row_number().over(Window.partitionBy("lost").orderBy("distance", "_o", "namespace", "id"))).filter("_i = 1").select(F.col("lost").alias("full_id"), "nearest", "distance")
+    size = lambda d: d.select(F.length("full_id").alias("_n")).distinct()
+    near = F.explode(F.sequence(F.col("_n") - C.EDIT_DISTANCE, F.col("_n") + C.EDIT_DISTANCE)).alias("_n")
+    alike = lambda d, other: d.join(F.broadcast(size(other).select(near).distinct()), F.length("full_id") == F.col("_n"), "left_semi")  # noqa: E731  one row a length
+    variants = F.explode(F.transform(_variants(F.col("full_id"), C.EDIT_DISTANCE), lambda s: F.xxhash64(s))).alias("v")
+    a = alike(lost, known).select(F.col("full_id").alias("lost"), variants)
+    b = known.select(F.col("full_id").alias("nearest"), "_o", "namespace", "id", variants)
+    # what explode makes is far more than Spark expects of it, so neither side may be taken for one to broadcast
+    pairs = a.hint("merge").join(b, "v").withColumn("distance", F.levenshtein("lost", "nearest", C.EDIT_DISTANCE)).filter("distance >= 0")
+    best = pairs.groupBy("lost").agg(F.min(F.struct("distance", "_o", "namespace", "id", "nearest")).alias("_b")).select(F.col("lost").alias("full_id"), "_b.nearest", "_b.distance")
     return classes.filter(F.col("class") == "dangling").join(best, "full_id").select("full_id", "file", "line", "nearest", "distance")
 
 
