@@ -137,7 +137,7 @@ FLAGS = ["confirmed", "abstract", "duplicate_ok", "open_wording"]
 FIELDS = "struct<" + ", ".join([*[f"`{n}`: string" for n in TEXTS], *[f"`{n}`: boolean" for n in FLAGS], "tags: array<string>"]) + ">"
 
 
-def _read(lines: DataFrame) -> DataFrame:
+def parsed(lines: DataFrame) -> DataFrame:
     """line_no, long, bad (no JSON object, or a field of another type than its own), o (FIELDS) of the lines that are not blank and no # comment; too long ones always."""
     trimmed = F.btrim("text", F.lit(" \t\n\x0b\f\r\u0085\u00a0"))
     rows = lines.select("line_no", trimmed.alias("text"), (F.octet_length("text") >= C.BATCH_LINE_BYTES).alias("long"))
@@ -155,7 +155,7 @@ def _text(name: str) -> Column:
 
 
 def batch(lines: DataFrame) -> DataFrame:
-    """line_no, op, problem of operations given one JSON object a line (line_no, text); null problem means it is one.
+    """line_no, op, problem of operations given one JSON object a line (line_no, text), or of what parsed() says of such; null problem means it is one.
 
     Blank and # lines are skipped. An update must say what it changes; a dismissal names a pair, or with open_wording one statement.
     """
@@ -163,7 +163,7 @@ def batch(lines: DataFrame) -> DataFrame:
 
 
 def _checked(lines: DataFrame) -> DataFrame:
-    rows, op = _read(lines), _text("op")
+    rows, op = lines if "o" in lines.columns else parsed(lines), _text("op")
     needs = F.create_map(*[F.lit(x) for name, needed in NEEDS.items() for x in (name, ",".join(needed))])
     held = F.create_map(*[x for n in sorted({n for needed in NEEDS.values() for n in needed}) for x in (F.lit(n), _text(n))])
     lack = F.array_join(F.filter(F.split(F.coalesce(F.try_element_at(needs, op), F.lit("")), ","), lambda n: F.try_element_at(held, n) == ""), ",")
@@ -176,7 +176,10 @@ def _checked(lines: DataFrame) -> DataFrame:
 
 
 def operations(lines: DataFrame) -> DataFrame:
-    """line_no, op, problem (null) and every field of the lines that are operations; missing texts are empty, missing flags false."""
+    """line_no, op, problem (null) and every field of the lines that are operations; missing texts are empty, missing flags false.
+
+    Every field is read from the line's object: hand in parsed() lines that are kept somewhere, or the objects are made once a field.
+    """
     rows = _checked(lines).filter("problem is null")
     own = F.when(_text("op").isin("add", "reject"), F.concat_ws("/", _text("namespace"), _text("id"))).otherwise(_text("full_id"))
     names = {"from": "from_id", "to": "to_id"}

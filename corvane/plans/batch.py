@@ -49,6 +49,7 @@ def _known(column: str, first: DataFrame, name: str) -> DataFrame:
 
 def judged(lines: DataFrame, store: Store, duplicates: DataFrame | None = None) -> DataFrame:
     """The operations of (line_no, text) with problem: why a line is refused when its turn comes. Edges are not looked at."""
+    lines = lines if "o" in lines.columns else stored(records.parsed(lines), "batch-read")
     ops = stored(records.operations(lines), "batch-operations")
     if duplicates is not None:
         ops = ops.join(duplicates.select("line_no", F.lit(True).alias("_dup")), "line_no", "left").withColumn("_dup", F.coalesce("_dup", F.lit(False)) & ~F.col("duplicate_ok"))
@@ -141,6 +142,7 @@ def clearances_after(ops: DataFrame, statements: DataFrame, clearances: DataFram
 
 def applied(lines: DataFrame, store: Store, duplicates: DataFrame | None = None) -> tuple[DataFrame, Store]:
     """(RESULTS by line, the tables) after the batch. A refused batch leaves the tables as they are, its results say why."""
+    lines = stored(records.parsed(lines), "batch-read")  # each object is made once, not once a field
     checked = records.batch(lines)
     refused = records.batch_summary(checked).select((~F.col("applies")).alias("_no"))
     ops = stored(judged(lines, store, duplicates), "batch-lines")

@@ -163,3 +163,12 @@ def test_layers():
     assert config.merged({"machine": {"a": {"b": 1, "c": 2}}, "local": {"a": {"c": 3}}}) == {"a": {"b": 1, "c": 3}}
     with pytest.raises(ValueError, match="keys"):
         config.merged({"shared": {"keys": {}}})
+
+
+def test_a_batch_is_parsed_once(spark):
+    """Nothing after the first step makes a line's object again, once a field or once a table."""
+    lines = lines_of(spark, ['{"op":"link","from":"a/x","to":"a/y","type":"refines"}', '{"op":"update","full_id":"a/x","status":"active"}'])
+    out, after = batch.applied(lines, store(spark, [("a/x", "b"), ("a/y", "b")]))
+    for table in (out, after.statements, after.edges, after.verdicts, after.clearances):
+        assert "parse" not in table._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [tuple(r) for r in out.collect()] == [(1, "link", "a/x", True, None), (2, "update", "a/x", True, None)]
