@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from corvane.functions import constants as C
 from corvane.operators import audit, vectors
 from tests.test_operators import edges, embeddings, statements
 
@@ -66,3 +68,29 @@ def test_first_page_is_the_queues(spark, monkeypatch, part, limit):
         assert audit.progress(*args).collect() == progress.collect()
         few = s.limit(0)
         assert audit.first_page(few, *args[1:]).collect() == [] and tuple(audit.progress(few, *args[1:]).first()) == (0, 0, 0, 2)
+
+
+def test_the_queue_in_blocks_is_the_joined_one(spark, monkeypatch):
+    """Pairs of one source scored block by block against the window joined pair by pair: several blocks, judged pairs, no, zero and wider vectors; what is told stays with its end."""
+    monkeypatch.setattr(audit, "PART", 7)
+    monkeypatch.setattr(audit, "ROWS", 9)
+    rng = np.random.default_rng(6)
+    names = [f"a/s{i:02d}" for i in range(50)]
+    vec = [(n, np.zeros(4) if i == 7 else np.float32(rng.normal(size=3 if i == 8 else 4)).astype(float)) for i, n in enumerate(names) if i % 6]
+    mods = [None, "must", "must_not", "should"]
+    s = statements(spark, [(n, f"body {i}", {"modality": mods[i % 4], "source": ["f", "f", "g", None, ""][i % 5]}) for i, n in enumerate(names)])
+    facets = spark.createDataFrame([("statement", names[i], f"x_{i % 13}") for i in range(0, 50, 2)], "source_kind string, full_id string, facet string")
+    e = edges(spark, [(names[i], names[(i * 7 + 5) % 50], "refines") for i in range(0, 50, 3)] + [(names[5], names[0], "duplicates")])
+    v = spark.createDataFrame([(names[i], names[i + 5]) for i in range(0, 45, 4)], "a string, b string")
+    told = s.select("full_id", F.concat(F.lit("t:"), "full_id").alias("told"))
+    swept = audit.scope(s)
+    vectors_ = audit.swept_vectors(embeddings(spark, vec), swept, "m")
+    near = vectors.nearest(vectors_, C.DENSITY_K)
+    for floor in (0.0, 0.6):
+        chosen = vectors.nearest(vectors_, 2, floor)
+        window = audit.window_pairs(facets, swept, chosen, 2).join(audit.adjudicated(e, v), ["a", "b"], "left_anti")
+        want = sorted(map(repr, (tuple(r) for r in audit.score(window, swept, vectors_, near).collect())))
+        queue = audit.audit(s, facets, embeddings(spark, vec), e, v, "m", floor=floor, told=told)[0]
+        got = sorted(map(repr, (tuple(r) for r in queue.drop("told_a", "told_b").collect())))
+        assert got == want and len(want) > 200
+        assert queue.filter("told_a <> concat('t:', a) or told_b <> concat('t:', b)").count() == 0
