@@ -225,15 +225,29 @@ def _same_source(pairs: DataFrame, swept: DataFrame) -> DataFrame:
     return both.withColumn("same_source", F.coalesce(F.col("_sa") == F.col("_sb"), F.lit(False))).drop("_sa", "_sb")
 
 
+def _may_reach(rows: DataFrame, near: DataFrame, least: float) -> DataFrame:
+    """Those of rows (full_id, density) that some pair of one source can bring to the score `least`; before any is dealt over blocks.
+
+    A pair with a statement without a vector has SOURCE_BOOST; another one at most that and twice the statement's similarity to its
+    nearest, less its density and the lowest one of all.
+    """
+    if least == -np.inf:
+        return rows
+    lowest = rows.agg(F.least(F.min("density"), F.lit(0.0)).alias("d")).first().d or 0.0
+    top = near.filter("rank = 1").select(F.col("a").alias("full_id"), F.col("sim").alias("_top"))
+    bound = F.greatest(F.lit(0.0), F.coalesce(2 * F.col("_top") - F.coalesce("density", F.lit(0.0)) - lowest, F.lit(0.0))) + C.SOURCE_BOOST
+    return rows.join(top, "full_id", "left").filter(bound >= least - 1e-6).drop("_top")
+
+
 def _best_of_sources(swept: DataFrame, vectors: DataFrame, near: DataFrame, judged: DataFrame, least: float, limit: int) -> DataFrame:
     """a, b: of each two blocks of a source, the first `limit` unjudged pairs that may score `least`, by the score that sources and vectors give.
 
     Statements of a source are dealt over blocks of about PART; a pair of blocks is one matrix product, and no pair leaves it but the first.
     """
     sized = swept.filter("source_file is not null and source_file <> ''").select("full_id", "source_file", T.modality_sign(F.col("modality")).alias("sign"))
-    parts = sized.groupBy("source_file").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).filter("parts > 0")
-    d = density(near)
-    rows = sized.join(parts, "source_file").join(d, "full_id", "left").join(vectors.select("full_id", "vector"), "full_id", "left")
+    rows = stored(_may_reach(sized.join(density(near), "full_id", "left"), near, least), "audit-may")
+    parts = rows.groupBy("source_file").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).filter("parts > 0")
+    rows = rows.join(parts, "source_file").join(vectors.select("full_id", "vector"), "full_id", "left")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("full_id"), F.col("parts")).cast("int"))
     others = F.sequence(F.lit(0), F.col("parts") - 1)
     cell = lambda: F.struct(F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"))

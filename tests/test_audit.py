@@ -94,3 +94,12 @@ def test_the_queue_in_blocks_is_the_joined_one(spark, monkeypatch):
         got = sorted(map(repr, (tuple(r) for r in queue.drop("told_a", "told_b").collect())))
         assert got == want and len(want) > 200
         assert queue.filter("told_a <> concat('t:', a) or told_b <> concat('t:', b)").count() == 0
+
+
+def test_rows_that_cannot_reach_the_page_are_dealt_nowhere(spark):
+    """Only statements that some pair of their source may bring to the least score are sent to blocks; at it, they are."""
+    rows = spark.createDataFrame([("n", None), ("x", 0.1), ("y", 0.9), ("z", -0.4)], "full_id string, density double")
+    near = spark.createDataFrame([("x", "y", 0.9, 1), ("y", "x", 0.9, 1), ("z", "x", -0.1, 1)], "a string, b string, sim double, rank int")
+    kept = lambda least: sorted(r.full_id for r in audit._may_reach(rows, near, least).collect())
+    assert kept(-np.inf) == kept(5.0) == ["n", "x", "y", "z"]
+    assert kept(5.6) == ["x", "y", "z"] and kept(7.1) == ["x"] and kept(7.2) == []
