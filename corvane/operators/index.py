@@ -7,7 +7,11 @@ frequency and positions, with the count, the largest frequency and the least len
 beside it), `df` (by how much document frequencies changed) and `dead` (keys whose
 older rows no longer hold). Postings and frequencies are dealt over BUCKETS by term,
 so a request reads its terms' buckets, and in them only row groups that may hold the
-terms. Records lie in the order of their namespaces: one shard's words are alike.
+terms. Each task orders its records by namespace: one shard's words are alike.
+
+A segment is written where its records are: a task sorts bodies, makes their tokens and
+writes `docs`; another turns the shards of one docs file into postings, a row per term
+and shard, sorted in the task. Neither bodies nor tokens nor postings are shuffled.
 
 A refresh compares digests, so it tokenises only what changed; small segments are
 merged, by sizes, without tokenising. A version is one small file naming segments and
@@ -27,7 +31,9 @@ import zlib
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +44,15 @@ from corvane.sources import shared
 
 BUCKETS, SHARD, PROBE, SEGMENTS = 64, 128, 8, 8
 KEY = ["source_kind", "full_id"]
+BLOCK = "source_kind string, shard bigint, term string, n int, max_tf int, min_dl int, records array<struct<full_id:string,dl:int,tf:int,positions:array<int>>>"
+TABLES = {
+    "docs": "source_kind string, full_id string, namespace string, digest string, dl int, shard bigint, terms array<string>",
+    "postings": f"{BLOCK}, bucket int",
+    "df": "source_kind string, term string, df bigint, bucket int",
+    "dead": "source_kind string, full_id string",
+    "changes": "source_kind string, full_id string, change string",
+}  # what a table without rows has no file to say
+AT_ONCE = 2048  # records, about, that a task turns into postings at once
 SLACK = 1e-6  # sums of doubles in another order
 
 
@@ -57,6 +72,64 @@ def stemmed_terms(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+def _whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in their order, about AT_ONCE together, cut only where a shard ends."""
+    held = []
+    for b in batches:
+        for i in range(0, len(b), AT_ONCE):
+            t = pa.Table.from_batches([*held, b.slice(i, AT_ONCE)])
+            shards = t.column("shard").to_numpy()
+            others = np.flatnonzero(shards != shards[-1])
+            end = int(others[-1]) + 1 if len(others) else 0
+            if end:
+                yield t.slice(0, end)
+            held = t.slice(end).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def inverted(docs: DataFrame) -> DataFrame:
+    """BLOCK rows of docs rows as they lie in their files; a shard that two tasks read has a row of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_shards(batches):
+            kinds, ids, dl, shards = (t.column(c).combine_chunks() for c in ("source_kind", "full_id", "dl", "shard"))
+            lists = t.column("terms").combine_chunks()
+            lengths = lists.value_lengths().to_numpy()
+            words = lists.flatten().dictionary_encode()
+            term = words.indices.to_numpy().astype(np.int64)
+            kind, dl_, shard = kinds.dictionary_encode().indices.to_numpy(), dl.to_numpy(), shards.to_numpy()
+            new = np.ones(len(t), dtype=bool)  # a record given twice counts as one
+            new[1:] = (kind[1:] != kind[:-1]) | (dl_[1:] != dl_[:-1]) | (shard[1:] != shard[:-1]) | pa.compute.not_equal(ids.slice(1), ids.slice(0, len(t) - 1)).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(new)
+            record = np.repeat(np.cumsum(new) - 1, lengths)
+            pos = np.arange(len(term)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            _, group = np.unique((shard - shard[0]) * (int(kind.max()) + 1) + kind, return_inverse=True)
+            key = np.repeat(group, lengths) * len(words.dictionary) + term
+            is_word = np.flatnonzero(pa.compute.not_equal(words.dictionary, lexical.GAP).to_numpy(zero_copy_only=False)[term])
+            order = is_word[np.lexsort((pos[is_word], record[is_word], key[is_word]))]
+            if not len(order):
+                continue
+            key, record, pos = key[order], record[order], pos[order]
+            held = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (record[1:] != record[:-1])])  # where a record's positions begin
+            tf = np.diff(np.r_[held, len(key)]).astype(np.int32)
+            at = first[record[held]]  # the row of each
+            block = np.flatnonzero(np.r_[True, np.diff(key[held]) != 0])
+            offsets = lambda begins, n: pa.array(np.r_[begins, n].astype(np.int32))
+            positions = pa.ListArray.from_arrays(offsets(held, len(key)), pa.array(pos.astype(np.int32)))
+            records = pa.StructArray.from_arrays([ids.take(pa.array(at)), dl.take(pa.array(at)), pa.array(tf), positions], ["full_id", "dl", "tf", "positions"])
+            row = at[block]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    kinds.take(pa.array(row)), shards.take(pa.array(row)), words.dictionary.take(pa.array(term[order[held[block]]])), pa.array(np.diff(np.r_[block, len(held)]).astype(np.int32)),
+                    pa.array(np.maximum.reduceat(tf, block)), pa.array(np.minimum.reduceat(dl_[at], block)), pa.ListArray.from_arrays(offsets(block, len(held)), records),
+                ],
+                ["source_kind", "shard", "term", "n", "max_tf", "min_dl", "records"],
+            )
+
+    return docs.select(*KEY, "dl", "shard", "terms").mapInArrow(run, BLOCK)
+
+
 def bucket_of(word: str) -> int:
     return zlib.crc32(word.encode()) % BUCKETS
 
@@ -93,9 +166,12 @@ class Index:
     def _at(self, segment: int, table: str) -> str:
         return f"{self.root}/segments/{segment:06d}/{table}"
 
+    def _table(self, segment: int, table: str) -> DataFrame:
+        return self.spark.read.schema(TABLES[table]).parquet(self._at(segment, table))
+
     def _read(self, version: dict, table: str) -> DataFrame | None:
         """A table of all segments, with their numbers; dead tables only where there are dead rows."""
-        parts = [self.spark.read.parquet(self._at(s, table)).withColumn("segment", F.lit(s)) for s, _, dead in version["segments"] if table != "dead" or dead]
+        parts = [self._table(s, table).withColumn("segment", F.lit(s)) for s, _, dead in version["segments"] if table != "dead" or dead]
         return reduce(DataFrame.unionByName, parts) if parts else None
 
     def _living(self, version: dict, rows: DataFrame) -> DataFrame:
@@ -112,17 +188,17 @@ class Index:
 
     # ---- writing -------------------------------------------------------------------------------------------
 
-    def _write(self, segment: int, rows: DataFrame) -> None:
-        """docs and postings of rows (KEY, namespace, digest, dl, terms)."""
-        rows = rows.repartitionByRange("namespace", "full_id").sortWithinPartitions("namespace", *KEY)
+    def _write(self, segment: int, rows: DataFrame, made=lambda rows: rows) -> None:
+        """docs and postings of rows (KEY, namespace, digest; made() adds dl and terms once they are in order)."""
         shard = F.lit(segment << 44) + F.expr(f"monotonically_increasing_id() div {SHARD}")
-        rows.select(*KEY, "namespace", "digest", "dl", shard.alias("shard"), "terms").write.parquet(self._at(segment, "docs"))
-        tokens = self.spark.read.parquet(self._at(segment, "docs")).select(*KEY, "shard", "dl", F.posexplode("terms").alias("pos", "term")).filter(F.col("term") != lexical.GAP)
-        held = tokens.repartition("source_kind", "shard", "term").groupBy("source_kind", "shard", "term", "full_id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-        one = F.struct("full_id", "dl", "tf", "positions")
-        blocks = held.groupBy("source_kind", "shard", "term").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(one).alias("records"))
-        out = blocks.withColumn("bucket", _bucket(F.col("term"))).repartitionByRange("bucket", "term", "shard").sortWithinPartitions("bucket", "term", "source_kind", "shard")
-        out.write.partitionBy("bucket").parquet(self._at(segment, "postings"))
+        docs = made(rows.sortWithinPartitions("namespace", *KEY)).withColumn("shard", shard)
+        docs.select(*KEY, "namespace", "digest", "dl", "shard", "terms").write.parquet(self._at(segment, "docs"), compression="zstd")
+        out = inverted(self._table(segment, "docs")).withColumn("bucket", _bucket(F.col("term")))
+        out.sortWithinPartitions("bucket", "term", "source_kind", "shard").write.partitionBy("bucket").parquet(self._at(segment, "postings"), compression="zstd")
+
+    def _tokenised(self, rows: DataFrame) -> DataFrame:
+        out = lexical.tokenised(rows).select(*KEY, "namespace", "digest", "dl", "terms")
+        return stemmed_terms(out) if self.stemmed else out
 
     def _write_df(self, segment: int, changes: DataFrame) -> None:
         """changes: source_kind, term, df."""
@@ -135,25 +211,33 @@ class Index:
         segment = old["next"]
         tags = F.array_join(F.coalesce("tags", F.array().cast("array<string>")), "\u0000")
         digest = F.sha2(F.concat_ws("\u0001", "namespace", tags, "body"), 256)
-        now = records.select(*KEY, digest.alias("_now"))
-        was = self.docs(old)
-        was = now.limit(0).select(*KEY, F.lit("").alias("_was")) if was is None else was.select(*KEY, F.col("digest").alias("_was"))
-        change = F.when(F.col("_was").isNull(), "added").when(F.col("_now").isNull(), "removed").when(F.col("_was") != F.col("_now"), "updated").otherwise("unchanged")
         shared.remove(self.spark, f"{self.root}/segments/{segment:06d}")  # of a refresh that was lost
-        now.join(was, KEY, "full_outer").select(*KEY, change.alias("change")).write.partitionBy("change").parquet(self._at(segment, "changes"))
-        diff = self.spark.read.schema("source_kind string, full_id string, change string").parquet(self._at(segment, "changes"))
-        counts = {r.change: r["count"] for r in diff.groupBy("change").count().collect()}
-        if set(counts) <= {"unchanged"}:
-            return counts
-        fresh = records.join(diff.filter(F.col("change").isin("added", "updated")).select(*KEY), KEY, "left_semi")
-        rows = lexical.tokenised(fresh.withColumn("digest", digest)).select(*KEY, "namespace", "digest", "dl", "terms")
-        self._write(segment, stemmed_terms(rows) if self.stemmed else rows)
-        gone = diff.filter(F.col("change").isin("updated", "removed")).select(*KEY)
-        gone.write.parquet(self._at(segment, "dead"))
-        mine = self.spark.read.parquet(self._at(segment, "postings")).select("source_kind", "term", F.col("n").cast("long").alias("df"))
-        sign = self.spark.read.parquet(self._at(segment, "docs")).select("source_kind", "dl", F.lit(1).alias("sign"))
+        was = self.docs(old)
+        gone = None
+        if was is None:  # all is new: nothing to compare
+            fresh = records
+        else:
+            now, was = records.select(*KEY, digest.alias("_now")), was.select(*KEY, F.col("digest").alias("_was"))
+            change = F.when(F.col("_was").isNull(), "added").when(F.col("_now").isNull(), "removed").when(F.col("_was") != F.col("_now"), "updated").otherwise("unchanged")
+            now.join(was, KEY, "full_outer").select(*KEY, change.alias("change")).write.partitionBy("change").parquet(self._at(segment, "changes"))
+            diff = self._table(segment, "changes")
+            counts = {r.change: r["count"] for r in diff.groupBy("change").count().collect()}
+            if set(counts) <= {"unchanged"}:
+                return counts
+            fresh = records.join(diff.filter(F.col("change").isin("added", "updated")).select(*KEY), KEY, "left_semi")
+            gone = diff.filter(F.col("change").isin("updated", "removed")).select(*KEY)
+        if records.groupBy(*KEY).count().filter("count > 1").limit(1).count():
+            fresh = fresh.repartition(*KEY)  # the rows of one key make one record, so one task must have them
+        self._write(segment, fresh.withColumn("digest", digest), self._tokenised)
+        if was is None:
+            counts = {"added": n} if (n := self._table(segment, "docs").count()) else {}
+            if not counts:
+                return counts
+        mine = self._table(segment, "postings").select("source_kind", "term", F.col("n").cast("long").alias("df"))
+        sign = self._table(segment, "docs").select("source_kind", "dl", F.lit(1).alias("sign"))
         dead = counts.get("updated", 0) + counts.get("removed", 0)
         if dead:
+            gone.write.parquet(self._at(segment, "dead"))
             lost = self.docs(old).join(gone, KEY, "left_semi")
             mine = mine.unionByName(lost.select("source_kind", F.explode(F.array_distinct("terms")).alias("term"), F.lit(-1).cast("long").alias("df")).filter(F.col("term") != lexical.GAP))
             sign = sign.unionByName(lost.select("source_kind", "dl", F.lit(-1).alias("sign")))
@@ -179,13 +263,14 @@ class Index:
             return
         part = old | {"segments": some}
         shared.remove(self.spark, f"{self.root}/segments/{segment:06d}")
-        self._write(segment, self.docs(part).drop("segment", "shard"))
+        # small segments lie in many files, so here, and only here, records are dealt anew
+        self._write(segment, self.docs(part).drop("segment", "shard").repartitionByRange("namespace", "full_id"))
         self._write_df(segment, self._read(part, "df").select("source_kind", "term", "df"))
         dead = self._read(part, "dead")
         older = dead is not None and first > 0
         if older:
             dead.select(*KEY).distinct().write.parquet(self._at(segment, "dead"))
-        rows = self.spark.read.parquet(self._at(segment, "docs")).count()
+        rows = self._table(segment, "docs").count()
         self._commit(old, [*held[:first], [segment, rows, sum(d for *_, d in some) if older else 0]], old["totals"], segment + 1)
 
     def vacuum(self) -> list[str]:

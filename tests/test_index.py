@@ -117,3 +117,28 @@ def test_a_lost_refresh_leaves_the_old_version(spark, tmp_path, monkeypatch):
     same(spark, index, more, "cancel orders limit")
     assert index.refresh(frame(spark, more).limit(0)) == {"removed": 61} and index.version()["totals"] == {}
     assert read(index, [["cancel"]])[1] == []
+
+
+def test_postings_are_made_where_the_records_lie(spark, tmp_path, monkeypatch):
+    """Nothing is shuffled to write a segment; a record given twice is one; blocks hold what a plain loop finds."""
+    monkeypatch.setattr(X, "SHARD", 4)
+    monkeypatch.setattr(X, "AT_ONCE", 3)  # shards are cut by it, and by batches
+    held, index = corpus(random.Random(11), 50), X.Index(spark, str(tmp_path / "i"), stemmed=False)
+    twice = frame(spark, held).unionByName(frame(spark, {k: v for k, v in held.items() if k[1].endswith("/r9")}))
+    assert index.refresh(frame(spark, {})) == {} and index.version()["number"] == 0
+    assert index.refresh(twice) == {"added": 51}
+    docs = index.docs(index.version())
+    made = X.inverted(docs)
+    assert "Exchange" not in made._jdf.queryExecution().toString()
+    want = {}
+    for r in docs.collect():
+        for pos, term in enumerate(r.terms):
+            if term:
+                want.setdefault((r.source_kind, r.shard, term), {}).setdefault((r.full_id, r.dl), []).append(pos)
+    got = {}
+    for r in index._read(index.version(), "postings").collect():
+        block = {(x.full_id, x.dl): sorted(x.positions) for x in r.records}
+        assert (r.source_kind, r.shard, r.term) not in got and r.n == len(block) and all(x.tf == len(x.positions) for x in r.records)
+        assert r.max_tf == max(x.tf for x in r.records) and r.min_dl == min(x.dl for x in r.records)
+        got[r.source_kind, r.shard, r.term] = block
+    assert got == {k: {d: sorted(p) for d, p in v.items()} for k, v in want.items()}
