@@ -14,6 +14,7 @@ from corvane.session import table
 
 MODEL = "m64"
 LINKABLE = C.EDGE_TYPES[:6]
+SENT_ROWS = 1_000_000  # parts that may be sent to all: Spark judges by a file's bytes, of which a million keys are few, and the driver holds every one
 
 
 def _pick(names: list[str | None], number: Column, *, modulus: int) -> Column:
@@ -34,10 +35,14 @@ class Corpus:
     def n(self) -> int:
         return self.table("documents").count()  # from the files' footers
 
+    @cached_property
+    def many_parts(self) -> bool:
+        return self.table("part").count() > SENT_ROWS  # from the files' footers
+
     @cached_property
     def statements(self) -> DataFrame:
         part = self.table("part").select("p_partkey", F.concat(F.lit(" "), F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))), F.lit("_"), F.col("p_size").cast("string")).alias("name"))
-        d = self.table("documents").join(part, F.col("doc_id") == F.col("p_partkey"))
+        d = self.table("documents").join(part.hint("merge") if self.many_parts else part, F.col("doc_id") == F.col("p_partkey"))
         i, line = F.col("doc_id"), (F.col("doc_id") % 40 + 1).cast("int")
         return d.select(
             F.concat(F.lit("doc/"), "lang", F.lit("/"), i.cast("string")).alias("full_id"), i.cast("string").alias("id"), F.concat(F.lit("doc/"), "lang").alias("namespace"),

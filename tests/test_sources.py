@@ -127,3 +127,16 @@ def test_snapshots_stream_edits_and_removals(spark, tmp_path):
     assert [r.full_id for r in tables["e"].collect()] == ["a/y"]
     run()
     assert len(seen) <= 3
+
+
+def test_many_parts_are_not_sent_to_all(spark, monkeypatch):
+    """The keys of a large table take few bytes in their file, so Spark would have the driver hold them all."""
+    from corvane.sources import adapters
+
+    names = lambda: adapters.Corpus(spark, "/root/testdata/sf0.001").statements.select("full_id")
+    few = names()
+    monkeypatch.setattr(adapters, "SENT_ROWS", 10)
+    many = names()
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(few.collect()) == sorted(many.collect())
