@@ -37,11 +37,13 @@ def source_pairs(swept: DataFrame) -> DataFrame:
     """a < b of one non-empty source file. The operator's answer is every such pair; narrow the scope before asking.
 
     One side of each source is dealt over SPLITS keys and the other sent to all of them, so that no task pairs a large source alone.
+    What is shuffled is small beside the pairs, so the number of tasks is given: adaptive execution would make them one.
     """
     own = swept.filter((F.col("source_file").isNotNull()) & (F.col("source_file") != "")).select("source_file", "full_id").distinct()
-    left = own.select("source_file", F.col("full_id").alias("a"), F.pmod(F.xxhash64("full_id"), F.lit(SPLITS)).cast("int").alias("_part"))
-    right = own.select("source_file", F.col("full_id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("_part"))
-    return left.join(right, ["source_file", "_part"]).filter("a < b").select("a", "b")
+    tasks = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = own.select("source_file", F.col("full_id").alias("a"), F.pmod(F.xxhash64("full_id"), F.lit(SPLITS)).cast("int").alias("_part")).repartition(tasks, "source_file", "_part")
+    right = own.select("source_file", F.col("full_id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("_part")).repartition(tasks, "source_file", "_part")
+    return left.join(right.hint("shuffle_hash"), ["source_file", "_part"]).filter("a < b").select("a", "b")
 
 
 def swept_vectors(embeddings: DataFrame, swept: DataFrame, model: str) -> DataFrame:

@@ -103,3 +103,13 @@ def test_rows_that_cannot_reach_the_page_are_dealt_nowhere(spark):
     kept = lambda least: sorted(r.full_id for r in audit._may_reach(rows, near, least).collect())
     assert kept(-np.inf) == kept(5.0) == ["n", "x", "y", "z"]
     assert kept(5.6) == ["x", "y", "z"] and kept(7.1) == ["x"] and kept(7.2) == []
+
+
+def test_source_pairs_keep_their_tasks(spark):
+    """One large source is paired in many tasks, though little is shuffled: adaptive execution may not make them one."""
+    rows = [(f"s{i:04d}", "one" if i % 3 else "two") for i in range(600)] + [("null", None), ("none", "")]
+    pairs = audit.source_pairs(spark.createDataFrame(rows, "full_id string, source_file string"))
+    assert len({r.p for r in pairs.select(F.spark_partition_id().alias("p")).distinct().collect()}) > 3
+    want = {(a, b) for a, s in rows[:600] for b, z in rows[:600] if s == z and a < b}
+    got = [(r.a, r.b) for r in pairs.collect()]
+    assert set(got) == want and len(got) == len(want)
