@@ -27,6 +27,7 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 ODD = re.compile("[\x00\x1c-\x1f\u0130\u0250-\U0010ffff]")
 #: A line end between two other characters than white space is a piece of its own.
 LINE_END = re.compile(f"(?<=[^{WHITE}])(\n)(?=[^{WHITE}])")
+UNUSED = "\x00\x00"
 _KEPT: dict[str, tuple] = {}
 _TRIED: dict[int, bool] = {}
 
@@ -196,7 +197,8 @@ class Encoder:
             self.lower, self.words = setup["lower"], bool(setup["suffix"])
             ranks, self.ids = _ranks(setup)
             self.same = np.array_equal(self.ids, np.arange(len(self.ids)))
-            self.core = tiktoken._tiktoken.CoreBPE(ranks, {}, r"[^\s\x00]+\x00" if self.words else setup["pattern"])
+            # ids come as bytes only from the call that knows special tokens: it is given one, and never lets it stand for itself
+            self.core = tiktoken._tiktoken.CoreBPE(ranks, {UNUSED: len(self.ids)}, r"[^\s\x00]+\x00" if self.words else setup["pattern"])
             self.find = regex.compile(setup["pattern"]).findall
 
     def library(self, text: str) -> np.ndarray:
@@ -213,7 +215,7 @@ class Encoder:
         if self.words:
             text = text.lower() if self.lower else text
             text = "\x00 ".join([w if w.isalpha() else self.ended(w) for w in text.split()]) + "\x00"
-        ranks = np.array(self.core.encode_ordinary(text), dtype="<u4")
+        ranks = np.frombuffer(self.core.encode_to_tiktoken_buffer(text, set()), dtype="<u4")
         return ranks if self.same else self.ids.take(ranks)
 
     def __call__(self, text: str) -> np.ndarray:

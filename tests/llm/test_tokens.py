@@ -172,3 +172,12 @@ def test_columns_named_like_the_results(spark):
     r = bpe_chunks.with_ids(rows, decode=True).first()
     e = encoder("word_bpe_49k.json")
     assert bytes(r.ids) == raw(e("a cat")) and r.decoded == e.tok.decode(e("a cat").tolist(), skip_special_tokens=False)
+
+
+def test_ids_come_as_bytes_and_no_text_is_special():
+    """Ids are read from the encoder's own bytes, not from a list; the special token that this call needs never stands for itself."""
+    with open(vocab.default_path("byte_bpe_50k.json"), "rb") as f:
+        e = vocab.Encoder(f.read(), True)
+    assert not e.plain("some words").flags.writeable
+    for text in ("", "some words\n", f"a {vocab.UNUSED} b", vocab.UNUSED * 3):
+        assert e.plain(text).tolist() == e.library(text).tolist()
