@@ -42,3 +42,21 @@ def let_go(spark: SparkSession) -> None:
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    give_back(spark)
+
+
+def give_back(spark: SparkSession) -> bool:
+    """Memory that the driver's JVM freed outside its heap back to the system, where it knows how (a JVM command from 17.0.9 on); the C library keeps it for each of hundreds of threads else."""
+    from py4j.protocol import Py4JError
+
+    jvm = spark.sparkContext._jvm
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        # the server's own class is closed to callers from outside; its interface is not
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")
+        given = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        call.invoke(server, given)
+    except Py4JError:
+        return False
+    return True
