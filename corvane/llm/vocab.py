@@ -23,6 +23,9 @@ from pyspark.sql import SparkSession
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: How byte-level vocabularies split a text (fixed value).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same where no two white spaces stand in a row: the part that looks ahead is then one with the last, and without it the engine need not go back.
+NO_RUNS = BYTE_LEVEL.replace(r"\s+(?!\S)|", "")
+RUN = re.compile(r"\s\s")
 #: Up to U+024F classes, case and forms are the same in all engines; but these are ours, or blank to some engines only, or lower-cased into two.
 ODD = re.compile("[\x00\x1c-\x1f\u0130\u0250-\U0010ffff]")
 #: A line end between two other characters than white space is a piece of its own.
@@ -191,14 +194,16 @@ class Encoder:
 
         self.tok = load(content)
         self.marks = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.core = None
+        self.core = self.slow = None
         if by_ranks:
             setup = _setup(content)
             self.lower, self.words = setup["lower"], bool(setup["suffix"])
             ranks, self.ids = _ranks(setup)
             self.same = np.array_equal(self.ids, np.arange(len(self.ids)))
             # ids come as bytes only from the call that knows special tokens: it is given one, and never lets it stand for itself
-            self.core = tiktoken._tiktoken.CoreBPE(ranks, {UNUSED: len(self.ids)}, r"[^\s\x00]+\x00" if self.words else setup["pattern"])
+            self.made = lambda pattern: tiktoken._tiktoken.CoreBPE(ranks, {UNUSED: len(self.ids)}, pattern)
+            self.runs = not self.words and setup["pattern"] == BYTE_LEVEL  # whether texts with runs of white space need a core of their own
+            self.core = self.made(r"[^\s\x00]+\x00" if self.words else NO_RUNS if self.runs else setup["pattern"])
             self.find = regex.compile(setup["pattern"]).findall
 
     def library(self, text: str) -> np.ndarray:
@@ -215,7 +220,10 @@ class Encoder:
         if self.words:
             text = text.lower() if self.lower else text
             text = "\x00 ".join([w if w.isalpha() else self.ended(w) for w in text.split()]) + "\x00"
-        ranks = np.frombuffer(self.core.encode_to_tiktoken_buffer(text, set()), dtype="<u4")
+        core = self.core
+        if self.runs and RUN.search(text):
+            core = self.slow = self.slow or self.made(BYTE_LEVEL)
+        ranks = np.frombuffer(core.encode_to_tiktoken_buffer(text, set()), dtype="<u4")
         return ranks if self.same else self.ids.take(ranks)
 
     def __call__(self, text: str) -> np.ndarray:
