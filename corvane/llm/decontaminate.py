@@ -45,6 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +58,10 @@ WORN, SEED = 0.25, 3
 COMMON, MIN_COSINE, MIN_HELD, SHARE, ANSWER = 0.1, 0.35, 0.25, 0.6, 0.5
 SLICE = 4096
 _EDGE = re.compile(r"^\W+|\W+$")
+#: What _EDGE takes off, up to U+00FF.
+_SIGNS = "".join(c for c in map(chr, range(256)) if _EDGE.match(c))
+#: First byte of U+0100 in UTF-8; characters below have the same white space, case and signs in Arrow.
+_BEYOND = 0xC4
 
 
 #: Thai, Lao, Myanmar, Khmer, kana and Han
@@ -77,12 +82,24 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in (_EDGE.sub("", x) for x in spaced(text)) if w]
 
 
+def few_signs(texts: pa.Array) -> np.ndarray:
+    """Which texts have no character beyond U+00FF."""
+    if not len(texts):
+        return np.zeros(0, dtype=bool)
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    beyond = np.flatnonzero(np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] >= _BEYOND) + at[0] if data else np.zeros(0, dtype=np.int64)
+    return np.diff(np.searchsorted(beyond, at)) == 0
+
+
 class Ids(dict):
     """raw word -> its number in the vocabulary: -1 for other words, -2 for signs only."""
 
     def __init__(self, numbers: dict[str, int]):
         super().__init__()
         self.numbers = numbers
+        self.words = pa.array(list(numbers), pa.string())
+        self.places = np.array([*numbers.values(), -1], dtype=np.int32)
 
     def __missing__(self, raw: str) -> int:
         word = raw if raw.isalnum() else _EDGE.sub("", raw)
@@ -97,6 +114,20 @@ class Ids(dict):
         ids = np.fromiter(map(self.__getitem__, raw), dtype=np.int32, count=len(raw))
         return ids[ids != -2]
 
+    def of_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """of() every text; those without characters beyond U+00FF go through Arrow together."""
+        texts = texts.cast(pa.string()).fill_null("")
+        plain = few_signs(texts)
+        parts = pc.utf8_split_whitespace(pc.utf8_lower(texts.filter(pa.array(plain))))
+        words = pc.utf8_trim(parts.flatten(), characters=_SIGNS)
+        some = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+        at = pc.index_in(words, value_set=self.words).fill_null(len(self.words)).to_numpy(zero_copy_only=False)
+        ids = self.places.take(at[some])
+        before = np.concatenate([[0], np.cumsum(some)])
+        ends = before[np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False), dtype=np.int64)]
+        found = iter(np.split(ids, ends[:-1]) if len(ends) else [])
+        return [next(found) if p else self.of(t.as_py()) for p, t in zip(plain.tolist(), texts)]
+
 
 def passages(item_id: int | None, text: str | None) -> list[tuple[int | None, list[str]]]:
     """(item_id, words) of an item, a long one cut in like pieces of PASSAGE words at most."""
@@ -137,12 +168,16 @@ def document_frequency(docs: DataFrame, benchmark: DataFrame) -> tuple[int, dict
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, mark=mark) -> Iterator[pa.RecordBatch]:
             ids = vocab.once("benchmark words", mark, lambda: Ids({w: i for i, w in enumerate(sent.value)}))
-            n, seen = 0, np.zeros(len(sent.value), dtype=np.int64)
-            for b in batches:
-                for x in b.column("text"):
-                    n += 1
-                    found = np.unique(ids.of(x.as_py()))
-                    seen[found[found >= 0]] += 1
+            n, width = 0, max(1, len(sent.value))
+            seen = np.zeros(len(sent.value), dtype=np.int64)
+            for whole in batches:
+                for k in range(0, whole.num_rows, BATCH):
+                    found = ids.of_all(whole.column("text").slice(k, BATCH))
+                    n += len(found)
+                    word = np.concatenate(found)
+                    row = np.repeat(np.arange(len(found), dtype=np.int64) * width, [len(x) for x in found])
+                    keys = np.sort((row + word)[word >= 0])
+                    seen += np.bincount(keys[np.diff(keys, prepend=-1) > 0] % width, minlength=len(seen))[: len(seen)]
             at = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], at]).astype(np.int64)), pa.array(np.concatenate([[n], seen[at]]).astype(np.int64))], ["word", "n"])
 
@@ -288,10 +323,23 @@ class Finder:
         z = self.space[window[window >= 0]].sum(axis=0)
         return float(z @ self.q[:, i] / max(float(np.linalg.norm(z)), 1e-12))
 
-    def find(self, texts: list[str | None]) -> list[dict[int, tuple[int, int, float]]]:
+    def block_sums(self, word: np.ndarray, begin: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """The sums of the vectors of the words of each block of some: block b has word[begin[b] : begin[b + 1]]."""
+        size = begin[some + 1] - begin[some]
+        order = np.argsort(-size, kind="stable")
+        lo, size = begin[some][order], size[order]
+        sums = np.zeros((len(some), self.space.shape[1]), dtype=self.space.dtype)
+        for k in range(int(size[0]) if len(size) else 0):  # the k-th words of all blocks that have one, STEP rounds at most
+            n = np.searchsorted(-size, -k)
+            sums[:n] += self.space[word[lo[:n] + k]]
+        out = np.empty_like(sums)
+        out[order] = sums
+        return out
+
+    def find(self, texts: pa.Array) -> list[dict[int, tuple[int, int, float]]]:
         """Per text: item -> (words in common, words of the passage, cosine) of its best window."""
-        out: list[dict] = [{} for _ in texts]
-        ids = [self.ids.of(t) for t in texts]
+        out: list[dict] = [{} for _ in range(len(texts))]
+        ids = self.ids.of_all(texts)
         if self.seeds:
             for x, o in zip(ids, out):
                 self.find_worn(x, o)
@@ -314,9 +362,9 @@ class Finder:
         doc = np.searchsorted(first, np.arange(blocks), side="right") - 1
         for k in range(0, len(hit), 2048):
             some = hit[k : k + 2048]
-            lo, hi = begin[some], begin[np.minimum(some + 3, len(per))]
-            spots = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange(int((hi - lo).sum()))
-            z = np.add.reduceat(self.space[word[spots]], np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), axis=0)
+            every = np.unique(np.concatenate([some, some + 1, some + 2]))  # windows overlap: a block is summed once
+            sums, place = self.block_sums(word, begin, every), np.searchsorted(every, some)
+            z = sums[place] + sums[np.searchsorted(every, some + 1)] + sums[np.searchsorted(every, some + 2)]
             size = np.linalg.norm(z, axis=1, keepdims=True)
             cosine = (z / np.where(size == 0, 1, size)) @ self.q
             held = cosine * size >= MIN_HELD * self.size  # the window's part along the passage, against the passage's own length
@@ -363,8 +411,8 @@ def _matches(docs: DataFrame, sent: list) -> DataFrame:
         for whole in batches:
             for k in range(0, whole.num_rows, BATCH):
                 b = whole.slice(k, BATCH)
-                texts, names = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
-                best: list[dict] = [{} for _ in texts]
+                texts, names = b.column("text"), b.column("doc_id").to_pylist()
+                best: list[dict] = [{} for _ in names]
                 for s in sent:  # an item may have passages in several blocks
                     for old, new in zip(best, _finder(s).find(texts)):
                         old.update({i: x for i, x in new.items() if i not in old or better(old[i], x)})
@@ -382,7 +430,7 @@ def _clean(docs: DataFrame, sent: list) -> DataFrame:
         for whole in batches:
             for k in range(0, whole.num_rows, BATCH):
                 b = whole.slice(k, BATCH)
-                texts = b.column(at).to_pylist()
+                texts = b.column(at)
                 keep = np.ones(len(texts), dtype=bool)
                 for s in sent:
                     keep &= np.array([not f for f in _finder(s).find(texts)], dtype=bool)
