@@ -13,8 +13,8 @@ from corvane.functions import text as T
 from corvane.operators import vectors as V
 from corvane.sources.shared import stored
 
-SPLITS = 16  # keys over which the statements of one source are dealt when they are paired
 PART = 2048  # statements of one source in a block
+RUN = 256  # ids that are written after each id of another block
 TASKS = 4096  # at most, over which pairs of blocks are dealt
 ROWS = 1 << 16  # pairs that leave a task at once
 
@@ -33,17 +33,31 @@ def facet_pairs(facets: DataFrame, swept: DataFrame) -> DataFrame:
     return few.withColumnRenamed("full_id", "a").join(other, "facet").filter("a < b").groupBy("a", "b").agg(F.array_sort(F.collect_set("facet")).alias("shared_facets"))
 
 
+def _id_blocks(own: DataFrame) -> DataFrame:
+    """source_file, block, ids: at most PART sorted ids of one source that follow each other."""
+    tasks = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    row = own.repartitionByRange(tasks, "source_file", "full_id").sortWithinPartitions("source_file", "full_id").withColumn("block", F.expr(f"monotonically_increasing_id() div {PART}"))
+    return row.groupBy("source_file", "block").agg(F.array_sort(F.collect_list("full_id")).alias("ids"))
+
+
 def source_pairs(swept: DataFrame) -> DataFrame:
     """a < b of one non-empty source file. The operator's answer is every such pair; narrow the scope before asking.
 
-    One side of each source is dealt over SPLITS keys and the other sent to all of them, so that no task pairs a large source alone.
-    What is shuffled is small beside the pairs, so the number of tasks is given: adaptive execution would make them one.
+    Ids lie in sorted blocks, and what is shuffled is a row for two blocks. A task writes RUN ids b after each a, the same for every
+    a of a block, which files hold as little more than one run: the pairs take a fraction of a byte each, and no task a large source alone.
     """
-    own = swept.filter((F.col("source_file").isNotNull()) & (F.col("source_file") != "")).select("source_file", "full_id").distinct()
+    own = swept.filter((F.col("source_file") != "") & F.col("full_id").isNotNull()).select("source_file", "full_id").distinct()
+    blocks = stored(_id_blocks(own), "source-blocks")
+    ends = blocks.select("source_file", "block", F.col("ids")[0].alias("first"), F.element_at("ids", -1).alias("last"))
+    side = lambda x: ends.select("source_file", F.col("block").alias(f"_{x}"), F.col("first").alias(f"_first_{x}"), F.col("last").alias(f"_last_{x}"))
+    cells = stored(side("a").join(side("b"), "source_file").filter("_first_a < _last_b").select("source_file", "_a", "_b"), "source-cells")
+    ids = lambda x: blocks.select("source_file", F.col("block").alias(f"_{x}"), F.col("ids").alias(f"_ids_{x}"))
+    both = cells.hint("merge").join(ids("a"), ["source_file", "_a"]).hint("merge").join(ids("b"), ["source_file", "_b"])
     tasks = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = own.select("source_file", F.col("full_id").alias("a"), F.pmod(F.xxhash64("full_id"), F.lit(SPLITS)).cast("int").alias("_part")).repartition(tasks, "source_file", "_part")
-    right = own.select("source_file", F.col("full_id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("_part")).repartition(tasks, "source_file", "_part")
-    return left.join(right.hint("shuffle_hash"), ["source_file", "_part"]).filter("a < b").select("a", "b")
+    both = both.repartition(max(tasks, min(cells.count(), TASKS)), "source_file", "_a", "_b")  # a cell is few bytes and many pairs, so its size must not decide how many a task takes
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("_ids_b") - 1) / RUN).cast("int")), lambda i: F.slice("_ids_b", i * RUN + 1, RUN))
+    rows = both.select("_ids_a", F.explode(runs).alias("_run")).select(F.explode("_ids_a").alias("a"), "_run")
+    return rows.select("a", F.explode(F.when(F.col("a") < F.col("_run")[0], F.col("_run")).otherwise(F.filter("_run", lambda b: b > F.col("a")))).alias("b"))
 
 
 def swept_vectors(embeddings: DataFrame, swept: DataFrame, model: str) -> DataFrame:
