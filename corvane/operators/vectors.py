@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +93,17 @@ def _best(ids, ids2, sims, k):
     return pa.RecordBatch.from_arrays([pa.array(ids[rows[ok]], pa.string()), pa.array(ids2[cols[ok]], pa.string()), pa.array(value[ok])], ["a", "b", "sim"])
 
 
+NONE = pa.schema([("a", pa.string()), ("b", pa.string()), ("sim", pa.float64())])
+
+
+def _first(found: pa.Table, k: int) -> pa.Table:
+    """Of each a the k best rows, ties in the order of b."""
+    found = found.sort_by([("a", "ascending"), ("sim", "descending"), ("b", "ascending")]).combine_chunks()
+    a = found.column("a")
+    begins = np.flatnonzero(np.r_[True, pa.compute.not_equal(a.slice(1), a.slice(0, len(a) - 1)).to_numpy()]) if len(a) else np.zeros(0, dtype=np.int64)
+    return found.filter(pa.array(np.arange(len(a)) - np.repeat(begins, np.diff(np.r_[begins, len(a)])) < k))
+
+
 def _matrix(ids, m) -> tuple[np.ndarray, np.ndarray]:
     ids = np.array(ids.as_py())
     return ids, np.frombuffer(m.as_buffer(), dtype=np.float64).reshape(len(ids), -1)
@@ -132,6 +144,7 @@ def _packed(placed: DataFrame, sizes: dict[tuple[int, int], int], k: int, floor:
     return rows.select("block", "kind", "full_id", "unit").groupBy("block").applyInArrow(run, PACKED)
 
 
+GROUP = 16  # blocks, at most, that go together where pairs of blocks are multiplied
 HEADS = 512  # blocks whose bounds one task compares with another such group's
 
 
@@ -199,31 +212,43 @@ def nearest(vectors: DataFrame, k: int, floor: float = 0.0, block: int = BLOCK,
                         sims[sims < floor] = -np.inf
                     yield _best(ids, ids, sims, k)
 
-    def across(batches):
-        for b in batches:
-            for r in zip(*(b.column(c) for c in ("ids", "m", "centre", "radius", "low", "ids2", "m2", "centre2", "radius2", "low2"))):
-                sides = [_matrix(r[0], r[1]), _matrix(r[5], r[6])]
-                lows = [np.frombuffer(x.as_buffer(), dtype=np.float64) for x in (r[4], r[9])]
-                centres = [np.frombuffer(x.as_buffer(), dtype=np.float64) for x in (r[2], r[7])]
-                for me, it, radius in ((0, 1, r[8].as_py()), (1, 0, r[3].as_py())):
-                    (ids, x), (ids2, y) = sides[me], sides[it]
-                    gap = np.arccos(np.clip(x @ centres[it], -1, 1)) - radius
-                    rows = np.flatnonzero(np.cos(np.clip(gap, 0, np.pi)) >= lows[me] - SLACK)
-                    if len(rows):
-                        sims = _own(x[rows], y, False)
-                        sims[sims < lows[me][rows, None] - SLACK] = -np.inf
-                        if floor > 0:
-                            sims[sims < floor] = -np.inf
-                        yield _best(ids[rows], ids2, sims, k)
+    def across(pairs: pa.Table, held: pa.Table) -> pa.Table:
+        cols = [held.column(c).combine_chunks() for c in ("ids", "m", "centre", "radius", "low")]
+        at = {n: i for i, n in enumerate(held.column("block").to_pylist())}
+        others: dict[int, list[int]] = {}
+        for p, q in zip(pairs.column("block").to_pylist(), pairs.column("block2").to_pylist()):
+            others.setdefault(at[p], []).append(at[q])
+            others.setdefault(at[q], []).append(at[p])
+        sides = [_matrix(ids, m) for ids, m in zip(cols[0], cols[1])]
+        centres, lows = ([np.frombuffer(v.as_buffer(), dtype=np.float64) for v in c] for c in (cols[2], cols[4]))
+        out = []
+        for me, some in sorted(others.items()):
+            (ids, x), parts = sides[me], []
+            for it in some:
+                ids2, y = sides[it]
+                gap = np.arccos(np.clip(x @ centres[it], -1, 1)) - cols[3][it].as_py()
+                rows = np.flatnonzero(np.cos(np.clip(gap, 0, np.pi)) >= lows[me] - SLACK)
+                if len(rows):
+                    sims = _own(x[rows], y, False)
+                    sims[sims < lows[me][rows, None] - SLACK] = -np.inf
+                    if floor > 0:
+                        sims[sims < floor] = -np.inf
+                    parts.append(_best(ids[rows], ids2, sims, k))
+            if parts:
+                out.append(_first(pa.Table.from_batches(parts), k))
+        return pa.concat_tables(out) if out else NONE.empty_table()
 
     found = packed.select("kind", "ids", "m").mapInArrow(inside, "a string, b string, sim double")
     pairs = stored(_near_blocks(packed, blocks), "block-pairs") if blocks > 1 else None
     if report is not None:
         report |= {"pairs": blocks * (blocks - 1) // 2, "multiplied": pairs.count() if pairs is not None else 0}
     if pairs is not None:
-        cols = ["ids", "m", "centre", "radius", "low"]
-        one, two = packed.select("block", *cols), packed.select(F.col("block").alias("block2"), *[F.col(c).alias(f"{c}2") for c in cols])
-        found = found.unionByName(pairs.join(one, "block").join(two, "block2").mapInArrow(across, "a string, b string, sim double"))
+        # a block goes once to each two groups of blocks, and no more than k of a vector's others leave those
+        size = max(1, min(GROUP, blocks // 8))
+        cells = pairs.withColumn("g", F.expr(f"block div {size}")).withColumn("g2", F.expr(f"block2 div {size}"))
+        asked = cells.select(F.col("g").alias("h"), F.col("g2").alias("h2"), F.explode(F.array("block", "block2")).alias("block")).distinct()
+        held = asked.hint("merge").join(packed.select("block", "ids", "m", "centre", "radius", "low"), "block")
+        found = found.unionByName(cells.groupBy("g", "g2").cogroup(held.groupBy("h", "h2")).applyInArrow(across, "a string, b string, sim double"))
     kinds = sorted({kind for kind, _ in sizes})
     if floor <= 0 and (len(kinds) > 1 or kinds == [0]):
         ids = placed.select("full_id", "kind")
